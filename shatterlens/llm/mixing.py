@@ -51,7 +51,7 @@ def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarr
 
 def _rounder(seed: int, level: int, last: bool):
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_order", "id", "n_tokens"], ignore_index=True)
+        pdf = pdf.sort_values(["n_tokens", "_order", "id"], ascending=[False, True, True], ignore_index=True)  # what stays between is then a short one
         source, bucket = pdf["source"].iat[0], int(pdf["bucket"].iat[0])
         rng = np.random.default_rng([seed, level, bucket, zlib.crc32(str(source).encode("utf-8", "replace"))])
         p = pivot(pdf["p"].to_numpy(), pdf["n_tokens"].to_numpy(float), rng)
