@@ -89,7 +89,8 @@ def json_object(text: Column) -> Column:
 def fenced_code(text: Column) -> Column:
     """The first fenced block, or the whole trimmed text."""
     block = F.regexp_extract(text, r"(?s)```[\w+-]*[ \t]*\r?\n(.*?)```", 1)
-    return F.when(block != "", F.trim(block)).otherwise(F.trim(text))
+    bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.when(block != "", bare(block)).otherwise(bare(text))
 
 
 def head_and_tail(text: Column, most: int, share: float = 0.62) -> Column:

@@ -75,7 +75,8 @@ def spanning_forest(places: DataFrame, fan_in: int = 8) -> DataFrame:
         if not parts:
             return
         pdf = pd.concat(parts, ignore_index=True)
-        for (graph, method), g in pdf.groupby(["graph", "method"], sort=False):
+        kept = []
+        for _, g in pdf.groupby(["graph", "method"], sort=False):
             g = g.sort_values("lo", ascending=False)
             above: dict[int, int] = {}
 
@@ -90,11 +91,12 @@ def spanning_forest(places: DataFrame, fan_in: int = 8) -> DataFrame:
                 a, b = top(a), top(b)
                 keep.append(a != b)
                 above[b] = a
-            yield g[keep]
+            kept.append(g[keep])
+        yield pd.concat(kept)
 
     schema = places.schema
-    n = max(1, places.rdd.getNumPartitions())
-    out = places.mapInPandas(local, schema)
+    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = places.mapInPandas(local, schema).coalesce(n).mapInPandas(local, schema)
     while n > 1:
         n = -(-n // fan_in)
         out = out.coalesce(n).mapInPandas(local, schema)

@@ -86,18 +86,18 @@ def group_scores(records: DataFrame, group: str) -> DataFrame:
 
 
 def _undominated(points: np.ndarray) -> np.ndarray:
-    """Rows (all objectives to be small) that no other row dominates; equal rows all stay."""
-    order = np.lexsort(points.T[::-1])
+    """Rows (all objectives to be small) that no other row dominates; equal rows all stay.
+
+    A row of least sum is dominated by none; what it dominates goes with it, and so on.
+    """
     keep = np.zeros(len(points), dtype=bool)
-    front: list[np.ndarray] = []
-    for i in order:  # whatever dominates a row comes before it
-        p = points[i]
-        if front:
-            f = np.array(front)
-            if ((f <= p).all(axis=1) & (f < p).any(axis=1)).any():
-                continue
-        front.append(p)
-        keep[i] = True
+    rest, total = np.arange(len(points)), points.sum(axis=1)
+    while len(rest):
+        p = points[rest[total[rest].argmin()]]
+        own = points[rest]
+        worse = (own >= p).all(axis=1)
+        keep[rest[(own == p).all(axis=1)]] = True
+        rest = rest[~worse]
     return keep
 
 
@@ -120,11 +120,16 @@ def pareto(records: DataFrame, keys: list[str], maximise: list[str], minimise: l
             return
         pdf = pd.concat(parts, ignore_index=True)
         sign = np.array([-1.0] * len(maximise) + [1.0] * len(minimise))
-        for _, g in pdf.groupby(keys, dropna=False, sort=False) if keys else [(None, pdf)]:
-            yield g[_undominated(g[objectives].to_numpy(float) * sign)]
-
-    n = max(1, rows.rdd.getNumPartitions())
-    out = rows.mapInPandas(local, schema)
+        points = pdf[objectives].to_numpy(float) * sign
+        group = pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy() if keys else np.zeros(len(pdf), dtype=int)
+        order = np.argsort(group, kind="stable")
+        keep = np.zeros(len(pdf), dtype=bool)
+        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            keep[own[_undominated(points[own])]] = True
+        yield pdf[keep]
+
+    n = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.mapInPandas(local, schema).coalesce(n).mapInPandas(local, schema)
     while n > 1:
         n = -(-n // fan_in)
         out = out.coalesce(n).mapInPandas(local, schema)

@@ -5,6 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows over all shuffle partitions, before a join that multiplies them.
+
+    A table of few megabytes would be one partition, and the join of its wedges one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def adjacency(edges: DataFrame) -> DataFrame:
     """(graph, src, dst) in both directions."""
     ends = F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst")))
@@ -27,7 +35,7 @@ def triangles(edges: DataFrame) -> DataFrame:
     ranked = edges.join(rank("u"), ["graph", "u"]).join(rank("v"), ["graph", "v"])
     up = F.col("ru") < F.col("rv")
     arcs = ranked.select("graph", F.when(up, F.col("u")).otherwise(F.col("v")).alias("x"), F.when(up, F.col("v")).otherwise(F.col("u")).alias("y"), F.greatest("ru", "rv").alias("r"))
-    first = arcs.select("graph", "x", F.col("y").alias("a"), F.col("r").alias("ra"))
+    first = spread(arcs.select("graph", "x", F.col("y").alias("a"), F.col("r").alias("ra")), "graph", "x")
     second = arcs.select("graph", "x", F.col("y").alias("b"), F.col("r").alias("rb"))
     wedges = first.join(second, ["graph", "x"]).where(F.col("ra") < F.col("rb")).select("graph", "x", "a", "b")
     closing = arcs.select("graph", F.col("x").alias("a"), F.col("y").alias("b"))
@@ -76,7 +84,7 @@ def sphere(edges: DataFrame, radius: int) -> DataFrame:
     ring = step.select("graph", F.col("src").alias("node"), F.col("dst").alias("other"))
     seen = ring
     for _ in range(radius - 1):
-        far = ring.join(step.select("graph", F.col("src").alias("other"), F.col("dst").alias("next")), ["graph", "other"])
+        far = spread(ring, "graph", "node").join(step.select("graph", F.col("src").alias("other"), F.col("dst").alias("next")), ["graph", "other"])
         far = far.where(F.col("node") != F.col("next")).select("graph", "node", F.col("next").alias("other")).distinct()
         ring = far.join(seen, ["graph", "node", "other"], "left_anti")
         seen = seen.unionByName(ring)

@@ -8,23 +8,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shatterlens.operators import adaptive, fragmentation as fr, static_orders as so, topology as tp
 from shatterlens.operators.components import connected_components
+from shatterlens.scratch import Scratch
 from shatterlens.sources import graphs
 
 RATE = 0.30
 
 
+def stored(edges: DataFrame) -> DataFrame:
+    """The edges as a written table: every operator reads them several times."""
+    return Scratch(edges.sparkSession).save(edges, "edges")
+
+
 def local_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two graphs with triangles: trading nations and succeeding users."""
-    return graphs.nation_trade(spark, sf_dir).unionByName(graphs.user_succession(spark, sf_dir))
+    return stored(graphs.nation_trade(spark, sf_dir).unionByName(graphs.user_succession(spark, sf_dir)))
 
 
 def small_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The customer-supplier graph of every tenth customer, on which curves have an oracle."""
-    return graphs.customer_supplier(spark, sf_dir, every=10)
+    return stored(graphs.customer_supplier(spark, sf_dir, every=10))
 
 
 def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return local_edges(spark, sf_dir).unionByName(graphs.customer_supplier(spark, sf_dir)).unionByName(graphs.supplier_part(spark, sf_dir))
+    return stored(graphs.nation_trade(spark, sf_dir).unionByName(graphs.user_succession(spark, sf_dir)).unionByName(graphs.customer_supplier(spark, sf_dir)).unionByName(graphs.supplier_part(spark, sf_dir)))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -58,12 +64,12 @@ def graph_common_neighbours(spark, d):
 
 
 def graph_local_bridges(spark, d):
-    return tp.bridge_counts(local_edges(spark, d).unionByName(small_edges(spark, d)))
+    return tp.bridge_counts(stored(graphs.nation_trade(spark, d).unionByName(graphs.user_succession(spark, d)).unionByName(graphs.customer_supplier(spark, d, 10))))
 
 
 def graph_sphere(spark, d):
     """Nodes at distance two."""
-    edges = graphs.nation_trade(spark, d).unionByName(small_edges(spark, d))
+    edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d, 10)))
     return tp.sphere(edges, 2).groupBy("graph", "node").agg(F.count(F.lit(1)).alias("at_two"))
 
 
@@ -93,7 +99,7 @@ def graph_user_successors(spark, d):
 
 
 def graph_core_numbers(spark, d):
-    edges = graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d))
+    edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d)))
     return adaptive.node_values(edges, graphs.nodes_of(edges), "core").withColumnRenamed("value", "core")
 
 
@@ -119,7 +125,7 @@ def order_degree(spark, d):
 
 def order_core(spark, d):
     """By core number, then degree, then the largest label."""
-    edges = graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d))
+    edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d)))
     nodes = graphs.nodes_of(edges)
     scores = adaptive.node_values(edges, nodes, "core").withColumnRenamed("value", "score").join(tp.degrees(edges), ["graph", "node"])
     return so.score_order(nodes, scores, "core", [F.desc("degree"), F.desc("node")])
@@ -137,13 +143,13 @@ def _by_community(kind: str):
 
 
 def order_betweenness(spark, d):
-    edges = graphs.nation_trade(spark, d).unionByName(small_edges(spark, d))
+    edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d, 10)))
     nodes = graphs.nodes_of(edges)
     return so.score_order(nodes, adaptive.betweenness(edges, nodes).withColumn("score", F.round("score", 9)), "betweenness")
 
 
 def _adaptive(spark, d, methods=None):
-    edges = graphs.nation_trade(spark, d).unionByName(small_edges(spark, d))
+    edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d, 10)))
     nodes = graphs.nodes_of(edges)
     return edges, nodes, adaptive.adaptive_orders(edges, nodes, methods or adaptive.METHODS, RATE)
 
@@ -155,7 +161,7 @@ def order_adaptive(spark, d):
 
 def order_proxies(spark, d):
     """Four programs of the proxy family on trading nations."""
-    edges = graphs.nation_trade(spark, d)
+    edges = stored(graphs.nation_trade(spark, d))
     chosen = [p for g in ("R/GCC-only", "Relative-Free", "CostAware-Free", "Bounded-Guided") for p in adaptive.proxies(g, 1)]
     methods = {p.group: (lambda g, k, p=p: adaptive.proxy_order(g, k, p)) for p in chosen}
     return adaptive.adaptive_orders(edges, graphs.nodes_of(edges), methods, RATE)
@@ -163,7 +169,7 @@ def order_proxies(spark, d):
 
 def order_highest_degree(spark, d):
     """The three tie rules of highest residual degree, up to the budget, on trading nations."""
-    edges = graphs.nation_trade(spark, d)
+    edges = stored(graphs.nation_trade(spark, d))
     methods = {k: adaptive.METHODS[k] for k in ("hda_original", "hda_fast", "hda_number")}
     orders = adaptive.adaptive_orders(edges, graphs.nodes_of(edges), methods, RATE)
     return orders.where(F.col("step") <= 8)
@@ -260,7 +266,7 @@ def curve_mean_over_graphs(spark, d):
 
 def order_timed(spark, d):
     """Steps and errors of a run in which one method fails; times are left out."""
-    edges = graphs.nation_trade(spark, d)
+    edges = stored(graphs.nation_trade(spark, d))
     methods = {"hda_fast": adaptive.METHODS["hda_fast"], "broken": lambda g, k: [g.labels[-1] // 0]}
     timed = adaptive.adaptive_orders(edges, graphs.nodes_of(edges), methods, RATE, timed=True)
     return timed.groupBy("graph", "method").agg(F.max("step").alias("steps"), F.max("error").alias("error"))

@@ -43,7 +43,7 @@ def table_times(spark, d):
     """Median, sum and mean of times; unknown ones count as 0 in the mean of sums."""
     both = F.coalesce("time_s", F.lit(0.0)) + F.coalesce("proxy_time_s", F.lit(0.0))
     out = records(spark, d).groupBy("run_id").agg(F.median("time_s").alias("median_s"), F.sum("time_s").alias("total_s"), F.avg(both).alias("mean_logged_s"), (F.sum(both) / 3600).alias("total_h"))
-    return rounded(out, 8)
+    return rounded(out, 10)
 
 
 def table_gap(spark, d):
@@ -269,7 +269,7 @@ ORACLES = {
     "table_pivot": _M + "SELECT dataset, " + ", ".join(f"round(avg(auc_cnbi) FILTER (WHERE method = '{m}'), 6) AS {m.replace('-', '_')}" for m in METHODS) + " FROM m GROUP BY dataset",
     "table_percentiles": _M + "SELECT method_group, " + ", ".join(f"round(quantile_cont(auc_cnbi, {p / 100}), 6) AS p{p}" for p in (25, 50, 55, 80)) + " FROM m GROUP BY method_group",
     "table_most_common": _R + "SELECT * FROM (SELECT run_id, family, count(*) AS n, min(idx) AS first_idx, CAST(row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, min(idx), family) AS INTEGER) AS place FROM rec GROUP BY run_id, family) WHERE place <= 5",
-    "table_times": _R + "SELECT run_id, round(quantile_cont(time_s, 0.5), 8) AS median_s, round(sum(time_s), 8) AS total_s, round(avg(coalesce(time_s, 0) + coalesce(proxy_time_s, 0)), 8) AS mean_logged_s, round(sum(coalesce(time_s, 0) + coalesce(proxy_time_s, 0)) / 3600, 8) AS total_h FROM rec GROUP BY run_id",
+    "table_times": _R + "SELECT run_id, round(quantile_cont(time_s, 0.5), 10) AS median_s, round(sum(time_s), 10) AS total_s, round(avg(coalesce(time_s, 0) + coalesce(proxy_time_s, 0)), 10) AS mean_logged_s, round(sum(coalesce(time_s, 0) + coalesce(proxy_time_s, 0)) / 3600, 10) AS total_h FROM rec GROUP BY run_id",
     "table_gap": _M + "SELECT dataset, min(r) AS least, max(r) AS most, round(max(r) - min(r), 9) AS gap, count(DISTINCT method) AS methods FROM m WHERE valid GROUP BY dataset",
     "table_completeness": _M + "SELECT method, count(*) AS total, count(*) FILTER (WHERE valid AND auc_cnbi IS NOT NULL) AS done, count(*) = count(*) FILTER (WHERE valid AND auc_cnbi IS NOT NULL) AS complete FROM m GROUP BY method",
     "table_nearest": "SELECT nation, custkey, suppkey_b, gap FROM (SELECT c_nationkey AS nation, c_custkey AS custkey, s_suppkey AS suppkey_b, round(abs(c_acctbal - s_acctbal), 6) AS gap, row_number() OVER (PARTITION BY c_custkey ORDER BY abs(c_acctbal - s_acctbal), s_suppkey) AS n FROM customer JOIN supplier ON c_nationkey = s_nationkey AND abs(c_acctbal - s_acctbal) <= 30) WHERE n = 1",
@@ -289,7 +289,7 @@ ORACLES = {
     "text_generic": _FLAGGED + f"SELECT candidate_id, {_GENERIC} AS generic, CASE WHEN length(code) < 1800 THEN 'short' ELSE 'long' END || ':' || CASE WHEN {_LOOPS} < 7 THEN 'fewloops' ELSE 'manyloops' END || ':' || split_part({_GENERIC}, '+', 1) AS map_bin, CASE WHEN global_rescan THEN 'global centrality' WHEN component_refresh THEN 'component refresh' WHEN unbounded_two_hop THEN 'unbounded two-hop scan' WHEN {_has('shortest_path', 'all_pairs')} THEN 'path search' ELSE '' END AS violation, left(sha1(code), 16) AS code_hash FROM f",
     "text_experiment_flags": _P + "SELECT candidate_id, " + ", ".join(f"({e}) AS {k}" for k, e in _EXP.items()) + " FROM t",
     "text_failure_patterns": _FLAGGED + ", n AS (SELECT greatest(1, count(*)) AS n FROM f) " + " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) FILTER (WHERE {k}) AS count, round(count(*) FILTER (WHERE {k}) / CAST(any_value(n) AS DOUBLE), 6) AS rate FROM f, n" for k in ("component_refresh", "global_rescan", "unbounded_two_hop", "heap_update")),
-    "text_replies": r"""WITH c AS (SELECT DISTINCT prompt_id, raw_response FROM llm_calls WHERE raw_response IS NOT NULL), f AS (SELECT prompt_id, trim(CASE WHEN regexp_extract(raw_response, '```[\w+-]*[ \t]*\r?\n(.*?)```', 1, 's') <> '' THEN regexp_extract(raw_response, '```[\w+-]*[ \t]*\r?\n(.*?)```', 1, 's') ELSE raw_response END, ' ') AS code FROM c)
+    "text_replies": r"""WITH c AS (SELECT DISTINCT prompt_id, raw_response FROM llm_calls WHERE raw_response IS NOT NULL), f AS (SELECT prompt_id, regexp_replace(CASE WHEN regexp_extract(raw_response, '```[\w+-]*[ \t]*\r?\n(.*?)```', 1, 's') <> '' THEN regexp_extract(raw_response, '```[\w+-]*[ \t]*\r?\n(.*?)```', 1, 's') ELSE raw_response END, '^\s+|\s+$', '', 'g') AS code FROM c)
         SELECT prompt_id, CAST(length(code) AS INTEGER) AS n, md5(CASE WHEN length(code) > 200 THEN left(code, 124) || chr(10) || '...' || chr(10) || right(code, 76) ELSE code END) AS ends FROM f""",
     "text_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
     "text_scalars": r"""SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS measure,
