@@ -172,7 +172,7 @@ def order_highest_degree(spark, d):
     edges = stored(graphs.nation_trade(spark, d))
     methods = {k: adaptive.METHODS[k] for k in ("hda_original", "hda_fast", "hda_number")}
     orders = adaptive.adaptive_orders(edges, graphs.nodes_of(edges), methods, RATE)
-    return orders.where(F.col("step") <= 8)
+    return orders.where(F.col("step") <= 7)
 
 
 def order_completed(spark, d):
@@ -341,9 +341,9 @@ _SUMMARY = ["r", *[f"{a}_{c}" for a in ("final", "early") for c in ("gcc", "ncc"
 
 
 def _highest(method: str, tie: str) -> str:
-    """Eight rounds of highest residual degree, each a CTE."""
+    """Seven rounds of highest residual degree, each a CTE."""
     out = ["h0 AS (SELECT CAST(NULL AS BIGINT) AS node WHERE false)"]
-    for i in range(1, 9):
+    for i in range(1, 8):
         gone = " UNION ALL ".join(f"SELECT node FROM {method}{j}" for j in range(1, i)) or "SELECT node FROM h0"
         out.append(
             f"{method}{i} AS (SELECT node FROM (SELECT d.node, count(a.dst) FILTER (WHERE a.dst NOT IN ({gone})) AS deg FROM deg d LEFT JOIN adj a ON a.src = d.node "
@@ -370,7 +370,7 @@ ORACLES = {
     "order_cluster_rank": _LOCAL + _CLU + _order("cluster_rank", "SELECT c.graph, c.node, pow(10.0, -CAST(c.clustering AS DOUBLE)) * sum(d.degree + 1) AS score FROM clu c JOIN adj a ON a.graph = c.graph AND a.src = c.node JOIN deg d ON d.graph = a.graph AND d.node = a.dst GROUP BY c.graph, c.node, c.clustering"),
     "order_neighbour_distance": _LOCAL + _order("ndc", "SELECT d.graph, d.node, CAST(sum(d.degree - common) AS DOUBLE) / count(*) AS score FROM deg d JOIN (SELECT graph, u AS node, common FROM com UNION ALL SELECT graph, v, common FROM com) USING (graph, node) GROUP BY d.graph, d.node"),
     "order_highest_degree": _over(_TRADE) + ", " + ", ".join([_highest("o", "CAST(node AS VARCHAR) DESC"), _highest("f", "CAST(node AS VARCHAR)"), _highest("x", "node DESC")]) + " "
-        + " UNION ALL ".join(f"SELECT 'trade' AS graph, '{name}' AS method, CAST({i} AS INTEGER) AS step, node FROM {m}{i}" for m, name in (("o", "hda_original"), ("f", "hda_fast"), ("x", "hda_number")) for i in range(1, 9)),
+        + " UNION ALL ".join(f"SELECT 'trade' AS graph, '{name}' AS method, CAST({i} AS INTEGER) AS step, node FROM {m}{i}" for m, name in (("o", "hda_original"), ("f", "hda_fast"), ("x", "hda_number")) for i in range(1, 8)),
     "order_completed": _ON_SMALL + ", listed AS (SELECT node, min(node % 97) AS at FROM deg WHERE degree >= 3 GROUP BY node) SELECT 'supply' AS graph, 'listed' AS method, CAST(row_number() OVER (ORDER BY l.node IS NULL, l.at, d.node) AS INTEGER) AS step, d.node FROM deg d LEFT JOIN listed l ON l.node = d.node",
     "curve_states": _STATES,
     "curve_forest": _STATES,

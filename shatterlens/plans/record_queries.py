@@ -9,7 +9,7 @@ from shatterlens.operators import policies as po, ranking as rk
 from shatterlens.operators.hierarchy import hierarchy
 from shatterlens.operators.records import current_rows
 from shatterlens.operators.windows import average_rank, global_average_rank, running_sum
-from shatterlens.plans.graph_queries import rounded
+from shatterlens.plans import graph_queries
 from shatterlens.sources.tables import table
 
 _METRICS = ["r", "auc_acc", "auc_ncc", "auc_cnbi", "final_gcc", "final_cnbi", "time_s", "early_gcc", "early_ncc", "early_cnbi"]
@@ -19,6 +19,10 @@ POINT = (0.2, 150.0, 1.0)
 FAMILIES = ("anti_redundancy", "frontier_weak_tie", "component_boundary_proxy", "phase_adaptive", "twohop_advantage", "core_frontier", "hda", "unheard")
 
 
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    return graph_queries.rounded(df, digits)
+
+
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct per-graph metrics; NaN is NULL, unknown validity is false."""
     rows = table(spark, sf_dir, "per_graph_metrics").withColumns({c: no_nan(F.col(c)) for c in _METRICS}).withColumn("valid", F.coalesce("valid", F.lit(False)))
@@ -333,17 +337,17 @@ _GATED = (
     "- (12.0 * ln(1 + greatest(0.0, p) / 0.70) + 180.0 * greatest(0.0, t - 0.022) + 8.0 * pow(greatest(0.0, p - 1.20), 2) + CASE WHEN p > 1.80 THEN 16.0 + 10.0 * (p - 1.80) ELSE 0 END + CASE WHEN t > 0.032 THEN 10.0 + 500.0 * (t - 0.032) ELSE 0 END) ELSE -1e9 END"
 )
 _GATE_ROWS = _R + f", g AS (SELECT *, {_GATED} AS gated FROM (SELECT *, coalesce(proxy_time_s, 0.0) AS p, coalesce(time_s, 0.0) AS t FROM rec)) "
-_TOP = lambda value, ties, source, extra="": f"SELECT run_id, node_id, round(CAST(value AS DOUBLE), 6) AS value{extra} FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, {ties}) AS n FROM (SELECT *, {value} AS value FROM {source})) WHERE n = 1"
+_TOP = lambda value, ties, source, extra="": f"SELECT run_id, node_id, round(CAST(value AS DOUBLE), 9) AS value{extra} FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, {ties}) AS n FROM (SELECT *, {value} AS value FROM {source})) WHERE n = 1"
 _HITS = lambda step, ks: "SELECT run_id, " + ", ".join(f"coalesce(min({step}) FILTER (WHERE cum >= {k}), -1) AS first_{k}" for k in ks) + f" FROM (SELECT *, sum(loose_like::INT) OVER (PARTITION BY run_id ORDER BY {step} ROWS UNBOUNDED PRECEDING) AS cum FROM fl) GROUP BY run_id"
 
 ORACLES = {
     "rank_average": _M + f"SELECT dataset, method, CAST({_avg_rank('r', 'dataset', 'ASC')} AS DOUBLE) AS rank_r, CAST({_avg_rank('auc_cnbi', 'dataset', 'DESC')} AS DOUBLE) AS rank_auc FROM m",
-    "rank_unit": _M + "SELECT dataset, method, " + ", ".join(f'round(CAST({_unit("auc_cnbi", "dataset", True, k)} AS DOUBLE), 6) AS "{k}"' for k in ("rows", "coerced", "known")) + " FROM m",
-    "rank_search_scores": _R + "SELECT run_id, node_id, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in ("rank_r", "rank_cnbi", "rank_time", "rank_score")) + f" FROM ({_scores('run_id')})",
+    "rank_unit": _M + "SELECT dataset, method, " + ", ".join(f'round(CAST({_unit("auc_cnbi", "dataset", True, k)} AS DOUBLE), 9) AS "{k}"' for k in ("rows", "coerced", "known")) + " FROM m",
+    "rank_search_scores": _R + "SELECT run_id, node_id, " + ", ".join(f"round(CAST({c} AS DOUBLE), 9) AS {c}" for c in ("rank_r", "rank_cnbi", "rank_time", "rank_score")) + f" FROM ({_scores('run_id')})",
     "rank_stage_1": _stage_sql(1, "parent"), "rank_stage_3": _stage_sql(3, "parent"), "rank_stage_1_root": _stage_sql(1, "root"),
     "rank_group_scores": _M + ", a AS (SELECT *, auc_cnbi - 50 AS delta, CASE method_group WHEN 'final' THEN 'CostAware-Free' WHEN 'framework' THEN 'Bounded-Guided' ELSE 'R/GCC-only' END AS rule FROM m), "
         "b AS (SELECT *, " + ", ".join(f"{_unit(c, 'rule, valid', h, 'known')} AS u_{c}" for c, h in (("delta", True), ("auc_cnbi", True), ("r", False), ("time_s", False))) + " FROM a) "
-        "SELECT dataset, method, rule, round(CAST(CASE WHEN NOT valid THEN -1 WHEN rule = 'R/GCC-only' THEN u_r WHEN rule = 'CostAware-Free' THEN 0.6 * u_delta + 0.4 * u_time_s ELSE 0.4 * u_delta + 0.25 * u_r + 0.25 * u_time_s + 0.1 * u_auc_cnbi END AS DOUBLE), 6) AS selection_score FROM b",
+        "SELECT dataset, method, rule, round(CAST(CASE WHEN NOT valid THEN -1 WHEN rule = 'R/GCC-only' THEN u_r WHEN rule = 'CostAware-Free' THEN 0.6 * u_delta + 0.4 * u_time_s ELSE 0.4 * u_delta + 0.25 * u_r + 0.25 * u_time_s + 0.1 * u_auc_cnbi END AS DOUBLE), 9) AS selection_score FROM b",
     "rank_pareto": _FRONT + "SELECT dataset, method, auc_cnbi, r, time_s FROM front",
     "rank_pareto_runs": _R + ", v AS (SELECT * FROM rec WHERE valid AND cnbi IS NOT NULL AND r IS NOT NULL AND time_s IS NOT NULL) SELECT run_id, count(*) AS n FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.run_id = a.run_id AND b.cnbi >= a.cnbi AND b.r <= a.r AND b.time_s <= a.time_s AND (b.cnbi > a.cnbi OR b.r < a.r OR b.time_s < a.time_s)) GROUP BY run_id",
     "rank_final_pick": _FRONT + ", q AS (SELECT dataset, method, auc_cnbi, r FROM (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY auc_cnbi DESC, r, method) AS n FROM front) WHERE n = 1) SELECT dataset, 'Q' AS pick, method FROM q UNION ALL SELECT dataset, 'S', method FROM (SELECT f.*, row_number() OVER (PARTITION BY f.dataset ORDER BY f.time_s, f.auc_cnbi DESC, f.r, f.method) AS n FROM front f JOIN q ON q.dataset = f.dataset AND f.auc_cnbi >= 0.9 * q.auc_cnbi AND f.r <= q.r + 0.08) WHERE n = 1",
@@ -363,7 +367,7 @@ ORACLES = {
     "rank_similarity": _R + f"SELECT * FROM (SELECT run_id, node_id, {_FLAGS} FROM rec) WHERE loose_like",
     "rank_first_hits": _R + f", fl AS (SELECT *, {_FLAGS} FROM rec) " + _HITS("idx", (1, 5, 20)),
     "rank_best_so_far": _R + "SELECT run_id, node_id, max(coalesce(rank_score, -1)) OVER (PARTITION BY run_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS best FROM rec",
-    "rank_time_gated": _GATE_ROWS + "SELECT run_id, node_id, round(gated, 6) AS gated FROM g",
+    "rank_time_gated": _GATE_ROWS + "SELECT run_id, node_id, round(gated, 9) AS gated FROM g",
     "rank_top_records": _R + "SELECT run_id, node_id, rank_score FROM rec WHERE valid ORDER BY rank_score DESC NULLS LAST, run_id, node_id LIMIT 50",
     "rank_global": "SELECT o_orderkey, CAST(rank() OVER (ORDER BY o_totalprice DESC) + (count(*) OVER (PARTITION BY o_totalprice) - 1) / 2.0 AS DOUBLE) AS price_rank FROM orders",
     "window_running_sum": "SELECT event_id, CAST(sum(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS total FROM events",
@@ -373,26 +377,26 @@ ORACLES = {
     "policy_branch_schedule": "SELECT CAST(b AS INTEGER) AS budget, x AS branch, u AS units, CAST(f AS INTEGER) AS first_unit FROM (VALUES (3, 'Q', 1::BIGINT, 1), (3, 'S', 1, 2), (3, 'B', 1, 3), (30, 'Q', 9, 1), (30, 'S', 9, 10), (30, 'B', 8, 19), (30, 'R', 4, 27), (77, 'Q', 23, 1), (77, 'S', 23, 24), (77, 'B', 19, 47), (77, 'R', 12, 66), (200, 'Q', 60, 1), (200, 'S', 60, 61), (200, 'B', 50, 121), (200, 'R', 30, 171)) t(b, x, u, f)",
     "policy_uct": _R + _TOP("greatest(0.0, s) + 1.35 * sqrt(ln(CAST(greatest(2, n_run) AS DOUBLE)) / (1.0 + children))", "idx, node_id", "k WHERE valid"),
     "policy_uct_depth": _R + _DEEP + _TOP("greatest(0.0, s) / (1 + 0.12 * depth) + 1.1 * sqrt(ln(CAST(greatest(2, n_run) AS DOUBLE)) / (1.0 + children))", "idx, node_id", "kd WHERE valid"),
-    "policy_clade_table": _R + "SELECT run_id, family AS clade, round(md, 6) AS median_all, count(*) AS n, count(*) FILTER (WHERE s >= md) AS wins, count(*) FILTER (WHERE s < md) AS losses FROM (SELECT *, quantile_cont(s, 0.5) OVER (PARTITION BY run_id) AS md FROM k WHERE valid) GROUP BY ALL",
+    "policy_clade_table": _R + "SELECT run_id, family AS clade, round(md, 9) AS median_all, count(*) AS n, count(*) FILTER (WHERE s >= md) AS wins, count(*) FILTER (WHERE s < md) AS losses FROM (SELECT *, quantile_cont(s, 0.5) OVER (PARTITION BY run_id) AS md FROM k WHERE valid) GROUP BY ALL",
     "policy_islands": _R + "SELECT run_id, node_id, island, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, island ORDER BY s DESC, idx, node_id) AS INTEGER) AS place FROM (SELECT *, CAST(CASE WHEN node_id = 'hda_root' THEN 0 ELSE CAST('0x' || left(sha1(node_id), 4) AS INTEGER) % 6 END AS INTEGER) AS island FROM k WHERE valid)) WHERE place <= 4",
-    "policy_niches": _R + "SELECT run_id, family AS niche, n, round(w / sum(w) OVER (PARTITION BY run_id), 6) AS weight FROM (SELECT run_id, family, count(*) AS n, 1 / sqrt(CAST(count(*) AS DOUBLE)) AS w FROM rec WHERE valid GROUP BY ALL)",
-    "policy_family_means": _R + "SELECT run_id, family, count(*) AS n, round(avg(s), 6) AS mean, round(0.10 + 0.15 / sqrt(count(*)), 6) AS spread, round(0.08 / sqrt(count(*)), 6) AS bonus FROM k WHERE valid GROUP BY ALL",
-    "policy_squared_weights": _R + "SELECT run_id, node_id, round(w / sum(w) OVER (PARTITION BY run_id), 6) AS weight FROM (SELECT *, pow(greatest(0.0, s), 2) + 1e-9 AS w, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS n FROM k WHERE valid) WHERE n <= 8",
-    "policy_diagnostics": _R + "SELECT run_id, family, round(least(0.95, greatest(0.05, 0.5 + 0.5 * (mr - br) / greatest(abs(mr), 1e-9))), 6) AS quality, round(least(0.95, greatest(0.05, 0.5 + 0.5 * (mt - bt) / greatest(abs(mt), 1e-9))), 6) AS speed, round(CAST(greatest(0.05, least(0.95, 1 - n / CAST(na AS DOUBLE))) AS DOUBLE), 6) AS exploration FROM (SELECT run_id, family, count(*) AS n, arg_max_null(r, (s, idx)) AS br, arg_max_null(time_s, (s, idx)) AS bt FROM k WHERE valid GROUP BY ALL) JOIN (SELECT run_id, quantile_cont(r, 0.5) AS mr, quantile_cont(time_s, 0.5) AS mt, count(*) AS na FROM k WHERE valid GROUP BY run_id) USING (run_id)",
-    "policy_family_choice": _R + ", c AS (SELECT run_id, family, coalesce(avg(rank_score), 0.0) AS credit, count(*) AS n FROM rec GROUP BY ALL), e AS (SELECT *, sum(n) OVER (PARTITION BY run_id) + 1 AS idx, count(*) OVER (PARTITION BY run_id) AS f FROM c), v AS (SELECT *, credit + 0.28 * sqrt(ln(CAST(greatest(2, idx) AS DOUBLE)) / (n + 1.0)) - 0.10 * greatest(0.0, n - CAST(idx AS DOUBLE) / f) AS value FROM e) SELECT run_id, family, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, family) AS k FROM v) WHERE k = 1",
-    "policy_moving_credit": _GATE_ROWS + ", w AS (SELECT *, CASE WHEN valid THEN gated / 60.0 - CASE WHEN coalesce(fac_worst_auc_adv, 0) < -5 THEN 0.25 ELSE 0 END - CASE WHEN p > 2 THEN 0.10 ELSE 0 END ELSE -8 END AS reward, row_number() OVER (PARTITION BY run_id, family ORDER BY idx DESC, node_id DESC) - 1 AS back FROM g) SELECT run_id, family, round(sum(0.18 * reward * pow(CAST(0.82 AS DOUBLE), back)), 6) AS credit FROM w GROUP BY ALL",
-    "policy_floored_credit": _R + ", w AS (SELECT run_id, family, coalesce(rank_score, -0.2) AS reward, row_number() OVER (PARTITION BY run_id, family ORDER BY idx) AS i, count(*) OVER (PARTITION BY run_id, family) AS n FROM rec), f AS (SELECT run_id, family, CAST(0 AS BIGINT) AS i, CAST(0.05 AS DOUBLE) AS credit, n FROM w WHERE i = 1 UNION ALL SELECT f.run_id, f.family, w.i, greatest(0.005, 0.86 * f.credit + (1 - 0.86) * w.reward), f.n FROM f JOIN w ON w.run_id = f.run_id AND w.family = f.family AND w.i = f.i + 1) SELECT run_id, family, round(credit, 6) AS credit FROM f WHERE i = n",
+    "policy_niches": _R + "SELECT run_id, family AS niche, n, round(w / sum(w) OVER (PARTITION BY run_id), 9) AS weight FROM (SELECT run_id, family, count(*) AS n, 1 / sqrt(CAST(count(*) AS DOUBLE)) AS w FROM rec WHERE valid GROUP BY ALL)",
+    "policy_family_means": _R + "SELECT run_id, family, count(*) AS n, round(avg(s), 9) AS mean, round(0.10 + 0.15 / sqrt(count(*)), 9) AS spread, round(0.08 / sqrt(count(*)), 9) AS bonus FROM k WHERE valid GROUP BY ALL",
+    "policy_squared_weights": _R + "SELECT run_id, node_id, round(w / sum(w) OVER (PARTITION BY run_id), 9) AS weight FROM (SELECT *, pow(greatest(0.0, s), 2) + 1e-9 AS w, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS n FROM k WHERE valid) WHERE n <= 8",
+    "policy_diagnostics": _R + "SELECT run_id, family, round(least(0.95, greatest(0.05, 0.5 + 0.5 * (mr - br) / greatest(abs(mr), 1e-9))), 9) AS quality, round(least(0.95, greatest(0.05, 0.5 + 0.5 * (mt - bt) / greatest(abs(mt), 1e-9))), 9) AS speed, round(CAST(greatest(0.05, least(0.95, 1 - n / CAST(na AS DOUBLE))) AS DOUBLE), 9) AS exploration FROM (SELECT run_id, family, count(*) AS n, arg_max_null(r, (s, idx)) AS br, arg_max_null(time_s, (s, idx)) AS bt FROM k WHERE valid GROUP BY ALL) JOIN (SELECT run_id, quantile_cont(r, 0.5) AS mr, quantile_cont(time_s, 0.5) AS mt, count(*) AS na FROM k WHERE valid GROUP BY run_id) USING (run_id)",
+    "policy_family_choice": _R + ", c AS (SELECT run_id, family, coalesce(avg(rank_score), 0.0) AS credit, count(*) AS n FROM rec GROUP BY ALL), e AS (SELECT *, sum(n) OVER (PARTITION BY run_id) + 1 AS idx, count(*) OVER (PARTITION BY run_id) AS f FROM c), v AS (SELECT *, credit + 0.28 * sqrt(ln(CAST(greatest(2, idx) AS DOUBLE)) / (n + 1.0)) - 0.10 * greatest(0.0, n - CAST(idx AS DOUBLE) / f) AS value FROM e) SELECT run_id, family, round(value, 9) AS value FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, family) AS k FROM v) WHERE k = 1",
+    "policy_moving_credit": _GATE_ROWS + ", w AS (SELECT *, CASE WHEN valid THEN gated / 60.0 - CASE WHEN coalesce(fac_worst_auc_adv, 0) < -5 THEN 0.25 ELSE 0 END - CASE WHEN p > 2 THEN 0.10 ELSE 0 END ELSE -8 END AS reward, row_number() OVER (PARTITION BY run_id, family ORDER BY idx DESC, node_id DESC) - 1 AS back FROM g) SELECT run_id, family, round(sum(0.18 * reward * pow(CAST(0.82 AS DOUBLE), back)), 9) AS credit FROM w GROUP BY ALL",
+    "policy_floored_credit": _R + ", w AS (SELECT run_id, family, coalesce(rank_score, -0.2) AS reward, row_number() OVER (PARTITION BY run_id, family ORDER BY idx) AS i, count(*) OVER (PARTITION BY run_id, family) AS n FROM rec), f AS (SELECT run_id, family, CAST(0 AS BIGINT) AS i, CAST(0.05 AS DOUBLE) AS credit, n FROM w WHERE i = 1 UNION ALL SELECT f.run_id, f.family, w.i, greatest(0.005, 0.86 * f.credit + (1 - 0.86) * w.reward), f.n FROM f JOIN w ON w.run_id = f.run_id AND w.family = f.family AND w.i = f.i + 1) SELECT run_id, family, round(credit, 9) AS credit FROM f WHERE i = n",
     "policy_learned_credit": _R + f", t0 AS (SELECT *, {_FLAGS} FROM ({_scores('1', '(SELECT * FROM rec WHERE idx <= 60)')})), w AS (SELECT quantile_cont(rank_score, 0.8) AS top, min(time_s) AS lo, max(time_s) AS hi FROM t0 WHERE rank_score >= 0), "
         "a AS (SELECT family, count(*) AS n_total, count(*) FILTER (WHERE rank_score >= 0) AS n_valid, avg(rank_score) FILTER (WHERE rank_score >= 0) AS sc, avg((rank_score >= top)::INT) FILTER (WHERE rank_score >= 0) AS tr, avg(strict_like::INT) FILTER (WHERE rank_score >= 0) AS st, avg(loose_like::INT) FILTER (WHERE rank_score >= 0) AS lo_, avg(time_s) FILTER (WHERE rank_score >= 0) AS mt, "
         "avg((coalesce(contains(error, 'timeout'), false)::INT + coalesce(contains(error, 'Recursion'), false)::INT + coalesce(contains(error, 'import'), false)::INT) / 3.0) AS risk, lo, hi FROM t0, w GROUP BY family, lo, hi) "
-        "SELECT f.family, coalesce(n_total, 0) AS n_total, coalesce(n_valid, 0) AS n_valid, round(CASE WHEN n_total IS NULL THEN 0.05 ELSE greatest(0.01, 0.42 * coalesce(sc, 0) + 0.22 * coalesce(tr, 0) + 0.18 * coalesce(st, 0) + 0.08 * coalesce(lo_, 0) + 0.10 * n_valid / CAST(n_total AS DOUBLE) - 0.12 * (coalesce(mt, hi) - lo) / greatest(1e-9, hi - lo) - 0.10 * risk) END, 6) AS credit FROM (VALUES "
+        "SELECT f.family, coalesce(n_total, 0) AS n_total, coalesce(n_valid, 0) AS n_valid, round(CASE WHEN n_total IS NULL THEN 0.05 ELSE greatest(0.01, 0.42 * coalesce(sc, 0) + 0.22 * coalesce(tr, 0) + 0.18 * coalesce(st, 0) + 0.08 * coalesce(lo_, 0) + 0.10 * n_valid / CAST(n_total AS DOUBLE) - 0.12 * (coalesce(mt, hi) - lo) / greatest(1e-9, hi - lo) - 0.10 * risk) END, 9) AS credit FROM (VALUES "
         + ", ".join(f"('{f}')" for f in FAMILIES) + ") f(family) LEFT JOIN a USING (family)",
-    "policy_heldout": _R + f", fl AS (SELECT *, {_FLAGS} FROM ({_scores('stage', '(SELECT *, idx - 60 AS step FROM rec WHERE idx > 60)')})) SELECT * FROM (SELECT run_id, count(*) AS nodes, count(*) FILTER (WHERE valid) AS valid_nodes, round(CAST(max(rank_score) AS DOUBLE), 6) AS best_score, arg_max(step, (rank_score, -step)) AS best_step, count(*) FILTER (WHERE loose_like) AS loose FROM fl GROUP BY run_id) JOIN (" + _HITS("step", (1, 5)) + ") USING (run_id)",
+    "policy_heldout": _R + f", fl AS (SELECT *, {_FLAGS} FROM ({_scores('stage', '(SELECT *, idx - 60 AS step FROM rec WHERE idx > 60)')})) SELECT * FROM (SELECT run_id, count(*) AS nodes, count(*) FILTER (WHERE valid) AS valid_nodes, round(CAST(max(rank_score) AS DOUBLE), 9) AS best_score, arg_max(step, (rank_score, -step)) AS best_step, count(*) FILTER (WHERE loose_like) AS loose FROM fl GROUP BY run_id) JOIN (" + _HITS("step", (1, 5)) + ") USING (run_id)",
     "policy_unseen": _R + "SELECT candidate_id FROM (SELECT DISTINCT candidate_id, left(sha1(code), 16) AS h FROM candidate_programs WHERE code IS NOT NULL) WHERE h NOT IN (SELECT code_hash FROM rec WHERE code_hash IS NOT NULL)",
     "policy_bounds": _R + ", v AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY rank_score DESC, node_id) AS p FROM rec WHERE valid AND rank_score IS NOT NULL AND time_s IS NOT NULL), t AS (SELECT * FROM v WHERE p <= greatest(5, least(30, n))), "
-        "f AS (SELECT run_id, string_agg(family, ',' ORDER BY i) AS families FROM (SELECT run_id, family, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, min(p)) AS i FROM t GROUP BY run_id, family) WHERE i <= 5 GROUP BY run_id) SELECT run_id, max(n) AS n, count(*) AS top_n, round(greatest(0.05, 4 * quantile_cont(time_s, 0.5)), 6) AS runtime_cap, families FROM t JOIN f USING (run_id) GROUP BY run_id, families",
-    "policy_family_summary": _R + "SELECT family, count(*) AS candidates, round(avg(valid::INT), 6) AS valid_rate, round(avg(cnbi - 100) FILTER (WHERE valid), 6) AS mean_delta, round(max(cnbi - 100) FILTER (WHERE valid), 6) AS top_delta, round(avg(time_s) FILTER (WHERE valid), 6) AS mean_time_s, round(max(rank_score) FILTER (WHERE valid), 6) AS top_rank_score, round(avg(coalesce(contains(error, 'timeout'), false)::INT), 6) AS slow_pattern_rate FROM rec GROUP BY family",
-    "policy_experiment_summary": _M + ", a AS (SELECT *, row_number() OVER (PARTITION BY method_group ORDER BY valid DESC, coalesce(auc_cnbi, -1) DESC, dataset || '/' || method) AS p FROM m) SELECT method_group, count(*) AS candidates, round(avg(valid::INT), 6) AS valid_rate, round(avg((coalesce(time_s, 0) > 50)::INT), 6) AS slow_rate, round(avg(auc_cnbi) FILTER (WHERE valid), 6) AS mean_auc_cnbi, round(max(auc_cnbi) FILTER (WHERE valid), 6) AS best_auc_cnbi, round(avg(auc_cnbi) FILTER (WHERE valid AND p <= 5), 6) AS top5_auc_cnbi, round(avg(r) FILTER (WHERE valid), 6) AS mean_r, round(min(r) FILTER (WHERE valid), 6) AS best_r, round(avg(time_s) FILTER (WHERE valid), 6) AS mean_time_s, round(avg(time_s) FILTER (WHERE valid AND p <= 5), 6) AS top5_time_s, round(avg((source = 'rerun')::INT) FILTER (WHERE valid), 6) AS rerun_rate FROM a GROUP BY method_group",
+        "f AS (SELECT run_id, string_agg(family, ',' ORDER BY i) AS families FROM (SELECT run_id, family, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, min(p)) AS i FROM t GROUP BY run_id, family) WHERE i <= 5 GROUP BY run_id) SELECT run_id, max(n) AS n, count(*) AS top_n, round(greatest(0.05, 4 * quantile_cont(time_s, 0.5)), 9) AS runtime_cap, families FROM t JOIN f USING (run_id) GROUP BY run_id, families",
+    "policy_family_summary": _R + "SELECT family, count(*) AS candidates, round(avg(valid::INT), 9) AS valid_rate, round(avg(cnbi - 100) FILTER (WHERE valid), 9) AS mean_delta, round(max(cnbi - 100) FILTER (WHERE valid), 9) AS top_delta, round(avg(time_s) FILTER (WHERE valid), 9) AS mean_time_s, round(max(rank_score) FILTER (WHERE valid), 9) AS top_rank_score, round(avg(coalesce(contains(error, 'timeout'), false)::INT), 9) AS slow_pattern_rate FROM rec GROUP BY family",
+    "policy_experiment_summary": _M + ", a AS (SELECT *, row_number() OVER (PARTITION BY method_group ORDER BY valid DESC, coalesce(auc_cnbi, -1) DESC, dataset || '/' || method) AS p FROM m) SELECT method_group, count(*) AS candidates, round(avg(valid::INT), 9) AS valid_rate, round(avg((coalesce(time_s, 0) > 50)::INT), 9) AS slow_rate, round(avg(auc_cnbi) FILTER (WHERE valid), 9) AS mean_auc_cnbi, round(max(auc_cnbi) FILTER (WHERE valid), 9) AS best_auc_cnbi, round(avg(auc_cnbi) FILTER (WHERE valid AND p <= 5), 9) AS top5_auc_cnbi, round(avg(r) FILTER (WHERE valid), 9) AS mean_r, round(min(r) FILTER (WHERE valid), 9) AS best_r, round(avg(time_s) FILTER (WHERE valid), 9) AS mean_time_s, round(avg(time_s) FILTER (WHERE valid AND p <= 5), 9) AS top5_time_s, round(avg((source = 'rerun')::INT) FILTER (WHERE valid), 9) AS rerun_rate FROM a GROUP BY method_group",
     "policy_stage_progress": _R + 'SELECT family, count(*) AS rows, count(*) FILTER (WHERE valid) AS valid_rows, count(*) FILTER (WHERE contains(lower(error), \'timeout\')) AS timeouts, max(logged_at) AS latest FROM rec GROUP BY family',
     "table_method_means": _M + ", " + _MEANS + "SELECT method, datasets, round(mean_r, 8) AS mean_r, round(mean_auc_cnbi, 8) AS mean_auc_cnbi, round(mean_time_s, 8) AS mean_time_s, top1_auc, top3_auc, round(CAST(mean_rank_auc AS DOUBLE), 8) AS mean_rank_auc FROM means",
 }

@@ -16,9 +16,11 @@ def connect(folder: str = DATA):
 
 
 def text(v) -> str:
-    if isinstance(v, (list, str, bool)):
+    if type(v).__name__ in ("bool", "bool_"):
+        return repr(bool(v))
+    if isinstance(v, (list, str)):
         return repr(v)
-    if v is None or v is pd.NaT or v != v:
+    if v is None or v is pd.NaT or v is pd.NA or v != v:
         return "none"
     return repr(float(v)) if isinstance(v, (int, float)) or hasattr(v, "dtype") else repr(v)
 
