@@ -15,8 +15,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Share beyond which a page counts. Half of the characters is meant; list lines that cannot be told from sentences lower the measured share a little.
-SHARE = 0.45
+#: Share of a page's characters beyond which it counts.
+SHARE = 0.5
 
 # Frequent function words of the languages of the corpus, which keyword lists lack.
 FUNCTION_WORDS = frozenset(
@@ -60,6 +60,8 @@ def _words_kind(text: str) -> int:
     if not words:
         return DATA
     wide = sum(map(len, cjk))
+    if wide and text.rstrip()[-1] in "。！？" and len(fields) < 4:
+        return SENTENCE
     if wide * 2 > sum(map(len, words)):
         if _STOP.search(text):
             return SENTENCE
@@ -75,7 +77,7 @@ def _words_kind(text: str) -> int:
     if len(fields) >= 4 and n <= 5 * len(fields):
         if function * 8 <= n:
             return LIST
-    if (n >= 8 and function * 12 <= n or n >= 4 and not function) and not _STOP.search(text.rstrip(" .!")):
+    if (n >= 8 and function * 12 <= n or n >= 4 and not function) and not _STOP.search(text.rstrip(" .!?。！？")):
         return LIST  # words without grammar
     if function or _STOP.search(text) or n > 7:
         return SENTENCE
