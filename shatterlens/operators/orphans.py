@@ -27,11 +27,13 @@ def resolve_references(refs: DataFrame, ref_keys: Sequence[str], targets: DataFr
     Targets may repeat; of equal keys the one with the greatest ``carry`` counts. Under ``partial``
     a key of NULLs only counts as found. ``carry`` columns are NULL where nothing was looked up.
     ``refs`` should be a stored table, as it is read once per mask that occurs (at most 2^keys).
-    Empty inputs give empty results; other columns pass through, also when a target has the same.
+    Empty inputs give empty results; other columns pass through, also when a target has the same,
+    but a reference's own ``_hit`` and columns named as in ``carry`` give way to those of the lookup.
     """
     if match not in MATCHES:
         raise ValueError(f"match must be one of {MATCHES}")
     n = len(ref_keys)
+    kept = [c for c in refs.columns if c not in ("_hit", *carry)]
     mask = F.lit(0)
     for i, k in enumerate(ref_keys):
         mask = mask + F.when(F.col(k).isNull(), F.lit(1 << i)).otherwise(0)
@@ -42,12 +44,12 @@ def resolve_references(refs: DataFrame, ref_keys: Sequence[str], targets: DataFr
     parts = []
     for row in sorted(counted, key=lambda r: r["_mask"]) or [None]:
         bits, total = (row["_mask"], row["_n"]) if row else (0, 0)
-        own = refs.where(mask == bits)
+        own = refs.where(mask == bits).select(F.struct(*kept).alias("_ref"), *[F.col(k).alias(t) for k, t in zip(ref_keys, tkeys)])
         null = [i for i in range(n) if bits >> i & 1]
         live = [i for i in range(n) if not bits >> i & 1]
         if null and match in ("simple", "full") or not live and match == "partial":
             found = match != "full" or not live
-            parts.append(own.select("*", F.lit(found).alias("_hit"), *none))
+            parts.append(own.select("_ref.*", F.lit(found).alias("_hit"), *none))
             continue
         side = slim.where(F.lit(True) if not live else ~F.greatest(*[F.col(tkeys[i]).isNull() for i in live], F.lit(False)))
         if match == "as_stored":
@@ -57,12 +59,10 @@ def resolve_references(refs: DataFrame, ref_keys: Sequence[str], targets: DataFr
         if not on:  # all NULL, as stored: at most one target
             side = side.withColumn("_all", F.lit(0))
             on, own = ["_all"], own.withColumn("_all", F.lit(0))
-        else:
-            own = own.withColumns({tkeys[i]: F.col(ref_keys[i]) for i in live})
         one = F.max(F.struct(*[f"_c{i}" for i in range(len(carry))], F.lit(1).alias("_one"))).alias("_t")
         side = side.groupBy(*on).agg(one)
-        joined = lookup_join(own, side, on, total, **hot)
-        parts.append(joined.select(*[F.col(c) for c in refs.columns], F.col("_t").isNotNull().alias("_hit"), *[F.col(f"_t._c{i}").alias(c) for i, c in enumerate(carry)]))
+        joined = lookup_join(own.select("_ref", *on), side, on, total, **hot)
+        parts.append(joined.select("_ref.*", F.col("_t").isNotNull().alias("_hit"), *[F.col(f"_t._c{i}").alias(c) for i, c in enumerate(carry)]))
     out = parts[0]
     for p in parts[1:]:
         out = out.union(p)

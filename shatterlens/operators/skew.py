@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from shatterlens.functions.names import fresh
+
 #: A key is hot if it holds at least this share of the rows, so there are at most 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
 #: Below this many rows a key is never hot: one task takes it easily.
@@ -16,7 +18,8 @@ def hot_keys(df: DataFrame, keys: list[str], total: int, share: float = HOT_SHAR
     The count combines on the map side, so a hot key costs one row per input partition.
     """
     floor = max(int(total * share), least)
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= floor).select(*keys)
+    (n,) = fresh(keys, "_n")
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)).where(F.col(n) >= floor).select(*keys)
 
 
 def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], total: int, *, share: float = HOT_SHARE, least: int = HOT_ROWS) -> DataFrame:
@@ -31,9 +34,9 @@ def lookup_join(left: DataFrame, right: DataFrame, keys: list[str], total: int,
     hot = hot_keys(left.dropna(subset=keys), keys, total, share, least)
     if hot.isEmpty():
         return left.join(right, keys, "left")
-    hot = hot.withColumn("_hot", F.lit(True))
-    marked = left.join(F.broadcast(hot), keys, "left")
-    hot_side = right.join(F.broadcast(hot.drop("_hot")), keys, "left_semi")
-    few = marked.where(F.col("_hot")).join(F.broadcast(hot_side), keys, "left")
-    rest = marked.where(F.col("_hot").isNull()).join(right, keys, "left")
-    return few.unionByName(rest).drop("_hot")
+    (mark,) = fresh([*left.columns, *right.columns], "_hot")
+    marked = left.join(F.broadcast(hot.withColumn(mark, F.lit(True))), keys, "left")
+    hot_side = right.join(F.broadcast(hot), keys, "left_semi")
+    few = marked.where(F.col(mark)).drop(mark).join(F.broadcast(hot_side), keys, "left")
+    rest = marked.where(F.col(mark).isNull()).drop(mark).join(right, keys, "left")
+    return few.unionByName(rest)

@@ -64,3 +64,10 @@ def test_empty(spark):
 def test_paths(spark):
     got = spark.createDataFrame([(".\\a\\\\b",), ("././a",), ("/a",)], "p string").select(plain_path(F.col("p"))).collect()
     assert [r[0] for r in got] == ["a/b", "./a", "/a"]
+
+
+def test_clashing_names(spark):
+    refs = spark.createDataFrame([(1, "a", "x", "y", "z", "w", "v")], "id int, _k0 string, _hit string, _t string, _hot string, _ref string, _c0 string")
+    targets = spark.createDataFrame([("a", 7)], "_k0 string, _c0 int")
+    row = resolve_references(refs, ["_k0"], targets, ["_k0"], ["_c0"]).first()
+    assert row._hit is True and row._c0 == 7 and (row._t, row._hot, row._ref) == ("y", "z", "w")
