@@ -92,6 +92,7 @@ def mix_sources(sizes: DataFrame, targets: DataFrame, seed: int = 17, bucket_row
     sources, are not drawn; repeated rows are drawn separately. Empty tables give no rows.
     """
     scratch = Scratch(sizes.sparkSession)
+    sizes = sizes.select("id", "source", "n_tokens")
     due = scratch.save(source_targets(sizes, targets).where(F.col("copies") > 0).select("source", F.col("copies").alias("_due")), "due")
     small = due.count() <= BROADCAST_SOURCES
     rows = sizes.where((F.col("n_tokens") > 0) & F.col("source").isNotNull()).join(F.broadcast(due) if small else due, "source")

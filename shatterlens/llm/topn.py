@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shatterlens.functions.names import fresh
 from shatterlens.scratch import Scratch
 
 #: Equal-width score bins of the histograms.
@@ -18,7 +19,8 @@ def top_n_per_group(items: DataFrame, group: str, score: str, n: int, ties: Sequ
     """The ``n`` rows of greatest ``score`` of each group with their ``place`` from 1 on.
 
     Rows with a NULL group, or a NULL or NaN score, take no part. Equal scores are ordered by
-    ``ties``; rows equal there too are taken as equal. Infinite scores count as they compare.
+    ``ties``; rows equal there too are taken as equal. Infinite scores count as they compare. Other
+    columns pass through; one named as ``place`` gives way to it. An empty table gives no rows.
 
     1. Histograms: rows are counted per (group, score bin), combined before the shuffle. The
        threshold of a group is the highest bin at or above which it has ``n`` rows, so at least
@@ -30,26 +32,28 @@ def top_n_per_group(items: DataFrame, group: str, score: str, n: int, ties: Sequ
        before it shuffles, so even a group whose rows all tie never meets in one task.
     """
     scratch = Scratch(items.sparkSession)
+    bin_, n_, cum, least, size, lowest, cold_least = fresh([*items.columns, place], "_bin", "_n", "_cum", "_least", "_size", "_lowest", "_least_cold")
     items = items.where(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
     rows = scratch.save(items, "items")
     finite = F.when(F.abs(F.col(score)) < float("inf"), F.col(score))
     lo, hi, total = rows.agg(F.min(finite), F.max(finite), F.count(F.lit(1))).first()
     width = ((hi - lo) / bins if lo is not None else 0) or 1.0
     at = F.when(F.col(score) == float("inf"), bins).when(F.col(score) == float("-inf"), -1)
-    rows = rows.withColumn("_bin", at.otherwise(F.least(F.floor((F.col(score) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))).cast("int"))
+    rows = rows.withColumn(bin_, at.otherwise(F.least(F.floor((F.col(score) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))).cast("int"))
 
-    histogram = rows.groupBy(group, "_bin").agg(F.count(F.lit(1)).alias("_n"))
-    downward = Window.partitionBy(group).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, 0)
-    reached = histogram.withColumn("_cum", F.sum("_n").over(downward))
-    thresholds = reached.groupBy(group).agg(F.max(F.when(F.col("_cum") >= n, F.col("_bin"))).alias("_least"), F.max("_cum").alias("_size"), F.min("_bin").alias("_lowest"))
-    thresholds = scratch.save(thresholds.where(F.col("_least") > F.col("_lowest")).select(group, "_least", "_size"), "thresholds")
+    histogram = rows.groupBy(group, bin_).agg(F.count(F.lit(1)).alias(n_))
+    downward = Window.partitionBy(group).orderBy(F.desc(bin_)).rowsBetween(Window.unboundedPreceding, 0)
+    reached = histogram.withColumn(cum, F.sum(n_).over(downward))
+    thresholds = reached.groupBy(group).agg(F.max(F.when(F.col(cum) >= n, F.col(bin_))).alias(least), F.max(cum).alias(size), F.min(bin_).alias(lowest))
+    thresholds = scratch.save(thresholds.where(F.col(least) > F.col(lowest)).select(group, least, size), "thresholds")
 
-    hot = thresholds.where(F.col("_size") > F.lit(total * hot_share)).select(group, "_least")
-    cold = thresholds.where(F.col("_size") <= F.lit(total * hot_share)).select(group, F.col("_least").alias("_least_cold"))
+    large = F.col(size) > F.lit(total * hot_share)
+    hot = thresholds.where(large).select(group, least)
+    cold = thresholds.where(~large).select(group, F.col(least).alias(cold_least))
     marked = rows.join(F.broadcast(hot), group, "left")
-    of_hot = marked.where(F.col("_bin") >= F.col("_least")).drop("_least", "_bin")
-    of_rest = marked.where(F.col("_least").isNull()).drop("_least").join(cold.hint("shuffle_hash"), group, "left")
-    of_rest = of_rest.where(F.col("_least_cold").isNull() | (F.col("_bin") >= F.col("_least_cold"))).drop("_least_cold", "_bin")
+    of_hot = marked.where(F.col(bin_) >= F.col(least)).drop(least, bin_)
+    of_rest = marked.where(F.col(least).isNull()).drop(least).join(cold.hint("shuffle_hash"), group, "left")
+    of_rest = of_rest.where(F.col(cold_least).isNull() | (F.col(bin_) >= F.col(cold_least))).drop(cold_least, bin_)
     order = Window.partitionBy(group).orderBy(F.desc(score), *ties)
     ranked = lambda part: part.withColumn(place, F.row_number().over(order)).where(F.col(place) <= n)
     return ranked(of_hot).unionByName(ranked(of_rest))

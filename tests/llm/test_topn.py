@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shatterlens.llm.topn import top_n_per_group
 
-SCHEMA = "g string, score double, k int, place string, _bin string"
+SCHEMA = "g string, score double, k int, place string, _bin string, _least string, _N string"
 
 
 def want(rows, n):
@@ -20,14 +20,15 @@ def want(rows, n):
 def test_equals_sorting(spark, hot_share):
     rng = random.Random(5)
     score = lambda: rng.choice([None, float("nan"), float("inf"), float("-inf"), 0.5, rng.random(), rng.gauss(0, 100)])
-    rows = [(rng.choice([None, "hot", "hot", f"g{rng.randint(0, 60)}"]), score(), i, "x", "y") for i in range(2000)]
-    df = spark.createDataFrame(rows, SCHEMA).select("g", "score", "k")
+    rows = [(rng.choice([None, "hot", "hot", f"g{rng.randint(0, 60)}"]), score(), i, "x", "y", "z", "w") for i in range(2000)]
+    df = spark.createDataFrame(rows, SCHEMA)
     got = top_n_per_group(df, "g", "score", 6, [F.asc("k")], bins=32, hot_share=hot_share)
     assert sorted((r.g, r.place, r.k) for r in got.collect()) == want(rows, 6)
+    assert {(r._bin, r._least, r._N) for r in got.collect()} == {("y", "z", "w")}
 
 
 def test_one_score_only_and_extra_columns(spark):
-    df = spark.createDataFrame([("a", 1.0, i, "p", "b") for i in range(50)], SCHEMA).withColumnRenamed("place", "other")
+    df = spark.createDataFrame([("a", 1.0, i, "p", "b", "", "") for i in range(50)], SCHEMA).withColumnRenamed("place", "other")
     got = top_n_per_group(df, "g", "score", 3, [F.asc("k")]).orderBy("k").collect()
     assert [(r.k, r.place, r.other) for r in got] == [(0, 1, "p"), (1, 2, "p"), (2, 3, "p")]
 
