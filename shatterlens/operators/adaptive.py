@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import heapq
 import math
+import signal
 import time
 from collections import deque
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -525,16 +527,34 @@ def register(name: str, kernel: Callable[[Graph, int], list[int]]) -> None:
     METHODS[name] = kernel
 
 
+@contextmanager
+def deadline(seconds: float | None) -> Iterator[None]:
+    """Raise TimeoutError in the block after so many seconds; None for no limit."""
+
+    def stop(*_):
+        raise TimeoutError(f"after {seconds:g} s")
+
+    if seconds:
+        before = signal.signal(signal.SIGALRM, stop)
+        signal.setitimer(signal.ITIMER_REAL, seconds)
+    try:
+        yield
+    finally:
+        if seconds:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, before)
+
+
 def _arrange(pdf: pd.DataFrame) -> Graph:
     nodes = pdf[pdf["v"].isna()].sort_values("ord")
     edges = pdf[pdf["v"].notna()].sort_values(["ord", "u", "v"])
     return Graph(nodes["u"], zip(edges["u"], edges["v"].astype("int64")))
 
 
-def adaptive_orders(edges: DataFrame, nodes: DataFrame, methods: dict[str, Callable[[Graph, int], list[int]]], rate: float | None, timed: bool = False) -> DataFrame:
+def adaptive_orders(edges: DataFrame, nodes: DataFrame, methods: dict[str, Callable[[Graph, int], list[int]]], rate: float | None, timed: bool = False, limit_s: float | None = None) -> DataFrame:
     """(graph, method, step, node[, seconds, error]) of each method on each graph; one task per pair.
 
-    A method that fails gives one row with step 0 and its error, if ``timed``; else it raises.
+    A method that fails, or takes more than ``limit_s``, gives one row with step 0 and its error, if ``timed``; else it raises.
     Nodes that a method leaves out follow in ``ord``; unknown and repeated ones are dropped.
     ``seconds`` is the time of the order alone.
     """
@@ -544,7 +564,8 @@ def adaptive_orders(edges: DataFrame, nodes: DataFrame, methods: dict[str, Calla
         g = _arrange(pdf)
         started, error = time.perf_counter(), None
         try:
-            chosen = methods[method](g, budget_of(len(g), rate))
+            with deadline(limit_s):
+                chosen = methods[method](g, budget_of(len(g), rate))
         except Exception as e:  # the row says so
             if not timed:
                 raise

@@ -6,16 +6,17 @@ method. Nodes without an edge are scored 0.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from shatterlens.operators.topology import adjacency, clustering, common_neighbours, degrees, sphere
+from shatterlens.operators.windows import numbered
 
 
 def score_order(nodes: DataFrame, scores: DataFrame, method: str, ties: list[Column] | None = None) -> DataFrame:
     """Order by scores(graph, node, score) downwards, ties by smallest node unless given; unscored nodes follow in ``ord``."""
     joined = nodes.join(scores, ["graph", "node"], "left")
-    by = Window.partitionBy("graph").orderBy(F.col("score").isNull(), F.desc("score"), *(ties or [F.asc("node")]), F.asc("ord"))
-    return joined.select("graph", F.lit(method).alias("method"), F.row_number().over(by).alias("step"), "node")
+    by = [F.col("score").isNull().asc(), F.desc("score"), *(ties or [F.asc("node")]), F.asc("ord")]
+    return numbered(joined, ["graph"], by, "step").select("graph", F.lit(method).alias("method"), "step", "node")
 
 
 def complete_order(nodes: DataFrame, order: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def complete_order(nodes: DataFrame, order: DataFrame) -> DataFrame:
     methods = order.select("graph", "method").distinct()
     missing = nodes.join(methods, "graph").join(first, ["graph", "method", "node"], "left_anti")
     both = first.select("graph", "method", "node", F.lit(0).alias("late"), F.col("at").cast("long").alias("at")).unionByName(missing.select("graph", "method", "node", F.lit(1).alias("late"), F.col("ord").cast("long").alias("at")))
-    return both.select("graph", "method", F.row_number().over(Window.partitionBy("graph", "method").orderBy("late", "at")).alias("step"), "node")
+    return numbered(both, ["graph", "method"], [F.asc("late"), F.asc("at"), F.asc("node")], "step").select("graph", "method", "step", "node")
 
 
 def budget(n: Column, rate: Column | float) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
@@ -102,3 +102,34 @@ def graph_stats(edges: DataFrame) -> DataFrame:
     c = clustering(edges).groupBy("graph").agg(F.count(F.lit(1)).alias("nodes"), F.avg("clustering").alias("mean_clustering"))
     m = edges.groupBy("graph").agg(F.count(F.lit(1)).alias("edges"))
     return c.join(m, "graph").select("graph", "nodes", "edges", (2.0 * F.col("edges") / F.col("nodes")).alias("mean_degree"), "mean_clustering")
+
+
+def component_sizes(members: DataFrame) -> DataFrame:
+    """(graph, component, size) of members(graph, node, component)."""
+    return members.groupBy("graph", "component").agg(F.count(F.lit(1)).alias("size"))
+
+
+def largest_component(members: DataFrame) -> DataFrame:
+    """(graph, node) of each graph's largest component; of equal ones the one with the larger least node."""
+    best = component_sizes(members).groupBy("graph").agg(F.max_by("component", F.struct("size", "component")).alias("component"))
+    return members.join(best, ["graph", "component"]).select("graph", "node")
+
+
+def relabelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges over 0, 1, ... in the order of ``ord`` of nodes(graph, node, ord)."""
+    at = lambda c, n: nodes.select("graph", F.col("node").alias(c), (F.col("ord") - 1).cast("bigint").alias(n))
+    both = edges.join(at("u", "a"), ["graph", "u"]).join(at("v", "b"), ["graph", "v"])
+    return both.select("graph", F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+
+
+def chained(members: DataFrame) -> DataFrame:
+    """Edges (graph, u, v) that join each component's least node to that of the next one."""
+    firsts = members.select("graph", "component").distinct()
+    after = F.lead("component").over(Window.partitionBy("graph").orderBy("component"))
+    return firsts.select("graph", F.col("component").alias("u"), after.alias("v")).where(F.col("v").isNotNull())
+
+
+def sampled_edges(edges: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` edges of each graph, drawn evenly by a seeded hash: a sampling operator, for drawings."""
+    drawn = F.row_number().over(Window.partitionBy("graph").orderBy(F.xxhash64("u", "v", F.lit(seed)), "u", "v"))
+    return edges.withColumn("_n", drawn).where(F.col("_n") <= most).drop("_n")

@@ -272,7 +272,50 @@ def order_timed(spark, d):
     return timed.groupBy("graph", "method").agg(F.max("step").alias("steps"), F.max("error").alias("error"))
 
 
+def _members(edges):
+    found = connected_components(edges, "u", "v")
+    return found.select(F.lit("supply").alias("graph"), "node", "component")
+
+
+def graph_largest_component(spark, d):
+    """The largest component, relabelled from 0 in the order of its nodes."""
+    edges = stored(graphs.customer_supplier(spark, d))
+    kept = tp.induced(edges, tp.largest_component(_members(edges)))
+    return tp.relabelled(kept, graphs.nodes_of(kept))
+
+
+def graph_chain(spark, d):
+    """Edges that would join the components one after the other."""
+    return tp.chained(_members(small_edges(spark, d)))
+
+
+def graph_edge_sample(spark, d):
+    """At most 1600 edges of each graph; a sampling operator."""
+    return tp.sampled_edges(_all_edges(spark, d), 1600).groupBy("graph").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def study_validation(spark, d):
+    """Methods over graphs, one of which fails: means and gate."""
+    from shatterlens.plans import studies
+
+    edges, nodes, _ = _adaptive(spark, d)
+    methods = {k: adaptive.METHODS[k] for k in ("hda_original", "corehd_fast", "decycling")} | {"broken": lambda g, k: [len(g) // 0]}
+    refs = spark.createDataFrame([("q", 0.5, 0.9, None)], "label string, ref_auc_cnbi double, ref_r double, ref_time_s double")
+    _, means, gated = studies.validation(edges, nodes, methods, RATE, refs)
+    return rounded(means.drop("mean_time_s").join(gated.select("method", "passes"), "method"))
+
+
+def study_search(spark, d):
+    """A short search over score blends on trading nations."""
+    from shatterlens.plans import studies
+
+    edges = stored(graphs.nation_trade(spark, d))
+    found = studies.search(edges, graphs.nodes_of(edges), rounds=2, width=3)
+    return spark.createDataFrame(found[["node_id", "parent_id", "r", "cnbi", "score", "valid"]], "node_id string, parent_id string, r double, cnbi double, score double, valid boolean")
+
+
 _plain = [
+    graph_largest_component, graph_chain, graph_edge_sample, study_validation, study_search,
     graph_sizes, graph_degree, graph_degree_histogram, graph_triangles, graph_clustering, graph_common_neighbours, graph_local_bridges, graph_sphere, graph_stats, graph_components,
     graph_residual, graph_user_successors, graph_core_numbers, graph_communities, order_degree, order_core, order_betweenness, order_adaptive, order_proxies, order_highest_degree,
     order_completed, order_timed, curve_states, curve_metrics, curve_running, curve_summary, curve_advantage, curve_residual_means, curve_paper_variant, curve_value_at, curve_forest,
@@ -363,6 +406,9 @@ ORACLES = {
     "graph_sphere": _over(_TRADE, _SMALL) + "SELECT graph, node, count(*) AS at_two FROM two GROUP BY ALL",
     "graph_stats": _LOCAL + _CLU + "SELECT graph, nodes, edges, round(2.0 * edges / nodes, 6) AS mean_degree, round(mean_clustering, 6) AS mean_clustering FROM (SELECT graph, count(*) AS nodes, avg(CAST(clustering AS DOUBLE)) AS mean_clustering FROM clu GROUP BY graph) JOIN (SELECT graph, count(*) AS edges FROM edges GROUP BY graph) USING (graph)",
     "graph_components": _over(_SUPPLY) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst) SELECT node, min(label) AS component FROM lab GROUP BY node",
+    "graph_largest_component": _over(_SUPPLY) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst), c AS (SELECT node, min(label) AS label FROM lab GROUP BY node), b AS (SELECT arg_max(label, (size, label)) AS label FROM (SELECT label, count(*) AS size FROM c GROUP BY label)), n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM c WHERE label = (SELECT label FROM b)) SELECT e.graph, least(x.i, y.i) AS u, greatest(x.i, y.i) AS v FROM edges e JOIN n x ON x.node = e.u JOIN n y ON y.node = e.v",
+    "graph_chain": _over(_SMALL) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst), c AS (SELECT DISTINCT label FROM (SELECT node, min(label) AS label FROM lab GROUP BY node)) SELECT * FROM (SELECT 'supply' AS graph, label AS u, lead(label) OVER (ORDER BY label) AS v FROM c) WHERE v IS NOT NULL",
+    "graph_edge_sample": _ALL + "SELECT graph, least(1600, count(*)) AS edges FROM edges GROUP BY graph",
     "graph_residual": _ON_SMALL + f", o AS ({_DEGREE_ORDER}), gone AS (SELECT node FROM o WHERE step <= (SELECT greatest(1, least(count(*), round_even(CAST(count(*) AS DOUBLE) * 0.3, 0))) FROM deg)) SELECT graph, u, v FROM edges WHERE u NOT IN (SELECT node FROM gone) AND v NOT IN (SELECT node FROM gone)",
     "graph_user_successors": "SELECT event_id, coalesce(lead(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id), -1) AS next_event_id FROM events",
     "order_degree": _ALL + _DEGREE_ORDER,

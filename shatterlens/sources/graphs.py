@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from shatterlens.operators.windows import numbered
 from shatterlens.sources.tables import table
 
 
@@ -24,7 +25,7 @@ def simple_edges(pairs: DataFrame) -> DataFrame:
 def nodes_of(edges: DataFrame) -> DataFrame:
     """nodes(graph, node, ord) in ascending order of the node."""
     ends = edges.select("graph", F.col("u").alias("node")).unionByName(edges.select("graph", F.col("v").alias("node"))).distinct()
-    return ends.withColumn("ord", F.row_number().over(Window.partitionBy("graph").orderBy("node")))
+    return numbered(ends, ["graph"], [F.asc("node")], "ord")
 
 
 def read_edge_list(spark: SparkSession, path: str, graph: str, keep_loops: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -40,7 +41,7 @@ def read_edge_list(spark: SparkSession, path: str, graph: str, keep_loops: bool
         pairs = pairs.where(F.col("u") != F.col("v"))
     ends = pairs.select("graph", "line", F.inline(F.array(F.struct(F.lit(0).alias("side"), F.col("u").alias("node")), F.struct(F.lit(1).alias("side"), F.col("v").alias("node")))))
     first = ends.groupBy("graph", "node").agg(F.min(F.struct("line", "side")).alias("at"))
-    nodes = first.select("graph", "node", F.row_number().over(Window.partitionBy("graph").orderBy("at")).alias("ord"))
+    nodes = numbered(first, ["graph"], [F.asc("at")], "ord").select("graph", "node", "ord")
     return simple_edges(pairs), nodes
 
 

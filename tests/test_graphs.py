@@ -249,6 +249,50 @@ def test_failing_method_gives_a_row(smoke):
     assert [r.node for r in sorted((r for r in rows if r.method == "good"), key=lambda r: r.step)] == [3, *[i for i in range(12) if i != 3]]
 
 
+def test_slow_method_is_stopped(smoke):
+    import time
+
+    edges, nodes = smoke
+    rows = adaptive.adaptive_orders(edges, nodes, {"slow": lambda g, k: time.sleep(20) or [], "fast": lambda g, k: []}, 0.3, timed=True, limit_s=0.5).collect()
+    assert [r.error for r in rows if r.method == "slow"] == ["TimeoutError: after 0.5 s"] and sum(r.method == "fast" for r in rows) == 12
+
+
+def test_validation_reuses_orders(smoke, spark):
+    from shatterlens.plans import studies
+
+    edges, nodes = smoke
+    refs = spark.createDataFrame([("q", 1.0, 0.5, None), ("s", 9.0, None, None)], "label string, ref_auc_cnbi double, ref_r double, ref_time_s double")
+    methods = {k: adaptive.METHODS[k] for k in ("hda_original", "hda_fast")}
+    table, means, gated = studies.validation(edges, nodes, methods | {"broken": lambda g, k: 1 / 0}, 0.3, refs)
+    rows = {r.method: r for r in table.collect()}
+    assert not rows["broken"].valid and rows["broken"].r is None and rows["broken"].rank_r is None
+    assert rows["hda_original"].rank_auc_cnbi == 1 and rows["hda_original"].auc_cnbi == pytest.approx(GOLDEN["hda_original"][2], abs=1e-6)
+    assert {r.method for r in means.collect()} == set(methods)
+    assert {(r.method, r.label) for r in gated.where("passes").collect()} == {("hda_original", "q")}
+    known = studies.all_orders(edges, nodes, {"hda_fast": lambda g, k: [0, 1]}, 0.3).cache()
+    both = studies.all_orders(edges, nodes, methods, 0.3, known)
+    first = {r.method: r.node for r in both.where("step = 1").collect()}
+    assert first == {"hda_fast": 0, "hda_original": 2}
+
+
+def test_search_is_reproducible(smoke):
+    from shatterlens.plans import studies
+
+    edges, nodes = smoke
+    a, b = (studies.search(edges, nodes, rounds=1, width=2, seed=5) for _ in range(2))
+    columns = ["node_id", "parent_id", "r", "cnbi", "score"]
+    assert a[columns].equals(b[columns]) and len(a) == 4 and set(a["parent_id"].dropna()) <= {"root", "reference"}
+
+
+def test_component_tools(spark):
+    members = spark.createDataFrame([("g", 1, 1), ("g", 2, 1), ("g", 5, 5), ("g", 6, 5), ("g", 9, 9)], "graph string, node bigint, component bigint")
+    assert {r.node for r in tp.largest_component(members).collect()} == {5, 6}
+    assert {(r.u, r.v) for r in tp.chained(members).collect()} == {(1, 5), (5, 9)}
+    edges = graphs.graph_frame(spark, {"g": np.array([(5, 6), (6, 9)])})
+    assert {(r.u, r.v) for r in tp.relabelled(edges, graphs.nodes_of(edges)).collect()} == {(0, 1), (1, 2)}
+    assert tp.sampled_edges(edges, 1).count() == 1 and tp.sampled_edges(edges, 9).count() == 2
+
+
 def test_generators_and_proxies(spark):
     pairs = graphs.power_law_pairs(500)
     assert len(set(graphs._labels(500, pairs))) == 1 and pairs.max() == 499 and (pairs[:, 0] != pairs[:, 1]).all()

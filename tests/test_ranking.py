@@ -12,7 +12,7 @@ from shatterlens.operators import adaptive, policies as po, publishing as pb, ra
 from shatterlens.operators.components import connected_components
 from shatterlens.operators.records import current_rows
 from shatterlens.operators.skew import lookup_join
-from shatterlens.operators.windows import average_rank, global_average_rank, running_sum
+from shatterlens.operators.windows import average_rank, global_average_rank, numbered, running_sum
 
 
 def test_average_rank_and_nulls(spark):
@@ -34,6 +34,16 @@ def test_running_sum_over_many_tasks(spark):
     assert running_sum(df.limit(0), ["k"], ["id"], "x", "s").count() == 0
 
 
+@pytest.mark.parametrize("plain_rows", [0, 10, 10_000])
+def test_numbering(spark, plain_rows):
+    df = spark.range(300).select((F.col("id") % 2).alias("k"), (F.col("id") * 17 % 101).alias("x"), "id", F.lit("z").alias("_part"))
+    got = {r.id: r.n for r in numbered(df, ["k"], [F.desc("x"), F.asc("id")], "n", plain_rows).collect()}
+    for k in (0, 1):
+        own = sorted((i for i in range(300) if i % 2 == k), key=lambda i: (-(i * 17 % 101), i))
+        assert [got[i] for i in own] == list(range(1, 151))
+    assert numbered(df.limit(0), ["k"], [F.asc("id")], "n", plain_rows).count() == 0
+
+
 def test_pareto_is_what_it_says_and_idempotent(spark):
     rng = random.Random(1)
     rows = [(rng.choice("ab"), rng.choice([None, float("nan"), round(rng.random(), 1)]), round(rng.random(), 1), round(rng.random(), 1), rng.random() < 0.9, i) for i in range(400)]
