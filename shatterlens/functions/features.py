@@ -27,16 +27,16 @@ MAIN_CALLS = {"frontier": 1, "two_hop": 2, "boundary": 2}
 SIGNATURE = ("degree_backbone", "frontier", "weak_tie", "two_hop", "boundary", "redundancy", "phase", "heap_update")
 # Regular expressions of the learned families' flags.
 LEARNED_PATTERNS = {
-    "heap_lazy_update": r"heapq|heappush|heappop|version|stamp|push\(",
-    "neighbor_degree": r"deg\.get\(v|h\.degree\(v|degree\(v|neighbor.*degree|neigh[_a-z]*sum|nn_sum|avg_nb|nbr[_a-z]*deg|avg_nd|sum_nd",
-    "two_hop_exposure": r"two[_ -]?hop|second[_a-z]*|neighbors\(w\)|for z in .*neighbors\(w\)|affected\.update|ex_sum|exposure|low2|s2",
-    "bridge_cut_signal": r"bridge|bridge_pressure|cut|split|frontier|outside|external|escape|broker|articulation|leaf_cnt|low2_cnt",
-    "redundancy_penalty": r"tri|cluster|redundan|internal_edges|has_edge",
-    "component_refresh": r"connected_components|component|comp_size|gcc|largest",
-    "core_signal": r"core_number|kcore|k_core|\bcore\b",
-    "global_expensive": r"betweenness|shortest_path|all_pairs|eigen|pagerank|community|spectral",
-    "full_recompute_loop": r"while .*number_of_nodes|max\(h\.nodes|for u in h\.nodes\(\)",
-}
+    "heap_lazy_update": (r"heapq", r"heappush", r"heappop", r"version", r"stamp", r"push\("),
+    "neighbor_degree": (r"deg\.get\(v", r"h\.degree\(v", r"degree\(v", r"neighbor.*degree", r"neigh[_a-z]*sum", r"nn_sum", r"avg_nb", r"nbr[_a-z]*deg", r"avg_nd", r"sum_nd"),
+    "two_hop_exposure": (r"two[_ -]?hop", r"second[_a-z]*", r"neighbors\(w\)", r"for z in .*neighbors\(w\)", r"affected\.update", r"ex_sum", r"exposure", r"low2", r"s2"),
+    "bridge_cut_signal": (r"bridge", r"bridge_pressure", r"cut", r"split", r"frontier", r"outside", r"external", r"escape", r"broker", r"articulation", r"leaf_cnt", r"low2_cnt"),
+    "redundancy_penalty": (r"tri", r"cluster", r"redundan", r"internal_edges", r"has_edge"),
+    "component_refresh": (r"connected_components", r"component", r"comp_size", r"gcc", r"largest"),
+    "core_signal": (r"core_number", r"kcore", r"k_core", r"\bcore\b"),
+    "global_expensive": (r"betweenness", r"shortest_path", r"all_pairs", r"eigen", r"pagerank", r"community", r"spectral"),
+    "full_recompute_loop": (r"while .*number_of_nodes", r"max\(h\.nodes", r"for u in h\.nodes\(\)"),
+}
 FAMILIES = ("local_twohop_bridge", "local_twohop_neighbor", "bridge_core", "core_neighbor", "simple_degree", "component_heavy", "global_expensive")
 
 
@@ -81,7 +81,7 @@ def map_bin(code: Column) -> Column:
 
 def learned_flags(code: Column) -> dict[str, Column]:
     text = F.lower(F.coalesce(code, F.lit("")))
-    return {k: text.rlike(p) for k, p in LEARNED_PATTERNS.items()}
+    return {k: text.rlike("|".join(p)) for k, p in LEARNED_PATTERNS.items()}
 
 
 def learned_family(f: dict[str, Column]) -> Column:

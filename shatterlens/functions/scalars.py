@@ -56,10 +56,9 @@ def slug(text: Column, allowed: str = "A-Za-z0-9_.-", joint: str = "_") -> Colum
 
 
 def measure(text: Column) -> Column:
-    """Number of a cell: thousands commas, *, %, x, s and h are dropped; words for nothing are NULL."""
-    bare = F.lower(F.regexp_replace(F.trim(text), r"[*`,]", ""))
-    number = F.regexp_replace(bare, r"\s*(%|x|×|s|h|sec|seconds|hours)$", "")
-    return F.when(~bare.isin("", "-", "--", "n/a", "na", "nan", "none", "timeout", "incomplete"), number.try_cast("double"))
+    """Number of a cell without its marks and units (*, %, s, h); words for nothing, and other text, are NULL."""
+    bare = F.trim(F.regexp_replace(text, r"\*", ""))
+    return F.when(~bare.isin("", "-", "incomplete", "timeout guard"), F.trim(F.regexp_replace(bare, "[%sh]", "")).try_cast("double"))
 
 
 def percent_label(share: Column, digits: int = 1) -> Column:
@@ -86,11 +85,13 @@ def json_object(text: Column) -> Column:
     return F.when(found != "", found)
 
 
-def fenced_code(text: Column) -> Column:
-    """The first fenced block, or the whole trimmed text."""
-    block = F.regexp_extract(text, r"(?s)```[\w+-]*[ \t]*\r?\n(.*?)```", 1)
+def fenced_code(text: Column, marker: str = "def degree_order") -> Column:
+    """The first fenced block with ``marker``, else the text from the marker on, else the whole text; without blank ends."""
     bare = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when(block != "", bare(block)).otherwise(bare(text))
+    blocks = F.regexp_extract_all(text, F.lit(r"(?is)```(?:python)?\s*(.*?)```"), 1)
+    block = F.get(F.filter(blocks, lambda b: F.contains(b, F.lit(marker))), 0)
+    at = F.locate(marker, text)
+    return bare(F.coalesce(block, F.when(at > 0, F.substr(text, at)), text))
 
 
 def head_and_tail(text: Column, most: int, share: float = 0.62) -> Column:

@@ -139,20 +139,28 @@ def family_means(records: DataFrame, family: str) -> DataFrame:
 def squared_weights(records: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
     """The ``k`` best of each key with ``weight``: squared score over the pool's sum."""
     pool = top_pool(records, keys, k)
-    raw = F.pow(F.greatest(F.lit(0.0), F.coalesce("rank_score", F.lit(0.0))), F.lit(2.0)) + 1e-9
+    raw = F.pow(F.greatest(F.lit(1e-6), F.coalesce("rank_score", F.lit(0.0))), F.lit(2.0))
     return pool.withColumn("weight", raw / F.sum(raw).over(Window.partitionBy(*keys)))
 
 
 def diagnostics(records: DataFrame, family: str) -> DataFrame:
-    """(run_id, family, quality, speed, exploration): the family's best against the run's medians, each within [0.05, 0.95]."""
+    """(run_id, family, needs_scale, needs_fragmentation, needs_speed): the family's best against the run's medians, each within [0.05, 0.95]."""
     valid = records.where("valid")
-    middle = valid.groupBy("run_id").agg(F.median("r").alias("m_r"), F.median("cnbi").alias("m_cnbi"), F.median("time_s").alias("m_time"), F.count(F.lit(1)).alias("n_all"))
-    best = valid.groupBy("run_id", F.col(family).alias("family")).agg(F.count(F.lit(1)).alias("n"), *[F.max_by(c, F.struct(F.coalesce("rank_score", F.lit(0.0)), "idx")).alias(f"b_{c}") for c in ("r", "cnbi", "time_s")])
-    held = lambda c: F.least(F.greatest(c, F.lit(0.05)), F.lit(0.95))
-    rows = best.join(middle, "run_id")
-    quality = held(0.5 + 0.5 * (F.col("m_r") - F.col("b_r")) / F.greatest(F.abs("m_r"), F.lit(1e-9)))
-    speed = held(0.5 + 0.5 * (F.col("m_time") - F.col("b_time_s")) / F.greatest(F.abs("m_time"), F.lit(1e-9)))
-    return rows.select("run_id", "family", quality.alias("quality"), speed.alias("speed"), held(1 - F.col("n") / F.col("n_all")).alias("exploration"))
+    middle = valid.groupBy("run_id").agg(F.median("r").alias("m_r"), F.median("cnbi").alias("m_cnbi"), F.median("time_s").alias("m_time_s"))
+    best = valid.groupBy("run_id", F.col(family).alias("family")).agg(*[F.max_by(c, F.struct(F.coalesce("rank_score", F.lit(0.0)), "idx")).alias(c) for c in ("r", "cnbi", "time_s")])
+    off = lambda c, sign, start: F.least(F.greatest(sign * (F.col(c) - F.col(f"m_{c}")) / F.greatest(F.col(f"m_{c}"), F.lit(1e-9)) + start, F.lit(0.05)), F.lit(0.95))
+    return best.join(middle, "run_id").select("run_id", "family", off("r", 1, 0.45).alias("needs_scale"), off("cnbi", -1, 0.45).alias("needs_fragmentation"), off("time_s", 1, 0.20).alias("needs_speed"))
+
+
+def mixed_draw(best: DataFrame, pool: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """One row per key: a draw from ``pool`` with chance ``share``, else the row of ``best``."""
+    coin = (F.pmod(F.xxhash64(key, F.lit(seed), F.lit("coin")), F.lit(1 << 20)) / float(1 << 20)) < share
+    return best.where(~coin).unionByName(uniform_draw(pool.where(coin), key, seed).select(*best.columns))
+
+
+def advantage_parent(records: DataFrame, family: str, score: str = "gated") -> DataFrame:
+    """The record of greatest ``score`` of each (run_id, family), the root aside."""
+    return best_of(records.where(F.col("valid") & (F.col("idx") > 0)), ["run_id", family], F.col(score), [F.asc("idx"), F.asc("node_id")])
 
 
 def family_choice(credits: DataFrame, c: float, over_use: float = 0.0) -> DataFrame:

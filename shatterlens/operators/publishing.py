@@ -48,6 +48,22 @@ def strided(rows: DataFrame, keys: Sequence[str], order: str, wanted: int) -> Da
     return rows.withColumn("_n", F.row_number().over(w.orderBy(order)) - 1).withColumn("_s", step).where("_n % _s = 0").drop("_n", "_s")
 
 
+def hidden_cases(curves: DataFrame, tolerance: float, gap: float, wanted: int = 180) -> DataFrame:
+    """Pairs of steps of two methods on a graph with gcc within ``tolerance`` but cnbi at least ``gap`` apart.
+
+    Curves are thinned to about ``wanted`` steps each; a step of the first method (by name) meets
+    the nearest step of the second, the earlier of two.
+    """
+    thin = strided(curves, ["graph", "method"], "step", wanted).select("graph", "method", "step", "gcc", "cnbi")
+    names = thin.select("graph", "method").distinct()
+    pairs = names.select("graph", F.col("method").alias("method_a")).join(names.select("graph", F.col("method").alias("method_b")), "graph").where(F.col("method_a") < F.col("method_b"))
+    a = thin.withColumnRenamed("method", "method_a").join(pairs, ["graph", "method_a"])
+    b = thin.withColumnRenamed("method", "method_b").join(pairs, ["graph", "method_b"])
+    met = nearest_within(a, b, ["graph", "method_a", "method_b"], "gcc", "step", tolerance)
+    out = met.withColumn("hidden_gap", F.abs(F.col("cnbi") - F.col("cnbi_b"))).where(F.col("hidden_gap") >= gap)
+    return out.select("graph", "method_a", "method_b", F.col("step").alias("step_a"), F.col("step_b"), F.col("gcc").alias("gcc_a"), "gcc_b", F.col("cnbi").alias("hidden_score_a"), F.col("cnbi_b").alias("hidden_score_b"), F.col("gap").alias("gcc_abs_diff"), "hidden_gap")
+
+
 def completeness(rows: DataFrame, keys: Sequence[str], ok: Column) -> DataFrame:
     """(keys, total, done, complete) of each group."""
     done = F.sum(F.coalesce(ok, F.lit(False)).cast("bigint"))

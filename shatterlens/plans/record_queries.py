@@ -211,6 +211,17 @@ def policy_diagnostics(spark, d):
     return rounded(po.diagnostics(records(spark, d), "family"))
 
 
+def policy_advantage_parent(spark, d):
+    """The record with the best time-gated advantage of each family of a run."""
+    return rounded(po.advantage_parent(_rewarded(spark, d), "family").select("run_id", "family", "node_id", "value"))
+
+
+def policy_explored_parent(spark, d):
+    """The best record of each run, or with chance 0.18 a draw from its six best."""
+    pool = po.top_pool(records(spark, d), ["run_id"], 6).select("run_id", "node_id", "place")
+    return po.mixed_draw(pool.where("place = 1"), pool, "run_id", 0.18)
+
+
 def policy_family_choice(spark, d):
     credits = records(spark, d).groupBy("run_id", "family").agg(F.coalesce(F.avg("rank_score"), F.lit(0.0)).alias("credit"), F.count(F.lit(1)).alias("n"))
     credits = credits.withColumn("idx", F.sum("n").over(Window.partitionBy("run_id")) + 1)
@@ -381,8 +392,10 @@ ORACLES = {
     "policy_islands": _R + "SELECT run_id, node_id, island, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, island ORDER BY s DESC, idx, node_id) AS INTEGER) AS place FROM (SELECT *, CAST(CASE WHEN node_id = 'hda_root' THEN 0 ELSE CAST('0x' || left(sha1(node_id), 4) AS INTEGER) % 6 END AS INTEGER) AS island FROM k WHERE valid)) WHERE place <= 4",
     "policy_niches": _R + "SELECT run_id, family AS niche, n, round(w / sum(w) OVER (PARTITION BY run_id), 9) AS weight FROM (SELECT run_id, family, count(*) AS n, 1 / sqrt(CAST(count(*) AS DOUBLE)) AS w FROM rec WHERE valid GROUP BY ALL)",
     "policy_family_means": _R + "SELECT run_id, family, count(*) AS n, round(avg(s), 9) AS mean, round(0.10 + 0.15 / sqrt(count(*)), 9) AS spread, round(0.08 / sqrt(count(*)), 9) AS bonus FROM k WHERE valid GROUP BY ALL",
-    "policy_squared_weights": _R + "SELECT run_id, node_id, round(w / sum(w) OVER (PARTITION BY run_id), 9) AS weight FROM (SELECT *, pow(greatest(0.0, s), 2) + 1e-9 AS w, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS n FROM k WHERE valid) WHERE n <= 8",
-    "policy_diagnostics": _R + "SELECT run_id, family, round(least(0.95, greatest(0.05, 0.5 + 0.5 * (mr - br) / greatest(abs(mr), 1e-9))), 9) AS quality, round(least(0.95, greatest(0.05, 0.5 + 0.5 * (mt - bt) / greatest(abs(mt), 1e-9))), 9) AS speed, round(CAST(greatest(0.05, least(0.95, 1 - n / CAST(na AS DOUBLE))) AS DOUBLE), 9) AS exploration FROM (SELECT run_id, family, count(*) AS n, arg_max_null(r, (s, idx)) AS br, arg_max_null(time_s, (s, idx)) AS bt FROM k WHERE valid GROUP BY ALL) JOIN (SELECT run_id, quantile_cont(r, 0.5) AS mr, quantile_cont(time_s, 0.5) AS mt, count(*) AS na FROM k WHERE valid GROUP BY run_id) USING (run_id)",
+    "policy_squared_weights": _R + "SELECT run_id, node_id, round(w / sum(w) OVER (PARTITION BY run_id), 9) AS weight FROM (SELECT *, pow(greatest(1e-6, s), 2) AS w, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS n FROM k WHERE valid) WHERE n <= 8",
+    "policy_diagnostics": _R + "SELECT run_id, family, " + ", ".join(f"round(least(0.95, greatest(0.05, {sign} * (b{c} - m{c}) / greatest(m{c}, 1e-9) + {start})), 9) AS {name}" for c, sign, start, name in (("r", 1, 0.45, "needs_scale"), ("c", -1, 0.45, "needs_fragmentation"), ("t", 1, 0.20, "needs_speed")))
+        + " FROM (SELECT run_id, family, arg_max_null(r, (s, idx)) AS br, arg_max_null(cnbi, (s, idx)) AS bc, arg_max_null(time_s, (s, idx)) AS bt FROM k WHERE valid GROUP BY ALL) JOIN (SELECT run_id, quantile_cont(r, 0.5) AS mr, quantile_cont(cnbi, 0.5) AS mc, quantile_cont(time_s, 0.5) AS mt FROM k WHERE valid GROUP BY run_id) USING (run_id)",
+    "policy_advantage_parent": _GATE_ROWS + "SELECT run_id, family, node_id, round(gated, 9) AS value FROM (SELECT *, row_number() OVER (PARTITION BY run_id, family ORDER BY gated DESC, idx, node_id) AS n FROM g WHERE valid AND idx > 0) WHERE n = 1",
     "policy_family_choice": _R + ", c AS (SELECT run_id, family, coalesce(avg(rank_score), 0.0) AS credit, count(*) AS n FROM rec GROUP BY ALL), e AS (SELECT *, sum(n) OVER (PARTITION BY run_id) + 1 AS idx, count(*) OVER (PARTITION BY run_id) AS f FROM c), v AS (SELECT *, credit + 0.28 * sqrt(ln(CAST(greatest(2, idx) AS DOUBLE)) / (n + 1.0)) - 0.10 * greatest(0.0, n - CAST(idx AS DOUBLE) / f) AS value FROM e) SELECT run_id, family, round(value, 9) AS value FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, family) AS k FROM v) WHERE k = 1",
     "policy_moving_credit": _GATE_ROWS + ", w AS (SELECT *, CASE WHEN valid THEN gated / 60.0 - CASE WHEN coalesce(fac_worst_auc_adv, 0) < -5 THEN 0.25 ELSE 0 END - CASE WHEN p > 2 THEN 0.10 ELSE 0 END ELSE -8 END AS reward, row_number() OVER (PARTITION BY run_id, family ORDER BY idx DESC, node_id DESC) - 1 AS back FROM g) SELECT run_id, family, round(sum(0.18 * reward * pow(CAST(0.82 AS DOUBLE), back)), 9) AS credit FROM w GROUP BY ALL",
     "policy_floored_credit": _R + ", w AS (SELECT run_id, family, coalesce(rank_score, -0.2) AS reward, row_number() OVER (PARTITION BY run_id, family ORDER BY idx) AS i, count(*) OVER (PARTITION BY run_id, family) AS n FROM rec), f AS (SELECT run_id, family, CAST(0 AS BIGINT) AS i, CAST(0.05 AS DOUBLE) AS credit, n FROM w WHERE i = 1 UNION ALL SELECT f.run_id, f.family, w.i, greatest(0.005, 0.86 * f.credit + (1 - 0.86) * w.reward), f.n FROM f JOIN w ON w.run_id = f.run_id AND w.family = f.family AND w.i = f.i + 1) SELECT run_id, family, round(credit, 9) AS credit FROM f WHERE i = n",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shatterlens.functions import features as fe, scalars as sc
 from shatterlens.operators import policies as po, publishing as pb
-from shatterlens.plans.graph_queries import rounded
+from shatterlens.plans.graph_queries import _BOTH, rounded
 from shatterlens.plans.record_queries import _M, _R, metrics, records
 from shatterlens.scratch import shared_root
 from shatterlens.sources import sinks
@@ -92,6 +92,14 @@ def table_ratio(spark, d):
     return out.select("method", sc.percent_label(F.col("retention")).alias("retention"), sc.factor_label(F.col("speedup")).alias("speedup"))
 
 
+def table_hidden_cases(spark, d):
+    """Steps of two removal orders with the same largest part but different spread."""
+    from shatterlens.operators import fragmentation as fr
+    from shatterlens.plans.graph_queries import _two_orders
+
+    return rounded(pb.hidden_cases(fr.with_metrics(_two_orders(spark, d)), 0.003, 0.05, 40).select("method_a", "method_b", "step_a", "step_b", "hidden_gap"))
+
+
 def table_strided(spark, d):
     """About ten records of each run, evenly spaced: a sampling operator."""
     return pb.strided(records(spark, d), ["run_id"], "idx", 10).select("run_id", "node_id", "idx")
@@ -252,7 +260,7 @@ _MAIN = {k: _has(*v) + (f" OR c >= {fe.MAIN_CALLS[k]}" if k in fe.MAIN_CALLS els
 _FLAGGED = _P + ", f AS (SELECT *, " + ", ".join(f"({e}) AS {k}" for k, e in _MAIN.items()) + " FROM t) "
 _SIG = "coalesce(nullif(concat_ws('|', " + ", ".join(f"CASE WHEN {k} THEN '{k}' END" for k in fe.SIGNATURE) + "), ''), 'plain')"
 _FAMILY = f"CASE WHEN {_has('connected_components')} THEN 'component-refresh' WHEN contains(x, 'two') OR c >= 2 THEN 'two-hop-boundary' WHEN {_has('clustering', 'redund')} THEN 'redundancy-aware' WHEN contains(x, 'heapq') THEN 'heap-local-update' WHEN contains(x, 'degree') THEN 'degree-local' ELSE 'other' END"
-_LEARNED = ", l AS (SELECT candidate_id, " + ", ".join("regexp_matches(x, '" + v.replace("'", "''") + f"') AS {k}" for k, v in fe.LEARNED_PATTERNS.items()) + " FROM t) "
+_LEARNED = ", l AS (SELECT candidate_id, " + ", ".join("regexp_matches(x, '" + "|".join(v) + f"') AS {k}" for k, v in fe.LEARNED_PATTERNS.items()) + " FROM t) "
 _IDEAS = {"heap": "contains(code, 'heap')", "core": _has("core"), "tri": _has("tri", "cluster"), "component": _has("component", "connected"), "neighbor": _has("neighbor", "nbr"), "twohop": f"contains(x, '2') AND {_has('hop', 'two')}"}
 _GENERIC = "coalesce(nullif(array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN {e} THEN '{k}' END" for k, e in _IDEAS.items()) + "], lambda z: z IS NOT NULL), 1, 3), '+'), ''), 'simple')"
 _LOOPS = "(length(code) - length(replace(code, 'for ', ''))) / 4 + (length(code) - length(replace(code, 'while ', ''))) / 6"
@@ -277,6 +285,7 @@ ORACLES = {
     "table_audit": _OLD + "SELECT dataset, method, 'r' AS \"column\", CASE WHEN method = 'rim-cut' THEN 'missing' ELSE 'ok' END AS status FROM o UNION ALL SELECT dataset, method, 'auc_cnbi', CASE WHEN method = 'rim-cut' THEN 'missing' WHEN method = 'core-peel' AND auc_cnbi IS NOT NULL THEN 'differs' ELSE 'ok' END FROM o",
     "table_union_by_name": _M + "SELECT dataset, method, r, NULL AS seconds FROM m UNION ALL SELECT dataset, method, NULL, time_s FROM m WHERE valid",
     "table_ratio": _M + _COUNTED + "SELECT m1.method, format('{:.1f}%', m1.a / b.a * 100) AS retention, format('{:.1f}x', b.t / m1.t) AS speedup FROM mm m1, (SELECT * FROM mm WHERE method = 'core-peel') b",
+    "table_hidden_cases": _BOTH + ", sa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY step) - 1 AS p, greatest(1, count(*) OVER (PARTITION BY method) // 40) AS st FROM met) WHERE p % st = 0) SELECT method_a, method_b, step_a, step_b, round(gap, 6) AS hidden_gap FROM (SELECT a.method AS method_a, b.method AS method_b, a.step AS step_a, b.step AS step_b, abs(a.cnbi - b.cnbi) AS gap, row_number() OVER (PARTITION BY a.step ORDER BY abs(a.gcc - b.gcc), b.step) AS n FROM sa a JOIN sa b ON a.method = 'ci' AND b.method = 'degree' AND abs(a.gcc - b.gcc) <= 0.003) WHERE n = 1 AND gap >= 0.05",
     "table_strided": _R + "SELECT run_id, node_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY idx) - 1 AS p, greatest(1, n_run // 10) AS st FROM k) WHERE p % st = 0",
     "table_manifest": _M + "SELECT dataset, method, count(*) AS rows, 'points/dataset=' || dataset || '/method=' || method AS path FROM m GROUP BY dataset, method",
     "table_markdown": _M + _COUNTED + "SELECT '| ' || method || ' | ' || datasets || ' | ' || top1 || ' |' AS line FROM mm",
@@ -289,10 +298,12 @@ ORACLES = {
     "text_generic": _FLAGGED + f"SELECT candidate_id, {_GENERIC} AS generic, CASE WHEN length(code) < 1800 THEN 'short' ELSE 'long' END || ':' || CASE WHEN {_LOOPS} < 7 THEN 'fewloops' ELSE 'manyloops' END || ':' || split_part({_GENERIC}, '+', 1) AS map_bin, CASE WHEN global_rescan THEN 'global centrality' WHEN component_refresh THEN 'component refresh' WHEN unbounded_two_hop THEN 'unbounded two-hop scan' WHEN {_has('shortest_path', 'all_pairs')} THEN 'path search' ELSE '' END AS violation, left(sha1(code), 16) AS code_hash FROM f",
     "text_experiment_flags": _P + "SELECT candidate_id, " + ", ".join(f"({e}) AS {k}" for k, e in _EXP.items()) + " FROM t",
     "text_failure_patterns": _FLAGGED + ", n AS (SELECT greatest(1, count(*)) AS n FROM f) " + " UNION ALL ".join(f"SELECT '{k}' AS name, count(*) FILTER (WHERE {k}) AS count, round(count(*) FILTER (WHERE {k}) / CAST(any_value(n) AS DOUBLE), 6) AS rate FROM f, n" for k in ("component_refresh", "global_rescan", "unbounded_two_hop", "heap_update")),
-    "text_replies": r"""WITH c AS (SELECT DISTINCT prompt_id, raw_response FROM llm_calls WHERE raw_response IS NOT NULL), f AS (SELECT prompt_id, regexp_replace(CASE WHEN regexp_extract(raw_response, '```[\w+-]*[ \t]*\r?\n(.*?)```', 1, 's') <> '' THEN regexp_extract(raw_response, '```[\w+-]*[ \t]*\r?\n(.*?)```', 1, 's') ELSE raw_response END, '^\s+|\s+$', '', 'g') AS code FROM c)
+    "text_replies": r"""WITH c AS (SELECT DISTINCT prompt_id, raw_response AS t FROM llm_calls WHERE raw_response IS NOT NULL),
+        b AS (SELECT prompt_id, t, list_filter(regexp_extract_all(t, '```(?:python)?\s*(.*?)```', 1, 'si'), lambda z: contains(z, 'def degree_order'))[1] AS block, position('def degree_order' IN t) AS spot FROM c),
+        f AS (SELECT prompt_id, regexp_replace(coalesce(block, CASE WHEN spot > 0 THEN substr(t, spot) END, t), '^\s+|\s+$', '', 'g') AS code FROM b)
         SELECT prompt_id, CAST(length(code) AS INTEGER) AS n, md5(CASE WHEN length(code) > 200 THEN left(code, 124) || chr(10) || '...' || chr(10) || right(code, 76) ELSE code END) AS ends FROM f""",
     "text_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
-    "text_scalars": r"""SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, CASE WHEN p_size % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS measure,
+    "text_scalars": r"""SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, CASE WHEN p_size % 7 <> 0 AND p_size % 4 <> 3 THEN CAST(p_size AS DOUBLE) END AS measure,
         CASE WHEN abs(p_retailprice - 900) <= abs(p_retailprice - 1000) THEN 900.0 WHEN abs(p_retailprice - 1000) <= abs(p_retailprice - 1500) THEN 1000.0 ELSE 1500.0 END::DOUBLE AS snapped, p_size % 5 <> 2 AS truth, CAST(2 AS INTEGER) AS items,
         greatest(950.0, least(1200.0, p_retailprice)) AS clamped, round_even(CAST(p_size AS DOUBLE) * 0.5, 0) AS half_even FROM part""",
     "text_mixed_keys": "SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_size ORDER BY (p_size % 3 = 0)::INT, CASE WHEN p_size % 3 <> 0 THEN p_partkey END, p_brand, p_partkey) AS INTEGER) AS place FROM part",

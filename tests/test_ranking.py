@@ -172,12 +172,13 @@ def test_scalar_rules(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("c")).first().c
     text = lambda s: F.lit(s)
-    assert value(sc.measure(text("**1,234.5 s**"))) == 1234.5 and value(sc.measure(text("timeout"))) is None and value(sc.measure(text("90 %"))) == 90
+    assert value(sc.measure(text("**1234.5 s**"))) == 1234.5 and value(sc.measure(text("timeout guard"))) is None and value(sc.measure(text("5x"))) is None and value(sc.measure(text("timeout"))) is None and value(sc.measure(text("90 %"))) == 90
     assert value(sc.truthy(text(" Yes "))) and not value(sc.truthy(text("ok"))) and value(sc.truthy(text("ok"), "wide")) and not value(sc.truthy(F.lit(None)))
     assert value(sc.snap(F.lit(7.0), [1.0, 5.0, 9.0])) == 5.0
     assert value(sc.near(F.lit(None).cast("double"), F.lit(None).cast("double"), 0.1)) and not value(sc.near(F.lit(1.0), F.lit(None).cast("double"), 9.0))
     assert value(sc.json_object(text('say {"a": {"b": 1}} now'))) == '{"a": {"b": 1}}' and value(sc.json_object(text("no"))) is None
-    assert value(sc.fenced_code(text("hi\n```python\nx = 1\n```\nbye"))) == "x = 1" and value(sc.fenced_code(text(" y "))) == "y"
+    assert value(sc.fenced_code(text("```\nx\n``` ```Python\ndef degree_order(G):\n  1\n```\nbye"))) == "def degree_order(G):\n  1"
+    assert value(sc.fenced_code(text(" y\n"))) == "y" and value(sc.fenced_code(text("so: def degree_order(G): 2 "))) == "def degree_order(G): 2"
     assert value(sc.finite(text("inf"))) is None and value(sc.finite_or(text("abc"), 2)) == 2.0 and value(sc.finite(text("1.5"))) == 1.5
     assert value(sc.compressed_log(F.lit(0.1))) == pytest.approx(-0.35) and value(sc.compressed_log(F.lit(100.0))) == 2
     assert value(sc.top_sum(F.array(*[F.lit(float(x)) for x in (1, 9, 3, 4, 5, 6, 7)]))) == 31
@@ -197,7 +198,8 @@ def test_features(spark):
 def test_programs_are_checked():
     stub = StubProvider().generate("x", 2)
     assert len(stub) == 2 and static_error(stub[0]) == ""
-    assert static_error("import os\n") == "import: os" and static_error("def f(:") .startswith("syntax") and static_error("x = 1") == "missing: degree_order"
+    assert static_error("import scipy\n" + stub[0]) == "import: scipy" and static_error("def degree_order(:").startswith("syntax") and static_error("x = 1") == "missing: degree_order"
+    assert static_error("  def degree_order(G):\n      return OS.path") == "forbidden: os."
     assert static_error("def degree_order(G):\n    return eval('G')").startswith("forbidden")
     assert static_error(stub[0] + "\nprint(1)\n", strict=True) == "statement on top" and static_error('"""doc"""\n' + stub[0], strict=True) == ""
 
@@ -207,3 +209,27 @@ def test_undominated_of_many_points():
     keep = rk._undominated(points)
     for i, p in enumerate(points):
         assert keep[i] == (not ((points <= p).all(axis=1) & (points < p).any(axis=1)).any())
+
+
+def test_bound_policies():
+    from shatterlens.functions import bounds as bo
+
+    assert bo.allowed_signals(["Two-Hop", "degree", "global degree", {"signal": "phase"}, 3, {"x": "y"}]) == {"bounded_two_hop", "residual_degree", "phase"}
+    assert bo.clean_families("a b!c") == ["a-b-c"] and bo.clean_families(["x", "x", "unbounded", "--"]) == ["x"]
+    assert bo.clean_caps({"a b": 1, "c": [1, None, *range(20)], "d": {"e!": 2, "f": None}, "g": [], "": 3, "h": None}) == {"a_b": 1, "c": [1, *range(7)], "d": {"e_": 2}, "h": None}
+    policy = bo.merged(["unknown", "f"], 0.5, [{"allowed_signals": ["core_number"], "preferred_families": ["g h"], "cap_bounds": {"bounded_two_hop_required": False}}] * 3)
+    assert policy.families == ["f", "g-h"] and "core_number" in policy.signals and policy.caps["max_candidate_runtime_s_on_proxy"] == 2.0 and policy.caps["bounded_two_hop_required"] is True
+    assert bo.merged([], 0.0).families == ["degree-local"] and len(policy.forbidden) == 9
+
+
+def test_mixed_draws(spark):
+    best = spark.range(2000).select(F.col("id").cast("string").alias("run_id"), F.lit("best").alias("node_id"))
+    other = best.withColumn("node_id", F.lit("other"))
+    got = {r.node_id: r["count"] for r in po.mixed_draw(best, other, "run_id", 0.2).groupBy("node_id").count().collect()}
+    assert sum(got.values()) == 2000 and 320 < got["other"] < 480
+
+
+def test_hidden_cases(spark):
+    rows = [("g", "a", 1, 0.500, 10.0), ("g", "a", 2, 0.400, 11.0), ("g", "b", 1, 0.501, 30.0), ("g", "b", 2, 0.499, 50.0), ("g", "b", 3, 0.3, 90.0), ("h", "a", 1, 0.5, 99.0)]
+    cases = pb.hidden_cases(spark.createDataFrame(rows, "graph string, method string, step int, gcc double, cnbi double"), 0.003, 15.0).collect()
+    assert [(r.graph, r.method_a, r.method_b, r.step_a, r.step_b, r.hidden_gap) for r in cases] == [("g", "a", "b", 1, 1, 20.0)]
