@@ -19,5 +19,8 @@ def spark(tmp_path_factory):
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
+    from shatterlens.shipping import ship
+
+    ship(session)
     yield session
     session.stop()
