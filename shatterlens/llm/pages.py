@@ -2,8 +2,9 @@
 
 Every line of a page is reduced to its shape: how many links, how its words spread over fields
 between separators, how many of them are capitals, numbers or function words, how it ends. Shapes
-that no sentence, table, setting, program, log, citation or glossary has are list shapes. A page
-is flagged if more than half of its characters lie in lines of list shapes.
+that no sentence, table, setting, program, log, citation or glossary has are list shapes. Lines of
+a page are grouped by shape, and the page is flagged if its few largest groups of list shapes hold
+more than half of its characters.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 
 #: Share of a page's characters beyond which it counts.
 SHARE = 0.5
+#: Shapes that make up a list page: on real pages far fewer cover nearly all of their lists.
+FEW = 12
 
 # Frequent function words of the languages of the corpus, which keyword lists lack.
 FUNCTION_WORDS = frozenset(
@@ -121,31 +124,37 @@ def line_kind(line: str) -> int:
     return _words_kind(bare)
 
 
-def list_share(text: str | None) -> float:
-    """Share of a page's characters (line breaks aside) in lines of list shapes.
+def line_shape(line: str, kind: int) -> tuple[int, int, int, int, str]:
+    """Kind, links, words and capitals (by powers of two), and the commonest separator of a line."""
+    words = _WORD.findall(line)
+    marks = Counter(c for c in line if c in ",;|/>#[、，；｜·•-")
+    capitals = sum(w[0].isupper() for w in words)
+    return kind, len(_URL.findall(line)).bit_length(), len(words).bit_length(), capitals.bit_length(), max(marks, key=marks.__getitem__) if marks else " "
+
+
+def list_share(text: str | None, few: int = FEW) -> float:
+    """Share of a page's characters (line breaks aside) in its ``few`` largest groups of lines of one list shape.
 
     Lines are cut at sentence ends first, as lists can follow a sentence on its line. Lines of a few words
     count as lists only where at least four of them stand on a page.
     """
     if not text:
         return 0.0
-    chars: Counter = Counter()
-    lines: Counter = Counter()
+    total, phrases = 0, 0
+    groups: Counter = Counter()
     fenced = False
     for line in text.splitlines():
+        total += len(line)
         if line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
-            chars[DATA] += len(line)
             continue
         for piece in _CUT.split(line) if len(line) > 40 else (line,):
             kind = line_kind(piece)
-            if fenced and kind == PHRASE:
-                kind = DATA
-            chars[kind] += len(piece)
-            lines[kind] += 1
-    total = sum(chars.values())
-    found = chars[LIST] + (chars[PHRASE] if lines[PHRASE] >= 4 else 0)
-    return found / total if total else 0.0
+            if kind == LIST or kind == PHRASE and not fenced:
+                phrases += kind == PHRASE
+                groups[line_shape(piece, kind)] += len(piece)
+    largest = sorted((n for shape, n in groups.items() if shape[0] == LIST or phrases >= 4), reverse=True)
+    return sum(largest[:few]) / total if total else 0.0
 
 
 def list_pages(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: float = SHARE) -> DataFrame:
