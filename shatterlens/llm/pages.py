@@ -32,7 +32,11 @@ FUNCTION_WORDS = frozenset(
 # First words of Python lines.
 CODE_WORDS = frozenset("import from def return for if elif else while with try except finally class continue break pass raise yield lambda assert del global nonlocal print async await".split())
 
-_URL = re.compile(r"(?:\bh(?:tt|xx)ps?://|\bwww(?:\.|\[\.\]))[^\s<>\"')\]|]+(?:\[\.\][^\s<>\"')\]|]+)*|\b[a-z0-9-]+(?:(?:\.|\[\.\])[a-z0-9-]+)*(?:\.|\[\.\])(?:example|test|invalid|com|org|net|info|io|shop|biz|co|de|cn|fr|es|ru)\b(?:/[^\s<>\"')\]|]*)?", re.I)
+_URL = re.compile(
+    r"(?:\bh(?:tt|xx)ps?://|\bwww(?:\.|\[\.\]))[^\s<>\"')\]|]+(?:\[\.\][^\s<>\"')\]|]+)*"
+    r"|(?<![a-z0-9.\]-])[a-z0-9-]++(?:(?:\.|\[\.\])[a-z0-9-]++){0,8}?(?:\.|\[\.\])(?:example|test|invalid|com|org|net|info|io|shop|biz|co|de|cn|fr|es|ru)\b(?:(?:\.|\[\.\])[a-z]{2,4}\b)?(?:/[^\s<>\"')\]|]*)?",
+    re.I,
+)
 _TAG = re.compile(r"</?[a-z][^<>]*>", re.I)
 _WORD = re.compile(r"\b[^\W\d_]+(?:['’-][^\W\d_]+)*\b")
 _INITIAL = re.compile(r"\b[A-Z]\. ")
@@ -43,6 +47,7 @@ _HASH = re.compile(r"(?:[#@][\w\-]+[\s,;|/·]*)+$")
 _BRACKETS = re.compile(r"(?:\[[^\][()={}\d][^\][()={}]*\][\s,;|/·-]*)+$")
 _MENU = re.compile(r"\s*(?:>{1,2}|›|»|→|::|&gt;)\s*")
 _FIELDS = re.compile(r"\s*[,;|\t、，；｜·•/]\s*|\s+[-–—~]\s+")
+_WIDE = re.compile(r"([^\S\t])[^\S\t]+|(\t)\t+")
 _BULLET = re.compile(r"^\s*(?:[-*+•·]|\d{1,3}[.)])\s+")
 _NUMBER = re.compile(r"[+-]?\d[\d.,:%]*$|(?:null|none|true|false|nan|n/a|-)$", re.I)
 _CODE = re.compile(r"[={}\\]|\w\(|\w\[|\)\s*:?$|:\s*$|^\s*(?:#\s|\"\"\"|@\w)|\"\"\"")
@@ -95,6 +100,8 @@ def line_kind(line: str) -> int:
     text = line.strip()
     if not text:
         return BLANK
+    if len(text) > 1000:  # long gaps would be scanned again and again
+        text = _WIDE.sub(r"\1\2", text)
     if text[-1] in ".?!":
         plain = text.lower().split()
         if sum(w in FUNCTION_WORDS for w in plain) * 6 >= len(plain) and not _LINKED.search(text):

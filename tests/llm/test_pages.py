@@ -53,3 +53,13 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "doc_id bigint, text string, list_share string")
     assert sorted(r.doc_id or 0 for r in list_pages(df).collect()) == [0, 1, 1]
     assert list_pages(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("line", ["a.", "a-", "1.", "a ", " ", "\t", "[.]", "#a ", "[a] ", "a > ", "<a", "http://", "., ", "a1", "x=", "www.", "a[.]", "。", "- "])
+def test_long_lines_take_linear_time(line):
+    import time
+
+    began = time.perf_counter()
+    for text in (line * 200_000, "x" + line * 200_000 + "!", ("x" + line + " " * 50_000) * 3):
+        list_share(text)
+    assert time.perf_counter() - began < 20
