@@ -76,3 +76,14 @@ def test_parts():
     assert is_complete(PARENT) and not is_complete(PARENT[:-2]) and not is_complete("x = 1")
     assert languages("a") == {"en", "pt"} and languages("") == set()
     assert judge(MESSAGES, "y" * 200_000)[0] == "open"
+
+
+@pytest.mark.parametrize("part", ["a", " ", "\n", "```", "``` ", "```\n", "> ", "def degree_order(G):\n", "return ", "    return x\n", "#", "# a\n", ".", ". ", "1.", "(", "no ", "import x\n", "。", "\\t", "def degree_order(G): "])
+def test_very_long_replies(part):
+    import time
+
+    began = time.perf_counter()
+    for reply in (part * 100_000, "x" + part * 100_000 + "y", fenced(CHILD, part * 50_000 + "\n")):
+        judge(MESSAGES, reply)
+        judge(json.dumps([{"role": "user", "content": reply}]), reply[: len(reply) // 2])
+    assert time.perf_counter() - began < 20
