@@ -198,13 +198,13 @@ def advantage_reward(score: str = "gated") -> Column:
     return F.when(F.coalesce("valid", F.lit(False)), F.col(score) / 60.0 - worst - slow).otherwise(-8.0)
 
 
-def learned_credit(records: DataFrame, families: DataFrame, cutoff: int, reference: tuple[float, float, float]) -> DataFrame:
+def learned_credit(records: DataFrame, families: DataFrame, cutoff: int, reference: tuple[float, float, float], tie: str = "node_id") -> DataFrame:
     """Initial credit of each family(family) from the records up to idx ``cutoff``.
 
     .42 mean score + .22 share in the top fifth + .18 strict + .08 loose + .10 valid - .12 time - .10
-    risk, at least 0.01; a family without records has 0.05. ``risk_1..3`` are boolean columns of the records.
+    risk, at least 0.01; a family without records has 0.05. ``risk_1..3`` are boolean columns of the records, ``tie`` is unique among them.
     """
-    train = search_scores(records.where(F.col("idx") <= cutoff), [], "node_id")
+    train = search_scores(records.where(F.col("idx") <= cutoff), [], tie)
     train = similarity_flags(train, *reference)
     fit = F.col("rank_score") >= 0
     whole = train.where(fit).agg(F.percentile("rank_score", 0.80).alias("top"), F.min("time_s").alias("t0"), F.max("time_s").alias("t1"))

@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from shatterlens.operators.windows import average_rank
+from shatterlens.operators.windows import average_rank, numbered
 
 #: Weights of relative credit, fragmentation, time and absolute quality by stage.
 STAGE_WEIGHTS = {1: (0.45, 0.25, 0.20, 0.10), 3: (0.40, 0.25, 0.25, 0.10)}
@@ -33,22 +33,25 @@ def unit_rank(value: Column, keys: list[str], higher: bool, among: str = "rows")
     return F.when(value.isNull(), 0.0).when(known == 1, 1.0).otherwise(1 - (rank - 1) / (known - 1))
 
 
-def ordinal_rank(value: Column, keys: list[str], higher: bool, tie: Column) -> Column:
-    """(denominator - place) / denominator by place in a sort, ties by ``tie`` and not averaged."""
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(F.desc(value) if higher else F.asc(value), tie)) - 1
-    denominator = F.greatest(F.lit(1), F.count(F.lit(1)).over(w) - 1)
-    return (denominator - place) / denominator
-
-
 def search_scores(records: DataFrame, keys: list[str], tie: str) -> DataFrame:
-    """rank_r, rank_cnbi, rank_time and rank_score = .4 r + .3 cnbi + .3 time of fit rows; -1 for the others."""
+    """rank_r, rank_cnbi, rank_time and rank_score = .4 r + .3 cnbi + .3 time of fit rows; -1 for the others.
+
+    Without ``keys`` the whole table is one group, and its places are numbered by range over all tasks.
+    """
     fit = F.col("valid") & F.col("r").isNotNull() & F.col("cnbi").isNotNull() & F.col("time_s").isNotNull()
-    marked = records.withColumn("_fit", F.coalesce(fit, F.lit(False)))
+    out = records.withColumn("_fit", F.coalesce(fit, F.lit(False)))
+    wanted = (("rank_r", F.asc("r")), ("rank_cnbi", F.desc("cnbi")), ("rank_time", F.asc("time_s")))
     inner = [*keys, "_fit"]
-    ranks = {n: F.when(F.col("_fit"), ordinal_rank(F.col(c), inner, higher, F.col(tie))).otherwise(-1.0) for n, c, higher in (("rank_r", "r", False), ("rank_cnbi", "cnbi", True), ("rank_time", "time_s", False))}
-    out = marked.withColumns(ranks)
-    return out.withColumn("rank_score", F.when(F.col("_fit"), 0.4 * F.col("rank_r") + 0.3 * F.col("rank_cnbi") + 0.3 * F.col("rank_time")).otherwise(-1.0)).drop("_fit")
+    if keys:
+        places = {n: F.row_number().over(Window.partitionBy(*inner).orderBy(by, F.asc(tie))) for n, by in wanted}
+        out = out.withColumns(places | {"_n": F.count(F.lit(1)).over(Window.partitionBy(*inner))})
+    else:
+        for n, by in wanted:
+            out = numbered(out.drop(n), inner, [by, F.asc(tie)], n)
+        out = out.join(F.broadcast(out.groupBy("_fit").agg(F.count(F.lit(1)).alias("_n"))), "_fit")  # two rows
+    room = F.greatest(F.lit(1), F.col("_n") - 1)
+    out = out.withColumns({n: F.when(F.col("_fit"), (room - (F.col(n) - 1)) / room).otherwise(-1.0) for n, _ in wanted})
+    return out.withColumn("rank_score", F.when(F.col("_fit"), 0.4 * F.col("rank_r") + 0.3 * F.col("rank_cnbi") + 0.3 * F.col("rank_time")).otherwise(-1.0)).drop("_fit", "_n")
 
 
 def delta_credit(records: DataFrame, keys: list[str], root: Column | None = None) -> DataFrame:

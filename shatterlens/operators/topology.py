@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from shatterlens.operators.windows import numbered
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows over all shuffle partitions, before a join that multiplies them.
@@ -124,9 +126,9 @@ def relabelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def chained(members: DataFrame) -> DataFrame:
     """Edges (graph, u, v) that join each component's least node to that of the next one."""
-    firsts = members.select("graph", "component").distinct()
-    after = F.lead("component").over(Window.partitionBy("graph").orderBy("component"))
-    return firsts.select("graph", F.col("component").alias("u"), after.alias("v")).where(F.col("v").isNotNull())
+    firsts = numbered(members.select("graph", "component").distinct(), ["graph"], [F.asc("component")], "at")
+    after = firsts.select("graph", F.col("component").alias("v"), (F.col("at") - 1).alias("at"))
+    return firsts.join(after, ["graph", "at"]).select("graph", F.col("component").alias("u"), "v")
 
 
 def sampled_edges(edges: DataFrame, most: int, seed: int = 0) -> DataFrame:

@@ -242,15 +242,16 @@ def policy_floored_credit(spark, d):
 
 def policy_learned_credit(spark, d):
     r = records(spark, d)
+    r = r.withColumn("key", F.concat_ws("/", "run_id", "node_id"))
     flags = {f"risk_{i}": F.coalesce(F.contains("error", F.lit(x)), F.lit(False)) for i, x in enumerate(("timeout", "Recursion", "import"), 1)}
     known = spark.createDataFrame([(f,) for f in FAMILIES], "family string")
-    return rounded(po.learned_credit(r.withColumns(flags), known, 60, POINT).select("family", "n_total", "n_valid", "credit"))
+    return rounded(po.learned_credit(r.withColumns(flags), known, 60, POINT, "key").select("family", "n_total", "n_valid", "credit"))
 
 
 def policy_heldout(spark, d):
     """Runs compared on the records after a cutoff: best row by a score over all of them, first hits, counts."""
-    held = records(spark, d).where("idx > 60").withColumn("step", F.col("idx") - 60)
-    scored = rk.search_scores(held, ["stage"], "node_id")
+    held = records(spark, d).where("idx > 60").withColumn("step", F.col("idx") - 60).withColumn("key", F.concat_ws("/", "run_id", "node_id"))
+    scored = rk.search_scores(held, [], "key")
     flagged = rk.similarity_flags(scored, *POINT)
     hits = rk.first_at_hits(flagged, ["run_id"], "step", "loose_like", [1, 5])
     best = F.max_by(F.col("step"), F.struct("rank_score", -F.col("step")))
@@ -319,14 +320,17 @@ def _unit(c: str, part: str, higher: bool, kind: str = "rows") -> str:
     return f"CASE WHEN {c} IS NULL THEN 0.0 WHEN {known} = 1 THEN 1.0 ELSE 1 - ({rank} - 1) / CAST({known} - 1 AS DOUBLE) END"
 
 
-def _scores(part: str, source: str = "rec") -> str:
-    one = lambda c, o: f"(greatest(1, count(*) OVER (PARTITION BY {part}, fit) - 1) - (row_number() OVER (PARTITION BY {part}, fit ORDER BY {c} {o}, node_id) - 1)) / CAST(greatest(1, count(*) OVER (PARTITION BY {part}, fit) - 1) AS DOUBLE)"
+def _scores(part: str, source: str = "rec", tie: str = "node_id") -> str:
+    one = lambda c, o: f"(greatest(1, count(*) OVER (PARTITION BY {part}, fit) - 1) - (row_number() OVER (PARTITION BY {part}, fit ORDER BY {c} {o}, {tie}) - 1)) / CAST(greatest(1, count(*) OVER (PARTITION BY {part}, fit) - 1) AS DOUBLE)"
     return (
         f"SELECT * REPLACE (CASE WHEN fit THEN 0.4 * rank_r + 0.3 * rank_cnbi + 0.3 * rank_time ELSE -1 END AS rank_score) FROM (SELECT *, CASE WHEN fit THEN {one('r', 'ASC')} ELSE -1 END AS rank_r, CASE WHEN fit THEN {one('cnbi', 'DESC')} ELSE -1 END AS rank_cnbi, "
         f"CASE WHEN fit THEN {one('time_s', 'ASC')} ELSE -1 END AS rank_time FROM (SELECT *, valid AND r IS NOT NULL AND cnbi IS NOT NULL AND time_s IS NOT NULL AS fit FROM {source}))"
     )
 
 
+_KEY = "run_id || '/' || node_id"
+
+
 def _stage_sql(stage: int, credit: str) -> str:
     w = rk.STAGE_WEIGHTS[stage]
     u = lambda c, h: f"coalesce({_unit(c, 'dataset, valid', h)}, 0.0)"
@@ -399,12 +403,12 @@ ORACLES = {
     "policy_family_choice": _R + ", c AS (SELECT run_id, family, coalesce(avg(rank_score), 0.0) AS credit, count(*) AS n FROM rec GROUP BY ALL), e AS (SELECT *, sum(n) OVER (PARTITION BY run_id) + 1 AS idx, count(*) OVER (PARTITION BY run_id) AS f FROM c), v AS (SELECT *, credit + 0.28 * sqrt(ln(CAST(greatest(2, idx) AS DOUBLE)) / (n + 1.0)) - 0.10 * greatest(0.0, n - CAST(idx AS DOUBLE) / f) AS value FROM e) SELECT run_id, family, round(value, 9) AS value FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, family) AS k FROM v) WHERE k = 1",
     "policy_moving_credit": _GATE_ROWS + ", w AS (SELECT *, CASE WHEN valid THEN gated / 60.0 - CASE WHEN coalesce(fac_worst_auc_adv, 0) < -5 THEN 0.25 ELSE 0 END - CASE WHEN p > 2 THEN 0.10 ELSE 0 END ELSE -8 END AS reward, row_number() OVER (PARTITION BY run_id, family ORDER BY idx DESC, node_id DESC) - 1 AS back FROM g) SELECT run_id, family, round(sum(0.18 * reward * pow(CAST(0.82 AS DOUBLE), back)), 9) AS credit FROM w GROUP BY ALL",
     "policy_floored_credit": _R + ", w AS (SELECT run_id, family, coalesce(rank_score, -0.2) AS reward, row_number() OVER (PARTITION BY run_id, family ORDER BY idx) AS i, count(*) OVER (PARTITION BY run_id, family) AS n FROM rec), f AS (SELECT run_id, family, CAST(0 AS BIGINT) AS i, CAST(0.05 AS DOUBLE) AS credit, n FROM w WHERE i = 1 UNION ALL SELECT f.run_id, f.family, w.i, greatest(0.005, 0.86 * f.credit + (1 - 0.86) * w.reward), f.n FROM f JOIN w ON w.run_id = f.run_id AND w.family = f.family AND w.i = f.i + 1) SELECT run_id, family, round(credit, 9) AS credit FROM f WHERE i = n",
-    "policy_learned_credit": _R + f", t0 AS (SELECT *, {_FLAGS} FROM ({_scores('1', '(SELECT * FROM rec WHERE idx <= 60)')})), w AS (SELECT quantile_cont(rank_score, 0.8) AS top, min(time_s) AS lo, max(time_s) AS hi FROM t0 WHERE rank_score >= 0), "
+    "policy_learned_credit": _R + f", t0 AS (SELECT *, {_FLAGS} FROM ({_scores('1', '(SELECT * FROM rec WHERE idx <= 60)', _KEY)})), w AS (SELECT quantile_cont(rank_score, 0.8) AS top, min(time_s) AS lo, max(time_s) AS hi FROM t0 WHERE rank_score >= 0), "
         "a AS (SELECT family, count(*) AS n_total, count(*) FILTER (WHERE rank_score >= 0) AS n_valid, avg(rank_score) FILTER (WHERE rank_score >= 0) AS sc, avg((rank_score >= top)::INT) FILTER (WHERE rank_score >= 0) AS tr, avg(strict_like::INT) FILTER (WHERE rank_score >= 0) AS st, avg(loose_like::INT) FILTER (WHERE rank_score >= 0) AS lo_, avg(time_s) FILTER (WHERE rank_score >= 0) AS mt, "
         "avg((coalesce(contains(error, 'timeout'), false)::INT + coalesce(contains(error, 'Recursion'), false)::INT + coalesce(contains(error, 'import'), false)::INT) / 3.0) AS risk, lo, hi FROM t0, w GROUP BY family, lo, hi) "
         "SELECT f.family, coalesce(n_total, 0) AS n_total, coalesce(n_valid, 0) AS n_valid, round(CASE WHEN n_total IS NULL THEN 0.05 ELSE greatest(0.01, 0.42 * coalesce(sc, 0) + 0.22 * coalesce(tr, 0) + 0.18 * coalesce(st, 0) + 0.08 * coalesce(lo_, 0) + 0.10 * n_valid / CAST(n_total AS DOUBLE) - 0.12 * (coalesce(mt, hi) - lo) / greatest(1e-9, hi - lo) - 0.10 * risk) END, 9) AS credit FROM (VALUES "
         + ", ".join(f"('{f}')" for f in FAMILIES) + ") f(family) LEFT JOIN a USING (family)",
-    "policy_heldout": _R + f", fl AS (SELECT *, {_FLAGS} FROM ({_scores('stage', '(SELECT *, idx - 60 AS step FROM rec WHERE idx > 60)')})) SELECT * FROM (SELECT run_id, count(*) AS nodes, count(*) FILTER (WHERE valid) AS valid_nodes, round(CAST(max(rank_score) AS DOUBLE), 9) AS best_score, arg_max(step, (rank_score, -step)) AS best_step, count(*) FILTER (WHERE loose_like) AS loose FROM fl GROUP BY run_id) JOIN (" + _HITS("step", (1, 5)) + ") USING (run_id)",
+    "policy_heldout": _R + f", fl AS (SELECT *, {_FLAGS} FROM ({_scores('1', '(SELECT *, idx - 60 AS step FROM rec WHERE idx > 60)', _KEY)})) SELECT * FROM (SELECT run_id, count(*) AS nodes, count(*) FILTER (WHERE valid) AS valid_nodes, round(CAST(max(rank_score) AS DOUBLE), 9) AS best_score, arg_max(step, (rank_score, -step)) AS best_step, count(*) FILTER (WHERE loose_like) AS loose FROM fl GROUP BY run_id) JOIN (" + _HITS("step", (1, 5)) + ") USING (run_id)",
     "policy_unseen": _R + "SELECT candidate_id FROM (SELECT DISTINCT candidate_id, left(sha1(code), 16) AS h FROM candidate_programs WHERE code IS NOT NULL) WHERE h NOT IN (SELECT code_hash FROM rec WHERE code_hash IS NOT NULL)",
     "policy_bounds": _R + ", v AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY rank_score DESC, node_id) AS p FROM rec WHERE valid AND rank_score IS NOT NULL AND time_s IS NOT NULL), t AS (SELECT * FROM v WHERE p <= greatest(5, least(30, n))), "
         "f AS (SELECT run_id, string_agg(family, ',' ORDER BY i) AS families FROM (SELECT run_id, family, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, min(p)) AS i FROM t GROUP BY run_id, family) WHERE i <= 5 GROUP BY run_id) SELECT run_id, max(n) AS n, count(*) AS top_n, round(greatest(0.05, 4 * quantile_cont(time_s, 0.5)), 9) AS runtime_cap, families FROM t JOIN f USING (run_id) GROUP BY run_id, families",
