@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from shatterlens.operators.windows import average_rank, numbered
+from shatterlens.scratch import Scratch
 
 #: Weights of relative credit, fragmentation, time and absolute quality by stage.
 STAGE_WEIGHTS = {1: (0.45, 0.25, 0.20, 0.10), 3: (0.40, 0.25, 0.25, 0.10)}
@@ -178,7 +179,7 @@ def quota_seeds(records: DataFrame, keys: list[str], limit: int, tie: str, signa
     v = v.withColumn("_q", 0.45 * rank("delta_root", True) + 0.25 * rank("auc_cnbi", True) + 0.20 * rank("r", False) + 0.10 * rank("time_s", False))
     v = v.withColumn("_b", 0.30 * rank("delta_root", True) + 0.25 * rank("auc_cnbi", True) + 0.25 * rank("r", False) + 0.20 * rank("time_s", False))
     cuts = v.groupBy(*keys).agg(F.percentile("auc_cnbi", 0.55).alias("_auc55"), F.percentile("time_s", 0.75).alias("_t75"))
-    v = v.join(cuts, keys)
+    v = Scratch(records.sparkSession).save(v.join(cuts, keys), "valid")  # five branches read it
     place = lambda df, c: df.withColumn("_n", F.row_number().over(w.orderBy(F.desc(c), F.asc(tie))))
     best = place(v, "_q").where(F.col("_n") <= quota["Q"])
     fast = v.where(F.col("auc_cnbi") >= F.col("_auc55"))
