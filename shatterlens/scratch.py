@@ -8,12 +8,31 @@ and adaptive execution knows the true sizes.
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: dict[str, str] = {}
+_roots: list[str] = []
+_owner = os.getpid()
+
+
+@atexit.register
+def _clear() -> None:
+    """When the driver's Python ends: delete its tables, where the shared folder is a path here."""
+    for root in _roots if os.getpid() == _owner else ():  # a forked child deletes nothing
+        path = root.removeprefix("file://").removeprefix("file:")
+        if path.startswith("/"):
+            shutil.rmtree(path, ignore_errors=True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that operators of this process wrote; results that read them must be written by then."""
+    while _roots:
+        _delete(spark, _roots.pop())
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -21,7 +40,7 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or _own_dir.get("root")
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith(("local[", "local ")) and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     holder = tempfile.TemporaryDirectory(prefix="shatterlens-")
     atexit.register(holder.cleanup)
@@ -42,7 +61,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_root(spark)}/shatterlens-{uuid.uuid4().hex}"
         self._path_of: dict[int, str] = {}
+        self._kept: list[DataFrame] = []
         self._n = 0
+        _roots.append(self.root)
 
     def save(self, df: DataFrame, label: str = "t") -> DataFrame:
         """Write ``df`` and return a frame that reads the written files."""
@@ -51,7 +72,7 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._path_of[id(out)] = path
-        self._keep = [*getattr(self, "_keep", []), out]
+        self._kept.append(out)  # so that no other frame gets its id
         return out
 
     def drop(self, df: DataFrame) -> None:
