@@ -9,11 +9,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shatterlens.operators.adaptive import Blend
 from shatterlens.operators.ranking import search_scores, similarity_flags
 from shatterlens.operators.windows import average_rank
 
@@ -285,11 +287,29 @@ def rank_then_count(records: DataFrame, dataset: str, method: str) -> DataFrame:
     )
 
 
-def mutated(blend, seed: int, scale: float = 0.25):
-    """A typed score blend with a few weights perturbed; the same seed gives the same blend."""
-    from dataclasses import replace
+#: Clades of typed blends and the weights that each must have.
+CLADES = {
+    "degree_core": ("w_degree", "w_core"),
+    "open_wedge": ("w_split", "w_degree"),
+    "bridge_aware": ("w_split", "w_bridge_mult", "w_degree"),
+    "core_scale": ("w_core", "w_nds", "w_degree"),
+    "component_aware": ("w_comp", "w_degree"),
+    "local_bridge_edges": ("w_bridge_edges", "w_degree"),
+}
+_WEIGHTS = ("w_split", "w_bridge_mult", "w_degree", "w_nds", "w_core", "w_comp", "w_bridge_edges")
 
+
+def random_blend(clade: str, seed: int) -> Blend:
+    """A typed blend of a clade: its own weights in [0.5, 2], each other one in [0, 0.5] or, half of the time, 0."""
+    rng = np.random.default_rng(seed)
+    own = CLADES[clade]
+    weights = {n: float(rng.uniform(0.5, 2.0) if n in own else rng.uniform(0, 0.5) * (rng.random() < 0.5)) for n in _WEIGHTS}
+    return Blend(clade=clade, update_radius=int(rng.integers(1, 3)), use_component=clade == "component_aware", **weights)
+
+
+def mutated(blend: Blend, seed: int, scale: float = 0.25) -> Blend:
+    """A blend with one to three weights perturbed; the same seed gives the same blend."""
     rng = np.random.default_rng(seed)
-    names = [n for n in ("w_split", "w_bridge_mult", "w_degree", "w_nds", "w_core", "w_comp", "w_bridge_edges")]
-    chosen = rng.choice(len(names), size=rng.integers(1, 4), replace=False)
-    return replace(blend, **{names[i]: float(max(0.0, getattr(blend, names[i]) * (1 + scale * rng.standard_normal()) + 0.05 * rng.random())) for i in chosen})
+    chosen = rng.choice(len(_WEIGHTS), size=rng.integers(1, 4), replace=False)
+    moved = {_WEIGHTS[i]: float(max(0.0, getattr(blend, _WEIGHTS[i]) * (1 + scale * rng.standard_normal()) + 0.05 * rng.random())) for i in chosen}
+    return replace(blend, **moved)

@@ -111,6 +111,9 @@ def test_draws_are_reproducible_and_weighted(spark):
     assert sum(counts.values()) == 1000 and 420 < counts["heavy"] < 580
     clades = spark.createDataFrame([("r", "a", 5, 5, 0), ("r", "b", 5, 0, 5)], "run_id string, clade string, n bigint, wins bigint, losses bigint")
     assert po.clade_choice(clades).collect() == po.clade_choice(clades).collect()
+    for clade, own in po.CLADES.items():
+        blend = po.random_blend(clade, 1)
+        assert blend == po.random_blend(clade, 1) and all(getattr(blend, w) >= 0.5 for w in own)
     assert po.mutated(adaptive.REFERENCE_BLEND, 3) == po.mutated(adaptive.REFERENCE_BLEND, 3) != adaptive.REFERENCE_BLEND
 
 
