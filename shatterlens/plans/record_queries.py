@@ -107,7 +107,8 @@ def rank_gate(spark, d):
     """Method means against two reference points, one of which has no radius."""
     refs = spark.createDataFrame([("q", 100.0, 0.4, 60.0), ("s", 80.0, None, 40.0)], "label string, ref_auc_cnbi double, ref_r double, ref_time_s double")
     means = po.rank_then_count(metrics(spark, d), "dataset", "method")
-    return rk.gate(means, refs).select("method", "label", "auc_ok", "r_ok", "time_ok", "passes")
+    word = lambda c: F.when(F.col(c).isNull(), "unknown").when(F.col(c), "yes").otherwise("no").alias(c)
+    return rk.gate(means, refs).select("method", "label", word("auc_ok"), word("r_ok"), word("time_ok"), "passes")
 
 
 def rank_similarity(spark, d):
@@ -282,7 +283,7 @@ def policy_experiment_summary(spark, d):
 
 
 def policy_stage_progress(spark, d):
-    return po.stage_progress(records(spark, d), "family")
+    return po.stage_progress(records(spark, d), "family").withColumn("latest", F.date_format("latest", "yyyy-MM-dd HH:mm:ss"))
 
 
 def table_method_means(spark, d):
@@ -378,7 +379,7 @@ ORACLES = {
         "SELECT dataset, place, tree_branch, method FROM (SELECT *, CAST(row_number() OVER (PARTITION BY dataset ORDER BY part, n) AS INTEGER) AS place FROM al) WHERE place <= 12",
     "rank_round_robin": _M + ", a AS (SELECT *, row_number() OVER w AS inn, -first_value(auc_cnbi) OVER w AS nb, first_value(method) OVER w AS bm FROM m WHERE auc_cnbi IS NOT NULL WINDOW w AS (PARTITION BY dataset, method_group ORDER BY auc_cnbi DESC, method)) SELECT dataset, method, CAST(row_number() OVER (PARTITION BY dataset ORDER BY inn, nb, bm) AS INTEGER) AS turn FROM a",
     "rank_keep_last": _M + "SELECT method, dataset, source FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY (source = 'rerun') DESC NULLS LAST, dataset) AS n FROM m) WHERE n = 1",
-    "rank_gate": _M + ", " + _MEANS + ", ref AS (SELECT * FROM (VALUES ('q', 100.0, 0.4, 60.0), ('s', 80.0, NULL, 40.0)) t(label, ra, rr, rt)) SELECT method, label, mean_auc_cnbi >= ra AS auc_ok, mean_r <= rr AS r_ok, mean_time_s <= rt AS time_ok, coalesce(mean_auc_cnbi >= ra, mean_r <= rr, mean_time_s <= rt) IS NOT NULL AND coalesce(mean_auc_cnbi >= ra, true) AND coalesce(mean_r <= rr, true) AND coalesce(mean_time_s <= rt, true) AS passes FROM means, ref",
+    "rank_gate": _M + ", " + _MEANS + ", ref AS (SELECT * FROM (VALUES ('q', 100.0, 0.4, 60.0), ('s', 80.0, NULL, 40.0)) t(label, ra, rr, rt)) SELECT method, label, " + ", ".join(f"CASE WHEN ({e}) IS NULL THEN 'unknown' WHEN {e} THEN 'yes' ELSE 'no' END AS {n}" for e, n in (("mean_auc_cnbi >= ra", "auc_ok"), ("mean_r <= rr", "r_ok"), ("mean_time_s <= rt", "time_ok"))) + ", coalesce(mean_auc_cnbi >= ra, mean_r <= rr, mean_time_s <= rt) IS NOT NULL AND coalesce(mean_auc_cnbi >= ra, true) AND coalesce(mean_r <= rr, true) AND coalesce(mean_time_s <= rt, true) AS passes FROM means, ref",
     "rank_similarity": _R + f"SELECT * FROM (SELECT run_id, node_id, {_FLAGS} FROM rec) WHERE loose_like",
     "rank_first_hits": _R + f", fl AS (SELECT *, {_FLAGS} FROM rec) " + _HITS("idx", (1, 5, 20)),
     "rank_best_so_far": _R + "SELECT run_id, node_id, max(coalesce(rank_score, -1)) OVER (PARTITION BY run_id ORDER BY idx ROWS UNBOUNDED PRECEDING) AS best FROM rec",
@@ -414,6 +415,6 @@ ORACLES = {
         "f AS (SELECT run_id, string_agg(family, ',' ORDER BY i) AS families FROM (SELECT run_id, family, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, min(p)) AS i FROM t GROUP BY run_id, family) WHERE i <= 5 GROUP BY run_id) SELECT run_id, max(n) AS n, count(*) AS top_n, round(greatest(0.05, 4 * quantile_cont(time_s, 0.5)), 9) AS runtime_cap, families FROM t JOIN f USING (run_id) GROUP BY run_id, families",
     "policy_family_summary": _R + "SELECT family, count(*) AS candidates, round(avg(valid::INT), 9) AS valid_rate, round(avg(cnbi - 100) FILTER (WHERE valid), 9) AS mean_delta, round(max(cnbi - 100) FILTER (WHERE valid), 9) AS top_delta, round(avg(time_s) FILTER (WHERE valid), 9) AS mean_time_s, round(max(rank_score) FILTER (WHERE valid), 9) AS top_rank_score, round(avg(coalesce(contains(error, 'timeout'), false)::INT), 9) AS slow_pattern_rate FROM rec GROUP BY family",
     "policy_experiment_summary": _M + ", a AS (SELECT *, row_number() OVER (PARTITION BY method_group ORDER BY valid DESC, coalesce(auc_cnbi, -1) DESC, dataset || '/' || method) AS p FROM m) SELECT method_group, count(*) AS candidates, round(avg(valid::INT), 9) AS valid_rate, round(avg((coalesce(time_s, 0) > 50)::INT), 9) AS slow_rate, round(avg(auc_cnbi) FILTER (WHERE valid), 9) AS mean_auc_cnbi, round(max(auc_cnbi) FILTER (WHERE valid), 9) AS best_auc_cnbi, round(avg(auc_cnbi) FILTER (WHERE valid AND p <= 5), 9) AS top5_auc_cnbi, round(avg(r) FILTER (WHERE valid), 9) AS mean_r, round(min(r) FILTER (WHERE valid), 9) AS best_r, round(avg(time_s) FILTER (WHERE valid), 9) AS mean_time_s, round(avg(time_s) FILTER (WHERE valid AND p <= 5), 9) AS top5_time_s, round(avg((source = 'rerun')::INT) FILTER (WHERE valid), 9) AS rerun_rate FROM a GROUP BY method_group",
-    "policy_stage_progress": _R + 'SELECT family, count(*) AS rows, count(*) FILTER (WHERE valid) AS valid_rows, count(*) FILTER (WHERE contains(lower(error), \'timeout\')) AS timeouts, max(logged_at) AS latest FROM rec GROUP BY family',
+    "policy_stage_progress": _R + "SELECT family, count(*) AS rows, count(*) FILTER (WHERE valid) AS valid_rows, count(*) FILTER (WHERE contains(lower(error), 'timeout')) AS timeouts, strftime(max(logged_at), '%Y-%m-%d %H:%M:%S') AS latest FROM rec GROUP BY family",
     "table_method_means": _M + ", " + _MEANS + "SELECT method, datasets, round(mean_r, 8) AS mean_r, round(mean_auc_cnbi, 8) AS mean_auc_cnbi, round(mean_time_s, 8) AS mean_time_s, top1_auc, top3_auc, round(CAST(mean_rank_auc AS DOUBLE), 8) AS mean_rank_auc FROM means",
 }
