@@ -16,10 +16,36 @@ BUCKET_ROWS = 50_000
 FAN_IN = 512
 #: Sources in the target table up to which it is broadcast.
 BROADCAST_SOURCES = 10_000
+#: A document this many times as long as the mean of the shorter ones is settled against all of them.
+OUTSIZED = 8
 _NEAR = 1e-9
 _COLUMNS = ["id", "source", "n_tokens", "base", "p", "bucket"]
 
 
+def settle_outsized(p: np.ndarray, size: np.ndarray, draws: np.ndarray) -> int:
+    """Round documents far longer than those after them, in place, where all have the same p; how many.
+
+    Such a document is paired with all shorter ones together, which share the mass moved evenly: one by
+    one they would seldom move enough to settle it, and its rounding at the end would miss the target by its length.
+    """
+    n = len(p)
+    if n < 2 or p[0] - p.min() > _NEAR or p.max() - p[0] > _NEAR:
+        return 0
+    left, at = float(size.sum()), float(p[0])
+    for i in range(n - 1):
+        left -= size[i]
+        if size[i] <= OUTSIZED * left / (n - 1 - i) or not _NEAR < at < 1 - _NEAR:
+            break
+        up, down = min((1 - at) * size[i], at * left), min(at * size[i], (1 - at) * left)
+        move = up if draws[i] * (up + down) < down else -down
+        p[i] = at + move / size[i]
+        at -= move / left
+        p[i + 1 :] = at
+    else:
+        return n - 1
+    return i
+
+
 def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Round probabilities to 0 and 1 in pairs, keeping sum(p * size) and the mean of each; at most one stays between.
 
@@ -28,6 +54,8 @@ def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarr
     """
     p = p.astype(float).copy()
     draws = rng.random(len(p))
+    settle_outsized(p, size, draws)
+    draws = rng.random(len(p))
     held = -1
     for i in range(len(p)):
         if not _NEAR < p[i] < 1 - _NEAR:

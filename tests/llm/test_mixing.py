@@ -19,6 +19,18 @@ def test_pivot_keeps_mass_and_expectation():
     assert np.abs(total / 4000 - 0.4).max() < 0.04
 
 
+def test_outsized_documents_do_not_miss_the_target():
+    size = np.array([20_000.0, 9_000, *[300 + i for i in range(400, 0, -1)], *range(90, 0, -1)])
+    worst, total = 0.0, np.zeros(len(size))
+    for seed in range(1500):
+        p = pivot(np.full(len(size), 0.42), size, np.random.default_rng(seed))
+        assert abs((p * size).sum() - 0.42 * size.sum()) < 1e-4
+        inner = (p > 0) & (p < 1)
+        worst = max(worst, (size[inner]).max(initial=0))
+        total += p
+    assert worst < 1000 and np.abs(total / 1500 - 0.42).max() < 0.06
+
+
 def test_shares_caps_and_partitions(spark):
     sizes = spark.range(3000).select("id", F.expr("case when id % 3 = 0 then 'hot' when id % 50 = 1 then 'small' when id % 7 = 0 then null else 'other' end").alias("source"), (F.col("id") % 40).alias("n_tokens"))
     targets = spark.createDataFrame([("hot", 0.2, 2, ""), ("small", 0.3, 3, ""), ("other", 0.5, 4, ""), ("none", 0.1, 2, ""), (None, 0.1, 1, "")], TARGETS)
