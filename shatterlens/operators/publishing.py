@@ -48,13 +48,13 @@ def strided(rows: DataFrame, keys: Sequence[str], order: str, wanted: int) -> Da
     return rows.withColumn("_n", F.row_number().over(w.orderBy(order)) - 1).withColumn("_s", step).where("_n % _s = 0").drop("_n", "_s")
 
 
-def hidden_cases(curves: DataFrame, tolerance: float, gap: float, wanted: int = 180) -> DataFrame:
+def hidden_cases(curves: DataFrame, tolerance: float, gap: float, wanted: int | None = 180) -> DataFrame:
     """Pairs of steps of two methods on a graph with gcc within ``tolerance`` but cnbi at least ``gap`` apart.
 
-    Curves are thinned to about ``wanted`` steps each; a step of the first method (by name) meets
+    Curves are thinned to about ``wanted`` steps each, or not at all with None; a step of the first method (by name) meets
     the nearest step of the second, the earlier of two.
     """
-    thin = strided(curves, ["graph", "method"], "step", wanted).select("graph", "method", "step", "gcc", "cnbi")
+    thin = (curves if wanted is None else strided(curves, ["graph", "method"], "step", wanted)).select("graph", "method", "step", "gcc", "cnbi")
     names = thin.select("graph", "method").distinct()
     pairs = names.select("graph", F.col("method").alias("method_a")).join(names.select("graph", F.col("method").alias("method_b")), "graph").where(F.col("method_a") < F.col("method_b"))
     a = thin.withColumnRenamed("method", "method_a").join(pairs, ["graph", "method_a"])

@@ -92,12 +92,17 @@ def table_ratio(spark, d):
     return out.select("method", sc.percent_label(F.col("retention")).alias("retention"), sc.factor_label(F.col("speedup")).alias("speedup"))
 
 
-def table_hidden_cases(spark, d):
+def table_hidden_cases(spark, d, every=10, wanted=40):
     """Steps of two removal orders with the same largest part but different spread."""
     from shatterlens.operators import fragmentation as fr
     from shatterlens.plans.graph_queries import _two_orders
 
-    return rounded(pb.hidden_cases(fr.with_metrics(_two_orders(spark, d)), 0.003, 0.05, 40).select("method_a", "method_b", "step_a", "step_b", "hidden_gap"))
+    return rounded(pb.hidden_cases(fr.with_metrics(_two_orders(spark, d, every)), 0.003, 0.05, wanted).select("method_a", "method_b", "step_a", "step_b", "hidden_gap"))
+
+
+def table_hidden_cases_whole(spark, d):
+    """The same on the whole graph, of all steps."""
+    return table_hidden_cases(spark, d, every=1, wanted=None)
 
 
 def table_strided(spark, d):

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from test_graphs import parts
 
-from shatterlens.operators import adaptive
-from shatterlens.plans import graph_queries as gq
+from shatterlens.operators import adaptive, publishing as pb
+from shatterlens.plans import graph_queries as gq, table_queries as tq
 from shatterlens.sources import graphs
 
 pytestmark = pytest.mark.skipif(not Path(oracle.DATA).exists(), reason="the test tables are not here")
@@ -66,3 +66,23 @@ def test_betweenness_of_the_whole_graph(spark, supply):
     nodes, pairs = supply
     total = adaptive.brandes(adaptive.Graph(nodes, pairs).sets(), range(len(nodes)), range(len(nodes)))
     assert by_step(gq.order_betweenness(spark, oracle.DATA), "betweenness") == [nodes[i] for i in sorted(range(len(nodes)), key=lambda i: (-round(total[i], 6), nodes[i]))]
+
+
+def test_hidden_cases_of_all_steps(spark):
+    curve = gq.QUERIES["curve_paper_variant_whole"]  # for the methods and steps
+    met = gq.fr.with_metrics(gq._two_orders(spark, oracle.DATA, 1)).collect()
+    assert len(met) == curve(spark, oracle.DATA).count()
+    a, b = ([r for r in met if r.method == m] for m in ("ci", "degree"))
+    want = set()
+    for x in a:
+        near = min(b, key=lambda y: (abs(x.gcc - y.gcc), y.step))
+        if abs(x.gcc - near.gcc) <= 0.003 and abs(x.cnbi - near.cnbi) >= 0.05:
+            want.add((x.step, near.step, round(abs(x.cnbi - near.cnbi), 6)))
+    got = {(r.step_a, r.step_b, r.hidden_gap) for r in tq.QUERIES["table_hidden_cases_whole"](spark, oracle.DATA).collect()}
+    assert got == want
+
+
+def test_hidden_cases_between_kept_steps(spark):
+    rows = [("g", m, k, 1 - k / 1000, float(k == 7 and m == "a")) for m in "ab" for k in range(1, 801)]
+    df = spark.createDataFrame(rows, "graph string, method string, step int, gcc double, cnbi double")
+    assert [(r.step_a, r.step_b) for r in pb.hidden_cases(df, 0.0001, 0.5, None).collect()] == [(7, 7)]
