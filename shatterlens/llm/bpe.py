@@ -28,8 +28,8 @@ BYTE_BPE_50K = "byte_bpe_50k.json"
 
 # Fixed value: how byte-level BPE splits text before merging.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: The same over ASCII only, for the faster of the two regular expression engines.
-_ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\s0-9A-Za-z]+|\s+(?!\S)|\s+""")
+#: The same over ASCII only, for the faster of the two regular expression engines, whose \s would also take U+001C to U+001F.
+_ASCII = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+""")
 _ANY = regex.compile(PIECES)
 #: Pieces kept per Python worker, and the longest one that is kept.
 CACHE_PIECES, CACHE_LENGTH = 200_000, 64

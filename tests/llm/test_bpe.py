@@ -56,3 +56,13 @@ def test_corpus(spark):
     assert got == [(1, ids("a b")), (1, ids("a b")), (2, []), (3, [])]
     assert sorted(tuple(r) for r in count_tokens(df, ["doc_id", "ids"]).collect()) == [(1, "x", 2), (1, "x", 2), (2, "x", 0), (3, "x", 0)]
     assert encode_corpus(df.limit(0)).count() == 0
+
+
+def test_separators_are_no_white_space():
+    import random
+
+    from shatterlens.llm import bpe
+
+    rng = random.Random(5)
+    for text in ["page one\n\n\x1cpage two", *("".join(rng.choices("ab 1.\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f'", k=40)) for _ in range(500))]:
+        assert bpe._ASCII.findall(text) == bpe._ANY.findall(text)
