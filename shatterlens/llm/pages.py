@@ -18,8 +18,6 @@ from pyspark.sql import DataFrame
 
 #: Share of a page's characters beyond which it counts.
 SHARE = 0.5
-#: Shapes that make up a list page: on real pages far fewer cover nearly all of their lists.
-FEW = 12
 
 # Frequent function words of the languages of the corpus, which keyword lists lack.
 FUNCTION_WORDS = frozenset(
@@ -139,8 +137,8 @@ def line_shape(line: str, kind: int) -> tuple[int, int, int, int, str]:
     return kind, len(_URL.findall(line)).bit_length(), len(words).bit_length(), capitals.bit_length(), max(marks, key=marks.__getitem__) if marks else " "
 
 
-def list_share(text: str | None, few: int = FEW) -> float:
-    """Share of a page's characters (line breaks aside) in its ``few`` largest groups of lines of one list shape.
+def list_share(text: str | None, few: int | None = None) -> float:
+    """Share of a page's characters (line breaks aside) in lines of list shapes, all or the ``few`` commonest ones.
 
     Lines are cut at sentence ends first, as lists can follow a sentence on its line. Lines of a few words
     count as lists only where at least four of them stand on a page.

@@ -63,3 +63,12 @@ def test_long_lines_take_linear_time(line):
     for text in (line * 200_000, "x" + line * 200_000 + "!", ("x" + line + " " * 50_000) * 3):
         list_share(text)
     assert time.perf_counter() - began < 20
+
+
+def test_lists_of_many_shapes_count_whole():
+    from shatterlens.llm import pages
+
+    rows = [mark.join([f" {word} "] * n) for n in (3, 5, 9, 17) for mark in "|/>" for word in ("Home", "home")] + ["http://a.org/ " * n for n in (1, 2, 4)]
+    page = "\n".join(rows)
+    assert len({pages.line_shape(x, pages.line_kind(x)) for x in rows if pages.line_kind(x) == pages.LIST}) > 12
+    assert pages.list_share(page) == 1 > pages.list_share(page, 12)
