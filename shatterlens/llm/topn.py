@@ -24,7 +24,7 @@ def top_n_per_group(items: DataFrame, group: str, score: str, n: int, ties: Sequ
 
     1. Histograms: rows are counted per (group, score bin), combined before the shuffle. The
        threshold of a group is the highest bin at or above which it has ``n`` rows, so at least
-       ``n`` rows reach it. Groups of fewer rows have none.
+       ``n`` rows reach it. Where that drops no row, only large groups have one, their lowest bin.
     2. Rows below the threshold are dropped. Thresholds of large groups are broadcast (fewer than
        ``1 / hot_share`` rows), so that these shrink before any shuffle; those of the others join by
        the shuffle that the ranking needs anyway.
@@ -44,10 +44,10 @@ def top_n_per_group(items: DataFrame, group: str, score: str, n: int, ties: Sequ
     histogram = rows.groupBy(group, bin_).agg(F.count(F.lit(1)).alias(n_))
     downward = Window.partitionBy(group).orderBy(F.desc(bin_)).rowsBetween(Window.unboundedPreceding, 0)
     reached = histogram.withColumn(cum, F.sum(n_).over(downward))
-    thresholds = reached.groupBy(group).agg(F.max(F.when(F.col(cum) >= n, F.col(bin_))).alias(least), F.max(cum).alias(size), F.min(bin_).alias(lowest))
-    thresholds = scratch.save(thresholds.where(F.col(least) > F.col(lowest)).select(group, least, size), "thresholds")
-
+    thresholds = reached.groupBy(group).agg(F.coalesce(F.max(F.when(F.col(cum) >= n, F.col(bin_))), F.min(bin_)).alias(least), F.max(cum).alias(size), F.min(bin_).alias(lowest))
     large = F.col(size) > F.lit(total * hot_share)
+    thresholds = scratch.save(thresholds.where((F.col(least) > F.col(lowest)) | large).select(group, least, size), "thresholds")
+
     hot = thresholds.where(large).select(group, least)
     cold = thresholds.where(~large).select(group, F.col(least).alias(cold_least))
     marked = rows.join(F.broadcast(hot), group, "left")

@@ -35,3 +35,15 @@ def test_one_score_only_and_extra_columns(spark):
 
 def test_empty(spark):
     assert top_n_per_group(spark.createDataFrame([], SCHEMA).select("g", "score", "k"), "g", "score", 3, [F.asc("k")]).count() == 0
+
+
+def test_large_groups_of_one_bin_skip_the_join(spark, monkeypatch):
+    from shatterlens.llm import topn
+
+    kept = {}
+    save = topn.Scratch.save
+    monkeypatch.setattr(topn.Scratch, "save", lambda self, df, name: kept.setdefault(name, save(self, df, name)))
+    items = spark.range(300).select("id", F.when(F.col("id") < 200, "tied").otherwise("spread").alias("g"), F.when(F.col("id") < 200, 0.0).otherwise(F.col("id").cast("double")).alias("x"))
+    got = topn.top_n_per_group(items, "g", "x", 3, [F.col("id")], hot_share=1 / 10)
+    assert {r.g for r in kept["thresholds"].collect()} == {"tied", "spread"}
+    assert sorted((r.g, r.place, r.id) for r in got.collect()) == [("spread", 1, 299), ("spread", 2, 298), ("spread", 3, 297), ("tied", 1, 0), ("tied", 2, 1), ("tied", 3, 2)]
