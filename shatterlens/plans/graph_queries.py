@@ -183,6 +183,13 @@ def order_highest_degree(spark, d):
     return orders.where(F.col("step") <= 7)
 
 
+def order_highest_degree_whole(spark, d):
+    """The whole orders of the three tie rules on trading nations and the whole customer-supplier graph."""
+    edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d)))
+    methods = {k: adaptive.METHODS[k] for k in ("hda_original", "hda_fast", "hda_number")}
+    return adaptive.adaptive_orders(edges, graphs.nodes_of(edges), methods, RATE)
+
+
 def order_completed(spark, d, every=10):
     """A partial order with repeats and strangers, completed."""
     edges = supply_edges(spark, d, every)
@@ -333,7 +340,7 @@ def whole(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], Data
 _plain = [
     graph_largest_component, graph_chain, graph_edge_sample, study_validation, study_search,
     graph_sizes, graph_degree, graph_degree_histogram, graph_triangles, graph_clustering, graph_common_neighbours, graph_local_bridges, graph_sphere, graph_stats, graph_components,
-    graph_residual, graph_user_successors, graph_core_numbers, graph_communities, order_degree, order_core, order_betweenness, order_adaptive, order_proxies, order_highest_degree,
+    graph_residual, graph_user_successors, graph_core_numbers, graph_communities, order_degree, order_core, order_betweenness, order_adaptive, order_proxies, order_highest_degree, order_highest_degree_whole,
     order_completed, order_timed, curve_states, curve_metrics, curve_running, curve_summary, curve_advantage, curve_residual_means, curve_paper_variant, curve_value_at, curve_forest,
     curve_component_states, curve_adaptive, curve_mean_over_graphs,
 ]

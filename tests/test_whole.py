@@ -86,3 +86,23 @@ def test_hidden_cases_between_kept_steps(spark):
     rows = [("g", m, k, 1 - k / 1000, float(k == 7 and m == "a")) for m in "ab" for k in range(1, 801)]
     df = spark.createDataFrame(rows, "graph string, method string, step int, gcc double, cnbi double")
     assert [(r.step_a, r.step_b) for r in pb.hidden_cases(df, 0.0001, 0.5, None).collect()] == [(7, 7)]
+
+
+def test_highest_degree_orders_are_whole(spark, supply):
+    nodes, pairs = supply
+    ties = {"hda_original": max, "hda_fast": min}
+    got = gq.order_highest_degree_whole(spark, oracle.DATA).cache()
+    for name, pick in ties.items():
+        left, order = set(nodes), by_step(got, name)
+        assert sorted(order) == nodes
+        for i in order[: round(0.3 * len(nodes))]:
+            degree = {x: 0 for x in left}
+            for u, v in pairs:
+                if u in left and v in left:
+                    degree[u] += 1
+                    degree[v] += 1
+            most = max(degree.values())
+            assert i == pick((x for x in left if degree[x] == most), key=str), name
+            left.discard(i)
+    trade = got.where("graph = 'trade'").groupBy("method").count().collect()
+    assert {r["method"]: r["count"] > 8 for r in trade} == dict.fromkeys(("hda_original", "hda_fast", "hda_number"), True)
