@@ -1,10 +1,11 @@
 """Pages of stuffed keywords, links, tags, product labels or menu paths instead of sentences.
 
 Every line of a page is reduced to its shape: how many links, how its words spread over fields
-between separators, how many of them are capitals, numbers or function words, how it ends. Shapes
-that no sentence, table, setting, program, log, citation or glossary has are list shapes. Lines of
-a page are grouped by shape, and the page is flagged if its few largest groups of list shapes hold
-more than half of its characters.
+between separators, how many of them are capitals or numbers, how it ends. No list of words of any
+language takes part. Some shapes are lists by themselves (links with short labels, tags, menu
+paths, many short fields). Phrases and runs of words are lists if the page repeats them: keywords
+come again within a line, or in new combinations, where sentences have new words or come again
+whole. A page is flagged if list lines hold more than half of its characters.
 """
 
 from __future__ import annotations
@@ -18,26 +19,28 @@ from pyspark.sql import DataFrame
 
 #: Share of a page's characters beyond which it counts.
 SHARE = 0.5
-
-# Frequent function words of the languages of the corpus, which keyword lists lack.
-FUNCTION_WORDS = frozenset(
-    """the a an of and to is are was were be been it its this that these those with for on in at by from as not no or but if so we our i my
-    he she they their has have had do does did can could will would should may than then there when while which who whose what why how all only before after into each
-    der die das den dem des ein eine einen einem und ist sind war nicht mit von zu im auf für bei nach aus dass wird werden wir sie es sich auch nur alle oder als warum ab ohne bis um durch unter gegen zwischen zur zum vom am hat haben man noch viele kein keine wenn
-    le la les un une des du de et est sont avec pour dans sur par que qui ne pas au aux ce cette il elle nous plus mais
-    el los las una y es son con para en por que no se lo su al del como pero más""".split()
-)
-# First words of Python lines.
-CODE_WORDS = frozenset("import from def return for if elif else while with try except finally class continue break pass raise yield lambda assert del global nonlocal print async await".split())
+#: Words of a block that is judged as one, and the least share of its words that must be repeated.
+BLOCK_WORDS, REPEATED = 50, 0.3
+#: A shorter block repeats nothing; weight of a block's share beside that of a piece of it.
+LEAST_WORDS, SMOOTHING = 8, 8
+#: A list of phrases has at least so many lines, and at most this share of its words are different ones.
+PHRASE_LINES, PHRASE_VARIETY = 4, 0.45
+#: Words up to this length also repeat within good sentences.
+SHORT = 3
+#: Greatest number of words in a phrase, and of words to a link.
+PHRASE_WORDS, LABEL_WORDS = 5, 8
+#: Fields of a list line, and the greatest number of words to a field.
+FIELDS, FIELD_WORDS = 4, 4
 
 _URL = re.compile(
-    r"(?:\bh(?:tt|xx)ps?://|\bwww(?:\.|\[\.\]))[^\s<>\"')\]|]+(?:\[\.\][^\s<>\"')\]|]+)*"
-    r"|(?<![a-z0-9.\]-])[a-z0-9-]++(?:(?:\.|\[\.\])[a-z0-9-]++){0,8}?(?:\.|\[\.\])(?:example|test|invalid|com|org|net|info|io|shop|biz|co|de|cn|fr|es|ru)\b(?:(?:\.|\[\.\])[a-z]{2,4}\b)?(?:/[^\s<>\"')\]|]*)?",
+    r"\bh(?:tt|xx)ps?://[^\s<>\"')\]|]+(?:\[\.\][^\s<>\"')\]|]+)*|\bwww(?:\.|\[\.\])[^\s<>\"')\]|]+(?:\[\.\][^\s<>\"')\]|]+)*"
+    r"|(?<![\w.@/\]-])[a-z0-9-]++(?:(?:\.|\[\.\])[a-z0-9-]++){0,8}?(?:\.|\[\.\])[a-z][a-z-]+/[^\s<>\"')\]|]*",
     re.I,
 )
 _TAG = re.compile(r"</?[a-z][^<>]*>", re.I)
 _WORD = re.compile(r"\b[^\W\d_]+(?:['’-][^\W\d_]+)*\b")
-_INITIAL = re.compile(r"\b[A-Z]\. ")
+_PART = re.compile(r"[^\W\d_]+")
+_INITIAL = re.compile(r"\b[A-Z]\.[ ,]")
 _CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]+")
 _STAMP = re.compile(r"\W{0,2}\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\W{0,2}\d\d:\d\d:\d\d")
 _SETTING = re.compile(r"[\w.\-]+\s*[:=]\s*\S*(?:\s+\S+){0,2}$")
@@ -50,83 +53,63 @@ _BULLET = re.compile(r"^\s*(?:[-*+•·]|\d{1,3}[.)])\s+")
 _NUMBER = re.compile(r"[+-]?\d[\d.,:%]*$|(?:null|none|true|false|nan|n/a|-)$", re.I)
 _CODE = re.compile(r"[={}\\]|\w\(|\w\[|\)\s*:?$|:\s*$|^\s*(?:#\s|\"\"\"|@\w)|\"\"\"")
 _STOP = re.compile(r"[.!?。！？…:](?:[\"'”’)\]]*)(?:\s|$)|[。！？]")
-_CUT = re.compile(r"(?<=[a-zà-ÿ0-9)\]][.!?])\s+(?=\S)|(?<=[。！？])")
+_CUT = re.compile(r"(?<=[^\W\d_A-Z][.!?])\s+(?=\S)|(?<=[\d)\]][.!?])\s+(?=\S)|(?<=[。！？])")
+_LINKED = re.compile(r"://|www[.\[]|\[\.\]|<a |\w/", re.I)
 
-SENTENCE, DATA, LIST, PHRASE, BLANK = range(5)
+DATA, LIST, PHRASE, WORDS, SENTENCE, BLANK = range(6)
 
 
-def _words_kind(text: str) -> int:
-    """Shape of a piece without links, tags or data."""
+def _plain_kind(text: str) -> int:
+    """Kind of a piece without links, tags or marks of data."""
     fields = [f for f in _FIELDS.split(text) if f]
     numbers = sum(bool(_NUMBER.match(f)) for f in fields)
     if len(fields) > 1 and numbers * 4 >= len(fields):
         return DATA
-    cjk = _CJK.findall(text)
-    words = _WORD.findall(text)
-    if not words:
+    wide = sum(map(len, _CJK.findall(text)))
+    n = len(_WORD.findall(text))
+    if not n:
         return DATA
-    wide = sum(map(len, cjk))
-    if wide and text.rstrip()[-1] in "。！？" and len(fields) < 4:
+    end = text.rstrip()[-1]
+    if wide and end in "。！？":
         return SENTENCE
-    if wide * 2 > sum(map(len, words)):
-        if _STOP.search(text):
-            return SENTENCE
-        runs = [r for f in fields for r in f.split()]
-        if len(runs) >= 4 and wide <= 9 * len(runs):
+    if wide * 2 > len(text.replace(" ", "")):
+        runs = sum(len(f.split()) for f in fields)
+        if runs >= FIELDS and wide <= 9 * runs and not _STOP.search(text):
             return LIST
-        return PHRASE if wide <= 12 else SENTENCE
+        return PHRASE if wide <= 12 and not _STOP.search(text) else SENTENCE
     if _INITIAL.search(text):
-        return SENTENCE  # authors
-    low = [w.lower() for w in words]
-    function = sum(w in FUNCTION_WORDS for w in low)
-    n = len(words)
-    if len(fields) >= 4 and n <= 5 * len(fields):
-        if function * 8 <= n:
-            return LIST
-    if (n >= 8 and function * 12 <= n or n >= 4 and not function) and not _STOP.search(text.rstrip(" .!?。！？")):
-        return LIST  # words without grammar
-    if function or _STOP.search(text) or n > 7:
-        return SENTENCE
-    return PHRASE
-
-
-_LINKED = re.compile(r"://|www[.\[]|\[\.\]|\]\(|<a |^\W*[#\[]", re.I)
+        return WORDS  # authors
+    if len(fields) >= FIELDS and n <= FIELD_WORDS * len(fields) and (end not in ".!?。！？…" or len(fields) >= 3 * FIELDS):
+        return LIST
+    return PHRASE if n <= PHRASE_WORDS and not _STOP.search(text) else WORDS
 
 
 def line_kind(line: str) -> int:
-    """SENTENCE, DATA, LIST, PHRASE (a few words that alone say little) or BLANK."""
+    """DATA, LIST, PHRASE (a few words), WORDS (a sentence or a run of words), SENTENCE (of wide letters) or BLANK."""
     text = line.strip()
     if not text:
         return BLANK
     if len(text) > 1000:  # long gaps would be scanned again and again
         text = _WIDE.sub(r"\1\2", text)
-    if text[-1] in ".?!":
-        plain = text.lower().split()
-        if sum(w in FUNCTION_WORDS for w in plain) * 6 >= len(plain) and not _LINKED.search(text):
-            return SENTENCE
     if _STAMP.match(text):
         return DATA
     bare = _BULLET.sub("", text)
-    links = _URL.findall(bare)
-    if links or "<a " in bare:
-        rest = _TAG.sub(" ", _URL.sub(" ", bare))
-        words = _WORD.findall(rest)
-        if len(words) <= 9 * max(1, len(links)) and sum(w.lower() in FUNCTION_WORDS for w in words) * 5 <= len(words):
+    if _LINKED.search(bare):
+        links = len(_URL.findall(bare))
+        if links or "<a " in bare:
+            rest = len(_WORD.findall(_TAG.sub(" ", _URL.sub(" ", bare))))
+            return LIST if rest <= LABEL_WORDS * max(1, links) else WORDS
+    if bare[0] in "#@[":
+        if _HASH.match(bare) and not text.startswith("# ") or _BRACKETS.match(bare):
             return LIST
-        return SENTENCE
-    if _HASH.match(bare) and not text.startswith("# "):
-        return LIST
-    if _BRACKETS.match(bare):
-        return LIST
     steps = _MENU.split(bare)
     if len(steps) >= 3 and all(0 < len(s.split()) <= 5 for s in steps) and not _CODE.search(bare):
         return LIST
-    first = bare.split(None, 1)[0]
-    if first.rstrip(":") in CODE_WORDS or _CODE.search(text):
+    if _CODE.search(text):
         return DATA
     if _SETTING.match(bare) and bare.count(",") < 2:
         return DATA
-    return _words_kind(bare)
+    return _plain_kind(bare)
 
 
 def line_shape(line: str, kind: int) -> tuple[int, int, int, int, str]:
@@ -137,29 +120,105 @@ def line_shape(line: str, kind: int) -> tuple[int, int, int, int, str]:
     return kind, len(_URL.findall(line)).bit_length(), len(words).bit_length(), capitals.bit_length(), max(marks, key=marks.__getitem__) if marks else " "
 
 
+def repeated_shares(pieces: list[list[str]]) -> list[float]:
+    """Share of each piece's words that are keywords come again: longer words twice in a piece, or pairs of words that recur between other words.
+
+    A sentence made by the same pattern as another one has the same words on at least one side of its pairs. Short
+    pieces are drawn towards the share of all: that counts as so many words as SMOOTHING.
+    """
+    words = [w for p in pieces for w in p]
+    if len(words) < LEAST_WORDS or len(set(words)) * 8 > len(words) * 7:
+        return [0.0] * len(pieces)
+    covered = bytearray(len(words))
+    seen: dict[tuple[str, str], tuple[int, str, str]] = {}
+    at = 0
+    for p in pieces:
+        first: dict[str, int] = {}
+        before = ""
+        for i, w in enumerate(p):
+            k = at + i
+            if len(w) > SHORT:
+                if w in first:
+                    covered[k] = covered[first[w]] = 1
+                else:
+                    first[w] = k
+            if i + 1 < len(p):
+                after = p[i + 2] if i + 2 < len(p) else ""
+                last = seen.get((w, p[i + 1]))
+                if last and last[1] != before and last[2] != after:
+                    j = last[0]
+                    covered[k] = covered[k + 1] = covered[j] = covered[j + 1] = 1
+                seen[w, p[i + 1]] = (k, before, after)
+            before = w
+        at += len(p)
+    usual = sum(covered) / len(words)
+    out, at = [], 0
+    for p in pieces:
+        out.append((sum(covered[at : at + len(p)]) + SMOOTHING * usual) / (len(p) + SMOOTHING))
+        at += len(p)
+    return out
+
+
 def list_share(text: str | None, few: int | None = None) -> float:
     """Share of a page's characters (line breaks aside) in lines of list shapes, all or the ``few`` commonest ones.
 
-    Lines are cut at sentence ends first, as lists can follow a sentence on its line. Lines of a few words
-    count as lists only where at least four of them stand on a page.
+    Lines are cut at sentence ends first, as lists can follow a sentence on its line. A run of words that comes
+    again whole is judged with its first place, or is a list if it has no end mark and comes four times.
     """
     if not text:
         return 0.0
-    total, phrases = 0, 0
+    total = 0
     groups: Counter = Counter()
+    phrases: list[str] = []
+    verdict: dict[str, list] = {}  # run of words: characters, times
+    block: list[list[str]] = []
+    held: list[str] = []
+    size = 0
+
+    def close() -> None:
+        nonlocal size
+        for piece, share in zip(held, repeated_shares(block)):
+            verdict[piece][2] = share >= REPEATED
+        block.clear()
+        held.clear()
+        size = 0
+
     fenced = False
     for line in text.splitlines():
         total += len(line)
         if line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
             continue
+        if size > BLOCK_WORDS // 2:
+            close()
         for piece in _CUT.split(line) if len(line) > 40 else (line,):
             kind = line_kind(piece)
-            if kind == LIST or kind == PHRASE and not fenced:
-                phrases += kind == PHRASE
+            if kind == LIST:
                 groups[line_shape(piece, kind)] += len(piece)
-    largest = sorted((n for shape, n in groups.items() if shape[0] == LIST or phrases >= 4), reverse=True)
-    return sum(largest[:few]) / total if total else 0.0
+            elif kind == PHRASE and not fenced:
+                phrases.append(piece)
+            elif kind == WORDS:
+                known = verdict.get(piece)
+                if known:
+                    known[0] += len(piece)
+                    known[1] += 1
+                    continue
+                verdict[piece] = [len(piece), 1, False]
+                words = _PART.findall(piece.lower())
+                block.append(words)
+                held.append(piece)
+                size += len(words)
+                if size > BLOCK_WORDS:
+                    close()
+    close()
+    for piece, (chars, times, yes) in verdict.items():
+        if yes or times >= PHRASE_LINES and not _STOP.search(piece):
+            groups[line_shape(piece, WORDS)] += chars
+    words = [w for p in phrases for w in _PART.findall(p.lower())] if len(phrases) >= PHRASE_LINES else []
+    if words and len(set(words)) <= PHRASE_VARIETY * len(words):
+        for piece in phrases:
+            groups[line_shape(piece, PHRASE)] += len(piece)
+    return sum(n for _, n in groups.most_common(few)) / total if total else 0.0
 
 
 def list_pages(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", share: float = SHARE) -> DataFrame:

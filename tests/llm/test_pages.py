@@ -27,6 +27,15 @@ SOUND = {
     "glossary": "arc: The family won twice, though by less than 33.\nrim: See the entry on arc for the definition of loss.",
     "chinese": "早期步骤决定了大部分指标，后期几乎不变。我们只在海报中展示结果。",
     "german": "Ab Schritt 826 steigt der Wert ohne erkennbaren Grund. Die ersten Schritte entscheiden fast alles.",
+    "polish": "Wczoraj wieczorem porównaliśmy obie metody i zauważyliśmy niewielką różnicę. Budżet ustalono przed rozpoczęciem wyszukiwania, dlatego wynik jest wiarygodny.",
+    "swedish": "Vi jämförde båda ordningarna igår kväll och såg en liten skillnad. Budgeten bestämdes innan sökningen började, så resultatet är pålitligt.",
+    "italian": "Abbiamo confrontato entrambi gli ordini e abbiamo visto una piccola differenza. Nessuno si aspettava che una regola semplice vincesse su un grafo così grande.",
+    "finnish": "Vertasimme molempia järjestyksiä eilen illalla ja havaitsimme pienen eron. Kukaan ei odottanut yksinkertaisen säännön voittavan näin suurella verkolla.",
+    "turkish": "Dün akşam iki sıralamayı karşılaştırdık ve küçük bir fark gördük. Bütçe arama başlamadan önce belirlendi, bu yüzden sonuç güvenilir.",
+    "russian": "Вчера вечером мы сравнили оба порядка и увидели небольшую разницу. Никто не ожидал, что простое правило победит на таком большом графе.",
+    "recipe": "2 eggs\n200 g flour\na pinch of salt\n300 ml milk\nbutter for the pan\nsugar and lemon to serve",
+    "one pattern": "The run on dunes took 31 seconds with a budget of five percent. The run on opal mail took 44 seconds with a budget of nine percent. " * 9,
+    "two words": "naïve cœur ß ﬁ",
     "no words": "x" * 700 + "\n" + "-" * 300,
     "list of links among sentences": SENTENCES * 4 + "\nSee also\n- https://a.example/\n- www.b.test/x",
 }
