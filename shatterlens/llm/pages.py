@@ -23,6 +23,8 @@ SHARE = 0.5
 BLOCK_WORDS, REPEATED = 50, 0.3
 #: A shorter block repeats nothing; weight of a block's share beside that of a piece of it.
 LEAST_WORDS, SMOOTHING = 8, 8
+#: A block in which at most this share of words can be covered has no list.
+FEW_REPEATED = 0.2
 #: A list of phrases has at least so many lines, and at most this share of its words are different ones.
 PHRASE_LINES, PHRASE_VARIETY = 4, 0.45
 #: Words up to this length also repeat within good sentences.
@@ -47,18 +49,37 @@ _SETTING = re.compile(r"[\w.\-]+\s*[:=]\s*\S*(?:\s+\S+){0,2}$")
 _HASH = re.compile(r"(?:[#@][\w\-]+[\s,;|/·]*)+$")
 _BRACKETS = re.compile(r"(?:\[[^\][()={}\d][^\][()={}]*\][\s,;|/·-]*)+$")
 _MENU = re.compile(r"\s*(?:>{1,2}|›|»|→|::|&gt;)\s*")
+_STEP = re.compile(r"[>›»→]|::|&gt;")
 _FIELDS = re.compile(r"\s*[,;|\t、，；｜·•/]\s*|\s+[-–—~]\s+")
 _WIDE = re.compile(r"([^\S\t])[^\S\t]+|(\t)\t+")
 _BULLET = re.compile(r"^\s*(?:[-*+•·]|\d{1,3}[.)])\s+")
 _NUMBER = re.compile(r"[+-]?\d[\d.,:%]*$|(?:null|none|true|false|nan|n/a|-)$", re.I)
 _CODE = re.compile(r"[={}\\]|\w\(|\w\[|\)\s*:?$|:\s*$|^\s*(?:#\s|\"\"\"|@\w)|\"\"\"")
 _STOP = re.compile(r"[.!?。！？…:](?:[\"'”’)\]]*)(?:\s|$)|[。！？]")
-_CUT = re.compile(r"(?<=[^\W\d_A-Z][.!?])\s+(?=\S)|(?<=[\d)\]][.!?])\s+(?=\S)|(?<=[。！？])")
+_WIDE_STOP = re.compile(r"(?<=[。！？])")
+#: Lines of such characters only have no links, tags, marks of code or wide letters.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9 .!?'’,-]*+")
 _LINKED = re.compile(r"://|www[.\[]|\[\.\]|<a |\w/", re.I)
 
 DATA, LIST, PHRASE, WORDS, SENTENCE, BLANK = range(6)
 
 
+def pieces_of(line: str) -> list[str]:
+    """A line cut at the ends of its sentences; the dot of an initial ends none."""
+    if len(line) <= 40:
+        return [line]
+    parts = line.replace(". ", ".\n").replace("! ", "!\n").replace("? ", "?\n").split("\n")
+    out = parts[:1]
+    for p in parts[1:]:
+        if out[-1][-2:-1].isupper() and out[-1][-1] == ".":
+            out[-1] += " " + p
+        else:
+            out.append(p)
+    if "。" in line or "！" in line or "？" in line:
+        out = [q for p in out for q in _WIDE_STOP.split(p) if q]
+    return out
+
+
 def _plain_kind(text: str) -> int:
     """Kind of a piece without links, tags or marks of data."""
     fields = [f for f in _FIELDS.split(text) if f]
@@ -102,7 +123,7 @@ def line_kind(line: str) -> int:
     if bare[0] in "#@[":
         if _HASH.match(bare) and not text.startswith("# ") or _BRACKETS.match(bare):
             return LIST
-    steps = _MENU.split(bare)
+    steps = _MENU.split(bare) if _STEP.search(bare) else ()
     if len(steps) >= 3 and all(0 < len(s.split()) <= 5 for s in steps) and not _CODE.search(bare):
         return LIST
     if _CODE.search(text):
@@ -127,7 +148,14 @@ def repeated_shares(pieces: list[list[str]]) -> list[float]:
     pieces are drawn towards the share of all: that counts as so many words as SMOOTHING.
     """
     words = [w for p in pieces for w in p]
-    if len(words) < LEAST_WORDS or len(set(words)) * 8 > len(words) * 7:
+    if len(words) < LEAST_WORDS:
+        return [0.0] * len(pieces)
+    pairs = [q for p in pieces for q in zip(p, p[1:])]
+    again = 4 * (len(pairs) - len(set(pairs)))
+    for p in pieces:
+        longer = [w for w in p if len(w) > SHORT]
+        again += 2 * (len(longer) - len(set(longer)))
+    if again < FEW_REPEATED * len(words):  # more words than these cannot be covered
         return [0.0] * len(pieces)
     covered = bytearray(len(words))
     seen: dict[tuple[str, str], tuple[int, str, str]] = {}
@@ -183,33 +211,44 @@ def list_share(text: str | None, few: int | None = None) -> float:
         held.clear()
         size = 0
 
+    def words_of(piece: str, words: list[str]) -> None:
+        nonlocal size
+        known = verdict.get(piece)
+        if known:
+            known[0] += len(piece)
+            known[1] += 1
+            return
+        verdict[piece] = [len(piece), 1, False]
+        block.append(words)
+        held.append(piece)
+        size += len(words)
+        if size > BLOCK_WORDS:
+            close()
+
     fenced = False
     for line in text.splitlines():
+        if not line:
+            continue
         total += len(line)
         if line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
             continue
         if size > BLOCK_WORDS // 2:
             close()
-        for piece in _CUT.split(line) if len(line) > 40 else (line,):
+        plain = _PLAIN.fullmatch(line)
+        for piece in pieces_of(line):
+            if plain and piece.count(",") < FIELDS - 1 and " - " not in piece:
+                words = _PART.findall(piece.lower())
+                if len(words) > PHRASE_WORDS:
+                    words_of(piece, words)
+                    continue
             kind = line_kind(piece)
             if kind == LIST:
                 groups[line_shape(piece, kind)] += len(piece)
             elif kind == PHRASE and not fenced:
                 phrases.append(piece)
             elif kind == WORDS:
-                known = verdict.get(piece)
-                if known:
-                    known[0] += len(piece)
-                    known[1] += 1
-                    continue
-                verdict[piece] = [len(piece), 1, False]
-                words = _PART.findall(piece.lower())
-                block.append(words)
-                held.append(piece)
-                size += len(words)
-                if size > BLOCK_WORDS:
-                    close()
+                words_of(piece, _PART.findall(piece.lower()))
     close()
     for piece, (chars, times, yes) in verdict.items():
         if yes or times >= PHRASE_LINES and not _STOP.search(piece):
