@@ -1,17 +1,23 @@
 """Replies that are unusable as answers: empty, truncated, refused, copied, or in another language.
 
-Rules over one reply and its prompt decide most cases. A reply without any program is decided
-against the whole corpus: the sentences that replies say around their programs are sorted
-together with its own, and a sentence that is a prefix of its next neighbour with a program is a
-(possibly shortened) sentence of a sound reply. A reply of such sentences only broke off before
-its program. Lengths at which unfinished replies pile up are taken as limits of length.
+Whole responses, and the sentences that responses say around their programs, are sorted together by
+text. What is a prefix of its next neighbour among the sound ones is a (possibly shortened) version
+of it: a reply that is one, or whose sentences all are, and that has no program, broke off before
+its program. Lengths at which unfinished replies pile up are taken as limits of length. A program
+is whole if it parses and ends as a function must; where parsing fails at its end it broke off.
+What is left without a program and is said by no sound reply declines. Copies are found in the
+prompt, languages by scripts and by shares of function words.
 """
 
 from __future__ import annotations
 
+import ast
 import bisect
+import builtins
 import json
 import re
+import textwrap
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -21,12 +27,12 @@ from shatterlens.operators.skew import lookup_join
 from shatterlens.scratch import Scratch
 
 EMPTY, TRUNCATED, REFUSAL, COPY, LANGUAGE = "empty", "truncated", "refusal", "copy", "language"
-#: Name of the function that a complete program defines.
-FUNCTION = "degree_order"
-#: A length is a limit if so many unfinished replies have it, and so many times as many as the lengths near it on average.
-SPIKE_COUNT, SPIKE_RATIO, SPIKE_REACH = 30, 8, 20
+#: A length is a limit if it has this share of all unfinished replies, two of them at least, and so many times as many as the lengths near it on average.
+SPIKE_SHARE, SPIKE_RATIO, SPIKE_REACH = 0.02, 8, 20
 #: Share of a reply without a program that must come from the prompt for a copy.
 COPY_SHARE = 0.8
+#: A text of at least so many words in which the likeliest language has a smaller share of function words (of two letters or more) is in another one.
+KNOWN_WORDS, KNOWN_SHARE = 8, 0.085
 
 # Frequent function words by language.
 STOP_WORDS = {
@@ -38,18 +44,6 @@ STOP_WORDS = {
     "it": "il lo la gli le un una di del della e che non per con da in si è sono ho solo questo questa al",
     "nl": "de het een en van is dat niet voor met op zijn te in er aan dit die alleen",
 }
-# Wordings of refusals.
-REFUSALS = re.compile(
-    r"""\b(?:cannot|can't|can\ not|could\ not)\ (?:comply|help|assist|go\ further|provide|do\ (?:this|that)|answer|continue|support|take)
-    |\b(?:unable|not\ able)\ to\ (?:provide|write|help|assist|comply|do|produce|answer|give)|\b(?:will\ not|won't)\ (?:write|provide|produce|help|answer|give|do\ this)
-    |\bdeclin|\brefuse\ (?:this|to\ (?:write|help|answer))|\brather\ not\b|\bnot\ (?:permitted|allowed|comfortable|something\ i)|\bdo(?:n't|\ not)\ (?:feel\ comfortable|assist|allow)
-    |\bturn\ (?:this|it)\ down|\bpass\ on\ (?:it|this)|\bstep\ back|\bleave\ this\ one|\bno\ (?:code\ from|program\ (?:can|is))|\bkeep\ me\ from|\boutside\ (?:of\ )?what|\bdifferent\ task|\bconsult\ a
-    |\babl(?:ehnen|ehne)|\bkeine\ auskunft|\btut\ mir\ leid|\bnicht\ (?:helfen|beantworten|schreiben|unterstützen)|\bverweiger
-    |抱歉|对不起|很遗憾|无法(?:协助|提供|帮助|完成|回答)|不能(?:编写|提供|帮助|协助|回答)|拒绝|不提供
-    |\bdésolé|\bne\ peux\ pas|\brefuse\ d|\blo\ siento|\bno\ puedo|\bdesculpe|\bnão\ posso|извините|не\ могу""",
-    re.X | re.I,
-)
-
 _FENCE = re.compile(r"```[^\n\r`]*(?:\r\n|\r|\n|\Z)(.*?)(?:```|\Z)", re.S)
 _MARK = re.compile(r"```[\w+#.-]*")
 _BLANK_FENCE = re.compile(r"```[ \t]*[\w+#.-]*")
@@ -60,21 +54,26 @@ _CODE_START = re.compile(r"^[ \t>]*(?:import\s+\w|from\s+\w+\s+import|def\s+\w+\
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 _STOPS = {k: frozenset(v.split()) for k, v in STOP_WORDS.items()}
 _END = re.compile(r"[.!?。！？…][\"'”’)\]*_`]*\s*$")
-_DEF = re.compile(rf"^([ \t]*)def\s+{FUNCTION}\b", re.M)
+_DEF = re.compile(r"^[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\(", re.M)
+_TOP_DEF = re.compile(r"^(?:async[ \t]+)?def[ \t]+(\w+)[ \t]*\(", re.M)
+_PROGRAM_START = re.compile(r"^[ \t>]*(?:import[ \t]+\w|from[ \t]+[\w.]+[ \t]+import\b|(?:async[ \t]+)?def[ \t]+\w+[ \t]*\(|@\w)", re.M)
+_BODY = re.compile(r"\n([ \t]+)(?=[^\s#])")
+_IMPORTED = re.compile(r"^[ \t]*(?:import|from)\b.*?(\w+)[ \t]*$", re.M)
+_BUILTINS = frozenset(dir(builtins))
 
 
 def squash(text: str) -> str:
     """A text without spaces and quote marks."""
-    return re.sub(r"[\s>]+", "", text)
+    return "".join(text.replace(">", " ").split())
 
 
 def statements(program: str) -> str:
     """A program without spacing and comments."""
-    return "".join(re.sub(r"\s+", "", re.sub(r"#.*", "", line)) for line in program.splitlines())
+    return "".join(re.sub(r"#.*", "", program.replace("\r", "\n")).split())
 
 
 def languages(text: str) -> set[str]:
-    """The likeliest languages of a text; several if it cannot be told, none without words."""
+    """The likeliest languages of a text; several if it cannot be told, ``other`` for unknown ones, none without words."""
     scripts = {"zh": r"[㐀-鿿]", "ja": r"[぀-ヿ]", "ko": r"[가-힯]", "ru": r"[Ѐ-ӿ]", "el": r"[Ͱ-Ͽ]", "ar": r"[؀-ۿ]"}
     latin = len(re.findall(r"[a-zA-ZÀ-ÿ]", text))
     for name, pattern in scripts.items():
@@ -82,47 +81,127 @@ def languages(text: str) -> set[str]:
         if n >= 2 and n * (3 if name in ("zh", "ja", "ko") else 1) > latin:
             return {"ja"} if name == "zh" and re.search(scripts["ja"], text) else {name}
     words = [w.lower() for w in _WORD.findall(text)]
-    score = {k: sum(w in stops for w in words) for k, stops in _STOPS.items()}
+    score = {k: sum(map(stops.__contains__, words)) for k, stops in _STOPS.items()}
     best = max(score.values())
+    if len(words) >= KNOWN_WORDS and max(sum(len(w) > 1 and w in _STOPS[k] for w in words) for k, n in score.items() if n == best) < KNOWN_SHARE * len(words):
+        return {"other"}
     return {k for k, n in score.items() if n == best} if best else set()
 
 
-def is_complete(program: str) -> bool:
-    """Whether the function's last statement is there: a finished return at the level of its body."""
-    start = None
-    for start in _DEF.finditer(program):
-        pass
-    if start is None:
+def _ends(body: list[ast.stmt]) -> ast.Return | bool:
+    """Whether control never runs past a block's end: its last return, or True for what raises or branches."""
+    last = body[-1]
+    if isinstance(last, ast.Return):
+        return last
+    if isinstance(last, ast.Raise):
+        return True
+    if isinstance(last, ast.If):
+        return bool(last.orelse) and bool(_ends(last.body)) and bool(_ends(last.orelse))
+    if isinstance(last, (ast.With, ast.AsyncWith)):
+        return _ends(last.body)
+    if isinstance(last, (ast.Try, ast.TryStar)):
+        if last.finalbody and _ends(last.finalbody):
+            return True
+        return bool(_ends(last.orelse or last.body)) and all(_ends(h.body) for h in last.handlers)
+    if isinstance(last, ast.Match):
+        return all(_ends(c.body) for c in last.cases) and any(isinstance(c.pattern, ast.MatchAs) and c.pattern.pattern is None for c in last.cases)
+    if isinstance(last, ast.While):
+        return isinstance(last.test, ast.Constant) and bool(last.test.value) and not any(isinstance(x, ast.Break) for x in ast.walk(last))
+    return False
+
+
+def _bound(tree: ast.AST) -> tuple[set[str], set[str]]:
+    """Names that a program gives values to, and names that it imports."""
+    own, modules = set(), set()
+    for x in ast.walk(tree):
+        if isinstance(x, ast.Name):
+            if not isinstance(x.ctx, ast.Load):
+                own.add(x.id)
+        elif isinstance(x, ast.arg):
+            own.add(x.arg)
+        elif isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+            own.add(x.name)
+        elif isinstance(x, ast.alias):
+            modules.add((x.asname or x.name).partition(".")[0])
+        elif isinstance(x, (ast.ExceptHandler, ast.MatchAs, ast.MatchStar)) and x.name:
+            own.add(x.name)
+    return own, modules
+
+
+def _broken_last(program: str, error: SyntaxError) -> bool:
+    """Whether a program that does not parse broke off: the fault is at its end, or something was never closed."""
+    lines = [x for x in program.splitlines() if x.strip()]
+    if not lines or "never closed" in error.msg or "unterminated" in error.msg:
+        return True
+    end = len(program.rstrip().splitlines())
+    if (error.lineno or end) >= end:
+        return True
+    body = len(lines[-1]) - len(lines[-1].lstrip())  # a fault elsewhere: does the last line return from a function?
+    first = next((i for i, x in enumerate(lines) if _TOP_DEF.match(x)), None)
+    return first is None or first + 1 >= len(lines) or not lines[-1].lstrip().startswith("return ") or body != len(lines[first + 1]) - len(lines[first + 1].lstrip())
+
+
+def _plainly_ends(program: str, name: str | None) -> bool:
+    """Whether the last line returns, from the body of the last function on top, something whose names stand before it; the usual case, without parsing the rest."""
+    tops = list(_TOP_DEF.finditer(program))
+    if not tops or name not in (None, tops[-1][1]):
         return False
-    outer = len(start[1].expandtabs())
-    lines = []
-    for line in program[start.start() :].splitlines()[1:]:
-        text = line.strip()
-        if not text or text.startswith("#"):
-            continue
-        indent = len(line.expandtabs()) - len(line.expandtabs().lstrip())
-        if indent <= outer:
-            break
-        lines.append((indent, text))
-    if not lines or lines[-1][0] != lines[0][0]:
+    text = program.rstrip()
+    at = text.rfind("\n") + 1
+    line = text[at:]
+    first = _BODY.search(text, tops[-1].end())
+    if not first or first.start() >= at or line[: len(first[1])] != first[1] or not line[len(first[1]) :].startswith("return ") or text.count('"""') % 2 or text.count("'''") % 2:
+        return False
+    try:
+        value = ast.parse(line.strip()[7:], mode="eval").body
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         return False
-    last = re.match(r"return\s+(.+)$", re.sub(r"\s+#.*$", "", lines[-1][1]))
-    if not last or any(last[1].count(a) != last[1].count(b) for a, b in ("()", "[]", "{}")) or last[1][-1] in ".,+-*/=":
+    if isinstance(value, (ast.Name, ast.Attribute)) and ast.unparse(value).partition(".")[0] in _BUILTINS | set(_IMPORTED.findall(program)):
         return False
-    name = re.match(r"(\w+)(\[.*\])?$", last[1])
-    if not name or name[2] and name[1] not in ("list", "dict", "sorted"):
-        bare = name[1] if name else None
-    else:
-        bare = name[1]
-    return bare is None or any(re.search(rf"\b{re.escape(bare)}\b\s*(?:[+\-|&]?=[^=]|\.)", text) for _, text in lines)
+    names = {x.id for x in ast.walk(value) if isinstance(x, ast.Name)} - _BUILTINS
+    return all(re.search(rf"\b{n}\b", text[:at]) for n in names)
 
 
-def _programs(reply: str) -> list[str]:
+def is_complete(program: str, name: str | None = None) -> bool:
+    """Whether a program's function ``name`` (or else its last one) is there to its last statement, which returns something that the program has."""
+    program = textwrap.dedent(program.replace("\r\n", "\n").replace("\r", "\n"))
+    if _plainly_ends(program, name):
+        return True
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            tree = ast.parse(program)
+    except SyntaxError as e:
+        return not _broken_last(program, e) and (name is None or name in _TOP_DEF.findall(program))
+    except (ValueError, RecursionError, MemoryError):
+        return False
+    functions = [x for x in tree.body if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)) and name in (None, x.name)]
+    if not functions:
+        return False
+    last = _ends(functions[-1].body)
+    if not isinstance(last, ast.Return):
+        return bool(last)
+    if last.value is None:
+        return False
+    own, modules = _bound(tree)
+    value = last.value
+    while isinstance(value, ast.Attribute):
+        value = value.value
+    if isinstance(value, ast.Name) and value.id not in own and (value.id in modules or value.id in _BUILTINS):
+        return False  # the start of a call
+    used = {x.id for x in ast.walk(last.value) if isinstance(x, ast.Name)}
+    return used <= own | modules | _BUILTINS
+
+
+def _programs(reply: str, code: str | None = None) -> list[str]:
+    """The programs of a reply: its fenced blocks with a function, else what was taken from it, else its lines of code."""
     plain = re.sub(r"^[ \t]*> ?", "", reply, flags=re.M) if len(re.findall(r"^[ \t]*>", reply, re.M)) > 2 else reply
-    blocks = [b for b in _FENCE.findall(plain) if _DEF.search(b)]
-    if blocks:
-        return blocks
-    return [plain] if _DEF.search(plain) else []
+    blocks = [b for b in _FENCE.findall(plain) if _DEF.search(b)] if "```" in plain else []
+    if not blocks and _DEF.search(plain):
+        blocks = [_trimmed(plain)]
+    if blocks and code and _DEF.search(code) and code not in blocks and code in reply:
+        blocks.append(code)
+    return blocks
 
 
 def _outside(reply: str) -> str:
@@ -155,15 +234,18 @@ def prompt_of(messages: str | None) -> str:
     return last if isinstance(last, str) else ""
 
 
-def judge(messages: str | None, reply: str | None) -> tuple[str | None, list[str], bool]:
-    """(defect, 'open' if the corpus must decide, or None), sentences around the program, whether it has one."""
+def judge(messages: str | None, reply: str | None, code: str | None = None) -> tuple[str | None, list[str], bool]:
+    """(defect, 'open' if the corpus must decide, or None), sentences around the program, whether it has one.
+
+    The function that a program must define is the last one of the prompt's last program.
+    """
     if not _SAID.search(_BLANK_FENCE.sub("", reply or "")):
         return EMPTY, [], False
     core = _MARK.sub("", reply)
     prompt = prompt_of(messages)
     parents = [b for b in _FENCE.findall(prompt) if _DEF.search(b)]
     parent = parents[-1] if parents else ""
-    programs, known, said = _programs(reply), squash(_MARK.sub("", prompt)), squash(core)
+    programs, known, said = _programs(reply, code), squash(_MARK.sub("", prompt)), squash(core)
     if said in known:
         own = squash(parent)
         broken_off = own.startswith(said) and said != own and _CODE_START.match(core.lstrip())
@@ -171,20 +253,24 @@ def judge(messages: str | None, reply: str | None) -> tuple[str | None, list[str
     outside = _outside(reply)
     if programs:
         around = sentences(outside)
-        whole = [p for p in programs if is_complete(p)]
+        wanted = _TOP_DEF.findall(textwrap.dedent(parent))[-1:] or [None]
+        whole = [p for p in programs if is_complete(p, wanted[0])]
         same = statements(parent)
         if not whole:
             whole_parent = parent and squash(parent) in said
             return (COPY if whole_parent else TRUNCATED), around, True
-        if same and all(statements(p).find(same) >= 0 for p in whole) and any(statements(p) == same for p in map(_trimmed, whole)):
+        if same and any(statements(p) == same for p in map(_trimmed, whole)) and all(same in statements(p) or statements(p) in same for p in whole):
             return COPY, around, True
         theirs, asked = languages(outside), languages(_FENCE.sub(" ", prompt))
         if theirs and asked and not theirs & asked:
             return LANGUAGE, around, True
         return None, around, True
+    if _PROGRAM_START.search(reply):
+        return TRUNCATED, [], False
     own = sentences(_MARK.sub("", reply))
     pieces = [squash(s) for s in _SENTENCE.split(core) if _SAID.search(s)]
-    if known and sum(len(p) for p in pieces if len(p) > 7 and p in known) >= COPY_SHARE * sum(map(len, pieces)):
+    pieces = [p for p in pieces if len(p) > 7] or pieces
+    if known and sum(len(p) for p in pieces if p in known) >= COPY_SHARE * sum(map(len, pieces)):
         return COPY, [], False
     return "open", own, False
 
@@ -200,39 +286,55 @@ def _trimmed(program: str) -> str:
     return "\n".join(lines)
 
 
+def whole_of(reply: str) -> str:
+    """A whole response with numbers masked and spaces evened, without fence marks at its end."""
+    return re.sub(r"\s+", " ", _NUMBER.sub("#", _MARK.sub("", reply))).strip()
+
+
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for key, messages, reply in zip(pdf["id"], pdf["messages"], pdf["reply"]):
-            defect, around, has_program = judge(messages, reply)
-            if defect is None and not around:
-                continue
-            unknown = [bool(REFUSALS.search(s)) for s in around] if defect == "open" else []
-            rows.append((key, defect, around, unknown, has_program, len(reply or ""), not _END.search(reply or "")))
-        yield pd.DataFrame(rows, columns=["id", "defect", "around", "refuses", "has_program", "length", "cut"])
+        for key, messages, reply, code in zip(pdf["id"], pdf["messages"], pdf["reply"], pdf["code"]):
+            defect, around, has_program = judge(messages, reply, code)
+            whole = whole_of(reply) if has_program or defect == "open" else None
+            rows.append((key, defect, around, whole, has_program, len(reply or ""), not _END.search(reply or "")))
+        yield pd.DataFrame(rows, columns=["id", "defect", "around", "whole", "has_program", "length", "cut"])
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sentences in order, from the last: is each a prefix of the next one known from a sound reply?"""
-    parts = list(batches)  # one range partition of distinct sentences
-    if not parts:
-        return
-    pdf = pd.concat(parts, ignore_index=True)
-    after, edge, out = None, None, []
-    for s, known, pid in zip(reversed(pdf["s"].tolist()), reversed(pdf["known"].tolist()), reversed(pdf["pid"].tolist())):
-        if known:
-            after = edge = s
-        out.append((s, None if after is None else after.startswith(s), pid, False))
-    if edge is not None:
-        out.append((edge, None, int(pdf["pid"].iat[0]), True))
-    yield pd.DataFrame(out, columns=["s", "short", "pid", "edge"]).astype({"short": object})
+    """Texts in ascending order: is each a prefix of a known one? What starts with a text follows it without a gap.
+
+    Only texts that are prefixes of the present one are held. Those open at the end of the
+    partition have NULL; the partition's first known text comes with ``edge``.
+    """
+    held: list[str] = []
+    edge = pid = None
+    for pdf in batches:
+        out: list[tuple] = []
+        for s, known, asked, pid in zip(*(pdf[c].tolist() for c in ("s", "known", "asked", "pid"))):
+            while held and not s.startswith(held[-1]):
+                out.append((held.pop(), False, pid, False))
+            if known:
+                if edge is None:
+                    edge = s
+                    out.append((s, None, pid, True))
+                out += [(h, True, pid, False) for h in held]
+                held.clear()
+                if asked:
+                    out.append((s, True, pid, False))
+            else:
+                held.append(s)
+        yield pd.DataFrame(out, columns=["s", "short", "pid", "edge"]).astype({"short": object})
+    if held:
+        yield pd.DataFrame([(h, None, pid, False) for h in held], columns=["s", "short", "pid", "edge"]).astype({"short": object})
 
 
 def _shortened(scratch: Scratch, known: DataFrame, asked: DataFrame) -> DataFrame:
-    """(s, short): whether each asked sentence is a prefix of a known one."""
-    both = known.select("s", F.lit(True).alias("known")).unionByName(asked.select("s", F.lit(False).alias("known"))).groupBy("s").agg(F.max("known").alias("known"))
+    """(s, short): whether each asked text is a prefix of a known one."""
+    both = known.select("s", F.lit(True).alias("known")).unionByName(asked.select("s", F.lit(False).alias("known"))).groupBy("s").agg(F.max("known").alias("known"), F.bool_or(~F.col("known")).alias("asked"))
     ordered = both.repartitionByRange("s").sortWithinPartitions("s").withColumn("pid", F.spark_partition_id())
-    seen = scratch.save(ordered.mapInPandas(_scan, "s string, short boolean, pid int, edge boolean"), "neighbours")
+    seen = ordered.mapInPandas(_scan, "s string, short boolean, pid int, edge boolean")
+    seen = scratch.save(seen, "neighbours")
     firsts = sorted((r.pid, r.s) for r in seen.where("edge").select("pid", "s").collect())  # one a partition
     pids = [p for p, _ in firsts]
 
@@ -250,43 +352,45 @@ def _shortened(scratch: Scratch, known: DataFrame, asked: DataFrame) -> DataFram
 
 
 def length_limits(lengths: DataFrame) -> DataFrame:
-    """(length) of the spikes in a table of the lengths of unfinished replies."""
+    """(length) of the spikes in a table of the lengths of unfinished replies; the same for a table that repeats all rows."""
     counts = lengths.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     reach = F.explode(F.sequence(F.lit(-SPIKE_REACH), F.lit(SPIKE_REACH)))
     near = counts.select(reach.alias("d"), "length", "n").where(F.col("d") != 0).groupBy((F.col("length") + F.col("d")).alias("length")).agg((F.sum("n") / (2 * SPIKE_REACH)).alias("usual"))
-    high = counts.join(near, "length", "left")
-    return high.where((F.col("n") >= SPIKE_COUNT) & (F.col("n") >= SPIKE_RATIO * F.coalesce("usual", F.lit(0.0)))).select("length")
+    total = counts.agg(F.sum("n").alias("total"))
+    high = counts.join(near, "length", "left").join(F.broadcast(total))  # one row
+    least = F.greatest(F.lit(2.0), SPIKE_SHARE * F.col("total"))
+    return high.where((F.col("n") >= least) & (F.col("n") >= SPIKE_RATIO * F.coalesce("usual", F.lit(0.0)))).select("length")
 
 
-def defective_replies(calls: DataFrame, id_column: str = "prompt_id", messages_column: str = "messages", reply_column: str = "raw_response") -> DataFrame:
+def defective_replies(calls: DataFrame, id_column: str = "prompt_id", messages_column: str = "messages", reply_column: str = "raw_response", code_column: str = "code") -> DataFrame:
     """(prompt_id, defect), one row per defective prompt; the first that holds of the module's rules.
 
     empty: NULL, or no letter or digit apart from fence marks. copy: all of it stands in the prompt
     (spacing and quote marks aside), or its only complete program is the parent with no
-    statement changed. truncated: a program whose last return is missing or unfinished, or sentences of sound
-    replies without a program. refusal: neither, without a program. language: a complete program
-    among sentences of another language than the prompt's. Messages that cannot be read give
+    statement changed. truncated: a program that has begun but not ended, or a reply without one that is a prefix of a
+    sound reply, or made of its sentences, or in part and without an end mark or as long as a limit. refusal: neither,
+    without a program. language: a complete program among sentences of another language than the prompt's. A program that
+    was taken from the reply (``code_column``, where there is one) counts as a program of the reply. Messages that cannot be read give
     an empty prompt, so that copy and language do not apply. Repeated rows count once; of rows that differ each has its say and the
     least defect by name counts. A NULL id is an id. An empty table gives no rows.
     """
     scratch = Scratch(calls.sparkSession)
-    slim = calls.select(F.col(id_column).cast("string").alias("id"), F.col(messages_column).alias("messages"), F.col(reply_column).alias("reply"))
-    schema = "id string, defect string, around array<string>, refuses array<boolean>, has_program boolean, length int, cut boolean"
+    taken = F.col(code_column) if code_column in calls.columns else F.lit(None).cast("string")
+    slim = calls.select(F.col(id_column).cast("string").alias("id"), F.col(messages_column).alias("messages"), F.col(reply_column).alias("reply"), taken.alias("code"))
+    schema = "id string, defect string, around array<string>, whole string, has_program boolean, length int, cut boolean"
     judged = scratch.save(slim.mapInPandas(_judged, schema), "judged")
-    open_ = scratch.save(judged.where(F.col("defect") == "open").select("id", "around", "refuses", "length", "cut").distinct(), "open")
+    open_ = scratch.save(judged.where(F.col("defect") == "open").select("id", "around", "whole", "length", "cut").distinct(), "open")
     decided = judged.where(F.col("defect").isNotNull() & (F.col("defect") != "open")).select("id", "defect")
-    known = judged.where("has_program").select(F.explode("around").alias("s")).distinct()
-    told = open_.select("id", "length", "cut", F.inline(F.arrays_zip(F.col("around").alias("s"), F.col("refuses").alias("refuses"))))
-    short = _shortened(scratch, known, told.select("s").distinct())
+    sound = F.col("has_program") & (F.col("defect").isNull() | (F.col("defect") == LANGUAGE))
+    known = judged.where("has_program").select(F.explode("around").alias("s")).distinct().unionByName(judged.where(sound).select(F.col("whole").alias("s")))
+    told = open_.select("id", "whole", "length", "cut", F.explode("around").alias("s"))
+    short = scratch.save(_shortened(scratch, known, told.select("s").unionByName(open_.select(F.col("whole").alias("s"))).distinct()), "short")
     told = lookup_join(told, short, ["s"], told.count())
     limits = length_limits(judged.where(~F.col("has_program") & (F.col("length") > 0) | (F.col("defect") == TRUNCATED)).select("length"))
-    by_reply = told.groupBy("id", "length", "cut").agg(
-        F.bool_and("short").alias("all_short"), F.avg(F.col("short").cast("double")).alias("share"), F.bool_or(~F.col("short") & F.col("refuses")).alias("refuses")
-    )
-    by_reply = by_reply.join(limits.withColumn("limit", F.lit(True)), "length", "left")
-    verdict: Column = (
-        F.when(F.col("all_short"), TRUNCATED).when(F.col("refuses"), REFUSAL)
-        .when(F.col("cut") | F.col("limit") | (F.col("share") >= 0.5), TRUNCATED).otherwise(REFUSAL)
-    )
+    by_reply = told.groupBy("id", "whole", "length", "cut").agg(F.bool_and("short").alias("all_short"), F.avg(F.col("short").cast("double")).alias("share"))
+    by_reply = lookup_join(by_reply, short.select(F.col("s").alias("whole"), F.col("short").alias("whole_short")), ["whole"], open_.count())
+    by_reply = by_reply.join(F.broadcast(limits.withColumn("limit", F.lit(True))), "length", "left")  # at most 1 / SPIKE_SHARE of them
+    partly = (F.col("share") > 0) & (F.col("cut") | F.coalesce("limit", F.lit(False)))
+    verdict: Column = F.when(F.col("whole_short") | F.col("all_short") | (F.col("share") >= 0.5) | partly, TRUNCATED).otherwise(REFUSAL)
     found = decided.unionByName(by_reply.select("id", verdict.alias("defect")))
     return found.groupBy("id").agg(F.min("defect").alias("defect")).withColumnRenamed("id", id_column)

@@ -87,3 +87,65 @@ def test_very_long_replies(part):
         judge(MESSAGES, reply)
         judge(json.dumps([{"role": "user", "content": reply}]), reply[: len(reply) // 2])
     assert time.perf_counter() - began < 20
+
+
+HEAD = "def place(G):\n    out = []\n    for u in G:\n        out.append(u)\n"
+ENDS = {
+    "if and else": "    if out:\n        return out\n    else:\n        return []",
+    "try": "    try:\n        return sorted(out)\n    except TypeError:\n        return out",
+    "many lines": "    return list(\n        dict.fromkeys(out)\n    )",
+    "unpacked": "    best, rest = out[:1], out[1:]\n    return rest",
+    "with": "    with G.lock() as held:\n        kept = [x for x in out if x in held]\n    return kept",
+    "within with": "    with G.lock():\n        return out",
+    "loop": "    while True:\n        if not out:\n            return out\n        out.pop()",
+    "raises": "    if out:\n        return out\n    raise ValueError(out)",
+    "match": "    match out:\n        case []:\n            return []\n        case _:\n            return out",
+    "comment after": "    return out\n    # the end",
+    "helper after": "    return rest(out)\n\n\ndef rest(x):\n    return x",
+    "fault elsewhere": "    print 'x'\n    return out",
+}
+
+
+@pytest.mark.parametrize("name", ENDS)
+def test_whole_programs_of_many_shapes(name):
+    assert is_complete(HEAD + ENDS[name]), name
+    assert is_complete((HEAD + ENDS[name]).replace("\n", "\r\n"), "place"), name
+
+
+@pytest.mark.parametrize("tail", ["", "    return", "    return list(\n        dict.from", "    return sorted", "    return ou", "    if out:\n        return out", "    try:\n        return out", "    return out[", "    s = '''x\n    return out"])
+def test_programs_that_broke_off(tail):
+    assert not is_complete(HEAD + tail), tail
+    assert not is_complete(HEAD + "    return out", "other")
+
+
+@pytest.mark.parametrize("said", ["Niestety nie mogę pomóc w tej sprawie.", "申し訳ありませんが、このご依頼にはお応えできません。", "Jag måste tyvärr säga nej till detta.", "That lies beyond my remit today.", "I must decline"])
+def test_refusals_need_no_wording(spark, said):
+    rows = [("a", MESSAGES, said), ("b", MESSAGES, fenced(CHILD)), ("c", MESSAGES, fenced(CHILD))]
+    got = defective_replies(spark.createDataFrame(rows, "prompt_id string, messages string, raw_response string")).collect()
+    assert [(r.prompt_id, r.defect) for r in got] == [("a", "refusal")]
+
+
+@pytest.mark.parametrize("said", ["Główna pętla pozostaje bez zmian, a remisy nadal rozstrzyga nazwa węzła.", "Huvudslingan är oförändrad och lika värden avgörs fortfarande av nodens namn.", "Pääsilmukka pysyy ennallaan, ja tasatilanteet ratkaisee yhä solmun nimi joka kerta."])
+def test_languages_without_a_list(said):
+    assert judge(MESSAGES, fenced(CHILD, said + "\n"))[0] == "language"
+
+
+def test_any_function_name_and_taken_code():
+    other = lambda t: t.replace("degree_order", "rank_nodes")
+    assert judge(other(MESSAGES), other(fenced(CHILD)))[0] is None
+    assert judge(other(MESSAGES), other(fenced(CHILD[:-20])))[0] == "truncated"
+    assert judge(MESSAGES, "```\nCHANGED\n```\n" + CHILD, CHILD)[0] is None
+    assert judge(MESSAGES, None, CHILD)[0] == "empty"
+
+
+def test_limits_do_not_depend_on_the_size_of_the_corpus(spark):
+    rows = [(n,) for n in range(100, 200)] + [(150,)] * 20
+    few = spark.createDataFrame(rows, "length int")
+    many = spark.createDataFrame(rows * 10, "length int")
+    assert [r.length for r in replies.length_limits(few).collect()] == [r.length for r in replies.length_limits(many).collect()] == [150]
+
+
+def test_whole_replies_are_compared(spark):
+    rows = [("a", MESSAGES, SAID + "\n"), ("b", MESSAGES, fenced(CHILD)), ("c", MESSAGES, SAID[:20])]
+    got = defective_replies(spark.createDataFrame(rows, "prompt_id string, messages string, raw_response string")).collect()
+    assert {(r.prompt_id, r.defect) for r in got} == {("a", "truncated"), ("c", "truncated")}
