@@ -21,6 +21,8 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from shatterlens.operators.components import connected_components
+from shatterlens.operators.skew import lookup_join
 from shatterlens.scratch import Scratch
 
 SEGMENTS, SEGMENT_BITS = 24, 16
@@ -28,6 +30,8 @@ WORDS = SEGMENTS * SEGMENT_BITS // 64
 MAX_DISTANCE = 92
 #: Greatest number of programs of a family that one task takes with all their tables.
 LOCAL_ROWS = 20_000
+#: Pairs that are compared at a time, and rows of a bucket that one task holds.
+BLOCK, BUCKET_ROWS = 1 << 20, 5_000
 SHINGLE, LEAST_WORDS, SIMILARITY = 3, 20, 0.7
 
 _WORD = re.compile(r"[a-z0-9_]+")
@@ -73,32 +77,39 @@ def fingerprint(items: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _close(prints: np.ndarray, radius_flips: np.ndarray = _FLIPS) -> np.ndarray:
-    """Index pairs i < j within MAX_DISTANCE that share a ball in some segment."""
+def _close(prints: np.ndarray, radius_flips: np.ndarray = _FLIPS) -> Iterator[np.ndarray]:
+    """Index pairs i < j within MAX_DISTANCE that share a ball in some segment, each once, in blocks of bounded size.
+
+    A pair comes out at the first segment that finds it, so that no table of pairs is kept.
+    """
     n = len(prints)
-    keys = prints.view("<u2").astype(np.int64)  # n x SEGMENTS
+    keys = prints.view("<u2")  # n x SEGMENTS
     words = prints.view("<u8")
-    found = []
     for s in range(SEGMENTS):
-        key = keys[:, s]
+        key = keys[:, s].astype(np.int64)
         order = np.argsort(key, kind="stable")
         start = np.searchsorted(key[order], np.arange((1 << SEGMENT_BITS) + 1))
         for flip in radius_flips:
             near = key ^ flip
             count = start[near + 1] - start[near]
-            i = np.repeat(np.arange(n), count)
-            if not len(i):
-                continue
-            offset = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
-            j = order[start[near[i]] + offset]
-            keep = i < j
-            i, j = i[keep], j[keep]
-            for at in range(0, len(i), 1 << 20):
-                a, b = i[at : at + (1 << 20)], j[at : at + (1 << 20)]
-                near_all = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64) <= MAX_DISTANCE
-                found.append(a[near_all] * n + b[near_all])
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, dtype=np.int64)
-    return np.stack([pairs // n, pairs % n], axis=1)
+            upto = np.cumsum(count)
+            at = 0
+            while at < n:  # as many lookups as give about BLOCK pairs, at least one
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, side="right")))
+                c = count[at:end]
+                i = np.repeat(np.arange(at, end), c)
+                offset = np.arange(len(i)) - np.repeat(np.cumsum(c) - c, c)
+                j = order[start[near[i]] + offset]
+                keep = i < j
+                i, j = i[keep], j[keep]
+                keep = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= MAX_DISTANCE
+                i, j = i[keep], j[keep]
+                if s and len(i):
+                    earlier = (np.bitwise_count(keys[i, :s] ^ keys[j, :s]) <= 1).any(axis=1)
+                    i, j = i[~earlier], j[~earlier]
+                if len(i):
+                    yield np.stack([i, j], axis=1)
+                at = end
 
 
 def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -106,26 +117,34 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
 
 
-def _family_pairs(similarity: float):
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["id", "items"]).sort_values("id", ignore_index=True)
-        out: list[tuple[str, str]] = []
-        if len(pdf) > 1:
-            ids = pdf["id"].to_numpy()
-            classes, first = np.unique(pdf["items"].to_numpy(), return_inverse=True)
-            members = pd.Series(ids).groupby(first).agg(list).tolist()
-            for m in members:
-                out += [(m[i], m[j]) for i in range(len(m)) for j in range(i + 1, len(m))]
-            sets = [np.frombuffer(x, dtype="<u4") for x in classes]
-            prints = np.stack([np.frombuffer(fingerprint(x), dtype=np.uint8) for x in sets])
-            size = np.array([len(x) for x in sets])
-            pairs = _close(prints)
+def _class_name(ids: pd.Series, items: bytes) -> str:
+    """Name of a class of equal sets: its least id, NUL, a hash of the set."""
+    return f"{ids.min()}\0{xxhash.xxh64_hexdigest(items)}"
+
+
+def _family_links(similarity: float):
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True).drop_duplicates(["id", "items"])  # at most ``local_rows`` rows
+        if len(pdf) < 2:
+            return
+        family = pdf["family"].iat[0]
+        rows = lambda a, b, link: pd.DataFrame({"family": family, "a": a, "b": b, "link": link})
+        names, sets = [], []
+        for items, ids in pdf.groupby("items")["id"]:
+            names.append(_class_name(ids, items))
+            sets.append(np.frombuffer(items, dtype="<u4"))
+            if len(ids) > 1:
+                yield rows(names[-1], ids.to_numpy(), False)
+        if len(sets) < 2:
+            return
+        prints = np.stack([np.frombuffer(fingerprint(x), dtype=np.uint8) for x in sets])
+        size, named = np.array([len(x) for x in sets]), np.array(names, dtype=object)
+        for pairs in _close(prints):
             low, high = np.minimum(*size[pairs].T), np.maximum(*size[pairs].T)
-            for i, j in pairs[low >= similarity * high - 1e-9].tolist():
-                if _similar(sets[i], sets[j], similarity):
-                    out += [(a, b) if a < b else (b, a) for a in members[i] for b in members[j]]
-        out = sorted({p for p in out if p[0] != p[1]})
-        return pd.DataFrame(out, columns=["id_a", "id_b"])
+            good = [(i, j) for i, j in pairs[low >= similarity * high - 1e-9].tolist() if _similar(sets[i], sets[j], similarity)]
+            if good:
+                i, j = np.array(good).T
+                yield rows(named[i], named[j], True)
 
     return kernel
 
@@ -145,48 +164,63 @@ def _printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.assign(**{f"f{k}": words[:, k] for k in range(WORDS)}, n=[len(x) // 4 for x in pdf["items"]])
 
 
-def _large_pairs(scratch: Scratch, sets: DataFrame, similarity: float) -> DataFrame:
-    """The same over families of any size: segment tables, balls and verification as joins."""
+_LINK = "family string, a string, b string, link boolean"
+
+
+def _large_links(scratch: Scratch, sets: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
+    """The same over families of any size: segment tables, balls and verification as joins.
+
+    A bucket (the rows of a family with one value of a segment) of more than ``bucket_rows`` rows is cut into
+    blocks, and each lookup goes to all blocks of its bucket, so that no task holds a whole bucket.
+    """
     sets = scratch.save(sets.distinct(), "sets")
-    classes = sets.groupBy("family", "items").agg(F.min("id").alias("rep"))
-    members = scratch.save(sets.join(classes, ["family", "items"]).select("family", "rep", "id"), "members")
+    name = F.concat(F.min("id"), F.lit("\0"), F.lower(F.hex(F.xxhash64("items"))))
+    classes = sets.groupBy("family", "items").agg(name.alias("rep"), F.count(F.lit(1)).alias("copies"))
     words = [f"f{k}" for k in range(WORDS)]
-    reps = classes.mapInPandas(_printed, "family string, items binary, rep string, n bigint, " + ", ".join(f"{w} bigint" for w in words))
-    reps = scratch.save(reps.withColumn("set", F.col("items")), "reps")
+    reps = classes.mapInPandas(_printed, "family string, items binary, rep string, copies bigint, n bigint, " + ", ".join(f"{w} bigint" for w in words))
+    reps = scratch.save(reps, "reps")
+    many = reps.where("copies > 1").select("family", "items", "rep")
+    members = sets.join(many, ["family", "items"]).select("family", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(False).alias("link"))
     segments = F.array(*[F.struct(F.lit(s).alias("s"), F.shiftrightunsigned(F.col(words[s // 4]), 16 * (s % 4)).bitwiseAND(0xFFFF).alias("key")) for s in range(SEGMENTS)])
-    table = reps.select("family", "rep", "n", *words, F.inline(segments))
+    table = scratch.save(reps.select("family", "rep", "n", *words, F.inline(segments)), "table")
     ball = F.array(*[F.lit(int(f)).cast("long") for f in _FLIPS])
     probe = table.withColumn("flip", F.explode(ball)).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+    bucket = ["family", "s", "key"]
+    counts = table.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket_rows)
+    large = scratch.save(counts.select(*bucket, F.ceil(F.col("size") / bucket_rows).cast("int").alias("blocks")), "large")
+    if large.isEmpty():
+        table, probe = table.withColumn("block", F.lit(0)), probe.withColumn("block", F.lit(0))
+    else:
+        total = table.count()
+        blocks = F.coalesce("blocks", F.lit(1))
+        table = lookup_join(table, large, bucket, total).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).drop("blocks")
+        probe = lookup_join(probe, large, bucket, total * len(_FLIPS)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
     x, y = probe.alias("x"), table.alias("y")
     distance = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
-    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("family", "s", "key")]
     size_fits = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    on = same[0] & same[1] & same[2] & (F.col("x.rep") < F.col("y.rep")) & size_fits & (distance <= MAX_DISTANCE)
+    on = (F.col("x.rep") < F.col("y.rep")) & size_fits & (distance <= MAX_DISTANCE)
+    for c in (*bucket, "block"):
+        on = (F.col(f"x.{c}") == F.col(f"y.{c}")) & on
     close = scratch.save(x.join(y, on).select(F.col("x.family").alias("family"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "close")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             good = [_similar(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), similarity) for p, q in zip(pdf["set_a"], pdf["set_b"])]
-            yield pdf[["family", "a", "b"]][good]
+            yield pdf[["family", "a", "b"]][good].assign(link=True)
 
-    side = lambda c: reps.select("family", F.col("rep").alias(c), F.col("set").alias(f"set_{c}"))
-    linked = close.join(side("a"), ["family", "a"]).join(side("b"), ["family", "b"]).mapInPandas(verify, "family string, a string, b string")
-    linked = linked.unionByName(classes.select("family", F.col("rep").alias("a"), F.col("rep").alias("b")))
-    of = lambda c: members.select("family", F.col("rep").alias(c), F.col("id").alias(f"id_{c}"))
-    pairs = linked.join(of("a"), ["family", "a"]).join(of("b"), ["family", "b"])
-    once = (F.col("a") != F.col("b")) | (F.col("id_a") < F.col("id_b"))
-    return pairs.where(once & (F.col("id_a") != F.col("id_b"))).select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    side = lambda c: reps.select("family", F.col("rep").alias(c), F.col("items").alias(f"set_{c}"))
+    return close.join(side("a"), ["family", "a"]).join(side("b"), ["family", "b"]).mapInPandas(verify, _LINK).unionByName(members)
 
 
-def near_duplicates(programs: DataFrame, id_column: str, code_column: str, family: Column, similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, local_rows: int = LOCAL_ROWS) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: pairs of distinct ids of a family whose shingle sets have Jaccard similarity of at least ``similarity``.
+def near_duplicate_links(programs: DataFrame, id_column: str, code_column: str, family: Column, similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, local_rows: int = LOCAL_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(family, a, b, link): links between classes of equal sets, and the members of classes of several.
 
-    Words are the runs of a-z, 0-9 and _ of the lower-cased code. NULL ids and codes, and codes of
-    fewer than ``least_words`` words, take no part. Repeated rows count once. ``family`` is compared
-    as it is, NULL is a family. Equal sets are compared once and their copies expanded only in the
-    result. A family of up to ``local_rows`` rows is one task with all tables in memory; a larger one goes
-    through the same steps as joins. Sets are held as 32-bit hashes: a pair's similarity is off by
-    one shingle with probability below 1e-5.
+    With ``link`` true, a and b are the names of two similar classes; else b is the id of a member of the class a. A class is
+    named by its least id, NUL and a hash; classes of one id have no rows of members. The result grows with links between
+    different texts and not with pairs of copies. Words are the runs of a-z, 0-9 and _ of the lower-cased code. NULL ids and codes, and codes of
+    fewer than ``least_words`` words, take no part. Repeated rows count once. ``family`` is compared as it is, NULL is a
+    family. A family of up to ``local_rows`` rows is one task with all tables in memory; a larger one goes through the same steps
+    as joins. Sets are held as 32-bit hashes: a pair's similarity is off by one shingle with probability below 1e-5.
     """
     scratch = Scratch(programs.sparkSession)
     slim = programs.where(F.col(id_column).isNotNull() & F.col(code_column).isNotNull())
@@ -195,8 +229,34 @@ def near_duplicates(programs: DataFrame, id_column: str, code_column: str, famil
     big = scratch.save(big, "big")  # at most rows / local_rows of them
     sets = slim.mapInPandas(_sets(shingle, least_words), "id string, family string, items binary")
     if big.isEmpty():
-        return sets.groupBy("family").applyInPandas(_family_pairs(similarity), "id_a string, id_b string").distinct()
+        return scratch.save(sets.groupBy("family").applyInPandas(_family_links(similarity), _LINK), "links")
     sets = scratch.save(sets, "all")
-    small = sets.join(F.broadcast(big), "family", "left_anti").groupBy("family").applyInPandas(_family_pairs(similarity), "id_a string, id_b string")
-    large = _large_pairs(scratch, sets.join(F.broadcast(big), "family", "left_semi"), similarity)
-    return small.unionByName(large).distinct()
+    small = sets.join(F.broadcast(big), "family", "left_anti").groupBy("family").applyInPandas(_family_links(similarity), _LINK)
+    large = _large_links(scratch, sets.join(F.broadcast(big), "family", "left_semi"), similarity, bucket_rows)
+    return scratch.save(small.unionByName(large), "links")
+
+
+def id_of(name: Column) -> Column:
+    """The least id of a class of that name."""
+    return F.regexp_replace(name, "(?s)\0[0-9a-f]*$", "")
+
+
+def near_duplicates(programs: DataFrame, id_column: str, code_column: str, family: Column, similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, local_rows: int = LOCAL_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: pairs of distinct ids of a family whose shingle sets have Jaccard similarity of at least ``similarity``.
+
+    The links of ``near_duplicate_links``, whose cases hold here too, with the members of both ends; copies are joined in this last step only.
+    """
+    rows = near_duplicate_links(programs, id_column, code_column, family, similarity, shingle, least_words, local_rows, bucket_rows)
+    members = rows.where(~F.col("link")).select("family", F.col("a").alias("c"), F.col("b").alias("id"))
+    pairs = rows.where("link").select("family", "a", "b")
+    for end in ("a", "b"):
+        pairs = pairs.join(members.withColumnsRenamed({"c": end, "id": f"id_{end}"}), ["family", end], "left").withColumn(f"id_{end}", F.coalesce(f"id_{end}", id_of(F.col(end))))
+    copies = members.withColumnRenamed("id", "id_a").join(members.withColumnRenamed("id", "id_b"), ["family", "c"]).where(F.col("id_a") < F.col("id_b"))
+    both = pairs.where(F.col("id_a") != F.col("id_b")).select("id_a", "id_b").unionByName(copies.select("id_a", "id_b"))
+    return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+
+
+def near_duplicate_groups(links: DataFrame) -> DataFrame:
+    """(node, component) of every id with a link or a copy, from the rows of ``near_duplicate_links``; the component is its least id."""
+    other = F.when(F.col("link"), id_of(F.col("b"))).otherwise(F.col("b"))
+    return connected_components(links.select(id_of(F.col("a")).alias("a"), other.alias("b")).where(F.col("a") != F.col("b")), "a", "b")

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from shatterlens.llm.bpe import count_tokens, encode_corpus
 from shatterlens.llm.mixing import mix_report, mix_sources
-from shatterlens.llm.neardup import near_duplicates
+from shatterlens.llm.neardup import near_duplicate_groups, near_duplicate_links, near_duplicates
 from shatterlens.llm.pages import list_pages
 from shatterlens.llm.replies import defective_replies
 from shatterlens.llm.topn import top_n_per_group
-from shatterlens.operators.components import connected_components
 from shatterlens.operators.records import current_rows
 from shatterlens.scratch import Scratch
 from shatterlens.sources.tables import table
@@ -28,16 +27,19 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("target_family", "place", "run_id", "node_id")
 
 
+def _programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, str, Column]:
+    return table(spark, sf_dir, "candidate_programs"), "candidate_id", "code", F.coalesce(F.lower(F.trim("family")), F.lit("unknown"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of slightly altered programs of a family."""
-    family = F.coalesce(F.lower(F.trim("family")), F.lit("unknown"))
-    pairs = near_duplicates(table(spark, sf_dir, "candidate_programs"), "candidate_id", "code", family)
+    pairs = near_duplicates(*_programs(spark, sf_dir))
     return pairs.select(F.col("id_a").alias("candidate_id_a"), F.col("id_b").alias("candidate_id_b"))
 
 
 def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The groups that such pairs form, named by their least member."""
-    groups = connected_components(p4_found(spark, sf_dir), "candidate_id_a", "candidate_id_b")
+    """The groups that such pairs form, named by their least member; from links of classes and their members, without pairs of copies."""
+    groups = near_duplicate_groups(near_duplicate_links(*_programs(spark, sf_dir)))
     return groups.select(F.col("node").alias("candidate_id"), F.col("component").alias("group_id"))
 
 

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from shatterlens.llm.neardup import fingerprint, near_duplicates, shingles
+from shatterlens.llm.neardup import fingerprint, near_duplicate_groups, near_duplicate_links, near_duplicates, shingles
 
 SCHEMA = "cid string, code string, family string, id string, items string"
 
@@ -33,12 +33,12 @@ def brute(rows):
     return {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if sets[a][0] == sets[b][0] and 10 * len(sets[a][1] & sets[b][1]) >= 7 * len(sets[a][1] | sets[b][1])}
 
 
-@pytest.mark.parametrize("local_rows", [1000, 5])
-def test_both_ways_equal_all_pairs(spark, local_rows):
+@pytest.mark.parametrize("local_rows, bucket_rows", [(1000, 5000), (5, 5000), (5, 2)])
+def test_both_ways_equal_all_pairs(spark, local_rows, bucket_rows):
     rows = programs(1, 200)
     rows += [("copy1", rows[0][1], rows[0][2], "", ""), ("copy2", rows[0][1], rows[0][2], "", ""), rows[3], rows[3]]
     rows += [("short", "a b c", "f", "", ""), ("null", None, "f", "", ""), ("empty", "", "f", "", ""), (None, rows[0][1], "f", "", "")]
-    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), "cid", "code", F.col("family"), local_rows=local_rows).collect()
+    got = near_duplicates(spark.createDataFrame(rows, SCHEMA), "cid", "code", F.col("family"), local_rows=local_rows, bucket_rows=bucket_rows).collect()
     assert len(got) == len(set(got))
     assert {tuple(r) for r in got} == brute(rows)
 
@@ -67,3 +67,38 @@ def test_empty_and_very_long(spark):
 def test_shingles():
     assert shingles(None) is None and shingles("a " * 19) is None
     assert len(shingles("a " * 20)) == 1
+
+
+@pytest.mark.parametrize("local_rows", [1000, 5])
+def test_copies_are_members_not_pairs(spark, local_rows):
+    code = " ".join(f"w{i}" for i in range(60))
+    rows = [(f"k{i:02d}", code, "f") for i in range(40)] + [(f"n{i:02d}", code + " end", "f") for i in range(40)] + [("alone", " ".join(f"z{i}" for i in range(60)), "f")]
+    df = spark.createDataFrame(rows, "cid string, code string, family string")
+    links = near_duplicate_links(df, "cid", "code", F.col("family"), local_rows=local_rows)
+    assert links.where("link").count() == 1 and links.where("not link").count() == 80
+    assert near_duplicates(df, "cid", "code", F.col("family"), local_rows=local_rows).count() == 80 * 79 // 2
+    assert {(r.node, r.component) for r in near_duplicate_groups(links).collect()} == {(c, "k00") for c, *_ in rows if c != "alone"}
+
+
+def test_one_id_with_several_programs(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [("1", a, "f"), ("1", b, "f"), ("2", a, "f"), ("3", b, "f"), ("2", a, "g"), ("4", a, "g")]
+    got = near_duplicates(spark.createDataFrame(rows, "cid string, code string, family string"), "cid", "code", F.col("family"))
+    assert {tuple(r) for r in got.collect()} == {("1", "2"), ("1", "3"), ("2", "4")}
+
+
+def test_alike_fingerprints_take_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+
+    from shatterlens.llm import neardup
+
+    n = 3000
+    prints = np.zeros((n, neardup.SEGMENTS * neardup.SEGMENT_BITS // 8), dtype=np.uint8)
+    prints[np.arange(n), np.arange(n) % prints.shape[1]] = 1
+    tracemalloc.start()
+    found = sum(len(p) for p in neardup._close(prints))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == n * (n - 1) // 2 and peak < 400e6
