@@ -9,12 +9,22 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from shatterlens.functions.names import fresh
 from shatterlens.scratch import Scratch
 
-#: Equal-width score bins of the histograms.
-BINS = 1024
+#: Score bins to each power of two.
+BINS = 256
+#: Bin of an infinite score: beyond those of all finite ones, whose logarithms are within -1074 and 1024.
+_TOP = 2200
 #: Groups with more than this share of all rows get their threshold by broadcast: at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 50_000
 
 
+def score_bin(score: Column, bins: int) -> Column:
+    """Bin of a score: it never falls as the score rises, whatever the range of scores; one far outlier takes no resolution from the others."""
+    size = F.abs(score.cast("double"))
+    finite = F.floor((F.log2(size) + 1075) * bins)
+    place = F.when(size == 0, 0).when(size == float("inf"), _TOP * bins).otherwise(finite).cast("int")
+    return F.when(score < 0, -place).otherwise(place)
+
+
 def top_n_per_group(items: DataFrame, group: str, score: str, n: int, ties: Sequence[Column], place: str = "place", bins: int = BINS, hot_share: float = HOT_SHARE) -> DataFrame:
     """The ``n`` rows of greatest ``score`` of each group with their ``place`` from 1 on.
 
@@ -22,7 +32,8 @@ def top_n_per_group(items: DataFrame, group: str, score: str, n: int, ties: Sequ
     ``ties``; rows equal there too are taken as equal. Infinite scores count as they compare. Other
     columns pass through; one named as ``place`` gives way to it. An empty table gives no rows.
 
-    1. Histograms: rows are counted per (group, score bin), combined before the shuffle. The
+    1. Histograms: rows are counted per (group, score bin), combined before the shuffle; bins are as wide as
+       a 1 / ``bins`` part of a power of two. The
        threshold of a group is the highest bin at or above which it has ``n`` rows, so at least
        ``n`` rows reach it. Where that drops no row, only large groups have one, their lowest bin.
     2. Rows below the threshold are dropped. Thresholds of large groups are broadcast (fewer than
@@ -34,12 +45,8 @@ def top_n_per_group(items: DataFrame, group: str, score: str, n: int, ties: Sequ
     scratch = Scratch(items.sparkSession)
     bin_, n_, cum, least, size, lowest, cold_least = fresh([*items.columns, place], "_bin", "_n", "_cum", "_least", "_size", "_lowest", "_least_cold")
     items = items.where(F.col(group).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
-    rows = scratch.save(items, "items")
-    finite = F.when(F.abs(F.col(score)) < float("inf"), F.col(score))
-    lo, hi, total = rows.agg(F.min(finite), F.max(finite), F.count(F.lit(1))).first()
-    width = ((hi - lo) / bins if lo is not None else 0) or 1.0
-    at = F.when(F.col(score) == float("inf"), bins).when(F.col(score) == float("-inf"), -1)
-    rows = rows.withColumn(bin_, at.otherwise(F.least(F.floor((F.col(score) - F.lit(lo)) / F.lit(width)), F.lit(bins - 1))).cast("int"))
+    rows = scratch.save(items, "items").withColumn(bin_, score_bin(F.col(score), bins))
+    total = rows.count()
 
     histogram = rows.groupBy(group, bin_).agg(F.count(F.lit(1)).alias(n_))
     downward = Window.partitionBy(group).orderBy(F.desc(bin_)).rowsBetween(Window.unboundedPreceding, 0)
