@@ -13,6 +13,7 @@ through the same steps as DataFrame rounds, so no task ever holds an unbounded r
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,6 +27,8 @@ from shatterlens.scratch import Scratch
 LOCAL_ROWS = 100_000
 #: Rows aimed at for a bundle of runs.
 BUNDLE_ROWS = 25_000
+#: Pairs made at a time, and entries of a block of the tour that intervals are joined with.
+PAIRS, BLOCK_ENTRIES = 1 << 18, 4096
 #: A peeling round must take at least this share of the records, else doubling takes over.
 PEEL_SHARE = 1 / 8
 TREE, CYCLE, BELOW = "tree", "cycle", "below_cycle"
@@ -81,7 +84,7 @@ def rank_list(succ: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def solve_forest(parent: np.ndarray) -> dict[str, np.ndarray]:
-    """root, depth, descendants, state (0 tree, 1 loop, 2 below one), pre of each node; parent -1 for none."""
+    """root, depth, descendants, state (0 tree, 1 loop, 2 below one), pre of each node, descendants with loops cut, least node of its loop; parent -1 for none."""
     n = len(parent)
     on_loop = loops(parent)
     cut = np.where(on_loop, -1, parent)
@@ -93,16 +96,17 @@ def solve_forest(parent: np.ndarray) -> dict[str, np.ndarray]:
     below = (steps[:n] - steps[n:] - 1) // 2
     entry = steps[root] - steps[:n]  # arcs before the entry: entries less exits are the depth
     state = np.where(on_loop, 1, np.where(on_loop[root], 2, 0))
+    own, low = below, np.arange(n)
     if on_loop.any():
         ring = np.flatnonzero(on_loop)
-        low, hop = np.arange(n), np.where(on_loop, parent, np.arange(n))
+        hop = np.where(on_loop, parent, np.arange(n))
         for _ in range(max(1, math.ceil(math.log2(len(ring) + 1)))):
             low = np.minimum(low, low[hop])
             hop = hop[hop]
         mass = np.bincount(low[ring], weights=below[ring] + 1, minlength=n).astype(np.int64)
         below = below.copy()
         below[ring] = mass[low[ring]] - 1
-    return {"root": root, "depth": depth, "below": below, "state": state, "pre": (entry + depth) // 2}
+    return {"root": root, "depth": depth, "below": below, "state": state, "pre": (entry + depth) // 2, "own": own, "low": low}
 
 
 def _parents(run: np.ndarray, node: pd.Series, parent: pd.Series) -> np.ndarray:
@@ -139,19 +143,54 @@ def _solve_bundle(pdf: pd.DataFrame) -> pd.DataFrame:
     })
 
 
+def _tour_order(x: dict[str, np.ndarray]) -> np.ndarray:
+    """Nodes in the order of their entries, tree after tree."""
+    return np.lexsort([x["pre"], x["root"]])
+
+
 def _bundle_paths(separator: str):
     def paths(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, parent, x = _bundle(pdf)
-        node = pdf["node_id"].fillna("").to_numpy()
-        tree = np.flatnonzero(x["state"] == 0)
-        path: list = [None] * len(pdf)
-        for i in tree[np.argsort(x["depth"][tree], kind="stable")]:
-            path[i] = node[i] if parent[i] < 0 else path[parent[i]] + separator + node[i]
-        return pd.DataFrame({"run_id": pdf["run_id"], "node_id": pdf["node_id"], "path": path}).iloc[tree]
+        pdf, _, x = _bundle(pdf)
+        order = _tour_order(x)
+        order = order[x["state"][order] == 0]
+        node, depth = pdf["node_id"].fillna("").to_numpy(), x["depth"]
+        open_: list[str] = []  # paths of the entries that are open
+        path = []
+        for i in order:
+            del open_[depth[i] :]
+            open_.append(open_[-1] + separator + node[i] if open_ else node[i])
+            path.append(open_[-1])
+        return pdf[["run_id", "node_id"]].iloc[order].assign(path=np.array(path, dtype=object))
 
     return paths
 
 
+def _bundle_below(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of a bundle, in blocks: what is between entry and exit of a record follows it in the tour."""
+    pdf, _, x = _bundle(pd.concat(list(batches), ignore_index=True))
+    order, own = _tour_order(x), x["own"]
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    run, node = pdf["run_id"].to_numpy(), pdf["node_id"].to_numpy()
+    rows = lambda v, u: pd.DataFrame({"run_id": run[v], "node_id": node[v], "below_id": node[u]})
+    upto = np.cumsum(own)
+    at = 0
+    while at < len(own):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + PAIRS, side="right")))
+        n = own[at:end]
+        v = np.repeat(np.arange(at, end), n)
+        yield rows(v, order[place[v] + 1 + np.arange(len(v)) - np.repeat(np.cumsum(n) - n, n)])
+        at = end
+    ring = np.flatnonzero(x["state"] == 1)
+    for members in np.split(ring[np.argsort(x["low"][ring], kind="stable")], np.flatnonzero(np.diff(np.sort(x["low"][ring]))) + 1):
+        trees = [order[place[r] : place[r] + own[r] + 1] for r in members]
+        for k, v in enumerate(members):
+            others = trees[:k] + trees[k + 1 :]
+            if others:
+                u = np.concatenate(others)
+                yield rows(np.full(len(u), v), u)
+
+
 def _doubling(scratch: Scratch, t: DataFrame, sums: list[str], label: str) -> DataFrame:
     """List ranking by pointer jumping over t(arc, succ, last, sums...): succ NULL at a list's end.
 
@@ -226,7 +265,8 @@ def _tour(nodes: DataFrame) -> DataFrame:
     return arcs.select("arc", "succ", F.when(~open_, F.col("id")).alias("last"), F.when(open_, F.col("w")).otherwise(0).alias("w"), F.when(open_, F.lit(1)).otherwise(0).cast("long").alias("steps"))
 
 
-def _solve_large(scratch: Scratch, records: DataFrame) -> DataFrame:
+def _solve_large(scratch: Scratch, records: DataFrame, cut_loops: bool = False) -> DataFrame:
+    """The columns of ``hierarchy``; with ``cut_loops`` id, run_id, node_id, root, pre and below of the forest that cutting loops leaves, and ring, the parent on a loop."""
     nodes = _numbered(scratch, records)
     ring = scratch.save(_loops_of(scratch, nodes), "ring")
     cut = nodes.join(ring.select("id", F.lit(True).alias("on_loop")), "id", "left").withColumn("on_loop", F.coalesce("on_loop", F.lit(False)))
@@ -237,7 +277,9 @@ def _solve_large(scratch: Scratch, records: DataFrame) -> DataFrame:
     tops = cut.where(F.col("parent").isNull()).select(F.col("id").alias("root"), F.col("node_id").alias("root_id"), F.col("on_loop").alias("under"))
     tops = tops.join(side(0, {"steps": "s_root"}).withColumnRenamed("id", "root"), "root")
     x = lookup_join(x, tops, ["root"], cut.count())
-    x = scratch.save(x.select("id", "run_id", "node_id", "root_id", "on_loop", "under", (1 - F.col("w")).alias("depth"), F.expr("(s0 - s1 - 1) div 2").alias("below"), F.expr("(s_root - s0 + 1 - w) div 2").alias("pre")), "solved")
+    x = scratch.save(x.select("id", "run_id", "node_id", "root", "root_id", "on_loop", "under", (1 - F.col("w")).alias("depth"), F.expr("(s0 - s1 - 1) div 2").alias("below"), F.expr("(s_root - s0 + 1 - w) div 2").alias("pre")), "solved")
+    if cut_loops:
+        return x.join(ring.select("id", F.col("parent").alias("ring")), "id", "left").select("id", "run_id", "node_id", "root", "pre", "below", "ring")
     state = F.when(F.col("on_loop"), CYCLE).when(F.col("under"), BELOW).otherwise(TREE)
     if not ring.isEmpty():
         low = ring.select("id", F.col("parent").alias("hop"), F.col("id").alias("low"))
@@ -256,6 +298,29 @@ def _solve_large(scratch: Scratch, records: DataFrame) -> DataFrame:
     )
 
 
+def _large_below(scratch: Scratch, records: DataFrame) -> DataFrame:
+    """The same pairs by a join of intervals with entries, block by block, so that no task holds a tree."""
+    x = scratch.save(_solve_large(scratch, records, cut_loops=True), "forest")
+    block = lambda c: F.floor(c / BLOCK_ENTRIES)
+    over = x.where("below > 0").select("id", "run_id", "node_id", "root", "pre", "below", F.explode(F.sequence(block(F.col("pre") + 1), block(F.col("pre") + F.col("below")))).alias("block"))
+    under = x.select("root", block(F.col("pre")).alias("block"), F.col("pre").alias("at"), F.col("node_id").alias("below_id"))
+    inside = (F.col("at") > F.col("pre")) & (F.col("at") <= F.col("pre") + F.col("below"))
+    own = over.join(under, ["root", "block"]).where(inside).select("id", "run_id", "node_id", "below_id")
+    ring = x.where(F.col("ring").isNotNull())
+    if ring.isEmpty():
+        return own.drop("id")
+    low = scratch.save(ring.select("id", F.col("ring").alias("hop"), F.col("id").alias("low")), "low")
+    n, k = low.count(), 0
+    while 1 << k <= n:
+        far = low.select(F.col("id").alias("hop"), F.col("hop").alias("_h"), F.col("low").alias("_l"))
+        low = scratch.save(low.join(far, "hop").select("id", F.col("_h").alias("hop"), F.least("low", "_l").alias("low")), "low")
+        k += 1
+    mates = low.select("low", F.col("id").alias("v")).join(low.select("low", "id"), "low").where(F.col("v") != F.col("id")).select("v", "id")
+    whole = own.select("id", "below_id").unionByName(ring.select("id", F.col("node_id").alias("below_id")))
+    theirs = mates.join(whole, "id").drop("id").withColumnRenamed("v", "id").join(ring.select("id", "run_id", "node_id"), "id")
+    return own.drop("id").unionByName(theirs.select("run_id", "node_id", "below_id"))
+
+
 def _large_paths(scratch: Scratch, records: DataFrame, separator: str) -> DataFrame:
     nodes = _numbered(scratch, records)
     t = nodes.select("id", "run_id", "node_id", F.col("parent").alias("hop"), F.coalesce("node_id", F.lit("")).alias("path"))
@@ -308,3 +373,13 @@ def hierarchy_paths(records: DataFrame, separator: str = "/", local_rows: int =
     """(run_id, node_id, path) of the records on trees, root first; NULL ids are written as ''."""
     rows = records.select("run_id", "node_id", "parent_id", "ingested_at")
     return _by_size(rows, local_rows, bundle_rows, _bundle_paths(separator), "run_id string, node_id string, path string", lambda s, r: _large_paths(s, r, separator))
+
+
+def hierarchy_below(records: DataFrame, local_rows: int = LOCAL_ROWS, bundle_rows: int = BUNDLE_ROWS) -> DataFrame:
+    """(run_id, node_id, below_id): every record with each record below it, by entry-exit intervals.
+
+    On a loop that includes the loop's other members and what is below them. As many rows as the sum of ``n_descendants``,
+    which is the sum of the depths where there are no loops; they are made in blocks.
+    """
+    rows = records.select("run_id", "node_id", "parent_id", "ingested_at")
+    return _by_size(rows, local_rows, bundle_rows, _bundle_below, "run_id string, node_id string, below_id string", _large_below)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shatterlens.operators.hierarchy import hierarchy, hierarchy_paths
-from shatterlens.operators.orphans import orphan_report, record_orphans
+from shatterlens.operators.hierarchy import hierarchy, hierarchy_below, hierarchy_paths
+from shatterlens.operators.orphans import orphan_report, plain_path, record_orphans, reference_or_null, resolve_references
+from shatterlens.operators.records import current_rows
+from shatterlens.scratch import Scratch
 from shatterlens.sources.tables import table
 
 
@@ -29,7 +31,26 @@ def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hierarchy_paths(table(spark, sf_dir, "search_records"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p3_found": p3_found, "p3_paths": p3_paths}
+def p3_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record with each of the records below it."""
+    return hierarchy_below(table(spark, sf_dir, "search_records"))
+
+
+def p2_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose file and code hash, as far as they are given, no registered file of the run has: a key of three columns with NULLs.
+
+    ``absent`` tells which columns are NULL: 1 for the path, 2 for the hash. Records without both refer to nothing.
+    """
+    now = current_rows(table(spark, sf_dir, "search_records"), ["run_id", "node_id"], "ingested_at", ["candidate_file", "code_hash"])
+    refs = now.select("run_id", "node_id", plain_path(reference_or_null(F.col("candidate_file"))).alias("path"), reference_or_null(F.col("code_hash")).alias("hash"))
+    refs = Scratch(spark).save(refs.where(F.col("path").isNotNull() | F.col("hash").isNotNull()), "refs")
+    files = table(spark, sf_dir, "candidate_files").select("run_id", plain_path(F.col("candidate_file")).alias("path"), F.col("code_hash").alias("hash"))
+    found = resolve_references(refs, ["run_id", "path", "hash"], files, ["run_id", "path", "hash"], match="partial")
+    absent = F.when(F.col("path").isNull(), 1).otherwise(0) + F.when(F.col("hash").isNull(), 2).otherwise(0)
+    return found.where(~F.col("_hit")).select("run_id", "node_id", absent.alias("absent"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_report": p2_report, "p2_partial": p2_partial, "p3_found": p3_found, "p3_paths": p3_paths, "p3_below": p3_below}
 
 _P2 = r"""
     WITH d AS (
@@ -76,6 +97,17 @@ _P3 = """
 ORACLES = {
     "p2_found": _P2 + "SELECT * FROM found WHERE kind IS NOT NULL",
     "p2_report": _P2 + "SELECT ref_field, kind, period, count(*) AS n FROM found WHERE kind IS NOT NULL GROUP BY ALL",
+    "p2_partial": r"""
+        WITH now AS (
+            SELECT run_id, node_id, row_number() OVER (PARTITION BY run_id, node_id ORDER BY ingested_at DESC) AS n,
+                   CASE WHEN NOT regexp_full_match(candidate_file, '\s*(nan|None)?\s*') THEN regexp_replace(regexp_replace(replace(candidate_file, '\', '/'), '/+', '/', 'g'), '^\./', '') END AS path,
+                   CASE WHEN NOT regexp_full_match(code_hash, '\s*(nan|None)?\s*') THEN code_hash END AS hash
+            FROM search_records),
+        f AS (SELECT run_id, regexp_replace(regexp_replace(replace(candidate_file, '\', '/'), '/+', '/', 'g'), '^\./', '') AS path, code_hash AS hash FROM candidate_files)
+        SELECT run_id, node_id, CAST(CASE WHEN path IS NULL THEN 1 ELSE 0 END + CASE WHEN hash IS NULL THEN 2 ELSE 0 END AS INTEGER) AS absent
+        FROM now WHERE n = 1 AND (path IS NOT NULL OR hash IS NOT NULL)
+          AND NOT EXISTS (SELECT 1 FROM f WHERE f.run_id = now.run_id AND (now.path IS NULL OR f.path = now.path) AND (now.hash IS NULL OR f.hash = now.hash))""",
+    "p3_below": _P3 + "SELECT run_id, above AS node_id, node_id AS below_id FROM up WHERE above <> node_id",
     "p3_found": _P3 + """
         SELECT c.run_id, c.node_id,
                CASE WHEN l.node_id IS NOT NULL THEN '' WHEN c.parent_id IS NULL THEN c.node_id ELSE t.root_id END AS root_id,

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 import numpy as np
 import pytest
 
-from shatterlens.operators.hierarchy import hierarchy, hierarchy_paths, solve_forest
+from shatterlens.operators.hierarchy import hierarchy, hierarchy_below, hierarchy_paths, solve_forest
 
 SCHEMA = "run_id string, node_id string, parent_id string, ingested_at timestamp, depth string"
 T0 = datetime(2024, 1, 1)
@@ -36,6 +36,19 @@ def brute(parent: dict) -> dict:
     return out
 
 
+def below_of(parent: dict, k: tuple) -> set:
+    """Ids of all others that lead to ``k``."""
+    out = set()
+    for u in parent:
+        seen, at = set(), parent[u]
+        while at is not None and at not in seen:
+            seen.add(at)
+            at = parent[at]
+        if k in seen and u != k:
+            out.add(u[1])
+    return out
+
+
 def make(seed: int, runs: int, most: int):
     rng = random.Random(seed)
     rows, parent = [], {}
@@ -56,6 +69,8 @@ def test_both_ways_equal_walking(spark, local_rows):
     got = {(r.run_id, r.node_id): (r.root_id, r.depth, r.n_descendants, r.state) for r in hierarchy(df, local_rows, 20).collect()}
     paths = {(r.run_id, r.node_id): r.path for r in hierarchy_paths(df, "/", local_rows, 20).collect()}
     want = brute(parent)
+    pairs = sorted((r.run_id, r.node_id, r.below_id) for r in hierarchy_below(df, local_rows, 20).collect())
+    assert pairs == sorted((k[0], k[1], u) for k in parent for u in below_of(parent, k))
     assert got == {k: v[:4] for k, v in want.items()}
     assert paths == {k: v[4] for k, v in want.items() if v[4] is not None}
 
@@ -84,10 +99,29 @@ def test_nulls_repeats_and_newest_row(spark, local_rows):
 
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
-    assert hierarchy(df).count() == 0 and hierarchy_paths(df).count() == 0
+    assert hierarchy_below(df).count() == 0 and hierarchy(df).count() == 0 and hierarchy_paths(df).count() == 0
 
 
 def test_kernel_on_a_long_chain():
     n = 50_000
     x = solve_forest(np.arange(-1, n - 1))
     assert (x["depth"] == np.arange(n)).all() and (x["below"] == np.arange(n)[::-1]).all() and (x["pre"] == np.arange(n)).all()
+
+
+def test_a_run_beyond_one_task(spark):
+    """The rounds of joins at the production limit: 100,200 records of one run, a loop of 60 with trees below it included."""
+    rng = np.random.default_rng(4)
+    n = 100_200
+    parent = (np.arange(n) * rng.random(n) ** 0.3).astype(np.int64)
+    parent[:2] = -1
+    parent[500:559], parent[559] = np.arange(501, 560), 500
+    ids = [f"n{i}" for i in range(n)]
+    import pandas as pd
+
+    rows = pd.DataFrame({"run_id": "r", "node_id": ids, "parent_id": [None if p < 0 else ids[p] for p in parent], "ingested_at": T0})
+    df = spark.createDataFrame(rows, "run_id string, node_id string, parent_id string, ingested_at timestamp")
+    got = hierarchy(df).toPandas().set_index("node_id").loc[ids]
+    x = solve_forest(parent)
+    tree = x["state"] == 0
+    assert (got["n_descendants"].to_numpy() == x["below"]).all() and (got["depth"].to_numpy() == np.where(tree, x["depth"], -1)).all()
+    assert (got["root_id"].to_numpy() == np.where(tree, np.array(ids)[x["root"]], "")).all() and (got["state"] == "cycle").sum() == 60
