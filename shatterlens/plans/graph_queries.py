@@ -24,9 +24,9 @@ def local_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(graphs.nation_trade(spark, sf_dir).unionByName(graphs.user_succession(spark, sf_dir)))
 
 
-def supply_edges(spark: SparkSession, sf_dir: str, every: int) -> DataFrame:
-    """The customer-supplier graph, whole with ``every`` 1; 10 leaves nine tenths of the customers out, as the SQL of these queries does."""
-    return stored(graphs.customer_supplier(spark, sf_dir, every))
+def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer-supplier graph."""
+    return stored(graphs.customer_supplier(spark, sf_dir))
 
 
 def _all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,13 +63,13 @@ def graph_common_neighbours(spark, d):
     return tp.common_neighbours(local_edges(spark, d))
 
 
-def graph_local_bridges(spark, d, every=10):
-    return tp.bridge_counts(stored(graphs.nation_trade(spark, d).unionByName(graphs.user_succession(spark, d)).unionByName(graphs.customer_supplier(spark, d, every))))
+def graph_local_bridges(spark, d):
+    return tp.bridge_counts(stored(graphs.nation_trade(spark, d).unionByName(graphs.user_succession(spark, d)).unionByName(graphs.customer_supplier(spark, d))))
 
 
-def graph_sphere(spark, d, every=10):
+def graph_sphere(spark, d):
     """Nodes at distance two."""
-    edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d, every)))
+    edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d)))
     return tp.sphere(edges, 2).groupBy("graph", "node").agg(F.count(F.lit(1)).alias("at_two"))
 
 
@@ -82,9 +82,9 @@ def graph_components(spark, d):
     return connected_components(graphs.customer_supplier(spark, d), "u", "v")
 
 
-def graph_residual(spark, d, every=10):
+def graph_residual(spark, d):
     """Edges left after the degree order's removals."""
-    edges = supply_edges(spark, d, every)
+    edges = supply_edges(spark, d)
     nodes = graphs.nodes_of(edges)
     n = nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
     left = so.degree_order(edges, nodes).join(n, "graph").where(F.col("step") > so.budget(F.col("n"), RATE))
@@ -150,6 +150,11 @@ def order_betweenness(spark, d):
     return so.score_order(nodes, adaptive.betweenness(edges, nodes).join(n, "graph").select("graph", "node", F.round(pairs, 6).alias("score")), "betweenness")
 
 
+def _with_methods(spark, d, *names):
+    edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d)))
+    return adaptive.adaptive_orders(edges, graphs.nodes_of(edges), {k: adaptive.METHODS[k] for k in names}, RATE)
+
+
 def _adaptive(spark, d):
     edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d)))
     nodes = graphs.nodes_of(edges)
@@ -176,23 +181,18 @@ def order_proxies(spark, d):
 
 
 def order_highest_degree(spark, d):
-    """The three tie rules of highest residual degree, up to the budget, on trading nations."""
-    edges = stored(graphs.nation_trade(spark, d))
-    methods = {k: adaptive.METHODS[k] for k in ("hda_original", "hda_fast", "hda_number")}
-    orders = adaptive.adaptive_orders(edges, graphs.nodes_of(edges), methods, RATE)
-    return orders.where(F.col("step") <= 7)
+    """The three tie rules of highest residual degree on trading nations and the customer-supplier graph."""
+    return _with_methods(spark, d, "hda_original", "hda_fast", "hda_number")
 
 
-def order_highest_degree_whole(spark, d):
-    """The whole orders of the three tie rules on trading nations and the whole customer-supplier graph."""
-    edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d)))
-    methods = {k: adaptive.METHODS[k] for k in ("hda_original", "hda_fast", "hda_number")}
-    return adaptive.adaptive_orders(edges, graphs.nodes_of(edges), methods, RATE)
+def order_core_first(spark, d):
+    """The two methods that take the 2-core first, on the same graphs."""
+    return _with_methods(spark, d, "corehd_original", "corehd_fast")
 
 
-def order_completed(spark, d, every=10):
+def order_completed(spark, d):
     """A partial order with repeats and strangers, completed."""
-    edges = supply_edges(spark, d, every)
+    edges = supply_edges(spark, d)
     nodes = graphs.nodes_of(edges)
     listed = tp.degrees(edges).where("degree >= 3").select("graph", F.lit("listed").alias("method"), (F.col("node") % 97).alias("step"), "node")
     listed = listed.unionByName(listed.withColumn("step", F.col("step") + 50)).unionByName(listed.withColumn("node", -F.col("node") - 1))
@@ -200,56 +200,56 @@ def order_completed(spark, d, every=10):
     return so.complete_order(nodes, order)
 
 
-def _degree_states(spark, d, every=10):
-    edges = supply_edges(spark, d, every)
+def _degree_states(spark, d):
+    edges = supply_edges(spark, d)
     nodes = graphs.nodes_of(edges)
     return fr.trajectories(edges, nodes, so.degree_order(edges, nodes), RATE)
 
 
-def curve_states(spark, d, every=10):
-    return _degree_states(spark, d, every).select("graph", "step", "n", "left", "largest", "ncc", "top5", "squares")
+def curve_states(spark, d):
+    return _degree_states(spark, d).select("graph", "step", "n", "left", "largest", "ncc", "top5", "squares")
 
 
-def curve_metrics(spark, d, every=10):
-    return rounded(fr.with_metrics(_degree_states(spark, d, every)).select("graph", "step", "gcc", "ncc", "top5_mass", "hhi", "ec", "pd", "cnbi"))
+def curve_metrics(spark, d):
+    return rounded(fr.with_metrics(_degree_states(spark, d)).select("graph", "step", "gcc", "ncc", "top5_mass", "hhi", "ec", "pd", "cnbi"))
 
 
-def curve_running(spark, d, every=10):
-    return rounded(fr.with_running(fr.with_metrics(_degree_states(spark, d, every))).select("graph", "step", "running_r", "running_cnbi"))
+def curve_running(spark, d):
+    return rounded(fr.with_running(fr.with_metrics(_degree_states(spark, d))).select("graph", "step", "running_r", "running_cnbi"))
 
 
-def _two_orders(spark, d, every=10):
-    edges = supply_edges(spark, d, every)
+def _two_orders(spark, d):
+    edges = supply_edges(spark, d)
     nodes = graphs.nodes_of(edges)
     orders = so.degree_order(edges, nodes).unionByName(so.score_order(nodes, so.collective_influence(edges), "ci"))
     return fr.trajectories(edges, nodes, orders, RATE)
 
 
-def curve_summary(spark, d, every=10):
-    out = fr.summaries(fr.with_metrics(_two_orders(spark, d, every)))
+def curve_summary(spark, d):
+    out = fr.summaries(fr.with_metrics(_two_orders(spark, d)))
     return rounded(out)
 
 
-def curve_advantage(spark, d, every=10):
+def curve_advantage(spark, d):
     """Gain of collective influence over degree."""
-    return rounded(fr.fracture_advantage(fr.summaries(fr.with_metrics(_two_orders(spark, d, every))), "degree"))
+    return rounded(fr.fracture_advantage(fr.summaries(fr.with_metrics(_two_orders(spark, d))), "degree"))
 
 
-def curve_residual_means(spark, d, every=10):
-    return rounded(fr.plain_means(fr.with_metrics(_two_orders(spark, d, every), "residual")))
+def curve_residual_means(spark, d):
+    return rounded(fr.plain_means(fr.with_metrics(_two_orders(spark, d), "residual")))
 
 
-def curve_paper_variant(spark, d, every=10):
-    return rounded(fr.with_metrics(_two_orders(spark, d, every), "paper").select("graph", "method", "step", "pd", "cnbi"))
+def curve_paper_variant(spark, d):
+    return rounded(fr.with_metrics(_two_orders(spark, d), "paper").select("graph", "method", "step", "pd", "cnbi"))
 
 
-def curve_value_at(spark, d, every=10):
-    return rounded(fr.value_at(fr.with_metrics(_two_orders(spark, d, every)), "cnbi", 0.2))
+def curve_value_at(spark, d):
+    return rounded(fr.value_at(fr.with_metrics(_two_orders(spark, d)), "cnbi", 0.2))
 
 
-def curve_forest(spark, d, every=10):
+def curve_forest(spark, d):
     """The same states from a distributed spanning forest of the large graph's edges."""
-    edges = supply_edges(spark, d, every)
+    edges = supply_edges(spark, d)
     nodes = graphs.nodes_of(edges)
     orders = so.degree_order(edges, nodes)
     forest = fr.spanning_forest(fr.positioned(edges, orders))
@@ -297,9 +297,9 @@ def graph_largest_component(spark, d):
     return tp.relabelled(kept, graphs.nodes_of(kept))
 
 
-def graph_chain(spark, d, every=10):
+def graph_chain(spark, d):
     """Edges that would join the components one after the other."""
-    return tp.chained(_members(supply_edges(spark, d, every)))
+    return tp.chained(_members(supply_edges(spark, d)))
 
 
 def graph_edge_sample(spark, d):
@@ -327,20 +327,10 @@ def study_search(spark, d):
     return spark.createDataFrame(found[["node_id", "parent_id", "r", "cnbi", "score", "valid"]], "node_id string, parent_id string, r double, cnbi double, score double, valid boolean")
 
 
-def whole(query: Callable[..., DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """The query on the whole customer-supplier graph."""
-
-    def run(spark, d):
-        return query(spark, d, every=1)
-
-    run.__doc__ = f"{query.__name__} on the whole customer-supplier graph."
-    return run
-
-
 _plain = [
     graph_largest_component, graph_chain, graph_edge_sample, study_validation, study_search,
     graph_sizes, graph_degree, graph_degree_histogram, graph_triangles, graph_clustering, graph_common_neighbours, graph_local_bridges, graph_sphere, graph_stats, graph_components,
-    graph_residual, graph_user_successors, graph_core_numbers, graph_communities, order_degree, order_core, order_betweenness, order_adaptive, order_proxies, order_highest_degree, order_highest_degree_whole,
+    graph_residual, graph_user_successors, graph_core_numbers, graph_communities, order_degree, order_core, order_betweenness, order_adaptive, order_proxies, order_highest_degree, order_core_first,
     order_completed, order_timed, curve_states, curve_metrics, curve_running, curve_summary, curve_advantage, curve_residual_means, curve_paper_variant, curve_value_at, curve_forest,
     curve_component_states, curve_adaptive, curve_mean_over_graphs,
 ]
@@ -348,12 +338,6 @@ QUERIES = {f.__name__: f for f in _plain} | {
     "order_collective_influence": _static("ci", so.collective_influence), "order_cluster_rank": _static("cluster_rank", so.cluster_rank), "order_neighbour_distance": _static("ndc", so.neighbour_distance),
     "order_ncdc": _by_community("ncdc"), "order_ndjc": _by_community("ndjc"),
 }
-_cut = [
-    graph_local_bridges, graph_sphere, graph_residual, graph_chain, order_completed, curve_states, curve_metrics, curve_running, curve_summary, curve_advantage,
-    curve_residual_means, curve_paper_variant, curve_value_at, curve_forest,
-]
-QUERIES |= {f"{f.__name__}_whole": whole(f) for f in _cut}
-
 _TRADE = """SELECT DISTINCT 'trade' AS graph, CAST(least(c_nationkey, s_nationkey) AS BIGINT) AS u, CAST(greatest(c_nationkey, s_nationkey) AS BIGINT) AS v
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
     WHERE l_returnflag = 'R' AND l_quantity >= 50 AND c_nationkey <> s_nationkey"""
@@ -361,7 +345,6 @@ _USERS = """SELECT DISTINCT 'users' AS graph, least(user_id, nxt) AS u, greatest
     FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS nxt FROM events) WHERE user_id <> nxt"""
 _SUPPLY = """SELECT DISTINCT 'supply' AS graph, least(o_custkey * 2, l_suppkey * 2 + 1) AS u, greatest(o_custkey * 2, l_suppkey * 2 + 1) AS v
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_linenumber = 1"""
-_SMALL = _SUPPLY + " AND o_custkey % 10 = 0"
 _PARTS = "SELECT DISTINCT 'parts' AS graph, least(l_suppkey * 2 + 1, l_partkey * 2) AS u, greatest(l_suppkey * 2 + 1, l_partkey * 2) AS v FROM lineitem WHERE l_returnflag = 'R'"
 
 
@@ -374,7 +357,7 @@ def _over(*sources: str) -> str:
     )
 
 
-_ALL, _LOCAL, _ON_SMALL = _over(_TRADE, _USERS, _SUPPLY, _PARTS), _over(_TRADE, _USERS), _over(_SMALL)
+_ALL, _LOCAL, _ON_SUPPLY = _over(_TRADE, _USERS, _SUPPLY, _PARTS), _over(_TRADE, _USERS), _over(_SUPPLY)
 _TRI = ", tri AS (SELECT graph, node, CAST(sum(common) / 2 AS BIGINT) AS triangles FROM (SELECT graph, u AS node, common FROM com UNION ALL SELECT graph, v, common FROM com) GROUP BY ALL) "
 _CLU = _TRI + ", clu AS (SELECT graph, node, degree, triangles, CASE WHEN degree < 2 THEN 0.0 ELSE 2.0 * triangles / (degree * (degree - 1)) END AS clustering FROM deg JOIN tri USING (graph, node)) "
 _CI = ", ci AS (SELECT d.graph, d.node, CAST((d.degree - 1) * coalesce(sum(o.degree - 1), 0) AS DOUBLE) AS score FROM deg d LEFT JOIN two t ON t.graph = d.graph AND t.node = d.node LEFT JOIN deg o ON o.graph = t.graph AND o.node = t.other GROUP BY d.graph, d.node, d.degree) "
@@ -386,13 +369,17 @@ def _order(name: str, scores: str) -> str:
 
 
 def _curve(orders: str) -> str:
-    """States of orders(graph, method, step, node) on the small graph: least labels spread along the edges left, for every step."""
+    """States of orders(graph, method, step, node): from the last step to the first, each node comes back and takes its neighbours' components with it.
+
+    part(method, k, node, label) holds, after k removals, the label of every node left; the row of node -1 keeps the recursion going.
+    """
     return (
-        f", orders AS ({orders}), cnt AS (SELECT count(*) AS n, CAST(greatest(1, least(count(*), round_even(CAST(count(*) AS DOUBLE) * 0.3, 0))) AS INTEGER) AS most FROM deg), "
-        "place AS (SELECT a.method, e.src, e.dst, least(a.step, b.step) AS lo FROM adj e JOIN orders a ON a.node = e.src JOIN orders b ON b.node = e.dst AND b.method = a.method), "
-        "ks AS (SELECT unnest(range(1, most + 1)) AS k FROM cnt), "
-        "lab AS (SELECT o.method, k, o.node, o.node AS label FROM orders o, ks WHERE o.step > k UNION SELECT l.method, l.k, p.dst, l.label FROM lab l JOIN place p ON p.method = l.method AND p.src = l.node AND p.lo > l.k WHERE l.label < p.dst), "
-        "part AS (SELECT method, k, label, count(*) AS size FROM (SELECT method, k, node, min(label) AS label FROM lab GROUP BY ALL) GROUP BY ALL), "
+        f", orders AS MATERIALIZED ({orders}), cnt AS (SELECT count(*) AS n, CAST(greatest(1, least(count(*), round_even(CAST(count(*) AS DOUBLE) * 0.3, 0))) AS INTEGER) AS most FROM deg), "
+        "lab AS (SELECT method, CAST(max(step) AS INTEGER) AS k, CAST(-1 AS BIGINT) AS node, CAST(-1 AS BIGINT) AS label FROM orders GROUP BY method UNION ALL ("
+        "WITH hit AS (SELECT l.method, l.label, min(l.label) OVER (PARTITION BY l.method) AS low FROM lab l JOIN orders o ON o.method = l.method AND o.step = l.k JOIN adj a ON a.src = o.node AND a.dst = l.node GROUP BY l.method, l.label) "
+        "SELECT l.method, l.k - 1, l.node, CASE WHEN h.label IS NULL THEN l.label ELSE least(h.low, o.node) END FROM lab l JOIN orders o ON o.method = l.method AND o.step = l.k LEFT JOIN hit h ON h.method = l.method AND h.label = l.label "
+        "UNION ALL SELECT o.method, o.step - 1, o.node, least(o.node, coalesce((SELECT min(h.low) FROM hit h WHERE h.method = o.method), o.node)) FROM lab l JOIN orders o ON o.method = l.method AND o.step = l.k WHERE l.node = -1)), "
+        "part AS (SELECT method, k, label, count(*) AS size FROM lab, cnt WHERE node <> -1 AND k BETWEEN 1 AND most GROUP BY ALL), "
         "st AS (SELECT 'supply' AS graph, method, CAST(k AS INTEGER) AS step, k / CAST(n AS DOUBLE) AS ratio, n, n - k AS rest, max(size) AS largest, count(*) AS ncc, CAST(list_sum(list_slice(list_reverse_sort(list(size)), 1, 5)) AS BIGINT) AS top5, CAST(sum(size * size) AS BIGINT) AS squares FROM part, cnt GROUP BY method, k, n), "
         "m0 AS (SELECT *, largest / CAST(n AS DOUBLE) AS gcc, squares / pow(CAST(greatest(1, rest) AS DOUBLE), 2) AS hhi, greatest(0.0, CASE WHEN rest <= 1 THEN 1.0 ELSE 1 - (squares - rest) / CAST(rest * (rest - 1) AS DOUBLE) END) AS pd_left FROM st), "
         "m AS (SELECT *, top5 / CAST(n AS DOUBLE) AS top5_mass, 1 / hhi AS ec, 1 - (squares - rest) / CAST(greatest(1, n * (n - 1)) AS DOUBLE) AS pd FROM m0), "
@@ -405,23 +392,78 @@ def _curve(orders: str) -> str:
     )
 
 
-_ONE = _ON_SMALL + _curve(_DEGREE_ORDER)
-_BOTH = _ON_SMALL + _CI + _curve(_DEGREE_ORDER + " UNION ALL " + _order("ci", "SELECT * FROM ci"))
+_ONE = _ON_SUPPLY + _curve(_DEGREE_ORDER)
+_BOTH = _ON_SUPPLY + _CI + _curve(_DEGREE_ORDER + " UNION ALL " + _order("ci", "SELECT * FROM ci"))
 _STATES = _ONE + "SELECT graph, step, n, rest AS \"left\", largest, ncc, top5, squares FROM st"
 _SUMMARY = ["r", *[f"{a}_{c}" for a in ("final", "early") for c in ("gcc", "ncc", "cnbi")], "auc_acc", "auc_ncc", "auc_cnbi"]
 
 
-def _highest(method: str, tie: str) -> str:
-    """Seven rounds of highest residual degree, each a CTE."""
-    out = ["h0 AS (SELECT CAST(NULL AS BIGINT) AS node WHERE false)"]
-    for i in range(1, 8):
-        gone = " UNION ALL ".join(f"SELECT node FROM {method}{j}" for j in range(1, i)) or "SELECT node FROM h0"
-        out.append(
-            f"{method}{i} AS (SELECT node FROM (SELECT d.node, count(a.dst) FILTER (WHERE a.dst NOT IN ({gone})) AS deg FROM deg d LEFT JOIN adj a ON a.src = d.node "
-            f"WHERE d.node NOT IN ({gone}) GROUP BY d.node) ORDER BY deg DESC, {tie} LIMIT 1)"
-        )
-    return ", ".join(out[1:] if method != "o" else out)
+_TIES = (("hda_original", "CAST(node AS VARCHAR) DESC"), ("hda_fast", "CAST(node AS VARCHAR)"), ("hda_number", "node DESC"))
+_BUDGETS = ", cap AS (SELECT graph, CAST(greatest(1, least(count(*), round_even(CAST(count(*) AS DOUBLE) * 0.3, 0))) AS INTEGER) AS most FROM deg GROUP BY graph)"
+
+
+def _removals(states: str) -> str:
+    """Orders of picks(graph, method, step, node), each completed by the nodes left in ascending order."""
+    return states + (
+        ", methods AS (SELECT DISTINCT graph, method FROM picks), left_over AS (SELECT m.graph, m.method, d.node FROM methods m JOIN deg d USING (graph) ANTI JOIN picks p ON p.graph = m.graph AND p.method = m.method AND p.node = d.node) "
+        "SELECT graph, method, CAST(step AS INTEGER) AS step, node FROM picks UNION ALL SELECT graph, method, CAST(most + row_number() OVER (PARTITION BY graph, method ORDER BY node) AS INTEGER), node FROM left_over JOIN cap USING (graph)"
+    )
+
+
+def _highest_degree() -> str:
+    """h: nodes left after ``step`` removals with their degrees; best: the places of the methods' ties; pick: the next one to go."""
+    best = " UNION ALL ".join(f"SELECT graph, '{m}' AS method, node, row_number() OVER (PARTITION BY graph ORDER BY {tie}) AS tie FROM deg" for m, tie in _TIES)
+    pick = "first_value(node) OVER (PARTITION BY graph, method ORDER BY degree DESC, tie)"
+    return _removals(
+        _over(_TRADE, _SUPPLY) + _BUDGETS + f", best AS MATERIALIZED ({best}), "
+        f"h AS (SELECT graph, method, 0 AS step, node, tie, degree, {pick} AS pick FROM best JOIN deg USING (graph, node) UNION ALL "
+        f"SELECT graph, method, step + 1, node, tie, degree, {pick} FROM (SELECT h.graph, h.method, h.step, h.node, h.tie, h.degree - (a.dst IS NOT NULL)::INT AS degree FROM h JOIN cap ON cap.graph = h.graph LEFT JOIN adj a ON a.graph = h.graph AND a.src = h.pick AND a.dst = h.node WHERE h.node <> h.pick AND h.step + 1 < most)), "
+        "picks AS (SELECT DISTINCT graph, method, step + 1 AS step, pick AS node FROM h)"
+    )
+
+
+def _core_first() -> str:
+    """c: nodes left with their degree, their degree within the 2-core and whether they are in it; a round peels all core nodes below degree 2, or else removes one node."""
+    best = (
+        "SELECT graph, 'corehd_original' AS method, node, row_number() OVER (PARTITION BY graph ORDER BY node DESC) AS tie FROM deg UNION ALL "
+        "SELECT graph, 'corehd_fast', node, row_number() OVER (PARTITION BY graph ORDER BY CAST(node AS VARCHAR)) FROM deg"
+    )
+    value = "CASE WHEN core AND method = 'corehd_original' THEN inner_degree ELSE degree END"
+    turn = (
+        "bool_or(core AND inner_degree < 2) OVER (PARTITION BY graph, method) AS peels, "
+        f"first_value(node) OVER (PARTITION BY graph, method ORDER BY core DESC, {value} DESC, tie) AS pick"
+    )
+    return _removals(
+        _over(_TRADE, _SUPPLY) + _BUDGETS + f", best AS MATERIALIZED ({best}), "
+        f"c AS (SELECT *, {turn} FROM (SELECT graph, method, 0 AS step, node, tie, degree, degree AS inner_degree, true AS core FROM best JOIN deg USING (graph, node)) UNION ALL ("
+        "WITH gone AS (SELECT graph, method, node, core FROM c WHERE CASE WHEN peels THEN core AND inner_degree < 2 ELSE node = pick END), "
+        "hit AS (SELECT g.graph, g.method, a.dst AS node, count(*) AS n, count(*) FILTER (WHERE g.core) AS inner_n FROM gone g JOIN adj a ON a.graph = g.graph AND a.src = g.node GROUP BY ALL) "
+        f"SELECT *, {turn} FROM (SELECT c.graph, c.method, c.step + (NOT c.peels)::INT AS step, c.node, c.tie, c.degree - CASE WHEN c.peels THEN 0 ELSE coalesce(h.n, 0) END AS degree, c.inner_degree - coalesce(h.inner_n, 0) AS inner_degree, c.core AND NOT (c.peels AND c.inner_degree < 2) AS core "
+        "FROM c JOIN cap ON cap.graph = c.graph LEFT JOIN hit h ON h.graph = c.graph AND h.method = c.method AND h.node = c.node WHERE (c.peels OR c.node <> c.pick) AND c.step + (NOT c.peels)::INT < most))), "
+        "picks AS (SELECT DISTINCT graph, method, step + 1 AS step, pick AS node FROM c WHERE NOT peels)"
+    )
+
 
+#: k: nodes not yet peeled with their degrees; a round takes all up to the level away, or else raises the level.
+_CORES = (
+    ", k AS (SELECT graph, node, degree, CAST(0 AS BIGINT) AS level, false AS gone FROM deg UNION ALL ("
+    "WITH now AS (SELECT graph, level, bool_or(degree <= level) AS peels FROM k WHERE NOT gone GROUP BY ALL), "
+    "hit AS (SELECT x.graph, a.dst AS node, count(*) AS n FROM k x JOIN adj a ON a.graph = x.graph AND a.src = x.node WHERE NOT x.gone AND x.degree <= x.level GROUP BY ALL) "
+    "SELECT k.graph, k.node, k.degree - coalesce(h.n, 0), k.level + (NOT w.peels)::INT, k.degree <= k.level FROM k JOIN now w ON w.graph = k.graph LEFT JOIN hit h ON h.graph = k.graph AND h.node = k.node WHERE NOT k.gone)), "
+    "core AS (SELECT graph, node, level AS core FROM k WHERE gone) "
+)
+#: b: distance and number of shortest paths from every node to every other; back: shares of paths, level by level from the farthest.
+_BETWEEN = (
+    ", b AS (SELECT graph, node AS src, node, 0 AS dist, CAST(1 AS DOUBLE) AS paths, true AS fresh FROM deg UNION ALL ("
+    "WITH far AS (SELECT x.graph, x.src, a.dst AS node, x.dist + 1 AS dist, sum(x.paths) AS paths FROM b x JOIN adj a ON a.graph = x.graph AND a.src = x.node WHERE x.fresh GROUP BY ALL), "
+    "new AS (SELECT f.* FROM far f ANTI JOIN b ON b.graph = f.graph AND b.src = f.src AND b.node = f.node) "
+    "SELECT graph, src, node, dist, paths, true FROM new UNION ALL SELECT graph, src, node, dist, paths, false FROM b WHERE fresh AND EXISTS (SELECT 1 FROM new))), "
+    "reach AS MATERIALIZED (SELECT graph, src, node, dist, paths FROM b WHERE fresh), "
+    "back AS (SELECT graph, src, node, dist, paths, CAST(0 AS DOUBLE) AS share, (SELECT max(dist) FROM reach) AS level FROM reach WHERE dist = (SELECT max(dist) FROM reach) UNION ALL ("
+    "WITH part AS (SELECT x.graph, x.src, a.dst AS node, sum((1 + x.share) / x.paths) AS w FROM back x JOIN adj a ON a.graph = x.graph AND a.src = x.node GROUP BY ALL), down AS (SELECT max(level) - 1 AS level FROM back) "
+    "SELECT r.graph, r.src, r.node, r.dist, r.paths, r.paths * coalesce(p.w, 0), r.dist FROM reach r JOIN down ON r.dist = down.level LEFT JOIN part p ON p.graph = r.graph AND p.src = r.src AND p.node = r.node WHERE down.level > 0)), "
+    "between AS (SELECT d.graph, d.node, coalesce(sum(x.share), 0) AS score FROM deg d LEFT JOIN back x ON x.graph = d.graph AND x.node = d.node AND x.src <> d.node GROUP BY ALL) "
+)
 
 ORACLES = {
     "graph_sizes": _ALL + "SELECT graph, count(*) AS edges, CAST(sum(u) AS BIGINT) AS sum_u, CAST(sum(v) AS BIGINT) AS sum_v FROM edges GROUP BY graph",
@@ -430,22 +472,25 @@ ORACLES = {
     "graph_triangles": _LOCAL + _TRI + "SELECT * FROM tri",
     "graph_clustering": _LOCAL + _CLU + "SELECT graph, node, degree, triangles, round(CAST(clustering AS DOUBLE), 6) AS clustering FROM clu",
     "graph_common_neighbours": _LOCAL + "SELECT graph, u, v, common FROM com",
-    "graph_local_bridges": _over(_TRADE, _USERS, _SMALL) + "SELECT graph, node, count(*) AS bridges FROM (SELECT graph, u AS node FROM com WHERE common = 0 UNION ALL SELECT graph, v FROM com WHERE common = 0) GROUP BY ALL",
-    "graph_sphere": _over(_TRADE, _SMALL) + "SELECT graph, node, count(*) AS at_two FROM two GROUP BY ALL",
+    "graph_local_bridges": _over(_TRADE, _USERS, _SUPPLY) + "SELECT graph, node, count(*) AS bridges FROM (SELECT graph, u AS node FROM com WHERE common = 0 UNION ALL SELECT graph, v FROM com WHERE common = 0) GROUP BY ALL",
+    "graph_sphere": _over(_TRADE, _SUPPLY) + "SELECT graph, node, count(*) AS at_two FROM two GROUP BY ALL",
     "graph_stats": _LOCAL + _CLU + "SELECT graph, nodes, edges, round(2.0 * edges / nodes, 6) AS mean_degree, round(mean_clustering, 6) AS mean_clustering FROM (SELECT graph, count(*) AS nodes, avg(CAST(clustering AS DOUBLE)) AS mean_clustering FROM clu GROUP BY graph) JOIN (SELECT graph, count(*) AS edges FROM edges GROUP BY graph) USING (graph)",
     "graph_components": _over(_SUPPLY) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst) SELECT node, min(label) AS component FROM lab GROUP BY node",
     "graph_largest_component": _over(_SUPPLY) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst), c AS (SELECT node, min(label) AS label FROM lab GROUP BY node), b AS (SELECT arg_max(label, (size, label)) AS label FROM (SELECT label, count(*) AS size FROM c GROUP BY label)), n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM c WHERE label = (SELECT label FROM b)) SELECT e.graph, least(x.i, y.i) AS u, greatest(x.i, y.i) AS v FROM edges e JOIN n x ON x.node = e.u JOIN n y ON y.node = e.v",
-    "graph_chain": _over(_SMALL) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst), c AS (SELECT DISTINCT label FROM (SELECT node, min(label) AS label FROM lab GROUP BY node)) SELECT * FROM (SELECT 'supply' AS graph, label AS u, lead(label) OVER (ORDER BY label) AS v FROM c) WHERE v IS NOT NULL",
+    "graph_chain": _over(_SUPPLY) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst), c AS (SELECT DISTINCT label FROM (SELECT node, min(label) AS label FROM lab GROUP BY node)) SELECT * FROM (SELECT 'supply' AS graph, label AS u, lead(label) OVER (ORDER BY label) AS v FROM c) WHERE v IS NOT NULL",
     "graph_edge_sample": _ALL + "SELECT graph, least(1600, count(*)) AS edges FROM edges GROUP BY graph",
-    "graph_residual": _ON_SMALL + f", o AS ({_DEGREE_ORDER}), gone AS (SELECT node FROM o WHERE step <= (SELECT greatest(1, least(count(*), round_even(CAST(count(*) AS DOUBLE) * 0.3, 0))) FROM deg)) SELECT graph, u, v FROM edges WHERE u NOT IN (SELECT node FROM gone) AND v NOT IN (SELECT node FROM gone)",
+    "graph_residual": _ON_SUPPLY + f", o AS ({_DEGREE_ORDER}), gone AS (SELECT node FROM o WHERE step <= (SELECT greatest(1, least(count(*), round_even(CAST(count(*) AS DOUBLE) * 0.3, 0))) FROM deg)) SELECT graph, u, v FROM edges WHERE u NOT IN (SELECT node FROM gone) AND v NOT IN (SELECT node FROM gone)",
     "graph_user_successors": "SELECT event_id, coalesce(lead(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id), -1) AS next_event_id FROM events",
     "order_degree": _ALL + _DEGREE_ORDER,
     "order_collective_influence": _LOCAL + _CI + _order("ci", "SELECT * FROM ci"),
     "order_cluster_rank": _LOCAL + _CLU + _order("cluster_rank", "SELECT c.graph, c.node, pow(10.0, -CAST(c.clustering AS DOUBLE)) * sum(d.degree + 1) AS score FROM clu c JOIN adj a ON a.graph = c.graph AND a.src = c.node JOIN deg d ON d.graph = a.graph AND d.node = a.dst GROUP BY c.graph, c.node, c.clustering"),
     "order_neighbour_distance": _LOCAL + _order("ndc", "SELECT d.graph, d.node, CAST(sum(d.degree - common) AS DOUBLE) / count(*) AS score FROM deg d JOIN (SELECT graph, u AS node, common FROM com UNION ALL SELECT graph, v, common FROM com) USING (graph, node) GROUP BY d.graph, d.node"),
-    "order_highest_degree": _over(_TRADE) + ", " + ", ".join([_highest("o", "CAST(node AS VARCHAR) DESC"), _highest("f", "CAST(node AS VARCHAR)"), _highest("x", "node DESC")]) + " "
-        + " UNION ALL ".join(f"SELECT 'trade' AS graph, '{name}' AS method, CAST({i} AS INTEGER) AS step, node FROM {m}{i}" for m, name in (("o", "hda_original"), ("f", "hda_fast"), ("x", "hda_number")) for i in range(1, 8)),
-    "order_completed": _ON_SMALL + ", listed AS (SELECT node, min(node % 97) AS at FROM deg WHERE degree >= 3 GROUP BY node) SELECT 'supply' AS graph, 'listed' AS method, CAST(row_number() OVER (ORDER BY l.node IS NULL, l.at, d.node) AS INTEGER) AS step, d.node FROM deg d LEFT JOIN listed l ON l.node = d.node",
+    "order_highest_degree": _highest_degree(),
+    "order_core_first": _core_first(),
+    "graph_core_numbers": _over(_TRADE, _SUPPLY) + _CORES + "SELECT * FROM core",
+    "order_core": _over(_TRADE, _SUPPLY) + _CORES + "SELECT graph, 'core' AS method, CAST(row_number() OVER (PARTITION BY graph ORDER BY core DESC, degree DESC, node DESC) AS INTEGER) AS step, node FROM core JOIN deg USING (graph, node)",
+    "order_betweenness": _over(_TRADE, _SUPPLY) + _BETWEEN + _order("betweenness", "SELECT * FROM between"),
+    "order_completed": _ON_SUPPLY + ", listed AS (SELECT node, min(node % 97) AS at FROM deg WHERE degree >= 3 GROUP BY node) SELECT 'supply' AS graph, 'listed' AS method, CAST(row_number() OVER (ORDER BY l.node IS NULL, l.at, d.node) AS INTEGER) AS step, d.node FROM deg d LEFT JOIN listed l ON l.node = d.node",
     "curve_states": _STATES,
     "curve_forest": _STATES,
     "curve_metrics": _ONE + "SELECT graph, step, round(gcc, 6) AS gcc, ncc, round(top5_mass, 6) AS top5_mass, round(hhi, 6) AS hhi, round(ec, 6) AS ec, round(pd, 6) AS pd, round(cnbi, 6) AS cnbi FROM met",
@@ -457,5 +502,3 @@ ORACLES = {
     "curve_value_at": _BOTH + "SELECT graph, method, round(arg_min(cnbi, (abs(ratio - 0.2), step)), 6) AS value FROM met GROUP BY ALL",
     "curve_component_states": _over(_SUPPLY) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst), part AS (SELECT label, count(*) AS size FROM (SELECT node, min(label) AS label FROM lab GROUP BY node) GROUP BY label) SELECT 'supply' AS graph, 'none' AS method, CAST(0 AS INTEGER) AS step, CAST(sum(size) AS BIGINT) AS n, CAST(sum(size) AS BIGINT) AS \"left\", max(size) AS largest, count(*) AS ncc, CAST(list_sum(list_slice(list_reverse_sort(list(size)), 1, 5)) AS BIGINT) AS top5, CAST(sum(size * size) AS BIGINT) AS squares FROM part",
 }
-#: Curves over every step of the whole graph are too much for SQL.
-ORACLES |= {f"{k}_whole": ORACLES[k].replace(_SMALL, _SUPPLY) for k in ("graph_local_bridges", "graph_sphere", "graph_residual", "graph_chain", "order_completed")}

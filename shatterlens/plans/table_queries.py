@@ -92,17 +92,12 @@ def table_ratio(spark, d):
     return out.select("method", sc.percent_label(F.col("retention")).alias("retention"), sc.factor_label(F.col("speedup")).alias("speedup"))
 
 
-def table_hidden_cases(spark, d, every=10, wanted=40):
-    """Steps of two removal orders with the same largest part but different spread."""
+def table_hidden_cases(spark, d):
+    """Steps of two removal orders with the same largest part but different spread, of all steps."""
     from shatterlens.operators import fragmentation as fr
     from shatterlens.plans.graph_queries import _two_orders
 
-    return rounded(pb.hidden_cases(fr.with_metrics(_two_orders(spark, d, every)), 0.003, 0.05, wanted).select("method_a", "method_b", "step_a", "step_b", "hidden_gap"))
-
-
-def table_hidden_cases_whole(spark, d):
-    """The same on the whole graph, of all steps."""
-    return table_hidden_cases(spark, d, every=1, wanted=None)
+    return rounded(pb.hidden_cases(fr.with_metrics(_two_orders(spark, d)), 0.003, 0.05, None).select("method_a", "method_b", "step_a", "step_b", "hidden_gap"))
 
 
 def table_strided(spark, d):
@@ -290,7 +285,7 @@ ORACLES = {
     "table_audit": _OLD + "SELECT dataset, method, 'r' AS \"column\", CASE WHEN method = 'rim-cut' THEN 'missing' ELSE 'ok' END AS status FROM o UNION ALL SELECT dataset, method, 'auc_cnbi', CASE WHEN method = 'rim-cut' THEN 'missing' WHEN method = 'core-peel' AND auc_cnbi IS NOT NULL THEN 'differs' ELSE 'ok' END FROM o",
     "table_union_by_name": _M + "SELECT dataset, method, r, NULL AS seconds FROM m UNION ALL SELECT dataset, method, NULL, time_s FROM m WHERE valid",
     "table_ratio": _M + _COUNTED + "SELECT m1.method, format('{:.1f}%', m1.a / b.a * 100) AS retention, format('{:.1f}x', b.t / m1.t) AS speedup FROM mm m1, (SELECT * FROM mm WHERE method = 'core-peel') b",
-    "table_hidden_cases": _BOTH + ", sa AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY method ORDER BY step) - 1 AS p, greatest(1, count(*) OVER (PARTITION BY method) // 40) AS st FROM met) WHERE p % st = 0) SELECT method_a, method_b, step_a, step_b, round(gap, 6) AS hidden_gap FROM (SELECT a.method AS method_a, b.method AS method_b, a.step AS step_a, b.step AS step_b, abs(a.cnbi - b.cnbi) AS gap, row_number() OVER (PARTITION BY a.step ORDER BY abs(a.gcc - b.gcc), b.step) AS n FROM sa a JOIN sa b ON a.method = 'ci' AND b.method = 'degree' AND abs(a.gcc - b.gcc) <= 0.003) WHERE n = 1 AND gap >= 0.05",
+    "table_hidden_cases": _BOTH + "SELECT method_a, method_b, step_a, step_b, round(gap, 6) AS hidden_gap FROM (SELECT a.method AS method_a, b.method AS method_b, a.step AS step_a, b.step AS step_b, abs(a.cnbi - b.cnbi) AS gap, row_number() OVER (PARTITION BY a.step ORDER BY abs(a.gcc - b.gcc), b.step) AS n FROM met a JOIN met b ON a.method = 'ci' AND b.method = 'degree' AND abs(a.gcc - b.gcc) <= 0.003) WHERE n = 1 AND gap >= 0.05",
     "table_strided": _R + "SELECT run_id, node_id, idx FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY idx) - 1 AS p, greatest(1, n_run // 10) AS st FROM k) WHERE p % st = 0",
     "table_manifest": _M + "SELECT dataset, method, count(*) AS rows, 'points/dataset=' || dataset || '/method=' || method AS path FROM m GROUP BY dataset, method",
     "table_markdown": _M + _COUNTED + "SELECT '| ' || method || ' | ' || datasets || ' | ' || top1 || ' |' AS line FROM mm",

@@ -151,11 +151,10 @@ def nation_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple_edges(joined.select(F.lit("trade").alias("graph"), F.col("c_nationkey").cast("bigint").alias("u"), F.col("s_nationkey").cast("bigint").alias("v")))
 
 
-def customer_supplier(spark: SparkSession, sf_dir: str, every: int = 1) -> DataFrame:
-    """Customers (even) and suppliers (odd) of first returned lines; ``every`` 10 is the small variant."""
+def customer_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers (even) and suppliers (odd) of first returned lines."""
     lines = table(spark, sf_dir, "lineitem").where((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 1))
-    orders = table(spark, sf_dir, "orders").where(F.col("o_custkey") % every == 0)
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    joined = lines.join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     return simple_edges(joined.select(F.lit("supply").alias("graph"), (F.col("o_custkey") * 2).alias("u"), (F.col("l_suppkey") * 2 + 1).alias("v")))
 
 

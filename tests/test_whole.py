@@ -31,7 +31,7 @@ def states(nodes, pairs, order, most):
         yield k, len(nodes), len(left), sizes[0], len(sizes), sum(sizes[:5]), sum(s * s for s in sizes)
 
 
-@pytest.mark.parametrize("name", ["curve_states_whole", "curve_forest_whole"])
+@pytest.mark.parametrize("name", ["curve_states", "curve_forest"])
 def test_curve_of_the_whole_graph(spark, supply, name):
     nodes, pairs = supply
     degree = {i: sum(i in p for p in pairs) for i in nodes}
@@ -42,7 +42,7 @@ def test_curve_of_the_whole_graph(spark, supply, name):
 
 def test_summary_covers_every_node(spark, supply):
     nodes, _ = supply
-    got = {r.method: r.steps for r in gq.QUERIES["curve_summary_whole"](spark, oracle.DATA).collect()}
+    got = {r.method: r.steps for r in gq.QUERIES["curve_summary"](spark, oracle.DATA).collect()}
     assert got == dict.fromkeys(("degree", "ci"), round(0.3 * len(nodes)))
 
 
@@ -69,8 +69,8 @@ def test_betweenness_of_the_whole_graph(spark, supply):
 
 
 def test_hidden_cases_of_all_steps(spark):
-    curve = gq.QUERIES["curve_paper_variant_whole"]  # for the methods and steps
-    met = gq.fr.with_metrics(gq._two_orders(spark, oracle.DATA, 1)).collect()
+    curve = gq.QUERIES["curve_paper_variant"]  # for the methods and steps
+    met = gq.fr.with_metrics(gq._two_orders(spark, oracle.DATA)).collect()
     assert len(met) == curve(spark, oracle.DATA).count()
     a, b = ([r for r in met if r.method == m] for m in ("ci", "degree"))
     want = set()
@@ -78,7 +78,7 @@ def test_hidden_cases_of_all_steps(spark):
         near = min(b, key=lambda y: (abs(x.gcc - y.gcc), y.step))
         if abs(x.gcc - near.gcc) <= 0.003 and abs(x.cnbi - near.cnbi) >= 0.05:
             want.add((x.step, near.step, round(abs(x.cnbi - near.cnbi), 6)))
-    got = {(r.step_a, r.step_b, r.hidden_gap) for r in tq.QUERIES["table_hidden_cases_whole"](spark, oracle.DATA).collect()}
+    got = {(r.step_a, r.step_b, r.hidden_gap) for r in tq.QUERIES["table_hidden_cases"](spark, oracle.DATA).collect()}
     assert got == want
 
 
@@ -91,7 +91,7 @@ def test_hidden_cases_between_kept_steps(spark):
 def test_highest_degree_orders_are_whole(spark, supply):
     nodes, pairs = supply
     ties = {"hda_original": max, "hda_fast": min}
-    got = gq.order_highest_degree_whole(spark, oracle.DATA).cache()
+    got = gq.order_highest_degree(spark, oracle.DATA).cache()
     for name, pick in ties.items():
         left, order = set(nodes), by_step(got, name)
         assert sorted(order) == nodes
