@@ -82,13 +82,16 @@ def graph_components(spark, d):
     return connected_components(graphs.customer_supplier(spark, d), "u", "v")
 
 
-def graph_residual(spark, d):
-    """Edges left after the degree order's removals."""
-    edges = supply_edges(spark, d)
+def _left(edges, rate):
+    """Edges left after the degree order's removals at a rate."""
     nodes = graphs.nodes_of(edges)
     n = nodes.groupBy("graph").agg(F.count(F.lit(1)).alias("n"))
-    left = so.degree_order(edges, nodes).join(n, "graph").where(F.col("step") > so.budget(F.col("n"), RATE))
-    return tp.induced(edges, left)
+    return tp.induced(edges, so.degree_order(edges, nodes).join(n, "graph").where(F.col("step") > so.budget(F.col("n"), rate)))
+
+
+def graph_residual(spark, d):
+    """Edges left of all four graphs after the degree order's removals at a twentieth of the nodes."""
+    return _left(_all_edges(spark, d), 0.05)
 
 
 def graph_user_successors(spark, d):
@@ -298,8 +301,8 @@ def graph_largest_component(spark, d):
 
 
 def graph_chain(spark, d):
-    """Edges that would join the components one after the other."""
-    return tp.chained(_members(supply_edges(spark, d)))
+    """Edges that would join the components left of the customer-supplier graph, after removals at 0.07 of its nodes, one after the other."""
+    return tp.chained(_members(stored(_left(supply_edges(spark, d), 0.07))))
 
 
 def graph_edge_sample(spark, d):
@@ -398,6 +401,7 @@ _STATES = _ONE + "SELECT graph, step, n, rest AS \"left\", largest, ncc, top5, s
 _SUMMARY = ["r", *[f"{a}_{c}" for a in ("final", "early") for c in ("gcc", "ncc", "cnbi")], "auc_acc", "auc_ncc", "auc_cnbi"]
 
 
+_LEFT = f", o AS ({_DEGREE_ORDER}), sizes AS (SELECT graph, count(*) AS n FROM deg GROUP BY graph), gone AS (SELECT graph, node FROM o JOIN sizes USING (graph) WHERE step <= greatest(1, least(n, round_even(CAST(n AS DOUBLE) * {{rate}}, 0)))), rest AS (SELECT graph, u, v FROM edges e ANTI JOIN gone x ON x.graph = e.graph AND x.node = e.u ANTI JOIN gone y ON y.graph = e.graph AND y.node = e.v) "
 _TIES = (("hda_original", "CAST(node AS VARCHAR) DESC"), ("hda_fast", "CAST(node AS VARCHAR)"), ("hda_number", "node DESC"))
 _BUDGETS = ", cap AS (SELECT graph, CAST(greatest(1, least(count(*), round_even(CAST(count(*) AS DOUBLE) * 0.3, 0))) AS INTEGER) AS most FROM deg GROUP BY graph)"
 
@@ -477,9 +481,9 @@ ORACLES = {
     "graph_stats": _LOCAL + _CLU + "SELECT graph, nodes, edges, round(2.0 * edges / nodes, 6) AS mean_degree, round(mean_clustering, 6) AS mean_clustering FROM (SELECT graph, count(*) AS nodes, avg(CAST(clustering AS DOUBLE)) AS mean_clustering FROM clu GROUP BY graph) JOIN (SELECT graph, count(*) AS edges FROM edges GROUP BY graph) USING (graph)",
     "graph_components": _over(_SUPPLY) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst) SELECT node, min(label) AS component FROM lab GROUP BY node",
     "graph_largest_component": _over(_SUPPLY) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst), c AS (SELECT node, min(label) AS label FROM lab GROUP BY node), b AS (SELECT arg_max(label, (size, label)) AS label FROM (SELECT label, count(*) AS size FROM c GROUP BY label)), n AS (SELECT node, row_number() OVER (ORDER BY node) - 1 AS i FROM c WHERE label = (SELECT label FROM b)) SELECT e.graph, least(x.i, y.i) AS u, greatest(x.i, y.i) AS v FROM edges e JOIN n x ON x.node = e.u JOIN n y ON y.node = e.v",
-    "graph_chain": _over(_SUPPLY) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst), c AS (SELECT DISTINCT label FROM (SELECT node, min(label) AS label FROM lab GROUP BY node)) SELECT * FROM (SELECT 'supply' AS graph, label AS u, lead(label) OVER (ORDER BY label) AS v FROM c) WHERE v IS NOT NULL",
+    "graph_chain": _over(_SUPPLY) + _LEFT.format(rate=0.07) + ", both_ways AS (SELECT u AS src, v AS dst FROM rest UNION ALL SELECT v, u FROM rest), lab AS (SELECT src AS node, src AS label FROM both_ways UNION SELECT a.dst, l.label FROM lab l JOIN both_ways a ON a.src = l.node WHERE l.label < a.dst), c AS (SELECT DISTINCT label FROM (SELECT node, min(label) AS label FROM lab GROUP BY node)) SELECT * FROM (SELECT 'supply' AS graph, label AS u, lead(label) OVER (ORDER BY label) AS v FROM c) WHERE v IS NOT NULL",
     "graph_edge_sample": _ALL + "SELECT graph, least(1600, count(*)) AS edges FROM edges GROUP BY graph",
-    "graph_residual": _ON_SUPPLY + f", o AS ({_DEGREE_ORDER}), gone AS (SELECT node FROM o WHERE step <= (SELECT greatest(1, least(count(*), round_even(CAST(count(*) AS DOUBLE) * 0.3, 0))) FROM deg)) SELECT graph, u, v FROM edges WHERE u NOT IN (SELECT node FROM gone) AND v NOT IN (SELECT node FROM gone)",
+    "graph_residual": _ALL + _LEFT.format(rate=0.05) + "SELECT * FROM rest",
     "graph_user_successors": "SELECT event_id, coalesce(lead(event_id) OVER (PARTITION BY event_type ORDER BY ts, event_id), -1) AS next_event_id FROM events",
     "order_degree": _ALL + _DEGREE_ORDER,
     "order_collective_influence": _LOCAL + _CI + _order("ci", "SELECT * FROM ci"),
