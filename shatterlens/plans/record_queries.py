@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shatterlens.functions.scalars import no_nan
-from shatterlens.operators import policies as po, ranking as rk
+from shatterlens.operators import bounds as bo, policies as po, ranking as rk
 from shatterlens.operators.hierarchy import hierarchy
 from shatterlens.operators.records import current_rows
 from shatterlens.operators.windows import average_rank, global_average_rank, running_sum
@@ -272,6 +272,17 @@ def policy_bounds(spark, d):
     return rounded(out.withColumn("families", F.array_join("families", ",")))
 
 
+def policy_bound_items(spark, d):
+    """Items of every run's bound policy, with proposals made of its failed records; the runtime cap is in ``policy_bounds``."""
+    r = records(spark, d)
+    stats = po.induced_bounds(r.where("rank_score is not null and time_s is not null"), ["run_id"], "family").select(F.col("run_id").alias("scope"), "families", "runtime_cap")
+    policy = F.to_json(F.struct(F.array("family").alias("preferred_families"), F.split("family", "[_/]").alias("allowed_signals"), F.array(F.struct(F.col("error").alias("pattern"))).alias("forbidden_patterns"), F.create_map(F.concat(F.lit("max "), "stage"), F.col("idx")).alias("cap_bounds")))
+    failed = r.where("error is not null and stage is not null")
+    proposals = failed.select(F.col("run_id").alias("scope"), F.row_number().over(Window.partitionBy("run_id").orderBy("idx", "node_id")).alias("proposal"), policy.alias("policy"))
+    items = bo.bound_policies(stats, proposals)
+    return items.where("item <> 'max_candidate_runtime_s_on_proxy'").select(F.col("scope").alias("run_id"), "part", "item", F.coalesce("value", F.lit("")).alias("value"), F.coalesce("place", F.lit(0)).alias("place"))
+
+
 def policy_family_summary(spark, d):
     r = records(spark, d).withColumn("delta", F.col("cnbi") - 100)
     return rounded(po.family_summary(r, ["family"], F.contains("error", F.lit("timeout"))))
@@ -356,6 +367,33 @@ _GATE_ROWS = _R + f", g AS (SELECT *, {_GATED} AS gated FROM (SELECT *, coalesce
 _TOP = lambda value, ties, source, extra="": f"SELECT run_id, node_id, round(CAST(value AS DOUBLE), 9) AS value{extra} FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, {ties}) AS n FROM (SELECT *, {value} AS value FROM {source})) WHERE n = 1"
 _HITS = lambda step, ks: "SELECT run_id, " + ", ".join(f"coalesce(min({step}) FILTER (WHERE cum >= {k}), -1) AS first_{k}" for k in ks) + f" FROM (SELECT *, sum(loose_like::INT) OVER (PARTITION BY run_id ORDER BY {step} ROWS UNBOUNDED PRECEDING) AS cum FROM fl) GROUP BY run_id"
 
+def _texts(items) -> str:
+    return "(SELECT unnest([" + ", ".join(f"'{x}'" for x in items) + "]) AS item)"
+
+
+def _pairs(items: dict[str, str]) -> str:
+    return "(VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in items.items()) + ")"
+
+
+_CONTRACT = "{" + ",".join(f'"{b}":{{' + ",".join(f'"{k}":{v}' for k, v in caps.items()) + "}" for b, caps in bo.BRANCH_CAPS.items()) + "}"
+_BOUND_ITEMS = (
+    _R + ", v AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY rank_score DESC, node_id) AS p FROM rec WHERE valid AND rank_score IS NOT NULL AND time_s IS NOT NULL), t AS (SELECT * FROM v WHERE p <= greatest(5, least(30, n))), "
+    "f AS (SELECT run_id, family, i FROM (SELECT run_id, family, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, min(p)) AS i FROM t GROUP BY run_id, family) WHERE i <= 5), runs AS (SELECT DISTINCT run_id FROM t), "
+    "q AS (SELECT * FROM (SELECT run_id, family, error, stage, idx, row_number() OVER (PARTITION BY run_id ORDER BY idx, node_id) AS n FROM rec WHERE error IS NOT NULL AND stage IS NOT NULL) WHERE n <= 10 AND run_id IN (SELECT run_id FROM runs)), "
+    "own AS (SELECT run_id, family, 0 AS n, i FROM f WHERE family NOT IN ('', 'unknown')), "
+    f"fam AS (SELECT * FROM own UNION ALL SELECT run_id, '{bo.NO_FAMILY}', 0, 0 FROM runs WHERE run_id NOT IN (SELECT run_id FROM own) "
+    f"UNION ALL SELECT run_id, family, n, 0 FROM (SELECT run_id, regexp_replace(regexp_replace(trim(family), '[^0-9A-Za-z_\\-]+', '-', 'g'), '^-+|-+$', '', 'g') AS family, n FROM q) WHERE family <> '' AND NOT regexp_matches(family, '{bo.DENIED}')), "
+    "placed AS (SELECT run_id, family, row_number() OVER (PARTITION BY run_id ORDER BY min((n, i))) AS place FROM fam GROUP BY run_id, family), "
+    f"sig AS (SELECT run_id, item FROM runs, {_texts(sorted({*bo.BASE_SIGNALS, *bo.ALWAYS_ALLOWED}))} UNION SELECT run_id, a.item FROM (SELECT run_id, unnest(regexp_split_to_array(family, '[_/]')) AS word FROM q) JOIN {_pairs(bo.SIGNAL_ALIASES)} a(key, item) ON a.key = replace(replace(lower(trim(word)), '-', '_'), ' ', '_') WHERE NOT regexp_matches(a.key, '{bo.DENIED}')), "
+    f"forb AS (SELECT run_id, item FROM runs, {_texts(bo.ALWAYS_FORBIDDEN)} UNION SELECT run_id, r.item FROM q JOIN {_pairs(bo.FORBIDDING)} r(pattern, item) ON regexp_matches(lower(error), r.pattern)), "
+    "said AS (SELECT run_id, regexp_replace(trim('max ' || stage), '[^0-9A-Za-z_\\-]+', '_', 'g') AS item, CAST(arg_max(idx, n) AS VARCHAR) AS value FROM q GROUP BY ALL) "
+    "SELECT run_id, 'family' AS part, family AS item, '' AS value, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 8 "
+    f"UNION ALL SELECT run_id, 'pruned', item, '', 0 FROM runs, {_texts(bo.PRUNED)} UNION ALL SELECT run_id, 'signal', item, '', 0 FROM sig UNION ALL SELECT run_id, 'forbidden', item, '', 0 FROM forb "
+    f"UNION ALL SELECT run_id, 'cap', item, value, 0 FROM said UNION ALL SELECT run_id, 'cap', c.item, c.value, 0 FROM runs, {_pairs(bo.BASE_CAPS | bo.FIXED_CAPS | {'target_family_cap_contract': _CONTRACT.replace(' ', '')})} c(item, value) "
+    f"UNION ALL SELECT run_id, 'update', c.item, c.value, 0 FROM runs, {_pairs(bo.BASE_UPDATES | bo.FIXED_UPDATES)} c(item, value)"
+)
+
+
 ORACLES = {
     "rank_average": _M + f"SELECT dataset, method, CAST({_avg_rank('r', 'dataset', 'ASC')} AS DOUBLE) AS rank_r, CAST({_avg_rank('auc_cnbi', 'dataset', 'DESC')} AS DOUBLE) AS rank_auc FROM m",
     "rank_unit": _M + "SELECT dataset, method, " + ", ".join(f'round(CAST({_unit("auc_cnbi", "dataset", True, k)} AS DOUBLE), 9) AS "{k}"' for k in ("rows", "coerced", "known")) + " FROM m",
@@ -413,6 +451,7 @@ ORACLES = {
     "policy_unseen": _R + "SELECT candidate_id FROM (SELECT DISTINCT candidate_id, left(sha1(code), 16) AS h FROM candidate_programs WHERE code IS NOT NULL) WHERE h NOT IN (SELECT code_hash FROM rec WHERE code_hash IS NOT NULL)",
     "policy_bounds": _R + ", v AS (SELECT *, count(*) OVER (PARTITION BY run_id) AS n, row_number() OVER (PARTITION BY run_id ORDER BY rank_score DESC, node_id) AS p FROM rec WHERE valid AND rank_score IS NOT NULL AND time_s IS NOT NULL), t AS (SELECT * FROM v WHERE p <= greatest(5, least(30, n))), "
         "f AS (SELECT run_id, string_agg(family, ',' ORDER BY i) AS families FROM (SELECT run_id, family, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, min(p)) AS i FROM t GROUP BY run_id, family) WHERE i <= 5 GROUP BY run_id) SELECT run_id, max(n) AS n, count(*) AS top_n, round(greatest(0.05, 4 * quantile_cont(time_s, 0.5)), 9) AS runtime_cap, families FROM t JOIN f USING (run_id) GROUP BY run_id, families",
+    "policy_bound_items": _BOUND_ITEMS,
     "policy_family_summary": _R + "SELECT family, count(*) AS candidates, round(avg(valid::INT), 9) AS valid_rate, round(avg(cnbi - 100) FILTER (WHERE valid), 9) AS mean_delta, round(max(cnbi - 100) FILTER (WHERE valid), 9) AS top_delta, round(avg(time_s) FILTER (WHERE valid), 9) AS mean_time_s, round(max(rank_score) FILTER (WHERE valid), 9) AS top_rank_score, round(avg(coalesce(contains(error, 'timeout'), false)::INT), 9) AS slow_pattern_rate FROM rec GROUP BY family",
     "policy_experiment_summary": _M + ", a AS (SELECT *, row_number() OVER (PARTITION BY method_group ORDER BY valid DESC, coalesce(auc_cnbi, -1) DESC, dataset || '/' || method) AS p FROM m) SELECT method_group, count(*) AS candidates, round(avg(valid::INT), 9) AS valid_rate, round(avg((coalesce(time_s, 0) > 50)::INT), 9) AS slow_rate, round(avg(auc_cnbi) FILTER (WHERE valid), 9) AS mean_auc_cnbi, round(max(auc_cnbi) FILTER (WHERE valid), 9) AS best_auc_cnbi, round(avg(auc_cnbi) FILTER (WHERE valid AND p <= 5), 9) AS top5_auc_cnbi, round(avg(r) FILTER (WHERE valid), 9) AS mean_r, round(min(r) FILTER (WHERE valid), 9) AS best_r, round(avg(time_s) FILTER (WHERE valid), 9) AS mean_time_s, round(avg(time_s) FILTER (WHERE valid AND p <= 5), 9) AS top5_time_s, round(avg((source = 'rerun')::INT) FILTER (WHERE valid), 9) AS rerun_rate FROM a GROUP BY method_group",
     "policy_stage_progress": _R + "SELECT family, count(*) AS rows, count(*) FILTER (WHERE valid) AS valid_rows, count(*) FILTER (WHERE contains(lower(error), 'timeout')) AS timeouts, strftime(max(logged_at), '%Y-%m-%d %H:%M:%S') AS latest FROM rec GROUP BY family",

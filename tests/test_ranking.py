@@ -214,15 +214,71 @@ def test_undominated_of_many_points():
         assert keep[i] == (not ((points <= p).all(axis=1) & (points < p).any(axis=1)).any())
 
 
-def test_bound_policies():
-    from shatterlens.functions import bounds as bo
-
-    assert bo.allowed_signals(["Two-Hop", "degree", "global degree", {"signal": "phase"}, 3, {"x": "y"}]) == {"bounded_two_hop", "residual_degree", "phase"}
-    assert bo.clean_families("a b!c") == ["a-b-c"] and bo.clean_families(["x", "x", "unbounded", "--"]) == ["x"]
-    assert bo.clean_caps({"a b": 1, "c": [1, None, *range(20)], "d": {"e!": 2, "f": None}, "g": [], "": 3, "h": None}) == {"a_b": 1, "c": [1, *range(7)], "d": {"e_": 2}, "h": None}
-    policy = bo.merged(["unknown", "f"], 0.5, [{"allowed_signals": ["core_number"], "preferred_families": ["g h"], "cap_bounds": {"bounded_two_hop_required": False}}] * 3)
-    assert policy.families == ["f", "g-h"] and "core_number" in policy.signals and policy.caps["max_candidate_runtime_s_on_proxy"] == 2.0 and policy.caps["bounded_two_hop_required"] is True
-    assert bo.merged([], 0.0).families == ["degree-local"] and len(policy.forbidden) == 9
+def test_bound_policies(spark):
+    import json
+
+    from shatterlens.operators import bounds as bo
+
+    said = [
+        {"allowed_signals": ["Two-Hop", "degree", "global degree", {"signal": "phase"}, 3, {"x": "y"}, "core number"], "preferred_families": "a b!c", "cap_bounds": {"bounded_two_hop_required": False, "a b": 1}},
+        {"preferred_families": ["x", "x", "unbounded", "--", {"name": "y z"}], "forbidden_patterns": ["a BFS", {"pattern": "shortest"}], "cap_bounds": {"c": [1, None, *range(20)], "d": {"e!": 2, "f": None}, "g": [], "": 3, "h": None}},
+        {"cap_bounds": {"a_b": "late", "max_neighbor_scan": 9}, "update_bounds": {"mode": "m", "affected_scope": "all", "strategy": [1], "other": 1}},
+    ]
+    stats = spark.createDataFrame([("s", ["unknown", "f"], 2.0), ("t", [], 0.05)], "scope string, families array<string>, runtime_cap double")
+    rows = [("s", i + 1, json.dumps(p)) for i, p in enumerate(said)] + [("s", 4, "no json"), ("s", 11, json.dumps({"preferred_families": ["late"]})), ("u", 1, "{}")]
+    got = bo.bound_policies(stats, spark.createDataFrame(rows, "scope string, proposal int, policy string")).collect()
+    of = lambda scope, part: [(r.item, r.value) for r in sorted((r for r in got if (r.scope, r.part) == (scope, part)), key=lambda r: (r.place or 0, r.item))]
+    assert [f for f, _ in of("s", "family")] == ["f", "a-b-c", "x", "y-z"] and of("t", "family") == [("degree-local", None)]
+    assert {x for x, _ in of("s", "signal")} == {*bo.BASE_SIGNALS, *bo.ALWAYS_ALLOWED, "core_number"}
+    assert len(of("s", "forbidden")) == len(bo.ALWAYS_FORBIDDEN) and [x for x, _ in of("t", "pruned")] == sorted(bo.PRUNED)
+    caps = {k: json.loads(v) for k, v in of("s", "cap")}
+    assert caps.pop("target_family_cap_contract") == bo.BRANCH_CAPS
+    assert caps == {"max_neighbor_scan": 9, "max_two_hop_scan": 128, "max_candidate_runtime_s_on_proxy": 2.0, "bounded_two_hop_required": True, "forbid_policy_disabling_target_family_signals": True, "phase_schedule_required": True, "a_b": "late", "c": [1, *range(7)], "d": {"e_": 2}, "h": None}
+    assert json.loads(dict(of("s", "update"))["mode"]) == "m" and "never full" in dict(of("s", "update"))["affected_scope"] and len(of("s", "update")) == 4
+    assert {r.scope for r in got} == {"s", "t"}
+
+
+def test_service_is_asked_again():
+    import json
+    import threading
+    import urllib.error
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from shatterlens.functions.programs import HttpProvider
+
+    codes, waits = [503, 429, 200, 400], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            self.send_response(codes.pop(0))
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": asked["messages"][-1]["content"] + "!"}}]}).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    provider = HttpProvider(f"http://127.0.0.1:{server.server_port}/", "m", sleep=waits.append)
+    assert provider.generate("hello", 1) == ["hello!"] and waits == [1.0, 2.0]
+    with pytest.raises(urllib.error.HTTPError):
+        provider.reply("again")
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(urllib.error.URLError):
+        HttpProvider(f"http://127.0.0.1:{server.server_port}/", "m", tries=2, sleep=waits.append).reply("x")
+    assert len(waits) == 3
+
+
+def test_all_faults_of_programs(spark):
+    from shatterlens.functions.programs import checked, findings, forbidden_parts
+
+    code = "import scipy\nfrom os.path import join\nprint(1)\ndef other(G):\n    return eval('x')"
+    assert [(f.line, f.kind, f.detail) for f in findings(code, strict=True)] == [(0, "missing", "degree_order"), (1, "import", "scipy"), (2, "forbidden", "os."), (2, "import", "os.path"), (3, "statement on top", "Expr"), (5, "forbidden", "eval(")]
+    df = spark.createDataFrame([("a", code), ("b", StubProvider.PROGRAM), ("c", None), ("b", StubProvider.PROGRAM)], "id string, code string")
+    assert {(r.id, r.kind) for r in checked(df, "id", "code").collect()} == {("a", "missing"), ("a", "import"), ("a", "forbidden"), ("c", "missing")}
+    assert df.where("id = 'a'").select(forbidden_parts(F.col("code"))).first()[0] == ["eval(", "os."]
 
 
 def test_mixed_draws(spark):
