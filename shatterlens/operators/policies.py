@@ -1,24 +1,24 @@
 """Search policies: which record to expand next, which family to try, how credit moves.
 
 Records have run_id, node_id, parent_id, idx, valid, rank_score and more; every policy is a top-1 or
-an aggregate per run over all runs at once. Random policies draw from a generator seeded by the run, so a run's draw never
+an aggregate per run over all runs at once. Random policies draw by hashes of the run and a seed, so a run's draw never
 depends on the others.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from shatterlens.operators import draws as dr
 from shatterlens.operators.adaptive import Blend
-from shatterlens.operators.ranking import search_scores, similarity_flags
+from shatterlens.operators.ranking import pareto, search_scores, similarity_flags
 from shatterlens.operators.windows import average_rank
 
+#: Fixed value: what a family without records counts in a normal draw.
+UNSEEN = 10.0
 #: Quotas of the branches in a budget of 200.
 BRANCH_QUOTAS = (("Q", 60), ("S", 60), ("B", 50), ("R", 30))
 
@@ -87,23 +87,17 @@ def clade_table(records: DataFrame, clade: str) -> DataFrame:
     return rows.groupBy("run_id", F.coalesce(clade, F.lit("simple")).alias("clade"), "median_all").agg(F.count(F.lit(1)).alias("n"), F.sum(win).alias("wins"), F.sum(1 - win).alias("losses"))
 
 
-def _drawn(table: DataFrame, schema: str, pick: Callable[[pd.DataFrame, np.random.Generator], pd.DataFrame], seed: int) -> DataFrame:
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        run = str(pdf["run_id"].iat[0])
-        return pick(pdf, np.random.default_rng([seed, zlib.crc32(run.encode())]))
-
-    return table.groupBy("run_id").applyInPandas(kernel, schema)
-
-
 def clade_choice(table: DataFrame, seed: int = 0) -> DataFrame:
     """(run_id, clade, theta): the clade with the greatest draw of Beta(1 + wins, 1 + losses) + 0.08 / sqrt(n)."""
+    drawn = dr.beta(table.withColumns({"_w": F.col("wins") + 1, "_l": F.col("losses") + 1}), ["run_id", "clade"], "_w", "_l", seed)
+    return best_of(drawn, ["run_id"], F.col("theta") + 0.08 / F.sqrt(F.col("n").cast("double")), [F.desc("clade")], "theta").select("run_id", "clade", "theta")
 
-    def pick(pdf, rng):
-        pdf = pdf.sort_values("clade", ignore_index=True)
-        theta = rng.beta(1 + pdf["wins"], 1 + pdf["losses"]) + 0.08 / np.sqrt(pdf["n"])
-        return pdf.assign(theta=theta).nlargest(1, "theta")[["run_id", "clade", "theta"]]
 
-    return _drawn(table, "run_id string, clade string, theta double", pick, seed)
+def clade_parent(records: DataFrame, clade: str, seed: int = 0) -> DataFrame:
+    """A draw from the five best records of each run's chosen clade."""
+    named = records.withColumn("clade", F.coalesce(clade, F.lit("simple")))
+    chosen = clade_choice(clade_table(records, clade), seed).select("run_id", "clade")
+    return dr.one_per_key(top_pool(named.join(chosen, ["run_id", "clade"]), ["run_id"], 5), ["run_id"], "node_id", seed)
 
 
 def island_of(node: Column, islands: int = 6) -> Column:
@@ -118,10 +112,24 @@ def top_pool(records: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 
 def uniform_draw(pool: DataFrame, key: str, seed: int = 0, weight: Column | None = None) -> DataFrame:
-    """One row per key, with chance proportional to ``weight``: the least -ln(u) / w of a hash u of key, node and seed."""
-    u = (F.pmod(F.xxhash64(key, "node_id", F.lit(seed)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
-    clock = -F.log(u) / (weight if weight is not None else F.lit(1.0))
-    return pool.withColumn("_c", clock).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_c", "node_id"))).where("_n = 1").drop("_c", "_n")
+    """One row per key, with chance proportional to ``weight``."""
+    return dr.one_per_key(pool, [key], "node_id", seed, weight)
+
+
+def island_parent(records: DataFrame, seed: int = 0, islands: int = 6) -> DataFrame:
+    """A draw from the four best records of the island whose turn it is, or of the run if that island has none; the turn is the run's number of valid records."""
+    valid = records.where("valid").withColumns({"island": island_of(F.col("node_id"), islands), "_turn": F.count(F.lit(1)).over(Window.partitionBy("run_id")) % islands})
+    here = F.col("island") == F.col("_turn")
+    pool = valid.withColumn("_any", F.max(here).over(Window.partitionBy("run_id"))).where(here | ~F.col("_any")).drop("_any", "_turn")
+    return uniform_draw(top_pool(pool, ["run_id"], 4), "run_id", seed)
+
+
+def niche_parent(records: DataFrame, niche: str, seed: int = 0, share: float = 0.20) -> DataFrame:
+    """The best record of a niche drawn by weight, or with chance ``share`` a draw of all valid ones."""
+    valid = records.where("valid").withColumn("niche", F.coalesce(niche, F.lit("root")))
+    drawn = dr.one_per_key(niche_weights(records, niche), ["run_id"], "niche", seed, F.col("weight")).select("run_id", "niche")
+    best = top_pool(valid.join(drawn, ["run_id", "niche"]), ["run_id"], 1).select("run_id", "node_id")
+    return mixed_draw(best, valid.select("run_id", "node_id"), "run_id", share, seed)
 
 
 def niche_weights(records: DataFrame, niche: str) -> DataFrame:
@@ -138,6 +146,19 @@ def family_means(records: DataFrame, family: str) -> DataFrame:
     return rows.withColumns({"spread": 0.10 + 0.15 / root, "bonus": 0.08 / root})
 
 
+def family_draw(records: DataFrame, family: str, families: DataFrame, seed: int = 0) -> DataFrame:
+    """(run_id, family, value): the family(family) with the greatest normal draw plus bonus; one without records has UNSEEN."""
+    means = family_means(records, family)
+    every = records.select("run_id").distinct().join(F.broadcast(families.select("family")), how="cross").join(means, ["run_id", "family"], "left")  # families are a fixed list
+    value = F.coalesce(F.col("mean") + F.col("spread") * dr.normal(F.col("run_id"), F.col("family"), seed) + F.col("bonus"), F.lit(UNSEEN))
+    return best_of(every, ["run_id"], value, [F.asc("family")]).select("run_id", "family", "value")
+
+
+def squared_draw(records: DataFrame, keys: list[str], k: int = 8, seed: int = 0) -> DataFrame:
+    """One of the ``k`` best records of each key, with chance by squared score."""
+    return dr.one_per_key(squared_weights(records, keys, k), keys, "node_id", seed, F.col("weight"))
+
+
 def squared_weights(records: DataFrame, keys: list[str], k: int = 8) -> DataFrame:
     """The ``k`` best of each key with ``weight``: squared score over the pool's sum."""
     pool = top_pool(records, keys, k)
@@ -156,10 +177,41 @@ def diagnostics(records: DataFrame, family: str) -> DataFrame:
 
 def mixed_draw(best: DataFrame, pool: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
     """One row per key: a draw from ``pool`` with chance ``share``, else the row of ``best``."""
-    coin = (F.pmod(F.xxhash64(key, F.lit(seed), F.lit("coin")), F.lit(1 << 20)) / float(1 << 20)) < share
+    coin = dr.chance(share, [key], seed)
     return best.where(~coin).unionByName(uniform_draw(pool.where(coin), key, seed).select(*best.columns))
 
 
+def explored_parent(records: DataFrame, chosen: DataFrame, family: str, score: str = "gated", share: float = 0.18, seed: int = 0) -> DataFrame:
+    """(run_id, node_id) for chosen(run_id, family): the best valid record of the family, the root aside, or of the run if it has none.
+
+    With chance ``share`` a draw from the six best, where there are more than three.
+    """
+    rows = records.where("valid").join(chosen.select("run_id", F.col("family").alias("_chosen")), "run_id")
+    inside = F.coalesce(F.col(family) == F.col("_chosen"), F.lit(False)) & (F.col("idx") > 0)
+    run = Window.partitionBy("run_id")
+    rows = rows.withColumn("_in", inside).withColumn("_any", F.max("_in").over(run)).where(F.col("_in") | ~F.col("_any"))
+    rows = rows.withColumns({"_p": F.row_number().over(run.orderBy(F.desc(score), F.asc("idx"), F.asc("node_id"))), "_size": F.count(F.lit(1)).over(run)})
+    pool = rows.where(F.col("_p") <= 6)
+    coin = dr.chance(share, ["run_id"], seed) & (F.col("_size") > 3)
+    drawn = uniform_draw(pool.where(coin), "run_id", seed)
+    return pool.where(~coin & (F.col("_p") == 1)).select("run_id", "node_id").unionByName(drawn.select("run_id", "node_id"))
+
+
+def explored_family(credits: DataFrame, c: float, over_use: float = 0.0, share: float = 0.12, warm_up: int = 6, seed: int = 0) -> DataFrame:
+    """(run_id, family): each family in turn up to step ``warm_up``, then with chance ``share`` an even draw, else ``family_choice``.
+
+    ``credits`` is as there; families take turns by name.
+    """
+    run = Window.partitionBy("run_id")
+    turn = F.row_number().over(run.orderBy("family"))
+    placed = credits.withColumns({"_turn": turn, "_f": F.count(F.lit(1)).over(run)})
+    early = placed.where((F.col("idx") <= warm_up) & (F.col("_turn") == (F.col("idx") - 1) % F.col("_f") + 1)).select("run_id", "family")
+    late = credits.where(F.col("idx") > warm_up)
+    coin = dr.chance(share, ["run_id"], seed)
+    even = dr.one_per_key(late.where(coin), ["run_id"], "family", seed).select("run_id", "family")
+    return early.unionByName(even).unionByName(family_choice(late.where(~coin), c, over_use).select("run_id", "family"))
+
+
 def advantage_parent(records: DataFrame, family: str, score: str = "gated") -> DataFrame:
     """The record of greatest ``score`` of each (run_id, family), the root aside."""
     return best_of(records.where(F.col("valid") & (F.col("idx") > 0)), ["run_id", family], F.col(score), [F.asc("idx"), F.asc("node_id")])
@@ -187,10 +239,20 @@ def moving_credit(rewards: DataFrame, keys: list[str], order: list[str], keep: f
     return weighted.groupBy(*keys).agg((share + start * F.pow(F.lit(keep), F.count(F.lit(1)).cast("double"))).alias("credit"))
 
 
-def floored_credit(rewards: DataFrame, keys: list[str], order: str, keep: float = 0.86, start: float = 0.05, floor: float = 0.005) -> DataFrame:
-    """The same with a floor at each step, which makes the order matter: folded over the rewards of a key."""
-    steps = F.array_sort(F.collect_list(F.struct(order, "reward")))
-    return rewards.groupBy(*keys).agg(F.aggregate(steps, F.lit(float(start)), lambda a, x: F.greatest(F.lit(floor), keep * a + (1 - keep) * x["reward"])).alias("credit"))
+def floored_credit(rewards: DataFrame, keys: list[str], order: str | list[str], keep: float = 0.86, start: float = 0.05, floor: float = 0.005) -> DataFrame:
+    """The same with a floor at each step.
+
+    A step a -> max(floor, keep a + b) and any run of such steps is a -> max(c, m a + d), so the fold is the greatest of the plain fold from
+    the start and of those from the floor after each step: window sums and a maximum, and no list of rewards.
+    """
+    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in ([order] if isinstance(order, str) else order)])
+    back = F.row_number().over(w) - 1
+    rows = rewards.withColumn("_k", back.cast("double"))
+    rows = rows.withColumn("_share", F.pow(F.lit(keep), F.col("_k")) * (1 - keep) * F.col("reward"))
+    later = F.coalesce(F.sum("_share").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    rows = rows.withColumn("_after", later + floor * F.pow(F.lit(keep), F.col("_k")))
+    whole = F.sum("_share") + start * F.pow(F.lit(keep), F.count(F.lit(1)).cast("double"))
+    return rows.groupBy(*keys).agg(F.greatest(F.max("_after"), whole).alias("credit"))
 
 
 def advantage_reward(score: str = "gated") -> Column:
@@ -265,17 +327,25 @@ def stage_progress(log: DataFrame, stage: str) -> DataFrame:
 
 
 def experiment_summary(records: DataFrame, group: str, slow_s: float, flags: list[str]) -> DataFrame:
-    """Per group: counts, rates, means, bests and means of the five best by selection_score."""
+    """Per group: counts, rates, means, bests and means of the five best by selection_score, and the size of its Pareto front.
+
+    ``records`` has valid, error, auc_cnbi, r, time_s, delta, wall_s, selection_score and node_id.
+    """
     order = Window.partitionBy(group).orderBy(F.desc(F.coalesce("valid", F.lit(False))), F.desc("selection_score"), F.asc("node_id"))
     rows = records.withColumn("_p", F.row_number().over(order)).withColumn("_ok", F.coalesce("valid", F.lit(False)))
     ok, top = F.col("_ok"), F.col("_ok") & (F.col("_p") <= 5)
     of, five = (lambda c: F.when(ok, F.col(c))), (lambda c: F.when(top, F.col(c)))
-    return rows.groupBy(group).agg(
+    front = pareto(records, [group], ["auc_cnbi"], ["r", "time_s"]).groupBy(group).agg(F.count(F.lit(1)).alias("pareto_count"))
+    sums = rows.groupBy(group).agg(
         F.count(F.lit(1)).alias("candidates"), F.avg(ok.cast("double")).alias("valid_rate"), F.avg((F.coalesce("time_s", F.lit(0.0)) > slow_s).cast("double")).alias("slow_rate"),
+        F.avg(F.coalesce(F.contains(F.lower("error"), F.lit("timeout")), F.lit(False)).cast("double")).alias("timeout_rate"),
+        F.avg(of("delta")).alias("mean_delta"), F.max(of("delta")).alias("best_delta"), F.avg(five("delta")).alias("top5_delta"),
+        F.avg("wall_s").alias("mean_wall_s"), F.avg(five("wall_s")).alias("top5_wall_s"),
         F.avg(of("auc_cnbi")).alias("mean_auc_cnbi"), F.max(of("auc_cnbi")).alias("best_auc_cnbi"), F.avg(five("auc_cnbi")).alias("top5_auc_cnbi"),
         F.avg(of("r")).alias("mean_r"), F.min(of("r")).alias("best_r"), F.avg(of("time_s")).alias("mean_time_s"), F.avg(five("time_s")).alias("top5_time_s"),
         *[F.avg(F.when(ok, F.col(f).cast("double"))).alias(f"{f}_rate") for f in flags],
     )
+    return sums.join(front, group, "left").na.fill(0, ["pareto_count"])
 
 
 def rank_then_count(records: DataFrame, dataset: str, method: str) -> DataFrame:
@@ -299,17 +369,53 @@ CLADES = {
 _WEIGHTS = ("w_split", "w_bridge_mult", "w_degree", "w_nds", "w_core", "w_comp", "w_bridge_edges")
 
 
+# Factors by which a need moves weights, the greatest weights, powers to choose from, and chances of the other changes.
+NUDGES = {
+    "needs_scale": {"w_degree": (1.03, 1.25), "w_nds": (1.02, 1.20), "w_core": (1.02, 1.18)},
+    "needs_fragmentation": {"w_split": (1.05, 1.28), "w_bridge_mult": (1.05, 1.30)},
+    "needs_speed": {"w_bridge_edges": (0.5, 0.9)},
+}
+MOST_WEIGHT = {"w_split": 4.0, "w_bridge_mult": 4.5, "w_degree": 2.0, "w_nds": 1.5, "w_core": 1.0, "w_comp": 0.8, "w_bridge_edges": 1.2}
+POWERS = {"split_power": (0.75, 1.0, 1.15, 1.3), "degree_power": (0.75, 1.0, 1.15), "nds_power": (0.75, 1.0), "core_power": (0.5, 0.75, 1.0)}
+CLADE_SHIFT, POWER_CHANGE, RADIUS_FLIP = 0.12, 0.15, 0.10
+#: Weights that only blends of one clade have.
+OWN_CLADE = {"w_comp": "component_aware", "w_bridge_edges": "local_bridge_edges"}
+
+
 def random_blend(clade: str, seed: int) -> Blend:
     """A typed blend of a clade: its own weights in [0.5, 2], each other one in [0, 0.5] or, half of the time, 0."""
     rng = np.random.default_rng(seed)
     own = CLADES[clade]
     weights = {n: float(rng.uniform(0.5, 2.0) if n in own else rng.uniform(0, 0.5) * (rng.random() < 0.5)) for n in _WEIGHTS}
-    return Blend(clade=clade, update_radius=int(rng.integers(1, 3)), use_component=clade == "component_aware", **weights)
+    weights = {n: min(w, MOST_WEIGHT[n]) if OWN_CLADE.get(n, clade) == clade else 0.0 for n, w in weights.items()}
+    powers = {n: float(rng.choice(choices)) for n, choices in POWERS.items()}
+    return Blend(clade=clade, update_radius=int(rng.integers(1, 3)), use_component=clade == "component_aware", **weights, **powers)
+
 
+def mutated(blend: Blend, seed: int, needs: dict[str, float] | None = None, scale: float = 0.25) -> Blend:
+    """A blend with one to three weights perturbed; the same seed gives the same blend.
 
-def mutated(blend: Blend, seed: int, scale: float = 0.25) -> Blend:
-    """A blend with one to three weights perturbed; the same seed gives the same blend."""
+    Each of ``needs`` (a row of ``diagnostics``) is met with its own chance: the weights of NUDGES move by a factor, and speed also takes
+    radius 1. Now and then the clade, a power or the radius changes. Weights of other clades stay 0, none goes beyond MOST_WEIGHT.
+    """
     rng = np.random.default_rng(seed)
-    chosen = rng.choice(len(_WEIGHTS), size=rng.integers(1, 4), replace=False)
-    moved = {_WEIGHTS[i]: float(max(0.0, getattr(blend, _WEIGHTS[i]) * (1 + scale * rng.standard_normal()) + 0.05 * rng.random())) for i in chosen}
-    return replace(blend, **moved)
+    changes: dict[str, object] = {}
+    if rng.random() < CLADE_SHIFT:
+        changes["clade"] = str(rng.choice(list(CLADES)))
+    clade = changes.get("clade", blend.clade)
+    weights = {n: float(getattr(blend, n)) for n in _WEIGHTS}
+    for need, level in sorted((needs or {}).items()):
+        if need in NUDGES and rng.random() < level:
+            for n, (low, high) in NUDGES[need].items():
+                weights[n] *= float(rng.uniform(low, high))
+            if need == "needs_speed":
+                changes["update_radius"] = 1
+    for i in rng.choice(len(_WEIGHTS), size=rng.integers(1, 4), replace=False):
+        weights[_WEIGHTS[i]] = float(weights[_WEIGHTS[i]] * (1 + scale * rng.standard_normal()) + 0.05 * rng.random())
+    if rng.random() < POWER_CHANGE:
+        power = str(rng.choice(list(POWERS)))
+        changes[power] = float(rng.choice(POWERS[power]))
+    if rng.random() < RADIUS_FLIP:
+        changes["update_radius"] = 3 - min(2, max(1, blend.update_radius))
+    held = {n: min(MOST_WEIGHT[n], max(0.0, w)) if OWN_CLADE.get(n, clade) == clade else 0.0 for n, w in weights.items()}
+    return replace(blend, **changes, **held, use_component=clade == "component_aware")

@@ -181,8 +181,13 @@ def policy_clade_table(spark, d):
 
 
 def policy_clade_choice(spark, d):
-    """A seeded draw of each run's clade."""
-    return po.clade_choice(po.clade_table(records(spark, d), "family"))
+    """A seeded Beta draw of each run's clade."""
+    return rounded(po.clade_choice(po.clade_table(records(spark, d), "family")))
+
+
+def policy_clade_parent(spark, d):
+    """A draw from the five best records of that clade."""
+    return _ids(po.clade_parent(records(spark, d), "family"))
 
 
 def policy_islands(spark, d):
@@ -192,8 +197,24 @@ def policy_islands(spark, d):
 
 
 def policy_island_draw(spark, d):
-    pool = po.top_pool(records(spark, d), ["run_id"], 4)
-    return _ids(po.uniform_draw(pool, "run_id"))
+    """A draw from the four best records of the island whose turn it is."""
+    return _ids(po.island_parent(records(spark, d)))
+
+
+def policy_niche_parent(spark, d):
+    """The best record of a drawn niche, or one of all."""
+    return _ids(po.niche_parent(records(spark, d), "family"))
+
+
+def policy_family_draw(spark, d):
+    """A normal draw over a fixed list of families."""
+    known = spark.createDataFrame([(f,) for f in FAMILIES], "family string")
+    return rounded(po.family_draw(records(spark, d), "family", known))
+
+
+def policy_squared_draw(spark, d):
+    """A draw by squared score from the eight best records of each family of a run."""
+    return _ids(po.squared_draw(records(spark, d), ["run_id", "family"]), "family")
 
 
 def policy_niches(spark, d):
@@ -217,16 +238,28 @@ def policy_advantage_parent(spark, d):
     return rounded(po.advantage_parent(_rewarded(spark, d), "family").select("run_id", "family", "node_id", "value"))
 
 
+def _credits(spark, d):
+    credits = records(spark, d).groupBy("run_id", "family").agg(F.coalesce(F.avg("rank_score"), F.lit(0.0)).alias("credit"), F.count(F.lit(1)).alias("n"))
+    return credits.withColumn("idx", F.sum("n").over(Window.partitionBy("run_id")) + 1)
+
+
+def policy_explored_family(spark, d):
+    """The next family of each run: in turn at first, at times an even draw, else by credit."""
+    return po.explored_family(_credits(spark, d), 0.28, 0.10)
+
+
+def policy_legacy_family(spark, d):
+    """The same with chance 0.08, a smaller bonus and no warm-up."""
+    return po.explored_family(_credits(spark, d), 0.12, 0.0, share=0.08, warm_up=0)
+
+
 def policy_explored_parent(spark, d):
-    """The best record of each run, or with chance 0.18 a draw from its six best."""
-    pool = po.top_pool(records(spark, d), ["run_id"], 6).select("run_id", "node_id", "place")
-    return po.mixed_draw(pool.where("place = 1"), pool, "run_id", 0.18)
+    """The best record of the family that each run chose, or with chance 0.18 a draw from its six best."""
+    return po.explored_parent(_rewarded(spark, d), po.explored_family(_credits(spark, d), 0.28, 0.10), "family")
 
 
 def policy_family_choice(spark, d):
-    credits = records(spark, d).groupBy("run_id", "family").agg(F.coalesce(F.avg("rank_score"), F.lit(0.0)).alias("credit"), F.count(F.lit(1)).alias("n"))
-    credits = credits.withColumn("idx", F.sum("n").over(Window.partitionBy("run_id")) + 1)
-    return rounded(po.family_choice(credits, 0.28, 0.10))
+    return rounded(po.family_choice(_credits(spark, d), 0.28, 0.10))
 
 
 def _rewarded(spark, d):
@@ -238,7 +271,7 @@ def policy_moving_credit(spark, d):
 
 
 def policy_floored_credit(spark, d):
-    return rounded(po.floored_credit(_rewarded(spark, d).withColumn("reward", F.coalesce("rank_score", F.lit(-0.2))), ["run_id", "family"], "idx"))
+    return rounded(po.floored_credit(_rewarded(spark, d).withColumn("reward", F.coalesce("rank_score", F.lit(-0.2))), ["run_id", "family"], ["idx", "node_id"]))
 
 
 def policy_learned_credit(spark, d):
@@ -289,7 +322,7 @@ def policy_family_summary(spark, d):
 
 
 def policy_experiment_summary(spark, d):
-    m = metrics(spark, d).withColumn("selection_score", F.coalesce("auc_cnbi", F.lit(-1.0))).withColumn("node_id", F.concat_ws("/", "dataset", "method")).withColumn("rerun", F.col("source") == "rerun")
+    m = metrics(spark, d).withColumns({"delta": F.col("auc_cnbi") - 100, "wall_s": F.col("time_s") * 2}).withColumn("selection_score", F.coalesce("auc_cnbi", F.lit(-1.0))).withColumn("node_id", F.concat_ws("/", "dataset", "method")).withColumn("rerun", F.col("source") == "rerun")
     return rounded(po.experiment_summary(m, "method_group", 50.0, ["rerun"]))
 
 
@@ -394,6 +427,36 @@ _BOUND_ITEMS = (
 )
 
 
+def _u(*parts) -> str:
+    """The even number of a hash; names of columns are as they are, other texts and numbers are quoted."""
+    named = ("run_id", "family", "node_id", "clade", "i")
+    text = ", ".join(p if p in named else f"'{p}'" for p in parts)
+    return f"((CAST('0x' || left(md5(concat_ws('|', {text})), 8) AS BIGINT) + 0.5) / 4294967296.0)"
+
+
+def _one(keys: str, item: str, source: str, weight: str = "1.0") -> str:
+    """One row of each key, drawn by weight."""
+    return f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY -ln({_u(*keys.split(', '), item, 0)}) / {weight}, {item}) AS draw FROM {source}) WHERE draw = 1"
+
+
+def _families(c: float, over_use: float, share: float, warm_up: int) -> str:
+    return (
+        ", c AS (SELECT run_id, family, coalesce(avg(rank_score), 0.0) AS credit, count(*) AS n FROM rec GROUP BY ALL), e AS (SELECT *, sum(n) OVER (PARTITION BY run_id) + 1 AS idx, count(*) OVER (PARTITION BY run_id) AS f, row_number() OVER (PARTITION BY run_id ORDER BY family) AS turn FROM c), "
+        f"vv AS (SELECT *, credit + {c} * sqrt(ln(CAST(greatest(2, idx) AS DOUBLE)) / (n + 1.0)) - {over_use} * greatest(0.0, n - CAST(idx AS DOUBLE) / f) AS value, {_u('run_id', 0, 'coin')} < {share} AS coin FROM e), "
+        f"ev AS ({_one('run_id', 'family', '(SELECT run_id, family FROM e)')}), picked AS (SELECT run_id, family FROM vv WHERE idx <= {warm_up} AND turn = (idx - 1) % f + 1 "
+        f"UNION ALL SELECT run_id, ev.family FROM ev JOIN (SELECT DISTINCT run_id, coin FROM vv WHERE idx > {warm_up}) USING (run_id) WHERE coin "
+        f"UNION ALL SELECT run_id, family FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, family) AS k FROM vv WHERE idx > {warm_up} AND NOT coin) WHERE k = 1)"
+    )
+
+
+_ISLAND = "CASE WHEN node_id = 'hda_root' THEN 0 ELSE CAST('0x' || left(sha1(node_id), 4) AS INTEGER) % 6 END"
+_CLADES = (
+    _R + ", cl AS (SELECT run_id, family AS clade, count(*) AS n, count(*) FILTER (WHERE s >= md) AS wins FROM (SELECT *, quantile_cont(s, 0.5) OVER (PARTITION BY run_id) AS md FROM k WHERE valid) GROUP BY ALL), "
+    f"th AS (SELECT run_id, clade, n, u FROM (SELECT *, row_number() OVER (PARTITION BY run_id, clade ORDER BY u, i) AS p FROM (SELECT *, {_u('run_id', 'clade', 'i', 0)} AS u FROM (SELECT *, unnest(range(1, n + 2)) AS i FROM cl))) WHERE p = wins + 1), "
+    "cho AS (SELECT run_id, clade, theta FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY theta DESC, clade DESC) AS p FROM (SELECT *, u + 0.08 / sqrt(CAST(n AS DOUBLE)) AS theta FROM th)) WHERE p = 1) "
+)
+
+
 ORACLES = {
     "rank_average": _M + f"SELECT dataset, method, CAST({_avg_rank('r', 'dataset', 'ASC')} AS DOUBLE) AS rank_r, CAST({_avg_rank('auc_cnbi', 'dataset', 'DESC')} AS DOUBLE) AS rank_auc FROM m",
     "rank_unit": _M + "SELECT dataset, method, " + ", ".join(f'round(CAST({_unit("auc_cnbi", "dataset", True, k)} AS DOUBLE), 9) AS "{k}"' for k in ("rows", "coerced", "known")) + " FROM m",
@@ -432,6 +495,22 @@ ORACLES = {
     "policy_uct": _R + _TOP("greatest(0.0, s) + 1.35 * sqrt(ln(CAST(greatest(2, n_run) AS DOUBLE)) / (1.0 + children))", "idx, node_id", "k WHERE valid"),
     "policy_uct_depth": _R + _DEEP + _TOP("greatest(0.0, s) / (1 + 0.12 * depth) + 1.1 * sqrt(ln(CAST(greatest(2, n_run) AS DOUBLE)) / (1.0 + children))", "idx, node_id", "kd WHERE valid"),
     "policy_clade_table": _R + "SELECT run_id, family AS clade, round(md, 9) AS median_all, count(*) AS n, count(*) FILTER (WHERE s >= md) AS wins, count(*) FILTER (WHERE s < md) AS losses FROM (SELECT *, quantile_cont(s, 0.5) OVER (PARTITION BY run_id) AS md FROM k WHERE valid) GROUP BY ALL",
+    "policy_clade_choice": _CLADES + "SELECT run_id, clade, round(theta, 9) AS theta FROM cho",
+    "policy_clade_parent": _CLADES + f"SELECT run_id, node_id FROM ({_one('run_id', 'node_id', '(SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS p FROM k JOIN cho USING (run_id) WHERE valid AND family = clade) WHERE p <= 5)')})",
+    "policy_island_draw": _R + f", i AS (SELECT *, {_ISLAND} AS island, count(*) OVER (PARTITION BY run_id) % 6 AS turn FROM k WHERE valid), j AS (SELECT *, bool_or(island = turn) OVER (PARTITION BY run_id) AS has FROM i), "
+        f"p4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS p FROM j WHERE island = turn OR NOT has) WHERE p <= 4) SELECT run_id, node_id FROM ({_one('run_id', 'node_id', 'p4')})",
+    "policy_niche_parent": _R + f", w AS (SELECT run_id, family, 1 / sqrt(CAST(count(*) AS DOUBLE)) AS w FROM k WHERE valid GROUP BY ALL), wn AS (SELECT run_id, family, w / sum(w) OVER (PARTITION BY run_id) AS w FROM w), dn AS ({_one('run_id', 'family', 'wn', 'w')}), "
+        f"b AS (SELECT run_id, node_id FROM (SELECT k.*, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS p FROM k JOIN dn USING (run_id, family) WHERE valid) WHERE p = 1), al AS ({_one('run_id', 'node_id', '(SELECT * FROM k WHERE valid)')}) "
+        f"SELECT run_id, CASE WHEN {_u('run_id', 0, 'coin')} < 0.2 THEN al.node_id ELSE b.node_id END AS node_id FROM b JOIN al USING (run_id)",
+    "policy_family_draw": _R + f", m AS (SELECT run_id, family, avg(s) AS mean, count(*) AS n FROM k WHERE valid GROUP BY ALL), e AS (SELECT run_id, family FROM (SELECT DISTINCT run_id FROM k), {_texts(FAMILIES).replace('AS item', 'AS family')}), "
+        f"v AS (SELECT run_id, family, coalesce(mean + (0.10 + 0.15 / sqrt(CAST(n AS DOUBLE))) * sqrt(-2.0 * ln({_u('run_id', 'family', 0, 'radius')})) * cos(2 * pi() * {_u('run_id', 'family', 0, 'angle')}) + 0.08 / sqrt(CAST(n AS DOUBLE)), 10.0) AS value FROM e LEFT JOIN m USING (run_id, family)) "
+        "SELECT run_id, family, round(value, 9) AS value FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, family) AS p FROM v) WHERE p = 1",
+    "policy_squared_draw": _R + f", w AS (SELECT *, w / sum(w) OVER (PARTITION BY run_id, family) AS weight FROM (SELECT *, pow(greatest(1e-6, s), 2) AS w, row_number() OVER (PARTITION BY run_id, family ORDER BY s DESC, idx, node_id) AS n FROM k WHERE valid) WHERE n <= 8) SELECT run_id, node_id, family FROM ({_one('run_id, family', 'node_id', 'w', 'weight')})",
+    "policy_explored_family": _R + _families(0.28, 0.10, 0.12, 6) + "SELECT * FROM picked",
+    "policy_legacy_family": _R + _families(0.12, 0.0, 0.08, 0) + "SELECT * FROM picked",
+    "policy_explored_parent": _GATE_ROWS + _families(0.28, 0.10, 0.12, 6) + ", x AS (SELECT g.*, coalesce(g.family = p.family, false) AND idx > 0 AS own FROM g JOIN picked p USING (run_id) WHERE valid), y AS (SELECT *, bool_or(own) OVER (PARTITION BY run_id) AS has FROM x), "
+        "z AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY gated DESC, idx, node_id) AS spot, count(*) OVER (PARTITION BY run_id) AS size FROM y WHERE own OR NOT has), "
+        f"dz AS ({_one('run_id', 'node_id', '(SELECT * FROM z WHERE spot <= 6)')}) SELECT run_id, CASE WHEN z.size > 3 AND {_u('run_id', 0, 'coin')} < 0.18 THEN dz.node_id ELSE z.node_id END AS node_id FROM z JOIN dz USING (run_id) WHERE z.spot = 1",
     "policy_islands": _R + "SELECT run_id, node_id, island, place FROM (SELECT *, CAST(row_number() OVER (PARTITION BY run_id, island ORDER BY s DESC, idx, node_id) AS INTEGER) AS place FROM (SELECT *, CAST(CASE WHEN node_id = 'hda_root' THEN 0 ELSE CAST('0x' || left(sha1(node_id), 4) AS INTEGER) % 6 END AS INTEGER) AS island FROM k WHERE valid)) WHERE place <= 4",
     "policy_niches": _R + "SELECT run_id, family AS niche, n, round(w / sum(w) OVER (PARTITION BY run_id), 9) AS weight FROM (SELECT run_id, family, count(*) AS n, 1 / sqrt(CAST(count(*) AS DOUBLE)) AS w FROM rec WHERE valid GROUP BY ALL)",
     "policy_family_means": _R + "SELECT run_id, family, count(*) AS n, round(avg(s), 9) AS mean, round(0.10 + 0.15 / sqrt(count(*)), 9) AS spread, round(0.08 / sqrt(count(*)), 9) AS bonus FROM k WHERE valid GROUP BY ALL",
@@ -453,7 +532,7 @@ ORACLES = {
         "f AS (SELECT run_id, string_agg(family, ',' ORDER BY i) AS families FROM (SELECT run_id, family, row_number() OVER (PARTITION BY run_id ORDER BY count(*) DESC, min(p)) AS i FROM t GROUP BY run_id, family) WHERE i <= 5 GROUP BY run_id) SELECT run_id, max(n) AS n, count(*) AS top_n, round(greatest(0.05, 4 * quantile_cont(time_s, 0.5)), 9) AS runtime_cap, families FROM t JOIN f USING (run_id) GROUP BY run_id, families",
     "policy_bound_items": _BOUND_ITEMS,
     "policy_family_summary": _R + "SELECT family, count(*) AS candidates, round(avg(valid::INT), 9) AS valid_rate, round(avg(cnbi - 100) FILTER (WHERE valid), 9) AS mean_delta, round(max(cnbi - 100) FILTER (WHERE valid), 9) AS top_delta, round(avg(time_s) FILTER (WHERE valid), 9) AS mean_time_s, round(max(rank_score) FILTER (WHERE valid), 9) AS top_rank_score, round(avg(coalesce(contains(error, 'timeout'), false)::INT), 9) AS slow_pattern_rate FROM rec GROUP BY family",
-    "policy_experiment_summary": _M + ", a AS (SELECT *, row_number() OVER (PARTITION BY method_group ORDER BY valid DESC, coalesce(auc_cnbi, -1) DESC, dataset || '/' || method) AS p FROM m) SELECT method_group, count(*) AS candidates, round(avg(valid::INT), 9) AS valid_rate, round(avg((coalesce(time_s, 0) > 50)::INT), 9) AS slow_rate, round(avg(auc_cnbi) FILTER (WHERE valid), 9) AS mean_auc_cnbi, round(max(auc_cnbi) FILTER (WHERE valid), 9) AS best_auc_cnbi, round(avg(auc_cnbi) FILTER (WHERE valid AND p <= 5), 9) AS top5_auc_cnbi, round(avg(r) FILTER (WHERE valid), 9) AS mean_r, round(min(r) FILTER (WHERE valid), 9) AS best_r, round(avg(time_s) FILTER (WHERE valid), 9) AS mean_time_s, round(avg(time_s) FILTER (WHERE valid AND p <= 5), 9) AS top5_time_s, round(avg((source = 'rerun')::INT) FILTER (WHERE valid), 9) AS rerun_rate FROM a GROUP BY method_group",
+    "policy_experiment_summary": _M + ", a AS (SELECT *, row_number() OVER (PARTITION BY method_group ORDER BY valid DESC, coalesce(auc_cnbi, -1) DESC, dataset || '/' || method) AS p FROM m) SELECT method_group, count(*) AS candidates, round(avg(valid::INT), 9) AS valid_rate, round(avg((coalesce(time_s, 0) > 50)::INT), 9) AS slow_rate, round(avg(coalesce(contains(lower(error), 'timeout'), false)::INT), 9) AS timeout_rate, round(avg(auc_cnbi - 100) FILTER (WHERE valid), 9) AS mean_delta, round(max(auc_cnbi - 100) FILTER (WHERE valid), 9) AS best_delta, round(avg(auc_cnbi - 100) FILTER (WHERE valid AND p <= 5), 9) AS top5_delta, round(avg(time_s * 2), 9) AS mean_wall_s, round(avg(time_s * 2) FILTER (WHERE valid AND p <= 5), 9) AS top5_wall_s, count(*) FILTER (WHERE valid AND auc_cnbi IS NOT NULL AND r IS NOT NULL AND time_s IS NOT NULL AND NOT EXISTS (SELECT 1 FROM a y WHERE y.method_group = a.method_group AND y.valid AND y.auc_cnbi >= a.auc_cnbi AND y.r <= a.r AND y.time_s <= a.time_s AND (y.auc_cnbi > a.auc_cnbi OR y.r < a.r OR y.time_s < a.time_s))) AS pareto_count, round(avg(auc_cnbi) FILTER (WHERE valid), 9) AS mean_auc_cnbi, round(max(auc_cnbi) FILTER (WHERE valid), 9) AS best_auc_cnbi, round(avg(auc_cnbi) FILTER (WHERE valid AND p <= 5), 9) AS top5_auc_cnbi, round(avg(r) FILTER (WHERE valid), 9) AS mean_r, round(min(r) FILTER (WHERE valid), 9) AS best_r, round(avg(time_s) FILTER (WHERE valid), 9) AS mean_time_s, round(avg(time_s) FILTER (WHERE valid AND p <= 5), 9) AS top5_time_s, round(avg((source = 'rerun')::INT) FILTER (WHERE valid), 9) AS rerun_rate FROM a GROUP BY method_group",
     "policy_stage_progress": _R + "SELECT family, count(*) AS rows, count(*) FILTER (WHERE valid) AS valid_rows, count(*) FILTER (WHERE contains(lower(error), 'timeout')) AS timeouts, strftime(max(logged_at), '%Y-%m-%d %H:%M:%S') AS latest FROM rec GROUP BY family",
     "table_method_means": _M + ", " + _MEANS + "SELECT method, datasets, round(mean_r, 8) AS mean_r, round(mean_auc_cnbi, 8) AS mean_auc_cnbi, round(mean_time_s, 8) AS mean_time_s, top1_auc, top3_auc, round(CAST(mean_rank_auc AS DOUBLE), 8) AS mean_rank_auc FROM means",
 }

@@ -72,8 +72,11 @@ def search(edges: DataFrame, nodes: DataFrame, rounds: int, width: int = 4, rate
         chance = pool["score"] ** 2 / (pool["score"] ** 2).sum()
         fresh = {}
         seen = {str(asdict(b)) for b in blends.values()}
+        middle, own = rows[rows["valid"]][["r", "cnbi"]].median(), rows.set_index("node_id")
+        off = lambda parent, c, sign: float(np.clip(sign * (own.loc[parent, c] - middle[c]) / max(middle[c], 1e-9) + 0.45, 0.05, 0.95))  # noqa: B023, E731
         for i, parent in enumerate(rng.choice(pool["node_id"], size=width, p=chance)):
-            child = po.mutated(blends[parent], seed=int(rng.integers(1 << 31)))
+            needs = {"needs_scale": off(parent, "r", 1), "needs_fragmentation": off(parent, "cnbi", -1)}
+            child = po.mutated(blends[parent], seed=int(rng.integers(1 << 31)), needs=needs)
             if str(asdict(child)) not in seen:
                 fresh[f"n{t}_{i}"] = child
                 parent_of[f"n{t}_{i}"] = parent
