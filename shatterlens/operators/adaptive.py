@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import heapq
 import math
+import multiprocessing
 import signal
 import time
 from collections import deque
@@ -545,15 +546,51 @@ def deadline(seconds: float | None) -> Iterator[None]:
             signal.signal(signal.SIGALRM, before)
 
 
+def isolated(kernel: Callable[[Graph, int], list[int]], g: Graph, steps: int, limit_s: float | None) -> list[int]:
+    """The kernel's order from a process of its own: native code is stopped at the limit too, and a crash is an error and not the worker's end.
+
+    TimeoutError after ``limit_s``, RuntimeError if the process died or raised.
+    """
+    context = multiprocessing.get_context("fork")  # the kernel need not be picklable
+    ours, theirs = context.Pipe(duplex=False)
+
+    def work() -> None:
+        ours.close()
+        try:
+            theirs.send((True, [int(i) for i in kernel(g, steps)]))
+        except BaseException as e:  # all of it is the program's
+            theirs.send((False, f"{type(e).__name__}: {e}"))
+
+    process = context.Process(target=work, daemon=True)
+    process.start()
+    theirs.close()
+    try:
+        if not ours.poll(limit_s):
+            raise TimeoutError(f"after {limit_s:g} s")
+        fine, found = ours.recv()
+    except EOFError:
+        process.join(1)
+        raise RuntimeError(f"the process died with code {process.exitcode}") from None
+    finally:
+        process.kill()
+        process.join()
+        ours.close()
+    if not fine:
+        raise RuntimeError(found)
+    return found
+
+
 def _arrange(pdf: pd.DataFrame) -> Graph:
     nodes = pdf[pdf["v"].isna()].sort_values("ord")
     edges = pdf[pdf["v"].notna()].sort_values(["ord", "u", "v"])
     return Graph(nodes["u"], zip(edges["u"], edges["v"].astype("int64")))
 
 
-def adaptive_orders(edges: DataFrame, nodes: DataFrame, methods: dict[str, Callable[[Graph, int], list[int]]], rate: float | None, timed: bool = False, limit_s: float | None = None) -> DataFrame:
+def adaptive_orders(edges: DataFrame, nodes: DataFrame, methods: dict[str, Callable[[Graph, int], list[int]]], rate: float | None, timed: bool = False, limit_s: float | None = None, apart: bool = False) -> DataFrame:
     """(graph, method, step, node[, seconds, error]) of each method on each graph; one task per pair.
 
+    With ``apart`` each pair runs in a process of its own.
+
     A method that fails, or takes more than ``limit_s``, gives one row with step 0 and its error, if ``timed``; else it raises.
     Nodes that a method leaves out follow in ``ord``; unknown and repeated ones are dropped.
     ``seconds`` is the time of the order alone.
@@ -564,8 +601,11 @@ def adaptive_orders(edges: DataFrame, nodes: DataFrame, methods: dict[str, Calla
         g = _arrange(pdf)
         started, error = time.perf_counter(), None
         try:
-            with deadline(limit_s):
-                chosen = methods[method](g, budget_of(len(g), rate))
+            if apart:
+                chosen = isolated(methods[method], g, budget_of(len(g), rate), limit_s)
+            else:
+                with deadline(limit_s):
+                    chosen = methods[method](g, budget_of(len(g), rate))
         except Exception as e:  # the row says so
             if not timed:
                 raise

@@ -64,6 +64,26 @@ def hidden_cases(curves: DataFrame, tolerance: float, gap: float, wanted: int |
     return out.select("graph", "method_a", "method_b", F.col("step").alias("step_a"), F.col("step_b"), F.col("gcc").alias("gcc_a"), "gcc_b", F.col("cnbi").alias("hidden_score_a"), F.col("cnbi_b").alias("hidden_score_b"), F.col("gap").alias("gcc_abs_diff"), "hidden_gap")
 
 
+def fixed_cases(cases: DataFrame, wanted: DataFrame, keys: Sequence[str], difference: str = "gcc_abs_diff", most: float = 1e-12) -> DataFrame:
+    """The case of every row of wanted(keys...), a short list; a ValueError names those that are missing or whose ``difference`` is beyond ``most``."""
+    found = F.broadcast(wanted.select(*keys)).join(cases.withColumn("_there", F.lit(True)), list(keys), "left")
+    bad = found.where(F.col("_there").isNull() | (F.abs(F.col(difference)) > most)).select(*keys).limit(5).collect()
+    if bad:
+        raise ValueError(f"missing or not exact: {[tuple(r) for r in bad]}")
+    return found.drop("_there")
+
+
+def mapped(rows: DataFrame, column: str, values: dict[str, str], otherwise: str | None = None) -> DataFrame:
+    """``rows`` with the values of a text column exchanged; others stay, or become ``otherwise``."""
+    pairs = F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
+    return rows.withColumn(column, F.coalesce(F.try_element_at(pairs, F.col(column)), F.lit(otherwise) if otherwise is not None else F.col(column)))
+
+
+def means_by_size(rows: DataFrame, ok: Column, values: Sequence[str], keys: Sequence[str] = ("method", "n")) -> DataFrame:
+    """(keys, runs, means of ``values``) of the rows that are ``ok``."""
+    return rows.where(F.coalesce(ok, F.lit(False))).groupBy(*keys).agg(F.count(F.lit(1)).alias("runs"), *[F.avg(c).alias(f"mean_{c}") for c in values])
+
+
 def completeness(rows: DataFrame, keys: Sequence[str], ok: Column) -> DataFrame:
     """(keys, total, done, complete) of each group."""
     done = F.sum(F.coalesce(ok, F.lit(False)).cast("bigint"))

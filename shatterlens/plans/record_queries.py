@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from shatterlens.functions.scalars import no_nan
-from shatterlens.operators import bounds as bo, policies as po, ranking as rk
+from shatterlens.operators import bounds as bo, plugins, policies as po, ranking as rk
 from shatterlens.operators.hierarchy import hierarchy
 from shatterlens.operators.records import current_rows
 from shatterlens.operators.windows import average_rank, global_average_rank, running_sum
@@ -201,6 +203,13 @@ def policy_island_draw(spark, d):
     return _ids(po.island_parent(records(spark, d)))
 
 
+def policy_proposals(spark, d):
+    """What each registered policy would expand next in every run, and the records it would show."""
+    r = records(spark, d)
+    parts = [plugins.propose(r, name).select("run_id", F.lit(name).alias("policy"), "node_id", F.array_join("examples", ",").alias("examples")) for name in ("greedy", "exploring", "islands")]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 def policy_niche_parent(spark, d):
     """The best record of a drawn niche, or one of all."""
     return _ids(po.niche_parent(records(spark, d), "family"))
@@ -499,6 +508,11 @@ ORACLES = {
     "policy_clade_parent": _CLADES + f"SELECT run_id, node_id FROM ({_one('run_id', 'node_id', '(SELECT * FROM (SELECT k.*, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS p FROM k JOIN cho USING (run_id) WHERE valid AND family = clade) WHERE p <= 5)')})",
     "policy_island_draw": _R + f", i AS (SELECT *, {_ISLAND} AS island, count(*) OVER (PARTITION BY run_id) % 6 AS turn FROM k WHERE valid), j AS (SELECT *, bool_or(island = turn) OVER (PARTITION BY run_id) AS has FROM i), "
         f"p4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS p FROM j WHERE island = turn OR NOT has) WHERE p <= 4) SELECT run_id, node_id FROM ({_one('run_id', 'node_id', 'p4')})",
+    "policy_proposals": _R + f", i AS (SELECT *, {_ISLAND} AS island, count(*) OVER (PARTITION BY run_id) % 6 AS turn FROM k WHERE valid), j AS (SELECT *, bool_or(island = turn) OVER (PARTITION BY run_id) AS has FROM i), "
+        "b AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS p FROM k WHERE valid), x AS (SELECT run_id, string_agg(node_id, ',' ORDER BY p) AS examples FROM b WHERE p <= 3 GROUP BY run_id), "
+        "uct AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY greatest(0.0, s) + 1.35 * sqrt(ln(CAST(greatest(2, n_run) AS DOUBLE)) / (1.0 + children)) DESC, idx, node_id) AS p FROM k WHERE valid), "
+        f"p4 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS p FROM j WHERE island = turn OR NOT has) WHERE p <= 4), isl AS ({_one('run_id', 'node_id', 'p4')}) "
+        "SELECT run_id, policy, node_id, examples FROM (SELECT run_id, 'greedy' AS policy, node_id FROM b WHERE p = 1 UNION ALL SELECT run_id, 'exploring', node_id FROM uct WHERE p = 1 UNION ALL SELECT run_id, 'islands', node_id FROM isl) JOIN x USING (run_id)",
     "policy_niche_parent": _R + f", w AS (SELECT run_id, family, 1 / sqrt(CAST(count(*) AS DOUBLE)) AS w FROM k WHERE valid GROUP BY ALL), wn AS (SELECT run_id, family, w / sum(w) OVER (PARTITION BY run_id) AS w FROM w), dn AS ({_one('run_id', 'family', 'wn', 'w')}), "
         f"b AS (SELECT run_id, node_id FROM (SELECT k.*, row_number() OVER (PARTITION BY run_id ORDER BY s DESC, idx, node_id) AS p FROM k JOIN dn USING (run_id, family) WHERE valid) WHERE p = 1), al AS ({_one('run_id', 'node_id', '(SELECT * FROM k WHERE valid)')}) "
         f"SELECT run_id, CASE WHEN {_u('run_id', 0, 'coin')} < 0.2 THEN al.node_id ELSE b.node_id END AS node_id FROM b JOIN al USING (run_id)",

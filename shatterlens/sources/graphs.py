@@ -108,14 +108,16 @@ def power_law_pairs(n: int, gamma: float = 2.5, least: int = 2, seed: int = 42,
 
 
 def power_law_suite(count: int = 50, n: int = 500, gamma: float = 2.5, share: float = 0.85, tries: int = 10, seed: int = 42) -> list[np.ndarray]:
-    """Edge lists of ``count`` graphs that keep at least ``share`` of ``n`` nodes; at most ``tries`` draws each."""
+    """Edge lists of ``count`` graphs that keep at least ``share`` of ``n`` nodes; at most ``tries`` draws each, else ValueError."""
     out = []
     for i in range(count):
         for t in range(tries):
             pairs = power_law_pairs(n, gamma, seed=seed + i * tries + t, connect="largest")
             if len(pairs) and pairs.max() + 1 >= share * n:
+                out.append(pairs)
                 break
-        out.append(pairs)
+        else:
+            raise ValueError(f"graph {i}: none of {tries} draws keeps {share:g} of {n} nodes")
     return out
 
 

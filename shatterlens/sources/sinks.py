@@ -14,9 +14,22 @@ def write_points(points: DataFrame, root: str, order: str = "step") -> None:
     points.repartition("dataset", "method").sortWithinPartitions("dataset", "method", order).write.mode("overwrite").partitionBy("dataset", "method").parquet(root)
 
 
-def write_csv(table: DataFrame, path: str) -> None:
-    """CSV with a header; Spark commits it by renaming, so a reader never sees half of it."""
-    table.write.mode("overwrite").csv(path, header=True)
+def write_csv(table: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV with a header and, with ``mark``, a byte order mark; Spark commits it by renaming, so a reader never sees half of it."""
+    first = table.columns[0]
+    table.withColumnRenamed(first, f"\ufeff{first}" if mark else first).write.mode("overwrite").csv(path, header=True)
+
+
+def write_or_beside(table: DataFrame, path: str, beside: str) -> str:
+    """Write parquet to ``path``, or to ``beside`` if that may not be written to; where it went."""
+    for target in (path, beside):
+        try:
+            table.write.mode("overwrite").parquet(target)
+            return target
+        except Exception as e:  # the cause is the file system's, some layers down
+            if target == beside or not any(x in str(e).lower() for x in ("permission", "access denied", "accesscontrol", "mkdirs failed", "cannot create")):
+                raise
+    return beside
 
 
 def manifest(points: DataFrame, root: str) -> DataFrame:

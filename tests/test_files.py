@@ -79,3 +79,16 @@ def test_credit_survives_batches(spark, tmp_path):
         query().awaitTermination()
     last = spark.read.parquet(out).orderBy(F.desc("n")).first()
     assert last.n == 6 and last.credit == pytest.approx(want)
+
+
+def test_csv_starts_with_a_mark_and_a_table_goes_beside(spark, tmp_path):
+    from shatterlens.sources import files, sinks
+
+    df = spark.createDataFrame([("a", 1)], "k string, v int")
+    sinks.write_csv(df.coalesce(1), str(tmp_path / "t"))
+    (part,) = (tmp_path / "t").glob("*.csv")
+    assert part.read_bytes().startswith(b"\xef\xbb\xbfk,v")
+    assert files.read_csv(spark, str(tmp_path / "t"), "k string, v int").collect() == df.collect()
+    (tmp_path / "file").write_text("x")
+    assert sinks.write_or_beside(df, str(tmp_path / "fine"), str(tmp_path / "other")).endswith("fine")
+    assert sinks.write_or_beside(df, str(tmp_path / "file" / "below"), str(tmp_path / "other")).endswith("other")

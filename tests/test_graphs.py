@@ -323,3 +323,20 @@ def test_normalised_area(spark):
     df = spark.createDataFrame(rows, "k string, x double, y double")
     assert {r.k: r.auc_y for r in fr.normalised_area(df, ["k"], "x", ["y"]).collect()} == {"a": 11 / 4, "b": 5.0, "c": 3.0}
     assert math.isclose({r.k: r.auc_y for r in fr.normalised_area(df, ["k"], "x", ["y"], 1e-9).collect()}["a"], 11 / 4)
+
+
+def test_methods_in_processes_of_their_own(spark):
+    import os
+    import time
+
+    edges = spark.createDataFrame([("g", 0, 1), ("g", 1, 2)], "graph string, u bigint, v bigint")
+    methods = {"fine": adaptive.METHODS["hda_fast"], "dies": lambda g, k: os._exit(3), "hangs": lambda g, k: time.sleep(60), "fails": lambda g, k: [1 // 0]}
+    got = adaptive.adaptive_orders(edges, graphs.nodes_of(edges), methods, None, timed=True, limit_s=2, apart=True).groupBy("method").agg(F.max("step").alias("steps"), F.max("error").alias("error")).collect()
+    by = {r.method: r for r in got}
+    assert by["fine"].steps == 3 and by["fine"].error is None
+    assert "code 3" in by["dies"].error and by["hangs"].error == "TimeoutError: after 2 s" and "ZeroDivisionError" in by["fails"].error
+
+
+def test_a_suite_that_cannot_be_drawn():
+    with pytest.raises(ValueError):
+        graphs.power_law_suite(1, 200, share=1.1, tries=2)

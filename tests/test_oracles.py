@@ -3,9 +3,9 @@ from pathlib import Path
 import oracle
 import pytest
 
-from shatterlens.plans import data_quality, graph_queries, record_queries, table_queries
+from shatterlens.plans import data_quality, file_queries, graph_queries, record_queries, table_queries
 
-PARTS = (data_quality, graph_queries, record_queries, table_queries)
+PARTS = (data_quality, file_queries, graph_queries, record_queries, table_queries)
 SQL = {k: (p.QUERIES[k], s) for p in PARTS for k, s in p.ORACLES.items()}
 WITHOUT = {k: f for p in PARTS for k, f in p.QUERIES.items() if k not in p.ORACLES}
 pytestmark = pytest.mark.skipif(not Path(oracle.DATA).exists(), reason="the test tables are not here")

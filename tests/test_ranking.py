@@ -292,3 +292,43 @@ def test_hidden_cases(spark):
     rows = [("g", "a", 1, 0.500, 10.0), ("g", "a", 2, 0.400, 11.0), ("g", "b", 1, 0.501, 30.0), ("g", "b", 2, 0.499, 50.0), ("g", "b", 3, 0.3, 90.0), ("h", "a", 1, 0.5, 99.0)]
     cases = pb.hidden_cases(spark.createDataFrame(rows, "graph string, method string, step int, gcc double, cnbi double"), 0.003, 15.0).collect()
     assert [(r.graph, r.method_a, r.method_b, r.step_a, r.step_b, r.hidden_gap) for r in cases] == [("g", "a", "b", 1, 1, 20.0)]
+
+
+def test_policies_are_plug_ins(spark):
+    from shatterlens.operators import plugins
+
+    rows = [("r", f"n{i}", i, i != 3, float(i % 5), "n0" if i else None, f"f{i % 2}") for i in range(9)]
+    records = spark.createDataFrame(rows, "run_id string, node_id string, idx int, valid boolean, rank_score double, parent_id string, family string")
+    for name in list(plugins.POLICIES):
+        (row,) = plugins.propose(records, name).collect()
+        assert row.node_id != "n3" and row.examples == ["n4", "n8", "n2"] and row.hint, name
+        assert [row] == plugins.propose(records, name).collect()
+    plugins.register(plugins.SearchPolicy("last", lambda r, seed: r.where("valid").orderBy(F.desc("idx")).limit(1)))
+    try:
+        assert plugins.propose(records, "last").first().node_id == "n8"
+        with pytest.raises(ValueError):
+            plugins.register(plugins.SearchPolicy("last"))
+    finally:
+        del plugins.POLICIES["last"]
+
+
+def test_draws(spark):
+    from shatterlens.operators import draws as dr
+
+    df = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
+    u, z = np.array(df.select(dr.unit(F.col("k"), 1), dr.normal(F.col("k"), 2)).collect()).T
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.01 and abs(z.mean()) < 0.03 and abs(z.std() - 1) < 0.03
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.lit(3).cast("bigint").alias("a"), F.lit(5).cast("bigint").alias("b"))
+    theta = np.array([r.theta for r in dr.beta(rows, ["k"], "a", "b").collect()])
+    assert len(theta) == 3000 and abs(theta.mean() - 3 / 8) < 0.01 and abs(theta.var() - 15 / (64 * 9)) < 0.003
+
+
+def test_fixed_cases_and_values(spark):
+    cases = spark.createDataFrame([("g", 1, 0.0), ("g", 2, 1e-9)], "graph string, step int, gcc_abs_diff double")
+    wanted = spark.createDataFrame([("g", 1)], "graph string, step int")
+    assert pb.fixed_cases(cases, wanted, ["graph", "step"]).count() == 1
+    for bad in (("g", 2), ("h", 1)):
+        with pytest.raises(ValueError):
+            pb.fixed_cases(cases, spark.createDataFrame([bad], "graph string, step int"), ["graph", "step"])
+    assert [r.graph for r in pb.mapped(cases, "graph", {"g": "x"}).collect()] == ["x", "x"]
+    assert [r.graph for r in pb.mapped(cases, "graph", {"y": "x"}, "z").collect()] == ["z", "z"]
