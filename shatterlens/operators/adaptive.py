@@ -294,24 +294,6 @@ def core_numbers(g: Graph) -> list[int]:
     return core
 
 
-def communities(g: Graph, sweeps: int = 100) -> list[int]:
-    """Label propagation: in ``ord`` each node takes its neighbours' most frequent label, of equal ones the largest; to a fixed point."""
-    label = list(range(len(g)))
-    for _ in range(sweeps):
-        moved = False
-        for i, near in enumerate(g.near):
-            if near:
-                votes: dict[int, int] = {}
-                for j in near:
-                    votes[label[j]] = votes.get(label[j], 0) + 1
-                best = max(votes, key=lambda x: (votes[x], x))
-                if votes[best] > votes.get(label[i], 0):
-                    label[i], moved = best, True
-        if not moved:
-            break
-    return label
-
-
 @dataclass(frozen=True)
 class Blend:
     """Weights of the parametric score and how far a removal refreshes it."""
@@ -627,34 +609,58 @@ def adaptive_orders(edges: DataFrame, nodes: DataFrame, methods: dict[str, Calla
     return both.withColumn("method", names).groupBy("graph", "method").applyInPandas(kernel, schema)
 
 
-def node_values(edges: DataFrame, nodes: DataFrame, kind: str) -> DataFrame:
-    """(graph, node, value BIGINT) of a whole-graph kernel: ``core`` or ``community``."""
-    run = {"core": core_numbers, "community": communities}[kind]
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = _arrange(pdf)
-        return pd.DataFrame({"graph": pdf["graph"].iat[0], "node": np.array(g.labels, dtype=np.int64), "value": np.array(run(g), dtype=np.int64)})
-
-    both = nodes.select("graph", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "ord").unionByName(
-        edges.join(nodes.select("graph", F.col("node").alias("u"), "ord"), ["graph", "u"]).select("graph", "u", "v", "ord")
-    )
-    return both.groupBy("graph").applyInPandas(kernel, "graph string, node bigint, value bigint")
-
-
-def betweenness(edges: DataFrame, nodes: DataFrame, blocks: int = 8) -> DataFrame:
-    """(graph, node, score): normalised betweenness; the sources of a graph are spread over ``blocks`` tasks."""
+def shortest_path_shares(start: np.ndarray, near: np.ndarray, sources: np.ndarray) -> np.ndarray:
+    """``brandes`` for many sources at once: neighbours of node i are near[start[i] : start[i + 1]]; one array operation per distance."""
+    n, b = len(start) - 1, len(sources)
+    home = np.arange(b) * n + sources
+    paths, seen = np.zeros(b * n), np.zeros(b * n, dtype=bool)
+    paths[home], seen[home] = 1.0, True
+    front, steps = home, []
+    while len(front):
+        node = front % n
+        count = start[node + 1] - start[node]
+        upto = np.cumsum(count)
+        tail = np.repeat(front, count)
+        head = np.repeat(front - node, count) + near[np.arange(len(tail)) - np.repeat(upto - count, count) + np.repeat(start[node], count)]
+        fresh = ~seen[head]
+        tail, head = tail[fresh], head[fresh]
+        paths += np.bincount(head, weights=paths[tail], minlength=b * n)
+        seen[head] = True
+        steps.append((tail, head))
+        front = np.unique(head)
+    share = np.zeros(b * n)
+    for tail, head in reversed(steps):
+        share += np.bincount(tail, weights=paths[tail] / paths[head] * (1 + share[head]), minlength=b * n)
+    share[home] = 0.0
+    return share.reshape(b, n).sum(axis=0)
+
+
+#: Sources worked on at once: so many that their arrays hold about this many numbers.
+BATCH_NUMBERS = 1 << 20
+
+
+def betweenness(edges: DataFrame, nodes: DataFrame, blocks: int | None = None) -> DataFrame:
+    """(graph, node, score): normalised betweenness; the sources of a graph are spread over ``blocks`` tasks (else as many as a shuffle has).
+
+    Every task holds the graph's edges and works off its sources in batches.
+    """
+    blocks = blocks or int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         block = int(pdf["block"].iat[0])
-        g = _arrange(pdf)
-        n = len(g)
-        total = brandes(g.sets(), range(block, n, blocks), range(n))
+        names, flat = np.unique(pdf[["u", "v"]].to_numpy(), return_inverse=True)
+        ends = flat.reshape(-1, 2)
+        src, dst = np.concatenate([ends[:, 0], ends[:, 1]]), np.concatenate([ends[:, 1], ends[:, 0]])
+        n = len(names)
+        start = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))])
+        near = dst[np.argsort(src, kind="stable")]
+        sources, total = np.arange(block, n, blocks), np.zeros(n)
+        size = max(1, BATCH_NUMBERS // n)
+        for at in range(0, len(sources), size):
+            total += shortest_path_shares(start, near, sources[at : at + size])
         scale = 1 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-        return pd.DataFrame({"graph": pdf["graph"].iat[0], "node": np.array(g.labels, dtype=np.int64), "score": [total[i] * scale for i in range(n)]})
+        return pd.DataFrame({"graph": pdf["graph"].iat[0], "node": names, "score": total * scale})
 
-    both = nodes.select("graph", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "ord").unionByName(
-        edges.join(nodes.select("graph", F.col("node").alias("u"), "ord"), ["graph", "u"]).select("graph", "u", "v", "ord")
-    )
-    spread = both.withColumn("block", F.explode(F.array(*[F.lit(b) for b in range(blocks)])))
-    part = spread.groupBy("graph", "block").applyInPandas(kernel, "graph string, node bigint, score double")
-    return part.groupBy("graph", "node").agg(F.sum("score").alias("score"))
+    spread = edges.select("graph", "u", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    part = spread.groupBy("graph", "block").applyInPandas(kernel, "graph string, node bigint, score double").groupBy("graph", "node").agg(F.sum("score").alias("score"))
+    return nodes.select("graph", "node").join(part, ["graph", "node"], "left").select("graph", "node", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -80,14 +80,32 @@ def bridge_counts(edges: DataFrame) -> DataFrame:
     return adjacency(local_bridges(edges)).groupBy("graph", F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("bridges"))
 
 
-def sphere(edges: DataFrame, radius: int) -> DataFrame:
+#: Neighbours of a middle node that one cell of a two-step join takes on either side.
+CELL = 1000
+
+
+def two_steps(ring: DataFrame, step: DataFrame, cell: int = CELL) -> DataFrame:
+    """(graph, node, next): ring(graph, node, other) followed by an arc step(graph, src, dst) from ``other``.
+
+    Both sides of a middle node of more than ``cell`` arcs are cut into blocks and meet cell by cell, so that no task
+    makes the square of a hub's degree.
+    """
+    out_ = step.groupBy("graph", "src").agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > cell)
+    large = out_.select("graph", F.col("src").alias("other"), F.ceil(F.col("_d") / cell).cast("int").alias("_k"))
+    left = spread(ring, "graph", "node").join(large, ["graph", "other"], "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    left = left.select("graph", "node", "other", F.pmod(F.xxhash64("node"), "_k").cast("int").alias("_a"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_b"))
+    right = step.select("graph", F.col("src").alias("other"), F.col("dst").alias("next")).join(large, ["graph", "other"], "left").withColumn("_k", F.coalesce("_k", F.lit(1)))
+    right = right.select("graph", "other", "next", F.pmod(F.xxhash64("next"), "_k").cast("int").alias("_b"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_a"))
+    return left.join(right, ["graph", "other", "_a", "_b"]).select("graph", "node", "next")
+
+
+def sphere(edges: DataFrame, radius: int, cell: int = CELL) -> DataFrame:
     """(graph, node, other) at a shortest distance of exactly ``radius`` (1 or more)."""
     step = adjacency(edges)
     ring = step.select("graph", F.col("src").alias("node"), F.col("dst").alias("other"))
     seen = ring
     for _ in range(radius - 1):
-        far = spread(ring, "graph", "node").join(step.select("graph", F.col("src").alias("other"), F.col("dst").alias("next")), ["graph", "other"])
-        far = far.where(F.col("node") != F.col("next")).select("graph", "node", F.col("next").alias("other")).distinct()
+        far = two_steps(ring, step, cell).where(F.col("node") != F.col("next")).select("graph", "node", F.col("next").alias("other")).distinct()
         ring = far.join(seen, ["graph", "node", "other"], "left_anti")
         seen = seen.unionByName(ring)
     return ring
@@ -132,6 +150,14 @@ def chained(members: DataFrame) -> DataFrame:
 
 
 def sampled_edges(edges: DataFrame, most: int, seed: int = 0) -> DataFrame:
-    """At most ``most`` edges of each graph, drawn evenly by a seeded hash: a sampling operator, for drawings."""
-    drawn = F.row_number().over(Window.partitionBy("graph").orderBy(F.xxhash64("u", "v", F.lit(seed)), "u", "v"))
-    return edges.withColumn("_n", drawn).where(F.col("_n") <= most).drop("_n")
+    """At most ``most`` edges of each graph, drawn evenly by a seeded hash: a sampling operator, for drawings.
+
+    Only edges whose hash is below about twice the share wanted are ordered; of a graph in which these are too few all are.
+    """
+    drawn = edges.withColumn("_h", F.pmod(F.xxhash64("u", "v", F.lit(seed)), F.lit(1 << 52)) / float(1 << 52))
+    sizes = edges.groupBy("graph").agg(F.count(F.lit(1)).alias("_m"))
+    some = drawn.join(sizes, "graph").withColumn("_low", F.col("_h") * F.col("_m") < 2 * most + 100)
+    short = some.groupBy("graph").agg((F.sum(F.col("_low").cast("int")) < F.least(F.lit(most), F.first("_m"))).alias("_all"))
+    rows = some.join(short, "graph").where(F.col("_low") | F.col("_all"))
+    place = F.row_number().over(Window.partitionBy("graph").orderBy("_h", "u", "v"))
+    return rows.withColumn("_n", place).where(F.col("_n") <= most).select("graph", "u", "v")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shatterlens.operators import adaptive, fragmentation as fr, static_orders as so, topology as tp
+from shatterlens.operators import adaptive, fragmentation as fr, rounds, static_orders as so, topology as tp
 from shatterlens.operators.components import connected_components
 from shatterlens.scratch import Scratch
 from shatterlens.sources import graphs
@@ -103,12 +103,12 @@ def graph_user_successors(spark, d):
 
 def graph_core_numbers(spark, d):
     edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d)))
-    return adaptive.node_values(edges, graphs.nodes_of(edges), "core").withColumnRenamed("value", "core")
+    return rounds.core_numbers(edges).withColumnRenamed("value", "core")
 
 
 def graph_communities(spark, d):
     edges = local_edges(spark, d)
-    return adaptive.node_values(edges, graphs.nodes_of(edges), "community").withColumnRenamed("value", "community")
+    return rounds.communities(edges).withColumnRenamed("value", "community")
 
 
 def _static(name: str, scores: Callable[[DataFrame], DataFrame], edges_of=local_edges):
@@ -130,7 +130,7 @@ def order_core(spark, d):
     """By core number, then degree, then the largest label."""
     edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d)))
     nodes = graphs.nodes_of(edges)
-    scores = adaptive.node_values(edges, nodes, "core").withColumnRenamed("value", "score").join(tp.degrees(edges), ["graph", "node"])
+    scores = rounds.core_numbers(edges).withColumnRenamed("value", "score").join(tp.degrees(edges), ["graph", "node"])
     return so.score_order(nodes, scores, "core", [F.desc("degree"), F.desc("node")])
 
 
@@ -138,7 +138,7 @@ def _by_community(kind: str):
     def query(spark, d):
         edges = local_edges(spark, d)
         nodes = graphs.nodes_of(edges)
-        parts = adaptive.node_values(edges, nodes, "community").withColumnRenamed("value", "community")
+        parts = rounds.communities(edges).withColumnRenamed("value", "community")
         return so.score_order(nodes, so.neighbour_distance(edges, kind, parts), kind)
 
     query.__doc__ = f"Removal order by {kind}, which counts shared communities."
@@ -184,8 +184,8 @@ def order_proxies(spark, d):
 
 
 def order_highest_degree(spark, d):
-    """The three tie rules of highest residual degree on trading nations and the customer-supplier graph."""
-    return _with_methods(spark, d, "hda_original", "hda_fast", "hda_number")
+    """The tie rules of highest residual degree, and the blend of degrees alone, on trading nations and the customer-supplier graph."""
+    return _with_methods(spark, d, "hda_original", "hda_fast", "hda_number", "blend_root")
 
 
 def order_core_first(spark, d):
@@ -402,7 +402,7 @@ _SUMMARY = ["r", *[f"{a}_{c}" for a in ("final", "early") for c in ("gcc", "ncc"
 
 
 _LEFT = f", o AS ({_DEGREE_ORDER}), sizes AS (SELECT graph, count(*) AS n FROM deg GROUP BY graph), gone AS (SELECT graph, node FROM o JOIN sizes USING (graph) WHERE step <= greatest(1, least(n, round_even(CAST(n AS DOUBLE) * {{rate}}, 0)))), rest AS (SELECT graph, u, v FROM edges e ANTI JOIN gone x ON x.graph = e.graph AND x.node = e.u ANTI JOIN gone y ON y.graph = e.graph AND y.node = e.v) "
-_TIES = (("hda_original", "CAST(node AS VARCHAR) DESC"), ("hda_fast", "CAST(node AS VARCHAR)"), ("hda_number", "node DESC"))
+_TIES = (("hda_original", "CAST(node AS VARCHAR) DESC"), ("hda_fast", "CAST(node AS VARCHAR)"), ("hda_number", "node DESC"), ("blend_root", "node"))
 _BUDGETS = ", cap AS (SELECT graph, CAST(greatest(1, least(count(*), round_even(CAST(count(*) AS DOUBLE) * 0.3, 0))) AS INTEGER) AS most FROM deg GROUP BY graph)"
 
 
@@ -448,6 +448,17 @@ def _core_first() -> str:
     )
 
 
+#: p: labels of every node, round by round, with the one that it wishes for; com_of: those of the last round.
+_LABELS = (
+    ", p AS (SELECT graph, node, node AS label, 0 AS turn, true AS moving FROM deg UNION ALL ("
+    "WITH votes AS (SELECT a.graph, a.src AS node, x.label AS vote, count(*) AS n FROM adj a JOIN p x ON x.graph = a.graph AND x.node = a.dst GROUP BY ALL), "
+    "best AS (SELECT v.graph, v.node, arg_max(v.vote, (v.n, v.vote)) AS vote, max(v.n) AS n, coalesce(max(v.n) FILTER (WHERE v.vote = x.label), 0) AS own FROM votes v JOIN p x ON x.graph = v.graph AND x.node = v.node GROUP BY ALL), "
+    "wish AS (SELECT graph, bool_or(n > own) AS moving FROM best GROUP BY graph) "
+    "SELECT x.graph, x.node, CASE WHEN b.n > b.own AND CAST('0x' || left(md5(x.node || '|' || x.turn), 1) AS INTEGER) % 2 = 0 THEN b.vote ELSE x.label END, x.turn + 1, w.moving "
+    "FROM p x JOIN best b ON b.graph = x.graph AND b.node = x.node JOIN wish w ON w.graph = x.graph WHERE x.moving)), "
+    "com_of AS (SELECT graph, node, label FROM p WHERE NOT moving) "
+)
+_DISTANCES = "WITH near AS (SELECT d.graph, d.node, d.degree - e.common AS lack, d.degree + o.degree - e.common AS both_size, x.label = y.label AS same FROM deg d JOIN (SELECT graph, u AS node, v AS other, common FROM com UNION ALL SELECT graph, v, u, common FROM com) e USING (graph, node) JOIN deg o ON o.graph = e.graph AND o.node = e.other JOIN com_of x ON x.graph = d.graph AND x.node = d.node JOIN com_of y ON y.graph = d.graph AND y.node = e.other) "
 #: k: nodes not yet peeled with their degrees; a round takes all up to the level away, or else raises the level.
 _CORES = (
     ", k AS (SELECT graph, node, degree, CAST(0 AS BIGINT) AS level, false AS gone FROM deg UNION ALL ("
@@ -491,7 +502,11 @@ ORACLES = {
     "order_neighbour_distance": _LOCAL + _order("ndc", "SELECT d.graph, d.node, CAST(sum(d.degree - common) AS DOUBLE) / count(*) AS score FROM deg d JOIN (SELECT graph, u AS node, common FROM com UNION ALL SELECT graph, v, common FROM com) USING (graph, node) GROUP BY d.graph, d.node"),
     "order_highest_degree": _highest_degree(),
     "order_core_first": _core_first(),
+    "order_timed": _over(_TRADE) + "SELECT 'trade' AS graph, 'hda_fast' AS method, CAST(count(*) AS INTEGER) AS steps, NULL AS error FROM deg UNION ALL SELECT 'trade', 'broken', 0, 'ZeroDivisionError: integer division or modulo by zero'",
     "graph_core_numbers": _over(_TRADE, _SUPPLY) + _CORES + "SELECT * FROM core",
+    "graph_communities": _LOCAL + _LABELS + "SELECT graph, node, label AS community FROM com_of",
+    "order_ncdc": _LOCAL + _LABELS + _order("ncdc", _DISTANCES + "SELECT graph, node, avg(lack * CASE WHEN same THEN 0.5 ELSE 1.0 END) AS score FROM near GROUP BY ALL"),
+    "order_ndjc": _LOCAL + _LABELS + _order("ndjc", _DISTANCES + "SELECT graph, node, avg(lack * CASE WHEN same THEN 0.5 ELSE 1.0 END / both_size) AS score FROM near GROUP BY ALL"),
     "order_core": _over(_TRADE, _SUPPLY) + _CORES + "SELECT graph, 'core' AS method, CAST(row_number() OVER (PARTITION BY graph ORDER BY core DESC, degree DESC, node DESC) AS INTEGER) AS step, node FROM core JOIN deg USING (graph, node)",
     "order_betweenness": _over(_TRADE, _SUPPLY) + _BETWEEN + _order("betweenness", "SELECT * FROM between"),
     "order_completed": _ON_SUPPLY + ", listed AS (SELECT node, min(node % 97) AS at FROM deg WHERE degree >= 3 GROUP BY node) SELECT 'supply' AS graph, 'listed' AS method, CAST(row_number() OVER (ORDER BY l.node IS NULL, l.at, d.node) AS INTEGER) AS step, d.node FROM deg d LEFT JOIN listed l ON l.node = d.node",

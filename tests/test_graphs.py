@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shatterlens.operators import adaptive, fragmentation as fr, static_orders as so, topology as tp
+from shatterlens.operators import adaptive, fragmentation as fr, rounds, static_orders as so, topology as tp
 from shatterlens.sources import graphs
 
 SMOKE = [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (2, 6), (6, 7), (7, 8), (8, 9), (1, 9), (5, 10), (10, 11)]
@@ -152,8 +152,58 @@ def test_core_numbers_and_communities():
     g = adaptive.Graph(range(7), [(0, 1), (1, 2), (0, 2), (2, 3), (3, 4), (4, 5), (5, 3)])
     assert adaptive.core_numbers(g) == [2, 2, 2, 2, 2, 2, 0]
     cliques = [(a, b) for lo in (0, 5) for a in range(lo, lo + 5) for b in range(a + 1, lo + 5)]
-    label = adaptive.communities(adaptive.Graph(range(11), [*cliques, (4, 5)]))
-    assert len(set(label[:5])) == len(set(label[5:10])) == 1 and label[0] != label[9] and label[10] == 10
+    near = {i: [] for i in range(11)}
+    for x, y in [*cliques, (4, 5)]:
+        near[x].append(y)
+        near[y].append(x)
+    label = rounds.propagate(near)
+    assert len({label[i] for i in range(5)}) == len({label[i] for i in range(5, 10)}) == 1 and label[0] != label[9] and label[10] == 10
+
+
+def test_rounds_of_joins_equal_the_kernels(spark):
+    rng = random.Random(6)
+    pairs = {g: {tuple(sorted(rng.sample(range(n), 2))) for _ in range(3 * n)} for g, n in (("a", 40), ("b", 90))}
+    edges = graphs.simple_edges(spark.createDataFrame([(g, u, v) for g, es in pairs.items() for u, v in es], "graph string, u bigint, v bigint"))
+    for of in (rounds.core_numbers, rounds.communities):
+        here, far = (sorted(map(tuple, of(edges, local_edges=limit).collect())) for limit in (10_000, 150))
+        assert here == far
+    core = {(r.graph, r.node): r.value for r in rounds.core_numbers(edges).collect()}
+    for g, es in pairs.items():
+        labels = sorted({x for e in es for x in e})
+        assert [core[g, x] for x in labels] == adaptive.core_numbers(adaptive.Graph(labels, es))
+
+
+def test_no_labels_are_better_at_the_end(spark):
+    rng = random.Random(7)
+    for n in (30, 200):
+        near = {i: set() for i in range(n)}
+        for _ in range(2 * n):
+            x, y = rng.sample(range(n), 2)
+            near[x].add(y)
+            near[y].add(x)
+        label = rounds.propagate({i: sorted(js) for i, js in near.items()})
+        for i, js in near.items():
+            votes = [label[j] for j in js]
+            assert all(votes.count(x) <= votes.count(label[i]) for x in votes)
+
+
+def test_betweenness_in_batches_equals_walking(spark, monkeypatch):
+    rng = random.Random(8)
+    pairs = {tuple(sorted(rng.sample(range(60), 2))) for _ in range(110)}
+    edges = graphs.simple_edges(spark.createDataFrame([("g", u, v) for u, v in pairs], "graph string, u bigint, v bigint"))
+    nodes = graphs.nodes_of(edges)
+    labels = sorted({x for p in pairs for x in p})
+    total = adaptive.brandes(adaptive.Graph(labels, pairs).sets(), range(len(labels)), range(len(labels)))
+    scale = (len(labels) - 1) * (len(labels) - 2)
+    got = {r.node: r.score for r in adaptive.betweenness(edges, nodes, blocks=3).collect()}
+    assert got == pytest.approx({x: total[i] / scale for i, x in enumerate(labels)})
+
+
+def test_hubs_are_cut_into_cells(spark):
+    star = [(0, i) for i in range(1, 60)] + [(i, i + 1) for i in range(1, 59, 2)]
+    edges = graphs.simple_edges(spark.createDataFrame([("g", u, v) for u, v in star], "graph string, u bigint, v bigint"))
+    whole, cells = (sorted(map(tuple, tp.sphere(edges, 2, cell).collect())) for cell in (1000, 7))
+    assert whole == cells and len(whole) > 3000
 
 
 def test_betweenness_of_a_path(spark):
