@@ -151,87 +151,186 @@ def _component(near: list[set[int]], start: int) -> set[int]:
     return seen
 
 
-def _by_component(g: Graph, steps: int, choose: Callable[[list[set[int]], set[int]], int]) -> list[int]:
-    """Remove what ``choose`` picks in the largest component (of equal ones the one with the larger least label), again and again."""
-    near = g.sets()
-    label = g.labels
-    left = set(range(len(near)))
-    heap: list[tuple[int, int, int]] = []
-    parts: list[set[int]] = []
-
-    def add(nodes: Iterable[int]) -> None:
-        rest = set(nodes)
-        while rest:
-            part = _component(near, next(iter(rest)))
-            rest -= part
-            parts.append(part)
-            heapq.heappush(heap, (-len(part), -min(label[i] for i in part), len(parts) - 1))
-
-    add(left)
-    out: list[int] = []
-    while heap and len(out) < steps:
-        part = parts[heapq.heappop(heap)[2]]
-        i = choose(near, part)
-        out.append(i)
-        for j in near[i]:
+class _Parts:
+    """The components of a shrinking graph: part of each node, size and least label of each part.
+
+    When a node goes, searches start from its neighbours in turn and join where they meet; once one is left, the
+    others that ran out are the new parts. So a step costs about the size of what breaks off.
+    """
+
+    def __init__(self, g: Graph):
+        self.near, self.label = g.sets(), g.labels
+        self.part_of = [-1] * len(self.near)
+        self.size: list[int] = []
+        self.labels: list[list[tuple[int, int]]] = []  # heaps of (label, node)
+        self.largest: list[tuple[int, int, int]] = []  # heap of (-size, -least label, part)
+        for i in range(len(self.near)):
+            if self.part_of[i] < 0:
+                self._add(list(_component(self.near, i)))
+
+    def _add(self, nodes: list[int]) -> int:
+        part = len(self.size)
+        for i in nodes:
+            self.part_of[i] = part
+        self.size.append(len(nodes))
+        self.labels.append(sorted((self.label[i], i) for i in nodes))
+        self._rank(part)
+        return part
+
+    def _rank(self, part: int) -> None:
+        if self.size[part]:
+            heapq.heappush(self.largest, (-self.size[part], -self.first(part)[0], part))
+
+    def first(self, part: int) -> tuple[int, int]:
+        """Least label of a part, and its node."""
+        heap = self.labels[part]
+        while self.part_of[heap[0][1]] != part:
+            heapq.heappop(heap)
+        return heap[0]
+
+    def top(self) -> int:
+        """The largest part; of equal ones the one with the larger least label; -1 without nodes."""
+        while self.largest:
+            size, least, part = self.largest[0]
+            if -size == self.size[part] and -least == self.first(part)[0]:
+                return part
+            heapq.heappop(self.largest)
+        return -1
+
+    def remove(self, i: int) -> list[int]:
+        """Take a node out; the new parts."""
+        part, near = self.part_of[i], self.near
+        ends = list(near[i])
+        for j in ends:
             near[j].discard(i)
         near[i] = set()
-        part.discard(i)
-        add(part)
-    return out
+        self.part_of[i] = -1
+        self.size[part] -= 1
+        new = []
+        for nodes in self._pieces(ends):
+            self.size[part] -= len(nodes)
+            new.append(self._add(nodes))
+        self._rank(part)
+        return new
+
+    def _pieces(self, ends: list[int]) -> list[list[int]]:
+        """Nodes of all pieces that hold one of ``ends``, but for one piece that may be the rest."""
+        near = self.near
+        found = {j: k for k, j in enumerate(ends)}
+        above = list(range(len(ends)))
+        nodes = [[j] for j in ends]
+        queue = [deque([j]) for j in ends]
+        active, done = list(range(len(ends))), []
+
+        def root(k: int) -> int:
+            while above[k] != k:
+                above[k] = above[above[k]]
+                k = above[k]
+            return k
+
+        while len(active) > 1:
+            for k in active:
+                if above[k] != k:
+                    continue
+                if not queue[k]:
+                    done.append(nodes[k])
+                    above[k] = -1
+                    break
+                me = k
+                for j in near[queue[k].popleft()]:
+                    other = found.get(j)
+                    if other is None:
+                        found[j] = me
+                        nodes[me].append(j)
+                        queue[me].append(j)
+                    elif (other := root(other)) != me:
+                        if len(nodes[other]) > len(nodes[me]):
+                            me, other = other, me
+                        above[other] = me
+                        nodes[me] += nodes[other]
+                        queue[me] += queue[other]
+                        nodes[other], queue[other] = [], deque()
+            active = [k for k in active if above[k] == k]
+        return done
 
 
 def decycling(g: Graph, steps: int) -> list[int]:
     """Highest degree within the 2-core of the largest component, or within it if it is a tree; largest label wins."""
-
-    def choose(near: list[set[int]], part: set[int]) -> int:
-        degree = {i: len(near[i]) for i in part}
-        todo = [i for i, d in degree.items() if d < 2]
-        core = set(part)
-        while todo:
-            i = todo.pop()
-            if i in core:
-                core.discard(i)
-                for j in near[i]:
-                    if j in core:
-                        degree[j] -= 1
-                        if degree[j] < 2:
-                            todo.append(j)
-        pool = core or part
-        return max(pool, key=lambda i: (degree[i] if core else len(near[i]), g.labels[i]))
-
-    return _by_component(g, steps, choose)
+    parts = _Parts(g)
+    near, label, part_of = parts.near, parts.label, parts.part_of
+    core = _Core(near)
+    inner: list[list[tuple[int, int, int]]] = []  # of each part: heaps of (-degree, -label, node) within the core and in all
+    outer: list[list[tuple[int, int, int]]] = []
+
+    def open_part(nodes: Iterable[int]) -> None:
+        inner.append(sorted((-core.degree[i], -label[i], i) for i in nodes if core.member[i]))
+        outer.append(sorted((-len(near[i]), -label[i], i) for i in nodes))
+
+    members: dict[int, list[int]] = {}
+    for i, part in enumerate(part_of):
+        members.setdefault(part, []).append(i)
+    for part in range(len(parts.size)):
+        open_part(members[part])
+    out: list[int] = []
+    while len(out) < steps and (part := parts.top()) >= 0:
+        heap = inner[part]
+        while heap and not (core.member[heap[0][2]] and part_of[heap[0][2]] == part and -heap[0][0] == core.degree[heap[0][2]]):
+            heapq.heappop(heap)
+        if not heap:
+            heap = outer[part]
+            while part_of[heap[0][2]] != part or -heap[0][0] != len(near[heap[0][2]]):
+                heapq.heappop(heap)
+        i = heap[0][2]
+        out.append(i)
+        lost, hit = list(near[i]), core.drop(i)
+        for new in parts.remove(i):
+            open_part([j for _, j in parts.labels[new]])
+        for j in core.peel(list(hit)) | {j for j in hit if core.member[j]}:
+            heapq.heappush(inner[part_of[j]], (-core.degree[j], -label[j], j))
+        for j in lost:
+            heapq.heappush(outer[part_of[j]], (-len(near[j]), -label[j], j))
+    return out
 
 
-def split_sizes(near: list[set[int]], part: set[int]) -> dict[int, int]:
+def split_sizes(near: list[set[int]], part: Iterable[int]) -> dict[int, int]:
     """Largest piece left by each articulation point of a connected part: one depth-first walk."""
     root = next(iter(part))
-    entry, low, size, cut, worst = {root: 0}, {root: 0}, {root: 1}, {}, {}
-    stack = [(root, None, iter(near[root]))]
-    branches = 0
+    n = len(near)
+    entry, low, size, cut, worst = [0] * n, [0] * n, [1] * n, [0] * n, [0] * n
+    entry[root] = low[root] = clock = 1
+    stack, above, walks = [root], [-1] * n, [iter(near[root])]
+    branches, points = 0, []
     while stack:
-        i, above, rest = stack[-1]
-        for j in rest:
-            if j not in entry:
-                entry[j] = low[j] = len(entry)
-                size[j] = 1
-                stack.append((j, i, iter(near[j])))
+        i = stack[-1]
+        up, least = above[i], low[i]
+        for j in walks[-1]:
+            seen = entry[j]
+            if not seen:
+                clock += 1
+                entry[j] = low[j] = clock
+                above[j] = i
+                low[i] = least
+                stack.append(j)
+                walks.append(iter(near[j]))
                 break
-            if j != above:
-                low[i] = min(low[i], entry[j])
+            if seen < least and j != up:
+                least = seen
         else:
+            low[i] = least
             stack.pop()
-            if above is None:
+            walks.pop()
+            if up < 0:
                 break
-            low[above] = min(low[above], low[i])
-            size[above] += size[i]
-            if above == root:
-                branches += 1
-            if low[i] >= entry[above]:
-                cut[above] = cut.get(above, 0) + size[i]
-                worst[above] = max(worst.get(above, 0), size[i])
-    n = len(part)
-    return {i: max(worst[i], n - 1 - cut[i]) for i in cut if i != root or branches > 1}
+            if least < low[up]:
+                low[up] = least
+            size[up] += size[i]
+            branches += up == root
+            if least >= entry[up]:
+                if not worst[up]:
+                    points.append(up)
+                cut[up] += size[i]
+                worst[up] = max(worst[up], size[i])
+    return {i: max(worst[i], clock - 1 - cut[i]) for i in points if i != root or branches > 1}
 
 
 def brandes(near: list[set[int]], sources: Iterable[int], nodes: Iterable[int]) -> dict[int, float]:
@@ -261,17 +360,21 @@ def brandes(near: list[set[int]], sources: Iterable[int], nodes: Iterable[int])
 
 def articulation_first(g: Graph, steps: int) -> list[int]:
     """The articulation point of the largest component that leaves the smallest largest piece; highest betweenness where there is none. Smallest label wins."""
-
-    def choose(near: list[set[int]], part: set[int]) -> int:
-        if len(part) == 1:
-            return next(iter(part))
-        pieces = split_sizes(near, part)
+    parts = _Parts(g)
+    near, label = parts.near, parts.label
+    out: list[int] = []
+    while len(out) < steps and (part := parts.top()) >= 0:
+        start = parts.first(part)[1]
+        pieces = split_sizes(near, [start]) if parts.size[part] > 1 else {start: 0}
         if pieces:
-            return min(pieces, key=lambda i: (pieces[i], g.labels[i]))
-        between = brandes(near, part, part)
-        return min(part, key=lambda i: (-round(between[i], 9), g.labels[i]))
-
-    return _by_component(g, steps, choose)
+            i = min(pieces, key=lambda i: (pieces[i], label[i]))
+        else:
+            nodes = _component(near, start)
+            between = brandes(near, nodes, nodes)
+            i = min(nodes, key=lambda i: (-round(between[i], 9), label[i]))
+        out.append(i)
+        parts.remove(i)
+    return out
 
 
 def core_numbers(g: Graph) -> list[int]:
