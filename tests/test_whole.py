@@ -105,4 +105,4 @@ def test_highest_degree_orders_are_whole(spark, supply):
             assert i == pick((x for x in left if degree[x] == most), key=str), name
             left.discard(i)
     trade = got.where("graph = 'trade'").groupBy("method").count().collect()
-    assert {r["method"]: r["count"] > 8 for r in trade} == dict.fromkeys(("hda_original", "hda_fast", "hda_number"), True)
+    assert {r["method"]: r["count"] > 8 for r in trade} == dict.fromkeys(("hda_original", "hda_fast", "hda_number", "blend_root"), True)
