@@ -187,38 +187,46 @@ def repeated_shares(pieces: list[list[str]]) -> list[float]:
     return out
 
 
-def list_share(text: str | None, few: int | None = None) -> float:
+def list_share(text: str | None, few: int | None = None, least: float | None = None) -> float:
     """Share of a page's characters (line breaks aside) in lines of list shapes, all or the ``few`` commonest ones.
 
     Lines are cut at sentence ends first, as lists can follow a sentence on its line. A run of words that comes
-    again whole is judged with its first place, or is a list if it has no end mark and comes four times.
+    again whole is judged with its first place, or is a list if it has no end mark and comes four times. With
+    ``least`` a page is given up, with share 0, as soon as more than 1 - ``least`` of it is surely no list.
     """
     if not text:
         return 0.0
-    total = 0
+    lines = text.splitlines()
+    total = sum(map(len, lines))
+    enough = total + 1 if least is None else (1 - least) * total
     groups: Counter = Counter()
     phrases: list[str] = []
-    verdict: dict[str, list] = {}  # run of words: characters, times
+    verdict: dict[str, list] = {}  # run of words: characters, times, whether it is a list (None: open)
     block: list[list[str]] = []
     held: list[str] = []
-    size = 0
+    size = sure = 0
 
     def close() -> None:
-        nonlocal size
+        nonlocal size, sure
         for piece, share in zip(held, repeated_shares(block)):
-            verdict[piece][2] = share >= REPEATED
+            entry = verdict[piece]
+            entry[2] = share >= REPEATED
+            if not entry[2] and piece[-1] in ".!?":
+                sure += entry[0]
         block.clear()
         held.clear()
         size = 0
 
     def words_of(piece: str, words: list[str]) -> None:
-        nonlocal size
+        nonlocal size, sure
         known = verdict.get(piece)
         if known:
             known[0] += len(piece)
             known[1] += 1
+            if known[2] is False and piece[-1] in ".!?":
+                sure += len(piece)
             return
-        verdict[piece] = [len(piece), 1, False]
+        verdict[piece] = [len(piece), 1, None]
         block.append(words)
         held.append(piece)
         size += len(words)
@@ -226,15 +234,16 @@ def list_share(text: str | None, few: int | None = None) -> float:
             close()
 
     fenced = False
-    for line in text.splitlines():
+    for line in lines:
         if not line:
             continue
-        total += len(line)
         if line.lstrip().startswith(("```", "~~~")):
             fenced = not fenced
             continue
         if size > BLOCK_WORDS // 2:
             close()
+        if sure > enough:
+            return 0.0
         plain = _PLAIN.fullmatch(line)
         for piece in pieces_of(line):
             if plain and piece.count(",") < FIELDS - 1 and " - " not in piece:
@@ -245,10 +254,12 @@ def list_share(text: str | None, few: int | None = None) -> float:
             kind = line_kind(piece)
             if kind == LIST:
                 groups[line_shape(piece, kind)] += len(piece)
-            elif kind == PHRASE and not fenced:
-                phrases.append(piece)
             elif kind == WORDS:
                 words_of(piece, _PART.findall(piece.lower()))
+            elif kind == PHRASE and not fenced:
+                phrases.append(piece)
+            else:
+                sure += len(piece)
     close()
     for piece, (chars, times, yes) in verdict.items():
         if yes or times >= PHRASE_LINES and not _STOP.search(piece):
@@ -268,7 +279,7 @@ def list_pages(documents: DataFrame, id_column: str = "doc_id", text_column: str
 
     def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = pdf["text"].map(list_share)
+            found = pdf["text"].map(lambda t: list_share(t, least=share))
             yield pd.DataFrame({"id": pdf["id"], "list_share": found})[found > share]
 
     slim = documents.select(documents[id_column].alias("id"), documents[text_column].alias("text"))

@@ -81,3 +81,13 @@ def test_lists_of_many_shapes_count_whole():
     page = "\n".join(rows)
     assert len({pages.line_shape(x, pages.line_kind(x)) for x in rows if pages.line_kind(x) == pages.LIST}) > 12
     assert pages.list_share(page) == 1 > pages.list_share(page, 12)
+
+
+def test_giving_up_early_changes_no_verdict():
+    texts = [*SPAM.values(), *SOUND.values()]
+    for a in texts:
+        for b in texts:
+            for page in (f"{a}\n{b}", f"{a}\n{b}\n{b}", f"{a} {a}\n\n{b}"):
+                share = list_share(page)
+                early = list_share(page, least=0.5)
+                assert early == share if share > 0.5 else early <= 0.5
