@@ -203,8 +203,17 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+#: Greatest number of references of a gate, which are broadcast.
+MOST_REFERENCES = 1000
+
+
 def gate(rows: DataFrame, references: DataFrame) -> DataFrame:
-    """rows x references (a handful): three checks that may be unknown, and ``passes``: some are known and all known ones hold."""
+    """rows x references: three checks that may be unknown, and ``passes``: some are known and all known ones hold.
+
+    A gate has a handful of references; ValueError for more than MOST_REFERENCES.
+    """
+    if references.limit(MOST_REFERENCES + 1).count() > MOST_REFERENCES:
+        raise ValueError(f"more than {MOST_REFERENCES} references")
     pairs = rows.crossJoin(F.broadcast(references))
     checks = {"auc_ok": F.col("mean_auc_cnbi") >= F.col("ref_auc_cnbi"), "r_ok": F.col("mean_r") <= F.col("ref_r"), "time_ok": F.col("mean_time_s") <= F.col("ref_time_s")}
     out = pairs.withColumns(checks)

@@ -25,16 +25,25 @@ def windowed(log: DataFrame, time: str, key: str, late: str = "1 hour", width: s
     return out.select(F.col("w.start").alias("start"), key, "rows")
 
 
-def credit_stream(rewards: DataFrame, key: str, keep: float = 0.82) -> DataFrame:
-    """(key, credit, n) after each batch: an exponential moving credit held as state."""
+def credit_stream(rewards: DataFrame, key: str, keep: float = 0.82, idle: str | None = None) -> DataFrame:
+    """(key, credit, n) after each batch: an exponential moving credit held as state.
+
+    The state of a key that has had no rewards for ``idle`` (a time such as "7 days"; None keeps all) is dropped, with its last row.
+    """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         credit, n = state.get if state.exists else (0.0, 0)
-        for pdf in batches:
-            for reward in pdf.sort_values("idx")["reward"]:
-                credit, n = keep * credit + (1 - keep) * reward, n + 1
-        state.update((credit, n))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            for pdf in batches:
+                for reward in pdf.sort_values("idx")["reward"]:
+                    credit, n = keep * credit + (1 - keep) * reward, n + 1
+            state.update((credit, n))
+            if idle:
+                state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
         yield pd.DataFrame({key: [name[0]], "credit": [credit], "n": [n]})
 
     schema = f"{key} string, credit double, n bigint"
-    return rewards.groupBy(key).applyInPandasWithState(step, schema, "credit double, n bigint", "update", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return rewards.groupBy(key).applyInPandasWithState(step, schema, "credit double, n bigint", "update", timeout)
