@@ -32,6 +32,8 @@ MAX_DISTANCE = 92
 LOCAL_ROWS = 20_000
 #: Pairs that are compared at a time, and rows of a bucket that one task holds.
 BLOCK, BUCKET_ROWS = 1 << 20, 5_000
+#: Sets that one is compared with at a time.
+PARTNERS = 4_096
 SHINGLE, LEAST_WORDS, SIMILARITY = 3, 20, 0.7
 
 _WORD = re.compile(r"[a-z0-9_]+")
@@ -102,6 +104,9 @@ def _close(prints: np.ndarray, radius_flips: np.ndarray = _FLIPS) -> Iterator[np
                 j = order[start[near[i]] + offset]
                 keep = i < j
                 i, j = i[keep], j[keep]
+                if s:  # most of what comes again came with the first segment
+                    keep = np.bitwise_count(keys[i, 0] ^ keys[j, 0]) > 1
+                    i, j = i[keep], j[keep]
                 keep = np.bitwise_count(words[i] ^ words[j]).sum(axis=1, dtype=np.int64) <= MAX_DISTANCE
                 i, j = i[keep], j[keep]
                 if s and len(i):
@@ -117,6 +122,40 @@ def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
 
 
+class _Shared:
+    """Sizes of intersections of one set with many, over items numbered within a family."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.start = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        names, self.items = np.unique(np.concatenate(sets), return_inverse=True)
+        self.mark = np.zeros(len(names), dtype=bool)
+
+    def counts(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Items that set ``i`` shares with each of ``others``; no set is empty."""
+        own = self.items[self.start[i] : self.start[i + 1]]
+        self.mark[own] = True
+        size = self.start[others + 1] - self.start[others]
+        upto = np.cumsum(size)
+        at = np.arange(upto[-1]) + np.repeat(self.start[others] - (upto - size), size)
+        out = np.add.reduceat(self.mark[self.items[at]], upto - size, dtype=np.int64)
+        self.mark[own] = False
+        return out
+
+    def similar(self, pairs: np.ndarray, similarity: float) -> np.ndarray:
+        """The pairs, sorted by their first set, whose Jaccard similarity is at least ``similarity``."""
+        size = np.diff(self.start)
+        low, high = np.minimum(*size[pairs].T), np.maximum(*size[pairs].T)
+        pairs = pairs[low >= similarity * high - 1e-9]
+        good = []
+        for own in np.split(pairs, np.flatnonzero(np.diff(pairs[:, 0])) + 1) if len(pairs) else ():
+            for at in range(0, len(own), PARTNERS):
+                i, j = own[0, 0], own[at : at + PARTNERS, 1]
+                shared = self.counts(i, j)
+                keep = shared >= similarity * (size[i] + size[j] - shared) - 1e-9
+                good.append(own[at : at + PARTNERS][keep])
+        return np.concatenate(good) if good else pairs
+
+
 def _class_name(ids: pd.Series, items: bytes) -> str:
     """Name of a class of equal sets: its least id, NUL, a hash of the set."""
     return f"{ids.min()}\0{xxhash.xxh64_hexdigest(items)}"
@@ -138,13 +177,11 @@ def _family_links(similarity: float):
         if len(sets) < 2:
             return
         prints = np.stack([np.frombuffer(fingerprint(x), dtype=np.uint8) for x in sets])
-        size, named = np.array([len(x) for x in sets]), np.array(names, dtype=object)
+        named, shared = np.array(names, dtype=object), _Shared(sets)
         for pairs in _close(prints):
-            low, high = np.minimum(*size[pairs].T), np.maximum(*size[pairs].T)
-            good = [(i, j) for i, j in pairs[low >= similarity * high - 1e-9].tolist() if _similar(sets[i], sets[j], similarity)]
-            if good:
-                i, j = np.array(good).T
-                yield rows(named[i], named[j], True)
+            good = shared.similar(pairs, similarity)
+            if len(good):
+                yield rows(named[good[:, 0]], named[good[:, 1]], True)
 
     return kernel
 
