@@ -738,6 +738,24 @@ def shortest_path_shares(start: np.ndarray, near: np.ndarray, sources: np.ndarra
     return share.reshape(b, n).sum(axis=0)
 
 
+def largest_pieces(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(graph, node, piece): for every articulation point the largest piece that its removal leaves of its component; one task per graph."""
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        g = _arrange(pdf)
+        near, left, found = g.sets(), set(range(len(g))), {}
+        while left:
+            part = _component(near, next(iter(left)))
+            left -= part
+            found |= split_sizes(near, part)
+        return pd.DataFrame({"graph": pdf["graph"].iat[0], "node": np.array([g.labels[i] for i in found], dtype=np.int64), "piece": np.array(list(found.values()), dtype=np.int64)})
+
+    both = nodes.select("graph", F.col("node").alias("u"), F.lit(None).cast("bigint").alias("v"), "ord").unionByName(
+        edges.join(nodes.select("graph", F.col("node").alias("u"), "ord"), ["graph", "u"]).select("graph", "u", "v", "ord")
+    )
+    return both.groupBy("graph").applyInPandas(kernel, "graph string, node bigint, piece bigint")
+
+
 #: Sources worked on at once: so many that their arrays hold about this many numbers.
 BATCH_NUMBERS = 1 << 20
 

@@ -97,6 +97,13 @@ def files_markdown(spark, d):
     return cells.where("row > 0").select(F.col("cells")[0].alias("method"), F.col("cells")[1].alias("runs"))
 
 
+def files_programs(spark, d):
+    """Programs as one file each, named by what they hold."""
+    path = _place(spark, "programs")
+    table(spark, d, "candidate_programs").where("code <> ''").select("code").distinct().write.option("maxRecordsPerFile", 1).text(path)
+    return files.read_programs(spark, path, stage="stored").drop("path")
+
+
 def files_version(spark, d):
     """A table's second version beside the first."""
     path = _place(spark, "versions")
@@ -146,7 +153,7 @@ def table_means_by_size(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    files_edge_list, files_edge_list_nodes, files_node_link, files_csv, files_columns, files_points, files_log, files_recorded_order, files_markdown, files_version, files_beside,
+    files_edge_list, files_edge_list_nodes, files_node_link, files_csv, files_columns, files_points, files_log, files_recorded_order, files_markdown, files_programs, files_version, files_beside,
     text_forbidden_parts, text_program_faults, table_fixed_cases, table_mapped, table_means_by_size,
 )}
 
@@ -161,6 +168,7 @@ ORACLES = {
     "files_log": _R + "SELECT run_id, node_id, idx, valid FROM rec",
     "files_recorded_order": gq._over(gq._TRADE) + "SELECT graph, 'recorded' AS method, CAST(row_number() OVER (ORDER BY degree DESC, CAST(node AS VARCHAR) DESC) AS INTEGER) AS step, node FROM deg",
     "files_markdown": _M + "SELECT method, CAST(count(*) AS VARCHAR) AS runs FROM m WHERE valid GROUP BY method",
+    "files_programs": "SELECT left(sha1(code || chr(10)), 12) AS candidate_id, code || chr(10) AS code, 'unknown' AS family, 'stored' AS source_stage FROM (SELECT DISTINCT code FROM candidate_programs WHERE code <> '')",
     "files_version": _M + "SELECT dataset, method, source FROM m WHERE source <> 'recorded'",
     "files_beside": "SELECT * FROM nation",
     "text_forbidden_parts": f"SELECT candidate_id, part FROM (SELECT DISTINCT candidate_id, code FROM candidate_programs WHERE code IS NOT NULL), (SELECT unnest([{_PARTS}]) AS part) WHERE contains(lower(code), part)",

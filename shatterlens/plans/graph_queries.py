@@ -106,6 +106,12 @@ def graph_core_numbers(spark, d):
     return rounds.core_numbers(edges).withColumnRenamed("value", "core")
 
 
+def graph_largest_pieces(spark, d):
+    """What every articulation point of trading nations, succeeding users and the customer-supplier graph's residual leaves at most."""
+    edges = stored(local_edges(spark, d).unionByName(_left(supply_edges(spark, d), 0.05)))
+    return adaptive.largest_pieces(edges, graphs.nodes_of(edges))
+
+
 def graph_communities(spark, d):
     edges = local_edges(spark, d)
     return rounds.communities(edges).withColumnRenamed("value", "community")
@@ -246,6 +252,11 @@ def curve_paper_variant(spark, d):
     return rounded(fr.with_metrics(_two_orders(spark, d), "paper").select("graph", "method", "step", "pd", "cnbi"))
 
 
+def curve_area_floor(spark, d):
+    """Areas over a span that counts as at least a half."""
+    return rounded(fr.normalised_area(fr.with_metrics(_two_orders(spark, d)), ["graph", "method"], "removal_ratio", ["gcc", "cnbi"], floor=0.5))
+
+
 def curve_value_at(spark, d):
     return rounded(fr.value_at(fr.with_metrics(_two_orders(spark, d)), "cnbi", 0.2))
 
@@ -333,8 +344,8 @@ def study_search(spark, d):
 _plain = [
     graph_largest_component, graph_chain, graph_edge_sample, study_validation, study_search,
     graph_sizes, graph_degree, graph_degree_histogram, graph_triangles, graph_clustering, graph_common_neighbours, graph_local_bridges, graph_sphere, graph_stats, graph_components,
-    graph_residual, graph_user_successors, graph_core_numbers, graph_communities, order_degree, order_core, order_betweenness, order_adaptive, order_proxies, order_highest_degree, order_core_first,
-    order_completed, order_timed, curve_states, curve_metrics, curve_running, curve_summary, curve_advantage, curve_residual_means, curve_paper_variant, curve_value_at, curve_forest,
+    graph_residual, graph_user_successors, graph_core_numbers, graph_largest_pieces, graph_communities, order_degree, order_core, order_betweenness, order_adaptive, order_proxies, order_highest_degree, order_core_first,
+    order_completed, order_timed, curve_states, curve_metrics, curve_running, curve_summary, curve_advantage, curve_residual_means, curve_paper_variant, curve_area_floor, curve_value_at, curve_forest,
     curve_component_states, curve_adaptive, curve_mean_over_graphs,
 ]
 QUERIES = {f.__name__: f for f in _plain} | {
@@ -518,6 +529,11 @@ ORACLES = {
     "curve_advantage": _BOTH + "SELECT a.method, round(avg(a.auc_cnbi - b.auc_cnbi), 6) AS auc_adv, round(avg(b.r - a.r), 6) AS r_adv, round(avg(0.45 * (a.early_cnbi - b.early_cnbi) + 0.35 * (a.early_ncc - b.early_ncc) + 20 * (b.early_gcc - a.early_gcc)), 6) AS early, round(min(a.auc_cnbi - b.auc_cnbi), 6) AS worst FROM summ a JOIN summ b ON b.method = 'degree' AND a.method = 'ci' GROUP BY a.method",
     "curve_residual_means": _BOTH + "SELECT graph, method, round(avg(gcc), 6) AS r, round(avg(cnbi_left), 6) AS cnbi, round(avg(top5 / CAST(greatest(1, rest) AS DOUBLE)), 6) AS top5_mass, round(avg(hhi), 6) AS hhi, round(avg(pd_left), 6) AS pd FROM met GROUP BY ALL",
     "curve_paper_variant": _BOTH + "SELECT graph, method, step, round(pd_left, 6) AS pd, round(cnbi_paper, 6) AS cnbi FROM met",
+    "curve_area_floor": _BOTH + "SELECT graph, method, round(sum(dx * yg) / greatest(max(ratio) - min(ratio), 0.5), 6) AS auc_gcc, round(sum(dx * yc) / greatest(max(ratio) - min(ratio), 0.5), 6) AS auc_cnbi FROM seg GROUP BY graph, method",
+    "graph_largest_pieces": _over(_TRADE, _USERS, _SUPPLY) + _LEFT.format(rate=0.05) + ", few AS (SELECT * FROM edges WHERE graph <> 'supply' UNION ALL SELECT * FROM rest WHERE graph = 'supply'), two_ways AS (SELECT graph, u AS src, v AS dst FROM few UNION ALL SELECT graph, v, u FROM few), ends AS (SELECT DISTINCT graph, src AS node FROM two_ways), "
+        "home AS (SELECT graph, node, node AS label FROM ends UNION SELECT h.graph, a.dst, h.label FROM home h JOIN two_ways a ON a.graph = h.graph AND a.src = h.node WHERE h.label < a.dst), part AS (SELECT graph, node, min(label) AS part FROM home GROUP BY ALL), "
+        "lab AS (SELECT p.graph, p.node AS gone, q.node, q.node AS label FROM part p JOIN part q ON q.graph = p.graph AND q.part = p.part AND q.node <> p.node UNION SELECT l.graph, l.gone, a.dst, l.label FROM lab l JOIN two_ways a ON a.graph = l.graph AND a.src = l.node WHERE a.dst <> l.gone AND l.label < a.dst), "
+        "least AS (SELECT graph, gone, node, min(label) AS label FROM lab GROUP BY ALL), chunk AS (SELECT graph, gone, label, count(*) AS size FROM least GROUP BY ALL) SELECT graph, gone AS node, max(size) AS piece FROM chunk GROUP BY graph, gone HAVING count(*) > 1",
     "curve_value_at": _BOTH + "SELECT graph, method, round(arg_min(cnbi, (abs(ratio - 0.2), step)), 6) AS value FROM met GROUP BY ALL",
     "curve_component_states": _over(_SUPPLY) + ", lab AS (SELECT node, node AS label FROM deg UNION SELECT a.dst, l.label FROM lab l JOIN adj a ON a.src = l.node WHERE l.label < a.dst), part AS (SELECT label, count(*) AS size FROM (SELECT node, min(label) AS label FROM lab GROUP BY node) GROUP BY label) SELECT 'supply' AS graph, 'none' AS method, CAST(0 AS INTEGER) AS step, CAST(sum(size) AS BIGINT) AS n, CAST(sum(size) AS BIGINT) AS \"left\", max(size) AS largest, count(*) AS ncc, CAST(list_sum(list_slice(list_reverse_sort(list(size)), 1, 5)) AS BIGINT) AS top5, CAST(sum(size * size) AS BIGINT) AS squares FROM part",
 }

@@ -187,6 +187,18 @@ def text_json(spark, d):
     return e.select("event_id", F.get_json_object(sc.json_object(F.col("note")), "$.k").cast("int").alias("k"))
 
 
+def text_finite(spark, d):
+    """Scores as finite numbers, others and none as -1."""
+    rows = table(spark, d, "search_records").select("run_id", "node_id", "rank_score", "ingested_at").distinct()
+    return rounded(rows.select("run_id", "node_id", sc.finite_or(F.col("rank_score"), -1.0).alias("score")), 9)
+
+
+def text_shortened(spark, d):
+    """Long programs with their middle left out."""
+    rows = table(spark, d, "candidate_programs").where("code is not null").select("candidate_id", "code").distinct()
+    return rows.select("candidate_id", sc.head_and_tail(F.col("code"), 600).alias("code"))
+
+
 def text_scalars(spark, d):
     """Scalar rules over names and numbers of the parts."""
     p = table(spark, d, "part")
@@ -303,6 +315,8 @@ ORACLES = {
         f AS (SELECT prompt_id, regexp_replace(coalesce(block, CASE WHEN spot > 0 THEN substr(t, spot) END, t), '^\s+|\s+$', '', 'g') AS code FROM b)
         SELECT prompt_id, CAST(length(code) AS INTEGER) AS n, md5(CASE WHEN length(code) > 200 THEN left(code, 124) || chr(10) || '...' || chr(10) || right(code, 76) ELSE code END) AS ends FROM f""",
     "text_json": "SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events",
+    "text_finite": "SELECT run_id, node_id, round(CASE WHEN rank_score IS NULL OR isnan(rank_score) OR isinf(rank_score) THEN -1.0 ELSE rank_score END, 9) AS score FROM (SELECT DISTINCT run_id, node_id, rank_score, ingested_at FROM search_records)",
+    "text_shortened": "SELECT candidate_id, CASE WHEN length(code) > 600 THEN left(code, 372) || chr(10) || '...' || chr(10) || right(code, 228) ELSE code END AS code FROM (SELECT DISTINCT candidate_id, code FROM candidate_programs WHERE code IS NOT NULL)",
     "text_scalars": r"""SELECT p_partkey, regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9_.-]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug, CASE WHEN p_size % 7 <> 0 AND p_size % 4 <> 3 THEN CAST(p_size AS DOUBLE) END AS measure,
         CASE WHEN abs(p_retailprice - 900) <= abs(p_retailprice - 1000) THEN 900.0 WHEN abs(p_retailprice - 1000) <= abs(p_retailprice - 1500) THEN 1000.0 ELSE 1500.0 END::DOUBLE AS snapped, p_size % 5 <> 2 AS truth, CAST(2 AS INTEGER) AS items,
         greatest(950.0, least(1200.0, p_retailprice)) AS clamped, round_even(CAST(p_size AS DOUBLE) * 0.5, 0) AS half_even FROM part""",
