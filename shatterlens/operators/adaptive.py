@@ -542,6 +542,7 @@ INVALID_PROXIES = {"Relative-Free": {7, 29, 53, 71, 89}, "CostAware-Free": {31,
 def proxies(group: str, n: int) -> list[Proxy]:
     """The ``n`` programs of a group; parameters cycle with period 25."""
     family = PROXY_FAMILIES[group]
+    # Parameters of the published families by the place r in the cycle.
     out = []
     for i in range(n):
         r = i % 25

@@ -25,10 +25,11 @@ def windowed(log: DataFrame, time: str, key: str, late: str = "1 hour", width: s
     return out.select(F.col("w.start").alias("start"), key, "rows")
 
 
-def credit_stream(rewards: DataFrame, key: str, keep: float = 0.82, idle: str | None = None) -> DataFrame:
+def credit_stream(rewards: DataFrame, key: str, keep: float = 0.82, time: str | None = None, idle: str = "7 days") -> DataFrame:
     """(key, credit, n) after each batch: an exponential moving credit held as state.
 
-    The state of a key that has had no rewards for ``idle`` (a time such as "7 days"; None keeps all) is dropped, with its last row.
+    With a ``time`` column the state of a key that has had no rewards for ``idle`` is dropped, with its last row once
+    more, and rewards that come later than that are too late; without one it is kept.
     """
 
     def step(name: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -36,14 +37,17 @@ def credit_stream(rewards: DataFrame, key: str, keep: float = 0.82, idle: str |
         if state.hasTimedOut:
             state.remove()
         else:
+            latest = 0
             for pdf in batches:
+                latest = max(latest, int(pdf["_ms"].max()))
                 for reward in pdf.sort_values("idx")["reward"]:
                     credit, n = keep * credit + (1 - keep) * reward, n + 1
             state.update((credit, n))
-            if idle:
-                state.setTimeoutDuration(int(pd.Timedelta(idle).total_seconds() * 1000))
+            if time:
+                state.setTimeoutTimestamp(max(latest, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: [name[0]], "credit": [credit], "n": [n]})
 
     schema = f"{key} string, credit double, n bigint"
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
-    return rewards.groupBy(key).applyInPandasWithState(step, schema, "credit double, n bigint", "update", timeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if time else GroupStateTimeout.NoTimeout
+    rows = rewards.withWatermark(time, idle).withColumn("_ms", F.unix_millis(time)) if time else rewards.withColumn("_ms", F.lit(0))
+    return rows.groupBy(key).applyInPandasWithState(step, schema, "credit double, n bigint", "update", timeout)

@@ -1,4 +1,5 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,22 +64,29 @@ def test_tree_edges(spark):
     assert [tuple(r) for r in sinks.tree_edges(rows).collect()] == [("a", "b", 1, False)]
 
 
-def test_credit_survives_batches(spark, tmp_path):
-    schema = "family string, idx int, reward double"
+@pytest.mark.parametrize("time", [None, "at"])
+def test_credit_survives_batches(spark, tmp_path, time):
+    schema = "family string, idx int, reward double, at timestamp"
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     want = 0.0
     query = lambda: (
-        sp.credit_stream(spark.readStream.schema(schema).parquet(source), "family").writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state"))
+        sp.credit_stream(spark.readStream.schema(schema).parquet(source), "family", time=time).writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "state"))
         .foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{out}/epoch={e}")).trigger(availableNow=True).start()
     )
     for batch in range(2):
-        rows = [("f", batch * 3 + i, float(i + batch)) for i in range(3)]
+        rows = [("f", batch * 3 + i, float(i + batch), datetime(2024, 1, 1 + batch)) for i in range(3)]
         for r in rows:
             want = 0.82 * want + 0.18 * r[2]
         spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         query().awaitTermination()
     last = spark.read.parquet(out).orderBy(F.desc("n")).first()
     assert last.n == 6 and last.credit == pytest.approx(want)
+    spark.createDataFrame([("g", 0, 1.0, datetime(2024, 3, 1))], schema).write.mode("append").parquet(source)
+    query().awaitTermination()
+    spark.createDataFrame([("f", 9, 1.0, datetime(2024, 3, 2))], schema).write.mode("append").parquet(source)
+    query().awaitTermination()
+    n = spark.read.parquet(out).where("family = 'f' and n < 8").agg(F.count_if(F.col("n") == 1), F.max("n")).first()
+    assert tuple(n) == ((1, 6) if time else (0, 7))
 
 
 def test_csv_starts_with_a_mark_and_a_table_goes_beside(spark, tmp_path):
