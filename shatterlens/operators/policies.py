@@ -7,6 +7,7 @@ depends on the others.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import replace
 
 import numpy as np
@@ -146,10 +147,10 @@ def family_means(records: DataFrame, family: str) -> DataFrame:
     return rows.withColumns({"spread": 0.10 + 0.15 / root, "bonus": 0.08 / root})
 
 
-def family_draw(records: DataFrame, family: str, families: DataFrame, seed: int = 0) -> DataFrame:
-    """(run_id, family, value): the family(family) with the greatest normal draw plus bonus; one without records has UNSEEN."""
+def family_draw(records: DataFrame, family: str, families: Sequence[str], seed: int = 0) -> DataFrame:
+    """(run_id, family, value): the one of ``families`` with the greatest normal draw plus bonus; one without records has UNSEEN."""
     means = family_means(records, family)
-    every = records.select("run_id").distinct().join(F.broadcast(families.select("family")), how="cross").join(means, ["run_id", "family"], "left")  # families are a fixed list
+    every = records.select("run_id").distinct().withColumn("family", F.explode(F.array(*map(F.lit, families)))).join(means, ["run_id", "family"], "left")
     value = F.coalesce(F.col("mean") + F.col("spread") * dr.normal(F.col("run_id"), F.col("family"), seed) + F.col("bonus"), F.lit(UNSEEN))
     return best_of(every, ["run_id"], value, [F.asc("family")]).select("run_id", "family", "value")
 

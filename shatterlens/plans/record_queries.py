@@ -217,8 +217,7 @@ def policy_niche_parent(spark, d):
 
 def policy_family_draw(spark, d):
     """A normal draw over a fixed list of families."""
-    known = spark.createDataFrame([(f,) for f in FAMILIES], "family string")
-    return rounded(po.family_draw(records(spark, d), "family", known))
+    return rounded(po.family_draw(records(spark, d), "family", FAMILIES))
 
 
 def policy_squared_draw(spark, d):
