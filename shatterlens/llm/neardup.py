@@ -22,7 +22,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shatterlens.operators.components import connected_components
-from shatterlens.operators.skew import lookup_join
 from shatterlens.scratch import Scratch
 
 SEGMENTS, SEGMENT_BITS = 24, 16
@@ -30,8 +29,8 @@ WORDS = SEGMENTS * SEGMENT_BITS // 64
 MAX_DISTANCE = 92
 #: Greatest number of programs of a family that one task takes with all their tables.
 LOCAL_ROWS = 20_000
-#: Pairs that are compared at a time, and rows of a bucket that one task holds.
-BLOCK, BUCKET_ROWS = 1 << 20, 5_000
+#: Pairs that are compared at a time, and fingerprints of a block of a larger family; a task holds two blocks.
+BLOCK, BUCKET_ROWS = 1 << 20, 30_000
 #: Sets that one is compared with at a time.
 PARTNERS = 4_096
 SHINGLE, LEAST_WORDS, SIMILARITY = 3, 20, 0.7
@@ -79,24 +78,27 @@ def fingerprint(items: np.ndarray) -> bytes:
     return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _close(prints: np.ndarray, radius_flips: np.ndarray = _FLIPS) -> Iterator[np.ndarray]:
+def _close(prints: np.ndarray, first: int | None = None) -> Iterator[np.ndarray]:
     """Index pairs i < j within MAX_DISTANCE that share a ball in some segment, each once, in blocks of bounded size.
 
-    A pair comes out at the first segment that finds it, so that no table of pairs is kept.
+    A pair comes out at the first segment that finds it, so that no table of pairs is kept. With ``first``
+    only the pairs of one of the ``first`` leading rows and one of the others come out.
     """
-    n = len(prints)
+    begin, upto_row = (0, len(prints)) if first is None else (first, first)
+    if begin == len(prints):
+        return
     keys = prints.view("<u2")  # n x SEGMENTS
     words = prints.view("<u8")
     for s in range(SEGMENTS):
         key = keys[:, s].astype(np.int64)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key[begin:], kind="stable") + begin
         start = np.searchsorted(key[order], np.arange((1 << SEGMENT_BITS) + 1))
-        for flip in radius_flips:
-            near = key ^ flip
+        for flip in _FLIPS:
+            near = key[:upto_row] ^ flip
             count = start[near + 1] - start[near]
             upto = np.cumsum(count)
             at = 0
-            while at < n:  # as many lookups as give about BLOCK pairs, at least one
+            while at < upto_row:  # as many lookups as give about BLOCK pairs, at least one
                 end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + BLOCK, side="right")))
                 c = count[at:end]
                 i = np.repeat(np.arange(at, end), c)
@@ -117,11 +119,6 @@ def _close(prints: np.ndarray, radius_flips: np.ndarray = _FLIPS) -> Iterator[np
                 at = end
 
 
-def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    shared = len(np.intersect1d(a, b, assume_unique=True))
-    return shared >= similarity * (len(a) + len(b) - shared) - 1e-9
-
-
 class _Shared:
     """Sizes of intersections of one set with many, over items numbered within a family."""
 
@@ -195,58 +192,90 @@ def _sets(size: int, least_words: int):
     return kernel
 
 
+_PRINT = [f"f{k}" for k in range(WORDS)]
+
+
 def _printed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        pdf = pdf.drop_duplicates(["family", "id", "h"])
         words = np.array([np.frombuffer(fingerprint(np.frombuffer(x, dtype="<u4")), dtype="<i8") for x in pdf["items"]], dtype=np.int64).reshape(-1, WORDS)
-        yield pdf.assign(**{f"f{k}": words[:, k] for k in range(WORDS)}, n=[len(x) // 4 for x in pdf["items"]])
+        yield pdf[["family", "id", "h"]].assign(**{f: words[:, k] for k, f in enumerate(_PRINT)})
+
+
+def _prints_of(pdf: pd.DataFrame) -> tuple[np.ndarray, int | None]:
+    """Fingerprints of rows that are sorted by block, and how many rows the first of two blocks has."""
+    first = None if pdf["p"].iat[0] == pdf["q"].iat[0] else int((pdf["block"] == pdf["p"]).sum())
+    return np.ascontiguousarray(pdf[_PRINT].to_numpy(dtype="<i8")).view(np.uint8), first
+
+
+def _merged(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Labels of parts, each its least row's number, once the ends of ``pairs`` belong together."""
+    while len(pairs):
+        ends = np.unique(label[pairs], axis=0)
+        pairs = ends[ends[:, 0] != ends[:, 1]]
+        np.minimum.at(label, pairs.max(axis=1, initial=0), pairs.min(axis=1, initial=len(label)))
+        while not np.array_equal(below := label[label], label):
+            label = below
+    return label
+
+
+def _parted(part_rows: int):
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", kind="stable")  # the rows of at most two blocks
+        prints, first = _prints_of(pdf)
+        label = np.arange(len(pdf))
+        for pairs in _close(prints, first):
+            label = _merged(label, pairs)
+        kept = np.flatnonzero(np.bincount(label)[label] > 1)
+        kept = kept[np.argsort(label[kept], kind="stable")]
+        start = np.searchsorted(label[kept], label[kept])  # place of each part's first row
+        return pdf.iloc[kept].assign(part=start // part_rows)
+
+    return kernel
+
+
+def _part_links(similarity: float):
+    def kernel(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values("block", kind="stable", ignore_index=True)
+        prints, first = _prints_of(pdf)
+        shared = _Shared([np.frombuffer(x, dtype="<u4") for x in pdf["items"]])
+        named = np.array([f"{i}\0{h}" for i, h in zip(pdf["id"], pdf["h"])], dtype=object)
+        family = pdf["family"].iat[0]
+        del pdf
+        for pairs in _close(prints, first):
+            good = shared.similar(pairs, similarity)
+            if len(good):
+                yield pd.DataFrame({"family": family, "a": named[good[:, 0]], "b": named[good[:, 1]], "link": True})
+
+    return kernel
 
 
 _LINK = "family string, a string, b string, link boolean"
 
 
 def _large_links(scratch: Scratch, sets: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
-    """The same over families of any size: segment tables, balls and verification as joins.
+    """The same over families of any size.
 
-    A bucket (the rows of a family with one value of a segment) of more than ``bucket_rows`` rows is cut into
-    blocks, and each lookup goes to all blocks of its bucket, so that no task holds a whole bucket.
+    Fingerprints of a family's classes are cut into blocks of about ``bucket_rows``, and every two blocks meet in one task, which
+    gives the parts that no close pair leaves. Only what has a close fingerprint is sent on with its set, once a part; parts are
+    packed and go through the steps of a small family. So no pair carries its sets, and no lookup is a row.
     """
-    sets = scratch.save(sets.distinct(), "sets")
-    name = F.concat(F.min("id"), F.lit("\0"), F.lower(F.hex(F.xxhash64("items"))))
-    classes = sets.groupBy("family", "items").agg(name.alias("rep"), F.count(F.lit(1)).alias("copies"))
-    words = [f"f{k}" for k in range(WORDS)]
-    reps = classes.mapInPandas(_printed, "family string, items binary, rep string, copies bigint, n bigint, " + ", ".join(f"{w} bigint" for w in words))
-    reps = scratch.save(reps, "reps")
-    many = reps.where("copies > 1").select("family", "items", "rep")
-    members = sets.join(many, ["family", "items"]).select("family", F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(False).alias("link"))
-    segments = F.array(*[F.struct(F.lit(s).alias("s"), F.shiftrightunsigned(F.col(words[s // 4]), 16 * (s % 4)).bitwiseAND(0xFFFF).alias("key")) for s in range(SEGMENTS)])
-    table = scratch.save(reps.select("family", "rep", "n", *words, F.inline(segments)), "table")
-    ball = F.array(*[F.lit(int(f)).cast("long") for f in _FLIPS])
-    probe = table.withColumn("flip", F.explode(ball)).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
-    bucket = ["family", "s", "key"]
-    counts = table.groupBy(*bucket).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > bucket_rows)
-    large = scratch.save(counts.select(*bucket, F.ceil(F.col("size") / bucket_rows).cast("int").alias("blocks")), "large")
-    if large.isEmpty():
-        table, probe = table.withColumn("block", F.lit(0)), probe.withColumn("block", F.lit(0))
-    else:
-        total = table.count()
-        blocks = F.coalesce("blocks", F.lit(1))
-        table = lookup_join(table, large, bucket, total).withColumn("block", F.pmod(F.xxhash64("rep"), blocks).cast("int")).drop("blocks")
-        probe = lookup_join(probe, large, bucket, total * len(_FLIPS)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks")
-    x, y = probe.alias("x"), table.alias("y")
-    distance = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in words), F.lit(0))
-    size_fits = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-9
-    on = (F.col("x.rep") < F.col("y.rep")) & size_fits & (distance <= MAX_DISTANCE)
-    for c in (*bucket, "block"):
-        on = (F.col(f"x.{c}") == F.col(f"y.{c}")) & on
-    close = scratch.save(x.join(y, on).select(F.col("x.family").alias("family"), F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), "close")
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            good = [_similar(np.frombuffer(p, "<u4"), np.frombuffer(q, "<u4"), similarity) for p, q in zip(pdf["set_a"], pdf["set_b"])]
-            yield pdf[["family", "a", "b"]][good].assign(link=True)
-
-    side = lambda c: reps.select("family", F.col("rep").alias(c), F.col("items").alias(f"set_{c}"))
-    return close.join(side("a"), ["family", "a"]).join(side("b"), ["family", "b"]).mapInPandas(verify, _LINK).unionByName(members)
+    f = ", ".join(f"{w} bigint" for w in _PRINT)
+    rows = sets.select("family", "id", F.md5("items").alias("h"), "items")
+    prints = scratch.save(rows.mapInPandas(_printed, f"family string, id string, h string, {f}"), "prints")
+    classes = prints.groupBy("family", "h").agg(F.min("id").alias("id"), (F.min("id") != F.max("id")).alias("many"), *[F.first(w).alias(w) for w in _PRINT])
+    classes = scratch.save(classes, "classes")
+    many = classes.where("many").select("family", "h", F.concat("id", F.lit("\0"), "h").alias("a"))
+    members = prints.join(many, ["family", "h"]).select("family", "a", F.col("id").alias("b"), F.lit(False).alias("link")).distinct()
+    blocks = classes.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("blocks"))
+    placed = classes.drop("many").join(F.broadcast(blocks), "family").withColumn("block", F.pmod(F.xxhash64("h"), "blocks").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")}).drop("blocks", "other")
+    keys = ["family", "p", "q"]
+    parts = placed.groupBy(*keys).applyInPandas(_parted(LOCAL_ROWS // 4), f"family string, h string, id string, {f}, block int, p int, q int, part bigint")
+    parts = scratch.save(parts, "parts")
+    whole = parts.join(rows.dropDuplicates(["family", "id", "h"]), ["family", "id", "h"])
+    return whole.groupBy(*keys, "part").applyInPandas(_part_links(similarity), _LINK).unionByName(members)
 
 
 def near_duplicate_links(programs: DataFrame, id_column: str, code_column: str, family: Column, similarity: float = SIMILARITY, shingle: int = SHINGLE, least_words: int = LEAST_WORDS, local_rows: int = LOCAL_ROWS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -257,7 +286,7 @@ def near_duplicate_links(programs: DataFrame, id_column: str, code_column: str,
     different texts and not with pairs of copies. Words are the runs of a-z, 0-9 and _ of the lower-cased code. NULL ids and codes, and codes of
     fewer than ``least_words`` words, take no part. Repeated rows count once. ``family`` is compared as it is, NULL is a
     family. A family of up to ``local_rows`` rows is one task with all tables in memory; a larger one goes through the same steps
-    as joins. Sets are held as 32-bit hashes: a pair's similarity is off by one shingle with probability below 1e-5.
+    in blocks of ``bucket_rows``. Sets are held as 32-bit hashes: a pair's similarity is off by one shingle with probability below 1e-5.
     """
     scratch = Scratch(programs.sparkSession)
     slim = programs.where(F.col(id_column).isNotNull() & F.col(code_column).isNotNull())

@@ -102,3 +102,17 @@ def test_alike_fingerprints_take_bounded_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == n * (n - 1) // 2 and peak < 400e6
+
+
+def test_a_large_family_costs_no_row_a_lookup(spark, monkeypatch):
+    from shatterlens.scratch import Scratch
+
+    saved, save = {}, Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, label="t": saved.setdefault(label, save(self, df, label)))
+    rows = programs(3, 120)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = near_duplicates(df, "cid", "code", F.col("family"), local_rows=5, bucket_rows=30)
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+    counted = {k: v for k, v in saved.items() if k not in ("big", "links")}
+    assert counted and max(v.count() for v in counted.values()) <= 2 * len(rows)
+    assert [k for k, v in counted.items() if "items" in v.columns] == ["all"]  # sets are written once
