@@ -30,15 +30,30 @@ def audited(expected: DataFrame, actual: DataFrame, keys: Sequence[str], toleran
 def nearest_within(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str, tie: str, tolerance: float) -> DataFrame:
     """Each row of ``a`` with the row of ``b`` of the same keys nearest in ``value`` (at most ``tolerance`` away, first ``tie`` wins).
 
-    Values are cut into cells as wide as the tolerance, so a row meets the rows of three cells only. Columns of b get _b.
+    Values are cut into cells as wide as the tolerance. Of each distinct value only the next one below and above are looked
+    at, in its cell or at the ends of the cells beside it, so no pairs are listed, however many rows share a value. Columns of b get _b.
     """
-    cell = lambda c: F.floor(c / tolerance)
-    left = a.withColumn("_row", F.struct(*a.columns)).withColumn("_cell", F.explode(F.array(*[cell(F.col(value)) + i for i in (-1, 0, 1)])))
-    right = b.select(*keys, *[F.col(c).alias(f"{c}_b") for c in b.columns if c not in keys]).withColumn("_cell", cell(F.col(f"{value}_b")))
-    gap = F.abs(F.col(value) - F.col(f"{value}_b"))
-    met = left.join(right, [*keys, "_cell"]).withColumn("gap", gap).where(F.col("gap") <= tolerance)
-    w = Window.partitionBy(*keys, "_row").orderBy("gap", f"{tie}_b")
-    return met.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_row", "_cell")
+    known = lambda df: df.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("_cell", F.floor(F.col(value) / tolerance))
+    others = [c for c in b.columns if c not in (*keys, value, tie)]
+    row = F.struct(F.col(tie), F.col(value), *others)
+    firsts = known(b).groupBy(*keys, "_cell", value).agg(F.min(row).alias("_b"))
+    wanted = known(a).select(*keys, "_cell", value).distinct()
+    ends = firsts.groupBy(*keys, "_cell").agg(F.max(F.struct(value, "_b"))["_b"].alias("_high"), F.min(F.struct(value, "_b"))["_b"].alias("_low"))
+    # Two cells: a quotient may be rounded across an edge.
+    ends = ends.withColumn("_by", F.explode(F.array(*[F.lit(i) for i in (-2, -1, 1, 2)]))).withColumn("_cell", F.col("_cell") + F.col("_by"))
+    place = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.{value}"), F.col(c).alias("_b")))
+    beside = ends.groupBy(*keys, "_cell").agg(F.max(F.when(F.col("_by") > 0, place("_high")))["_b"].alias("_under"), F.min(F.when(F.col("_by") < 0, place("_low")))["_b"].alias("_over"))
+    points = wanted.join(firsts, [*keys, "_cell", value], "full")
+    w = Window.partitionBy(*keys, "_cell")
+    points = points.withColumn("_below", F.last("_b", ignorenulls=True).over(w.orderBy(F.asc(value)).rowsBetween(Window.unboundedPreceding, 0)))
+    points = points.withColumn("_above", F.last("_b", ignorenulls=True).over(w.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, 0)))
+    points = points.join(beside, [*keys, "_cell"], "left")
+    gap = lambda c: F.abs(F.col(value) - F.col(f"{c}.{value}"))
+    met = F.array_min(F.array(*[F.when(gap(c) <= tolerance, F.struct(gap(c).alias("gap"), F.col(c).alias("_b"))) for c in ("_below", "_above", "_under", "_over")]))
+    found = points.select(*keys, value, met.alias("_met")).where(F.col("_met").isNotNull())
+    rest = [c for c in b.columns if c not in keys]
+    found = found.select(*keys, value, *[F.col("_met._b")[c].alias(f"{c}_b") for c in rest], F.col("_met.gap").alias("gap"))
+    return a.join(found, [*keys, value]).select(*a.columns, *[f"{c}_b" for c in rest], "gap")
 
 
 def strided(rows: DataFrame, keys: Sequence[str], order: str, wanted: int) -> DataFrame:

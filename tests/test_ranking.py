@@ -332,3 +332,10 @@ def test_fixed_cases_and_values(spark):
             pb.fixed_cases(cases, spark.createDataFrame([bad], "graph string, step int"), ["graph", "step"])
     assert [r.graph for r in pb.mapped(cases, "graph", {"g": "x"}).collect()] == ["x", "x"]
     assert [r.graph for r in pb.mapped(cases, "graph", {"y": "x"}, "z").collect()] == ["z", "z"]
+
+
+def test_nearest_of_many_equal_values_lists_no_pairs(spark):
+    n = 200_000  # pairs of them would be 4e10
+    side = lambda shift: spark.range(n).selectExpr("'g' as g", f"id + {shift} as k", "cast(id % 2 as double) as x")
+    rows = pb.nearest_within(side(0), side(7), ["g"], "x", "k", 1e-9).groupBy("x", "x_b", "k_b", "gap").count().collect()
+    assert {tuple(r) for r in rows} == {(0.0, 0.0, 7, 0.0, n // 2), (1.0, 1.0, 8, 0.0, n // 2)}
