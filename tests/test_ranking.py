@@ -339,3 +339,20 @@ def test_nearest_of_many_equal_values_lists_no_pairs(spark):
     side = lambda shift: spark.range(n).selectExpr("'g' as g", f"id + {shift} as k", "cast(id % 2 as double) as x")
     rows = pb.nearest_within(side(0), side(7), ["g"], "x", "k", 1e-9).groupBy("x", "x_b", "k_b", "gap").count().collect()
     assert {tuple(r) for r in rows} == {(0.0, 0.0, 7, 0.0, n // 2), (1.0, 1.0, 8, 0.0, n // 2)}
+
+
+def test_nearest_equals_a_search_of_all(spark):
+    import random
+
+    rng = random.Random(5)
+    some = lambda n: [(rng.choice("pq"), i, rng.choice([None, float("nan")] + [round(rng.uniform(-2, 2), 2) for _ in range(9)])) for i in range(n)]
+    a, b = some(300), some(200)
+    good = lambda x: x is not None and x == x
+    for tolerance in (0.01, 0.05, 1.0):
+        want = set()
+        for g, i, x in a:
+            near = [(abs(x - y), j) for h, j, y in b if h == g and good(x) and good(y) and abs(x - y) <= tolerance]
+            want |= {(i, *min(near)[::-1])} if near else set()
+        frame = lambda rows: spark.createDataFrame(rows, "g string, k long, x double")
+        got = pb.nearest_within(frame(a), frame(b), ["g"], "x", "k", tolerance)
+        assert {(r.k, r.k_b, r.gap) for r in got.collect()} == want
