@@ -390,3 +390,25 @@ def test_methods_in_processes_of_their_own(spark):
 def test_a_suite_that_cannot_be_drawn():
     with pytest.raises(ValueError):
         graphs.power_law_suite(1, 200, share=1.1, tries=2)
+
+
+def test_betweenness_searches_from_no_tree_node(monkeypatch):
+    import numpy as np
+
+    searched, search = [], adaptive.shortest_path_shares
+    monkeypatch.setattr(adaptive, "shortest_path_shares", lambda start, near, sources, weight=None: searched.append((len(start) - 1) * len(sources)) or search(start, near, sources, weight))
+    rng = np.random.default_rng(4)
+    for n, m in ((40, 34), (40, 45), (60, 90), (12, 11), (2, 1)):
+        pairs = np.unique(np.sort(rng.integers(0, n, (m, 2)), axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        names, flat = np.unique(pairs, return_inverse=True)
+        ends = flat.reshape(-1, 2)
+        near = adaptive.Graph(range(len(names)), ends).sets()
+        want = adaptive.brandes(near, range(len(names)), range(len(names)))
+        for blocks in (1, 3):
+            got = sum(adaptive.path_shares(ends, len(names), k, blocks) for k in range(blocks))
+            assert np.allclose(got, [want[i] for i in range(len(names))], rtol=1e-12, atol=1e-9)
+    searched.clear()
+    copies = np.concatenate([np.array([[0, 1], [1, 2], [0, 2], [2, 3], [3, 4], [2, 5]]) + 6 * k for k in range(50)])
+    adaptive.path_shares(copies, 300, 0, 1)
+    assert sum(searched) == 50 * 3 * 3  # of each copy the triangle alone, and not all 300 nodes from each
