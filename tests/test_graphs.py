@@ -412,3 +412,47 @@ def test_betweenness_searches_from_no_tree_node(monkeypatch):
     copies = np.concatenate([np.array([[0, 1], [1, 2], [0, 2], [2, 3], [3, 4], [2, 5]]) + 6 * k for k in range(50)])
     adaptive.path_shares(copies, 300, 0, 1)
     assert sum(searched) == 50 * 3 * 3  # of each copy the triangle alone, and not all 300 nodes from each
+
+
+def rescanned_articulation(g):
+    """Orders by a walk through the whole of the largest component for each removal."""
+    near, gone, out = g.sets(), set(), []
+    while len(out) < len(g):
+        left = parts(set(range(len(g))) - gone, {(i, j) for i in range(len(g)) for j in near[i]})
+        part = max(left, key=lambda p: (len(p), min(g.labels[i] for i in p)))
+        pieces = adaptive.split_sizes(near, part) if len(part) > 1 else dict.fromkeys(part, 0)
+        if pieces:
+            i = min(pieces, key=lambda i: (pieces[i], g.labels[i]))
+        else:
+            between = adaptive.brandes(near, part, part)
+            i = min(part, key=lambda i: (-round(between[i], 9), g.labels[i]))
+        gone.add(i)
+        out.append(i)
+        for j in near[i]:
+            near[j].discard(i)
+        near[i] = set()
+    return out
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_articulation_keeps_blocks(seed, monkeypatch):
+    rng = random.Random(seed)
+    walked, walk = [], adaptive._Cuts._walk
+    monkeypatch.setattr(adaptive._Cuts, "_walk", lambda self, i: walked.append(i) or walk(self, i))
+    n = 160
+    few = 12 if seed % 2 else n  # of two kinds, or of one
+    pairs = {(rng.randrange(few), rng.randrange(few, n) if few < n else rng.randrange(n)) for _ in range(230)}
+    labels = rng.sample(range(1000), n)
+    g = adaptive.Graph(labels, [(labels[u], labels[v]) for u, v in pairs])
+    want = rescanned_articulation(g)
+    assert adaptive.articulation_first(g, n) == want
+    many = adaptive.Graph(range(3000), [(rng.randrange(400), rng.randrange(400, 3000)) for _ in range(6000)])
+    walked.clear()
+    order = adaptive.articulation_first(many, 900)
+    assert len(order) == 900 and len(walked) < 200  # and not a walk through a component for each of its 400 cuts
+
+
+def test_methods_are_tasks_of_their_own(spark):
+    edges = spark.createDataFrame([("g", u, v) for u, v in SMOKE], "graph string, u bigint, v bigint")
+    orders = adaptive.adaptive_orders(edges, graphs.nodes_of(edges), adaptive.METHODS, 0.30)
+    assert orders.select("method", F.spark_partition_id().alias("task")).distinct().select("task").distinct().count() > 4
