@@ -121,7 +121,9 @@ def trajectories(edges: DataFrame, nodes: DataFrame, orders: DataFrame, rate: Co
         k, largest, ncc, top5, squares = (np.array(x, dtype=np.int64) for x in zip(*states))
         return pd.DataFrame({"graph": pdf["graph"].iat[0], "method": pdf["method"].iat[0], "step": k.astype(np.int32), "removal_ratio": k / n, "n": n, "left": n - k, "largest": largest, "ncc": ncc, "top5": top5, "squares": squares})
 
-    return rows.groupBy("graph", "method").applyInPandas(kernel, STATES)
+    # A number of partitions that is asked for stays: small tasks would be joined to one that works off all orders in turn.
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "graph", "method").groupBy("graph", "method").applyInPandas(kernel, STATES)
 
 
 def states_by_components(sizes: DataFrame) -> DataFrame:

@@ -170,6 +170,12 @@ def _adaptive(spark, d):
     return edges, nodes, adaptive.adaptive_orders(edges, nodes, adaptive.METHODS, RATE)
 
 
+def _stored_states(spark, edges, nodes, orders):
+    """Trajectories as a written table; they and the orders are read several times."""
+    scratch = Scratch(spark)
+    return scratch.save(fr.trajectories(edges, nodes, scratch.save(orders, "orders"), RATE), "states")
+
+
 def _adaptive_summaries(spark, d):
     edges, nodes, orders = _adaptive(spark, d)
     orders = Scratch(spark).save(orders, "orders")  # read several times
@@ -231,7 +237,7 @@ def _two_orders(spark, d):
     edges = supply_edges(spark, d)
     nodes = graphs.nodes_of(edges)
     orders = so.degree_order(edges, nodes).unionByName(so.score_order(nodes, so.collective_influence(edges), "ci"))
-    return fr.trajectories(edges, nodes, orders, RATE)
+    return _stored_states(spark, edges, nodes, orders)
 
 
 def curve_summary(spark, d):

@@ -106,3 +106,11 @@ def test_highest_degree_orders_are_whole(spark, supply):
             left.discard(i)
     trade = got.where("graph = 'trade'").groupBy("method").count().collect()
     assert {r["method"]: r["count"] > 8 for r in trade} == dict.fromkeys(("hda_original", "hda_fast", "hda_number", "blend_root"), True)
+
+
+@pytest.mark.parametrize("name", ["table_hidden_cases"])
+def test_states_are_worked_out_once(spark, name):
+    import __spark_entry__ as e
+
+    plan = e.queries()[name](spark, oracle.DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan  # the states are a written table
