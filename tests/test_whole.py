@@ -108,7 +108,7 @@ def test_highest_degree_orders_are_whole(spark, supply):
     assert {r["method"]: r["count"] > 8 for r in trade} == dict.fromkeys(("hda_original", "hda_fast", "hda_number", "blend_root"), True)
 
 
-@pytest.mark.parametrize("name", ["table_hidden_cases", "curve_adaptive"])
+@pytest.mark.parametrize("name", ["table_hidden_cases", "curve_adaptive", "curve_mean_over_graphs"])
 def test_states_are_worked_out_once(spark, name):
     import __spark_entry__ as e
 
