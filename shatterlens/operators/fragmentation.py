@@ -33,8 +33,29 @@ def _states(n: int, most: int, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int
     lo, hi = lo[order].tolist(), hi[order].tolist()
     above = list(range(n + 1))
     size = [1] * (n + 1)
-    sizes = [1] * (n - most)  # of the components, ascending
-    squares, at, out = n - most, 0, []
+    sizes, count = ([1], {1: n - most}) if n > most else ([], {})  # of the components: different ones, ascending, and how many have each
+    squares, parts, at, out = n - most, n - most, 0, []
+
+    def less(x: int) -> None:
+        if count[x] > 1:
+            count[x] -= 1
+        else:
+            del count[x], sizes[bisect_left(sizes, x)]
+
+    def more(x: int) -> None:
+        if x in count:
+            count[x] += 1
+        else:
+            count[x] = 1
+            insort(sizes, x)
+
+    def five() -> int:
+        total, wanted = 0, 5
+        for x in reversed(sizes):
+            total += x * min(wanted, count[x])
+            if (wanted := wanted - count[x]) <= 0:
+                break
+        return total
 
     def top(i: int) -> int:
         while above[i] != i:
@@ -50,18 +71,26 @@ def _states(n: int, most: int, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int
                 if size[a] < size[b]:
                     a, b = b, a
                 x, y = size[a], size[b]
-                del sizes[bisect_left(sizes, x)]
-                del sizes[bisect_left(sizes, y)]
-                insort(sizes, x + y)
+                less(x)
+                less(y)
+                more(x + y)
+                parts -= 1
                 squares += 2 * x * y
                 above[b] = a
                 size[a] = x + y
-        out.append((k, sizes[-1] if sizes else 0, len(sizes), sum(sizes[-5:]), squares))
-        insort(sizes, 1)
+        out.append((k, sizes[-1] if sizes else 0, parts, five(), squares))
+        more(1)
+        parts += 1
         squares += 1
     return out[::-1]
 
 
+def state_rows(graph: str, method: str, n: int, most: int, lo: np.ndarray, hi: np.ndarray) -> pd.DataFrame:
+    """STATES of one order, of the places of its edges' ends."""
+    k, largest, ncc, top5, squares = (np.array(x, dtype=np.int64) for x in zip(*_states(n, most, lo, hi)))
+    return pd.DataFrame({"graph": graph, "method": method, "step": k.astype(np.int32), "removal_ratio": k / n, "n": n, "left": n - k, "largest": largest, "ncc": ncc, "top5": top5, "squares": squares})
+
+
 def spanning_forest(places: DataFrame, fan_in: int = 8) -> DataFrame:
     """Edges of places(graph, method, hi, lo) that a trajectory needs: a spanning forest of greatest lo.
 
@@ -117,9 +146,7 @@ def trajectories(edges: DataFrame, nodes: DataFrame, orders: DataFrame, rate: Co
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         n, most = int(pdf["n"].iat[0]), int(pdf["most"].iat[0])
         real = pdf[pdf["lo"].notna()]
-        states = _states(n, most, real["lo"].to_numpy(np.int64), real["hi"].to_numpy(np.int64))
-        k, largest, ncc, top5, squares = (np.array(x, dtype=np.int64) for x in zip(*states))
-        return pd.DataFrame({"graph": pdf["graph"].iat[0], "method": pdf["method"].iat[0], "step": k.astype(np.int32), "removal_ratio": k / n, "n": n, "left": n - k, "largest": largest, "ncc": ncc, "top5": top5, "squares": squares})
+        return state_rows(pdf["graph"].iat[0], pdf["method"].iat[0], n, most, real["lo"].to_numpy(np.int64), real["hi"].to_numpy(np.int64))
 
     # A number of partitions that is asked for stays: small tasks would be joined to one that works off all orders in turn.
     tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))

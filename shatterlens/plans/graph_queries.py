@@ -164,10 +164,9 @@ def _with_methods(spark, d, *names):
     return adaptive.adaptive_orders(edges, graphs.nodes_of(edges), {k: adaptive.METHODS[k] for k in names}, RATE)
 
 
-def _adaptive(spark, d):
+def _adaptive_graphs(spark, d):
     edges = stored(graphs.nation_trade(spark, d).unionByName(graphs.customer_supplier(spark, d)))
-    nodes = graphs.nodes_of(edges)
-    return edges, nodes, adaptive.adaptive_orders(edges, nodes, adaptive.METHODS, RATE)
+    return edges, graphs.nodes_of(edges)
 
 
 def _stored_states(spark, edges, nodes, orders):
@@ -177,13 +176,14 @@ def _stored_states(spark, edges, nodes, orders):
 
 
 def _adaptive_summaries(spark, d):
-    edges, nodes, orders = _adaptive(spark, d)
-    return fr.summaries(fr.with_metrics(_stored_states(spark, edges, nodes, orders)))
+    edges, nodes = _adaptive_graphs(spark, d)
+    states = Scratch(spark).save(adaptive.adaptive_states(edges, nodes, adaptive.METHODS, RATE), "states")
+    return fr.summaries(fr.with_metrics(states))
 
 
 def order_adaptive(spark, d):
     """All adaptive methods."""
-    return _adaptive(spark, d)[2]
+    return adaptive.adaptive_orders(*_adaptive_graphs(spark, d), adaptive.METHODS, RATE)
 
 
 def order_proxies(spark, d):
@@ -330,7 +330,7 @@ def study_validation(spark, d):
     """Methods over graphs, one of which fails: means and gate."""
     from shatterlens.plans import studies
 
-    edges, nodes, _ = _adaptive(spark, d)
+    edges, nodes = _adaptive_graphs(spark, d)
     methods = {k: adaptive.METHODS[k] for k in ("hda_original", "corehd_fast", "decycling")} | {"broken": lambda g, k: [len(g) // 0]}
     refs = spark.createDataFrame([("q", 0.5, 0.9, None)], "label string, ref_auc_cnbi double, ref_r double, ref_time_s double")
     _, means, gated = studies.validation(edges, nodes, methods, RATE, refs)

@@ -456,3 +456,25 @@ def test_methods_are_tasks_of_their_own(spark):
     edges = spark.createDataFrame([("g", u, v) for u, v in SMOKE], "graph string, u bigint, v bigint")
     orders = adaptive.adaptive_orders(edges, graphs.nodes_of(edges), adaptive.METHODS, 0.30)
     assert orders.select("method", F.spark_partition_id().alias("task")).distinct().select("task").distinct().count() > 4
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_decycling_searches_seldom(seed, monkeypatch):
+    monkeypatch.setattr(adaptive._Rooted, "LEAST", 4)
+    g, pairs = random_graph(seed, 40, 70)
+    assert adaptive.decycling(g, 40) == rescan(40, pairs, 40, pick_decycling)
+    rng, searched, pieces = random.Random(seed), [], adaptive._Parts._pieces
+    monkeypatch.setattr(adaptive._Parts, "_pieces", lambda self, ends, *a: searched.append(len(ends) > 1) or pieces(self, ends, *a))
+    many = adaptive.Graph(range(3000), [(rng.randrange(400), rng.randrange(400, 3000)) for _ in range(6000)])
+    assert len(adaptive.decycling(many, 400)) == 400
+    assert sum(searched) < 200  # and not one for each removal
+
+
+def test_states_in_the_task_of_the_order(spark):
+    edges = spark.createDataFrame([("g", u, v) for u, v in SMOKE], "graph string, u bigint, v bigint")
+    nodes = graphs.nodes_of(edges)
+    orders = adaptive.adaptive_orders(edges, nodes, adaptive.METHODS, 0.30)
+    want = fr.trajectories(edges, nodes, orders, 0.30)
+    got = adaptive.adaptive_states(edges, nodes, adaptive.METHODS, 0.30)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))

@@ -114,3 +114,12 @@ def test_states_are_worked_out_once(spark, name):
 
     plan = e.queries()[name](spark, oracle.DATA)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan  # the states are a written table
+
+
+def test_mean_over_graphs_writes_no_orders(spark, monkeypatch):
+    from shatterlens.scratch import Scratch
+
+    written, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, label="t": written.append(label) or save(self, df, label))
+    assert gq.curve_mean_over_graphs(spark, oracle.DATA).count() == len(adaptive.METHODS)
+    assert "states" in written and "orders" not in written  # states are worked out in the task of their order
